@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality, sharding
+from . import exact_dedup, langid, mixing, quality, rlz, sharding
 from .common import load
 
 
+def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.substring_dedup(load(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rlz_dedup": op1_rlz_dedup,
     "op2_sharding": op2_sharding,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
