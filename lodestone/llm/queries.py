@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, quality, rlz, sharding, suffixes
+from . import exact_dedup, langid, mih, minhash, mixing, quality, rlz, sharding, suffixes
 from .common import load
 
 
@@ -19,6 +19,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"))
 
 
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(load(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_sharding": op2_sharding,
+    "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_quality": op7_quality,
