@@ -1,6 +1,6 @@
 """Text blocks and their anchor index, shared by the two substring operators.
 
-A block is a run of whole documents of a few megabytes, kept compressed. Windows of a
+A block is a run of whole documents of about a megabyte, kept compressed. Windows of a
 fixed length (words or bytes) are never shuffled themselves: each window chooses an
 anchor, a short gram picked by its content, so equal windows choose equal anchors at
 the same place within them. Consecutive windows with one anchor form a context. Every
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import durable, shuffle_width
 from .textarrays import Texts, slices
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 ROWS = "key long, kind int, payload binary"
 
 
@@ -72,7 +72,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
             ids = batch.column("doc_id")
             for texts in slices(batch.column("text"), BLOCK_BYTES):
                 own = ids.slice(texts.first, texts.n)
-                payload = pack(np.asarray(own.fill_null(0)), np.asarray(own.is_valid()), texts.bounds, texts.data, level=1)
+                payload = pack(np.asarray(own.fill_null(0)), np.asarray(own.is_valid()), texts.bounds, texts.data, level=3)
                 yield row_batch([(key, 0, payload)])
                 key += 1
 

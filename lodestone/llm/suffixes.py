@@ -24,18 +24,13 @@ from .textarrays import U64, anchors, byte_prefix, mix64
 LENGTH, GRAM = 200, 100
 
 
-def smaller_than_next(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each byte, whether its suffix within its document is smaller than the next one (the end counts as smallest)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, dtype=bool)
-    change = np.flatnonzero(data[1:] != data[:-1]) + 1
-    edge = np.union1d(change, bounds[1:])
-    edge = edge[edge > 0]
-    nxt = edge[np.searchsorted(edge, np.arange(n), side="right")]
-    doc_end = bounds[1:][np.searchsorted(bounds[1:], np.arange(n), side="right")]
-    inside = nxt < doc_end
-    return inside & (data[np.minimum(nxt, n - 1)] > data)
+def direct_stops(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places whose byte is under the next one of the same document, so that their suffixes are sorted directly; then the end."""
+    rises = np.zeros(len(data), dtype=bool)
+    rises[:-1] = data[:-1] < data[1:]
+    last = bounds[1:] - 1
+    rises[last[last >= 0]] = False
+    return np.append(np.flatnonzero(rises), len(data))
 
 
 class SuffixOrder:
@@ -265,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             return
         c = cut(held)
         data, bounds = c.block.texts.data, c.block.texts.bounds
-        stops = np.append(np.flatnonzero(smaller_than_next(data, bounds)), len(data))
+        stops = direct_stops(data, bounds)
         deals = deal(c.anchor, n)
         for kind, payload in held:
             if kind <= 0:
