@@ -1,0 +1 @@
+"""Column functions: texts, identifiers, vectors, scores."""

@@ -1,0 +1,4 @@
+"""Registered queries: importing this package fills :mod:`lodestone.plans.registry`."""
+
+from . import registry
+from . import texts  # noqa: F401

@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The given tables as attributes, read when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of :class:`Tables` under its name, with the SQL that gives the same rows."""
+
+    def add(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[make.__name__] = sql
+        return make
+
+    return add
