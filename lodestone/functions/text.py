@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ STOP_WORDS = (
 TERM = "[a-z][a-z0-9_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda, a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form, a batch at a time."""
@@ -64,10 +70,13 @@ def char_grams(text: Column, n: int) -> Column:
 
 def word_grams(text: Column, n: int) -> Column:
     """Distinct word n-grams (joined by a space); empty for shorter texts."""
-    parts = words(text)
-    last = F.size(parts) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(parts: Column) -> Column:
+        last = F.size(parts) - n + 1
+        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, n), " "))
+        return F.when(last >= 1, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -144,5 +153,8 @@ def repeats_itself(text: Column, window: int = 30, step: int = 5, times: int = 4
     """Whether one window of characters occurs ``times`` or more at places ``step`` apart."""
     starts = F.sequence(F.lit(1), F.length(text) - window, F.lit(step))
     pieces = F.array_sort(F.transform(starts, lambda i: F.substr(text, i, F.lit(window))))
-    run = F.size(F.filter(pieces, lambda p, i: (i >= times - 1) & (p == F.get(pieces, i - (times - 1)))))
-    return F.when(F.length(text) >= window * times, run > 0).otherwise(F.lit(False))
+
+    def equal_run(sorted_pieces: Column) -> Column:
+        return F.size(F.filter(sorted_pieces, lambda p, i: (i >= times - 1) & (p == F.get(sorted_pieces, i - (times - 1)))))
+
+    return F.when(F.length(text) >= window * times, let(pieces, equal_run) > 0).otherwise(F.lit(False))
