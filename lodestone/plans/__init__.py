@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills :mod:`lodestone.plans.registry`."""
 
 from . import registry
-from . import joins, texts  # noqa: F401
+from . import aggregates, joins, mutations, texts, windows  # noqa: F401

@@ -200,14 +200,14 @@ def contamination(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_type), ' ')) AS word FROM part), v AS (SELECT * FROM w WHERE length(word) > 3),
-    t AS (SELECT DISTINCT p_type, unnest(string_split(lower(p_type), ' ')) AS word FROM part), u AS (SELECT * FROM t WHERE length(word) > 3)
-    SELECT v.p_partkey, u.p_type AS title, count(*) AS shared FROM v JOIN u USING (word) GROUP BY ALL HAVING count(*) >= 2"""
+    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), v AS (SELECT * FROM w WHERE length(word) > 3),
+    t AS (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS word FROM part), u AS (SELECT * FROM t WHERE length(word) > 3)
+    SELECT v.p_partkey, u.p_name AS title, count(*) AS shared FROM v JOIN u USING (word) GROUP BY ALL HAVING count(*) >= 2"""
 )
 def title_concordance(t: Tables) -> DataFrame:
-    word = F.explode(F.array_distinct(F.split(F.lower("p_type"), " "))).alias("word")
+    word = F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")
     own = t.part.select("p_partkey", word).where("length(word) > 3")
-    titles = t.part.select("p_type").distinct().select(F.col("p_type").alias("title"), word).where("length(word) > 3")
+    titles = t.part.select("p_name").distinct().select(F.col("p_name").alias("title"), word).where("length(word) > 3")
     return own.join(titles, "word").groupBy("p_partkey", "title").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
