@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills :mod:`lodestone.plans.registry`."""
 
 from . import registry
-from . import aggregates, joins, mutations, retrieval, sampling, texts, windows  # noqa: F401
+from . import aggregates, corpus, joins, mutations, retrieval, sampling, texts, windows  # noqa: F401

@@ -266,3 +266,19 @@ def turn_overlap(t: Tables) -> DataFrame:
 @query()
 def repetition_loops(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.repeats_itself(F.col("text")).alias("loops"))
+
+
+@query(
+    r"""
+    SELECT doc_id, nullif(regexp_extract(text, '\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b', 0), '') AS iso_date,
+           CASE WHEN regexp_matches(text, '(?i)\b(?:hsn|sac|chapter\s+heading)\s*(\d{2,8})\b') THEN 1
+                WHEN regexp_matches(text, '(?i)\b(?:rate|duty|gst)\s+(?:on|of|for)\b') THEN 2 ELSE 0 END AS lookup_kind,
+           len(regexp_extract_all(text, '[0-9]{4,8}')) AS numbers FROM documents"""
+)
+def lookup_features(t: Tables) -> DataFrame:
+    text = F.col("text")
+    kind = tagging.cascade((text.rlike(r"(?i)\b(?:hsn|sac|chapter\s+heading)\s*(\d{2,8})\b"), "1"), (text.rlike(r"(?i)\b(?:rate|duty|gst)\s+(?:on|of|for)\b"), "2"), otherwise="0")
+    return t.documents.select(
+        "doc_id", F.nullif(F.regexp_extract(text, r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b", 0), F.lit("")).alias("iso_date"),
+        kind.cast("int").alias("lookup_kind"), F.regexp_count(text, F.lit("[0-9]{4,8}")).cast("long").alias("numbers"),
+    )
