@@ -43,3 +43,17 @@ def small_side(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
 
 def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not in ``dropped`` (null counts as an id), all columns as they are."""
+    d, x = docs.alias("d"), dropped.select(F.col("doc_id").alias("gone")).alias("x")
+    return d.join(x, F.col("d.doc_id").eqNullSafe(F.col("x.gone")), "left_anti")
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, whole_text
+from .common import drop_ids, durable, whole_text
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOCAL_GROUPS = 100_000
@@ -235,5 +235,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without the copies that exact dedup drops, all columns unchanged."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    return drop_ids(docs, exact_dedup(docs).where(~F.col("kept")))

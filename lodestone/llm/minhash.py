@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import drop_ids, durable
 from .components import components
 from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
 
@@ -227,5 +227,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near duplicates, all columns unchanged."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    return drop_ids(docs, near_duplicates(docs).where(~F.col("kept")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, small_side
+from .common import WORD, durable, fresh_name, small_side
 
 HASH_BITS, STEP_BITS, MOST_REPEATS = 60, 12, 3
 
@@ -124,9 +124,9 @@ def take(docs: DataFrame) -> DataFrame:
     rows = durable(_rows(docs, []))
     targets = durable(source_targets(rows))
     n_sources = targets.count()
-    limits = small_side(thresholds(rows, targets, n_sources), n_sources).withColumnsRenamed({"whole": "_whole", "threshold": "_threshold", "source_key": "_mix_key"})
-    key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source").cast("string")))
-    taken = docs.join(limits, key == F.col("_mix_key"))
-    copies = F.col("_whole") + (id_hash(F.col("doc_id")) < F.col("_threshold")).cast("long")
-    repeated = taken.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    limits = small_side(thresholds(rows, targets, n_sources), n_sources).alias("l")
+    key = F.when(F.col("d.source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("d.source").cast("string")))
+    taken = docs.alias("d").join(limits, key == F.col("l.source_key"))
+    copies = F.col("l.whole") + (id_hash(F.col("d.doc_id")) < F.col("l.threshold")).cast("long")
+    number = fresh_name(docs, "copy")
+    return taken.where(copies > 0).select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(number)).drop(number)
