@@ -4,8 +4,8 @@ The model file's protobuf is read field by field; normaliser, metaspace marker,
 scores (unigram) or merges (BPE, from the scores) and byte fallback are rebuilt as a
 ``tokenizers.Tokenizer``. No piece has the metaspace marker behind another character,
 so a text splits before each run of spaces without changing its encoding; the
-distinct parts of a batch are encoded and decoded once, in one multithreaded call,
-and checked against the model's own library.
+distinct new parts of a batch are encoded once, joined to a few long strings in one
+multithreaded call, and checked: they spell the text and equal the model's own library.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -139,51 +140,90 @@ def splits_at_spaces(model: PieceModel) -> bool:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of parts it has seen, KEPT_PARTS at most."""
+    """Encodes and decodes texts; numbers the parts it has seen and keeps their ids, KEPT_PARTS at most."""
+
+    RUNS = 8  # strings of joined parts that one call encodes, spread over threads
 
     def __init__(self, raw: bytes):
         from sentencepiece import SentencePieceProcessor
+        from tokenizers import pre_tokenizers
 
         self.model = parse_model(raw)
         self.tokenizer, self.steps = rebuild(self.model)
+        self.joined, _ = rebuild(self.model)
+        self.joined.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.library = SentencePieceProcessor(model_proto=raw)
+        self.plain = self.model.dummy_prefix and not self.model.charsmap and not self.model.fold_spaces
         self.part = re.compile(" +[^ ]*|[^ ]+") if splits_at_spaces(self.model) else re.compile(".+", re.DOTALL)
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        # What each piece spells: bytes of byte pieces, text (marker as space) of the others.
+        self.spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes, self.good = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
 
     def normalise(self, text: str) -> str:
         text = self.steps.normalize_str(text) if self.steps else text
         return " " + text if text and self.model.dummy_prefix else text
 
+    def _spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.spelled.__getitem__, ids)) == text.encode()
+
+    def _one(self, part: str) -> tuple[list[int], bool]:
+        """Ids of a part, and whether it spells back and (where the library applies) has the library's ids."""
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        # A last single space alone would be the library's own prefix, so it is looked up.
+        theirs = ids if not self.plain else [self.library.piece_to_id(MARK)] if part == " " else self.library.encode(part[1:])
+        return ids, ids == theirs and self._spells(ids, part)
+
     def _learn(self, parts: list[str]) -> None:
-        """Ids of new parts, and whether they decode to the part and equal those of the model's library."""
-        if not parts:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        plain = self.model.dummy_prefix and not self.model.charsmap and not self.model.fold_spaces
-        theirs = self.library.encode([p[1:] for p in parts]) if plain else ids
-        lone = [self.library.piece_to_id(MARK)]  # a last single space; alone, the library would take it for the prefix
-        for part, own, text, other in zip(parts, ids, back, theirs, strict=True):
-            self.known[part] = (struct.pack(f"{len(own)}i", *own), text == part and own == (lone if plain and part == " " else other))
+        """Adds new parts. Those of one space and a word are encoded and compared joined; the others, or a run that differs, one by one."""
+        simple = [k for k, p in enumerate(parts) if p[0] == " " and p[1:2] != " " and MARK not in p]
+        sizes, good = np.zeros(len(parts), dtype=np.int64), np.zeros(len(parts), dtype=bool)
+        runs = [r for r in np.array_split(np.array(simple, dtype=np.int64), self.RUNS) if len(r)]
+        texts = ["".join([parts[k] for k in r]) for r in runs]
+        single = sorted(set(range(len(parts))) - set(simple))
+        pieces: dict[int, np.ndarray] = {}
+        found = []
+        for r, text, e in zip(runs, texts, self.joined.encode_batch(texts, add_special_tokens=False), strict=True):
+            ids = e.ids
+            if self._spells(ids, text) and (not self.plain or ids == self.library.encode(text[1:], num_threads=1)):
+                sizes[r], good[r] = np.bincount(np.array(e.word_ids), minlength=len(r)), True
+                found.append((r, np.array(ids, dtype=np.int32)))
+            else:
+                single += r.tolist()
+        for k in single:
+            ids, good[k] = self._one(parts[k])
+            sizes[k], pieces[k] = len(ids), np.array(ids, dtype=np.int32)
+        ends = np.cumsum(sizes)
+        flat = np.zeros(int(sizes.sum()), dtype=np.int32)
+        for r, ids in found:
+            own = sizes[r]
+            flat[np.repeat(ends[r] - own - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        for k, ids in pieces.items():
+            flat[ends[k] - sizes[k] : ends[k]] = ids
+        self.ids, self.sizes, self.good = np.concatenate((self.ids, flat)), np.concatenate((self.sizes, sizes)), np.concatenate((self.good, good))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids of all texts, their bounds, and for each text whether every part kept parity and decodes back."""
+        """Token ids of all texts, their bounds, and for each text whether every part kept parity and spells back."""
         if len(self.known) > KEPT_PARTS:
-            self.known.clear()
-        split = [self.part.findall(self.normalise(t)) for t in texts]
-        self._learn(list({p for parts in split for p in parts} - self.known.keys()))
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(p, len(number)) for parts in split for p in parts), dtype=np.int64)
-        distinct = [self.known[p] for p in number]
-        lengths = np.array([len(i) for i, _ in distinct], dtype=np.int64) // 4
-        good = np.array([g for _, g in distinct], dtype=bool)
-        flat = np.frombuffer(b"".join([i for i, _ in distinct]), dtype=np.int32)
-        begins = np.cumsum(lengths) - lengths
-        take = lengths[at] if len(at) else at
+            self._forget()
+        known, findall = self.known, self.part.findall
+        before, counts, numbers = len(known), [], []
+        for text in texts:
+            parts = findall(self.normalise(text))
+            counts.append(len(parts))
+            numbers += [known.setdefault(p, len(known)) for p in parts]
+        if len(known) > before:
+            self._learn(list(islice(known, before, None)))
+        at = np.array(numbers, dtype=np.int64)
+        begins = np.cumsum(self.sizes) - self.sizes
+        take = self.sizes[at]
         ends = np.cumsum(take)
-        ids = flat[np.repeat((begins[at] if len(at) else at) - (ends - take), take) + np.arange(int(take.sum()))]
-        edges = np.concatenate(([0], np.cumsum([len(p) for p in split])))
-        bad = np.concatenate(([0], np.cumsum(~good[at]) if len(at) else []))
+        ids = self.ids[np.repeat(begins[at] - (ends - take), take) + np.arange(int(take.sum()))]
+        edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        bad = np.concatenate(([0], np.cumsum(~self.good[at])))
         return ids, np.concatenate(([0], ends)).astype(np.int64)[edges], bad[edges[1:]] == bad[edges[:-1]]
 
     def decode(self, ids: list[int]) -> str:
