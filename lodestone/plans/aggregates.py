@@ -247,12 +247,12 @@ def regex_variants(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS active, sum(s_acctbal) AS total, CASE WHEN max(s_acctbal) >= 8500 THEN 'hot' WHEN max(s_acctbal) >= 7000 THEN 'warm' ELSE 'cool' END AS level FROM supplier GROUP BY 1"""
+    SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS active, round(sum(s_acctbal), 2) AS total, CASE WHEN max(s_acctbal) >= 8500 THEN 'hot' WHEN max(s_acctbal) >= 7000 THEN 'warm' ELSE 'cool' END AS level FROM supplier GROUP BY 1"""
 )
 def fleet_totals(t: Tables) -> DataFrame:
     top = F.max("s_acctbal")
     return t.supplier.groupBy("s_nationkey").agg(
-        F.count_if(F.col("s_acctbal") > 0).alias("active"), F.sum("s_acctbal").alias("total"), F.when(top >= 8500, "hot").when(top >= 7000, "warm").otherwise("cool").alias("level")
+        F.count_if(F.col("s_acctbal") > 0).alias("active"), F.round(F.sum("s_acctbal"), 2).alias("total"), F.when(top >= 8500, "hot").when(top >= 7000, "warm").otherwise("cool").alias("level")
     )
 
 
