@@ -24,7 +24,7 @@ from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
-MEMBERS_A_TASK = 2_000
+MEMBERS_A_TASK = 256
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
