@@ -54,9 +54,12 @@ def nearest(queries: DataFrame, query_id: str, items: DataFrame, item_id: str, v
     Items are dealt to blocks by id and every query goes to every block (an equi-join
     on the block number), so each task ranks its own items before the merge.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), V.doubles(F.col(vector)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    d = items.select(F.col(item_id).alias("item_id"), V.doubles(F.col(vector)).alias("d"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("block"))
-    scored = q.join(d, "block").where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("d")), 9).alias("score"), "block")
+    own, block = V.doubles(F.col(vector)), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int")
+    q = queries.select(F.col(query_id).alias("query_id"), own.alias("q")).withColumn("q_norm", V.norm(F.col("q"))).where("q_norm > 0")
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = items.select(F.col(item_id).alias("item_id"), own.alias("d"), block.alias("block")).withColumn("d_norm", V.norm(F.col("d"))).where("d_norm > 0")
+    cosine = V.dot(F.col("q"), F.col("d")) / (F.col("q_norm") * F.col("d_norm"))
+    scored = q.join(d, "block").where("query_id <> item_id").select("query_id", "item_id", F.round(cosine, 9).alias("score"), "block")
     inner = top(scored.where("score is not null"), ["query_id", "block"], [F.desc("score"), F.col("item_id")], k).drop("rank", "block")
     return top(inner, ["query_id"], [F.desc("score"), F.col("item_id")], k)
 

@@ -10,6 +10,7 @@ from lodestone.operators import evaluation as V
 from lodestone.operators import retrieval as R
 
 from .registry import Tables, query
+from .retrieval import BM25, bm25_hits
 
 
 @query(
@@ -100,3 +101,54 @@ def pairs_with_negatives(t: Tables) -> DataFrame:
     others = t.embeddings.where("label = 2").select(F.col("vec_id").alias("item_id"), F.lit(3).alias("label"))
     near = t.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id"), "label").join(others, "label").select("query_id", "item_id", F.abs(F.col("query_id") - F.col("item_id")).alias("d"))
     return V.attach_negatives(queries, R.top(near, ["query_id"], [F.col("d"), F.col("item_id")], 3), "query_id", 3)
+
+
+def _entities(t: Tables) -> DataFrame:
+    """The three longest distinct words of each benchmark item."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
+    return t.benchmark.select("item_id", F.explode(longest).alias("e")).select("item_id", F.col("e.w").alias("entity"))
+
+
+@query(
+    f"""
+    WITH {BM25}, e AS (SELECT item_id, unnest(list_slice(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: struct_pack(n := -length(w), w := w))), 1, 3)).w AS entity FROM benchmark),
+    found AS (SELECT e.item_id, entity, b.rank FROM e JOIN bm25 b ON e.item_id = b.item_id JOIN documents d ON d.doc_id = b.doc_id WHERE contains(lower(d.text), entity))
+    SELECT e.item_id, e.entity, coalesce(list(rank ORDER BY rank) FILTER (rank IS NOT NULL), []) AS ranks FROM e LEFT JOIN found h ON e.item_id = h.item_id AND e.entity = h.entity GROUP BY ALL"""
+)
+def entity_ranks(t: Tables) -> DataFrame:
+    """For each item's entities the ranks of the hits that contain them: items meet hits on their id."""
+    hits = bm25_hits(t).join(t.documents.select("doc_id", F.lower("text").alias("body")), "doc_id")
+    found = _entities(t).join(hits, "item_id").where(F.col("body").contains(F.col("entity")))
+    ranks = found.groupBy("item_id", "entity").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    return _entities(t).join(ranks, ["item_id", "entity"], "left").select("item_id", "entity", F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
+
+
+@query(
+    f"""
+    WITH {BM25}, hits AS (SELECT b.item_id, b.rank, d.lang, contains(lower(d.text), lower(q.text)) AS hit FROM bm25 b JOIN documents d USING (doc_id) JOIN benchmark q USING (item_id)),
+    en AS (SELECT item_id FROM hits WHERE lang = 'en' GROUP BY item_id),
+    v AS (SELECT 'baseline' AS variant, * FROM hits WHERE rank <= 5 UNION ALL SELECT 'wide', * FROM hits UNION ALL SELECT 'filtered', * FROM hits WHERE lang = 'en' OR item_id NOT IN (SELECT item_id FROM en)),
+    p AS (SELECT variant, item_id, min(rank) AS best, min(CASE WHEN hit THEN rank END) AS first FROM v GROUP BY ALL)
+    SELECT variant, count(*) AS n, count(*) FILTER (first = best) AS hit_at_1, count(first) AS hit_at_k FROM p GROUP BY variant"""
+)
+def variant_sweep(t: Tables) -> DataFrame:
+    """Hits of items whose whole text a document contains, under three retrieval variants; the filter falls back where it leaves nothing."""
+    hits = bm25_hits(t).join(t.documents.select("doc_id", "lang", F.lower("text").alias("body")), "doc_id").join(t.benchmark.select("item_id", F.lower("text").alias("asked")), "item_id")
+    rows = hits.select("item_id", "rank", "lang", F.col("body").contains(F.col("asked")).alias("hit"))
+    per_item = rows.groupBy("item_id").agg(F.bool_or(F.col("lang") == "en").alias("some"))
+    filtered = rows.join(per_item, "item_id").where((F.col("lang") == "en") | ~F.col("some")).drop("some")
+    variants = [rows.where("rank <= 5").withColumn("variant", F.lit("baseline")), rows.withColumn("variant", F.lit("wide")), filtered.withColumn("variant", F.lit("filtered"))]
+    per = variants[0].unionByName(variants[1]).unionByName(variants[2]).groupBy("variant", "item_id").agg(F.min("rank").alias("best"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    return per.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("best")).alias("hit_at_1"), F.count("first").alias("hit_at_k"))
+
+
+@query(
+    """
+    SELECT d.lang, count(*) AS n, round(avg((quality = 1)::INT), 6) AS hit_old, round(avg((quality = 1 AND toxic = 0)::INT), 6) AS hit_new, round(avg((quality = 1 AND toxic = 0)::INT) - avg((quality = 1)::INT), 6) AS delta
+    FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang"""
+)
+def category_hit_rates(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
+    old, new = F.avg((F.col("quality") == 1).cast("int")), F.avg(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(old, 6).alias("hit_old"), F.round(new, 6).alias("hit_new"), F.round(new - old, 6).alias("delta"))

@@ -18,7 +18,7 @@ _POSTS = f"""
     posts AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM dt) GROUP BY doc_id, term),
     size AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT doc_id, any_value(length) AS length FROM posts GROUP BY doc_id)),
     df AS (SELECT term, count(*) AS df FROM posts GROUP BY term)"""
-_BM25 = f"""
+BM25 = f"""
     {_POSTS}, qt AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qf FROM qt GROUP BY ALL),
     h AS (SELECT item_id, doc_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean_length, 1))) * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * qf), 6) AS score
           FROM q JOIN df USING (term) JOIN posts USING (term), size GROUP BY item_id, doc_id),
@@ -32,13 +32,13 @@ def idf(t: Tables) -> DataFrame:
     return rows.select("term", "df", F.round(V.inverse_frequency(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
-def _bm25(t: Tables) -> DataFrame:
+def bm25_hits(t: Tables) -> DataFrame:
     return R.bm25_search(R.postings(t.documents, "doc_id", "text"), "doc_id", t.benchmark, "item_id", "text", 10)
 
 
-@query(f"WITH {_BM25} SELECT item_id, doc_id, rank FROM bm25")
+@query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM bm25")
 def bm25_topk(t: Tables) -> DataFrame:
-    return _bm25(t).select("item_id", "doc_id", "rank")
+    return bm25_hits(t).select("item_id", "doc_id", "rank")
 
 
 _KNN = """
@@ -82,7 +82,7 @@ def hard_negatives_band(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH {_BM25}, lng AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM (
+    WITH {BM25}, lng AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM (
         SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT item_id, term FROM qt) JOIN posts USING (term) GROUP BY ALL) QUALIFY rank <= 10),
     f AS (SELECT item_id, doc_id, round(sum(1 / (60.0 + rank)), 9) AS score, count(*) AS lists FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM lng) GROUP BY ALL)
     SELECT item_id, doc_id, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f"""
@@ -92,18 +92,18 @@ def rrf_fusion(t: Tables) -> DataFrame:
     asked = R.postings(t.benchmark, "item_id", "text").select("item_id", "term")
     shared = posts.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     by_terms = R.top(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], 10)
-    return R.fuse(_bm25(t), by_terms, query_id="item_id", item_id="doc_id").select("item_id", "doc_id", "lists", "rank")
+    return R.fuse(bm25_hits(t), by_terms, query_id="item_id", item_id="doc_id").select("item_id", "doc_id", "lists", "rank")
 
 
 @query(
     f"""
-    WITH {_BM25}, m AS (SELECT b.*, d.lang, d.source, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS base
+    WITH {BM25}, m AS (SELECT b.*, d.lang, d.source, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS base
                         FROM bm25 b JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY item_id))
     SELECT item_id, doc_id, round(CASE WHEN rank = 1 THEN greatest(1.0 / rank * 0.7 + (base + CASE WHEN lang = 'en' THEN 0.15 WHEN lang = 'fr' THEN 0.08 ELSE 0 END + CASE WHEN source = 'src0' THEN 0.1 ELSE 0 END) * 0.3, 0.95)
            ELSE 1.0 / rank * 0.7 + (base + CASE WHEN lang = 'en' THEN 0.15 WHEN lang = 'fr' THEN 0.08 ELSE 0 END + CASE WHEN source = 'src0' THEN 0.1 ELSE 0 END) * 0.3 END, 5) AS blended FROM m"""
 )
 def blended_scores(t: Tables) -> DataFrame:
-    rows = R.scaled(_bm25(t).join(t.documents.select("doc_id", "lang", "source"), "doc_id"), ["item_id"], "score")
+    rows = R.scaled(bm25_hits(t).join(t.documents.select("doc_id", "lang", "source"), "doc_id"), ["item_id"], "score")
     tier = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).otherwise(3)
     score = R.blend(1.0 / F.col("rank"), F.col("scaled"), tier, F.col("source") == "src0", F.col("rank") == 1)
     return rows.select("item_id", "doc_id", F.round(score, 5).alias("blended"))
@@ -111,12 +111,12 @@ def blended_scores(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH {_BM25}, r AS (SELECT b.item_id, b.doc_id, b.rank, d.lang <> 'en' AS w FROM bm25 b JOIN documents d USING (doc_id)),
+    WITH {BM25}, r AS (SELECT b.item_id, b.doc_id, b.rank, d.lang <> 'en' AS w FROM bm25 b JOIN documents d USING (doc_id)),
     n AS (SELECT *, row_number() OVER (PARTITION BY item_id, w ORDER BY rank) AS m FROM r),
     o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (w AND m <= 2) DESC, rank) AS place FROM n) SELECT item_id, doc_id, rank FROM o WHERE place <= 5"""
 )
 def class_backfill(t: Tables) -> DataFrame:
-    ranked = _bm25(t).join(t.documents.select("doc_id", "lang"), "doc_id")
+    ranked = bm25_hits(t).join(t.documents.select("doc_id", "lang"), "doc_id")
     return R.ensure_class(ranked, "item_id", F.col("lang") != "en", 5, 2).select("item_id", "doc_id", "rank")
 
 

@@ -92,3 +92,16 @@ def pair_validation(t: Tables) -> DataFrame:
     n = F.length("text")
     reason = F.when(F.col("text").isNull() | (n == 0), "missing:text").when(n < 10, "question_too_short").when(n < 30, "text_too_short").otherwise("ok")
     return t.conversations.select("conv_id", "turn", reason.alias("reason"))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, source, {_HASH.format(seed=13, key="doc_id")} AS h, doc_id IN (SELECT doc_id FROM labels) AS covered FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY covered DESC, h, doc_id) AS n FROM d) SELECT doc_id, source, covered FROM r WHERE n <= CASE source WHEN 'src1' THEN 20 WHEN 'src2' THEN 12 ELSE 8 END"""
+)
+def prefix_mix(t: Tables) -> DataFrame:
+    """A fixed number of rows of each source, labelled ones first."""
+    labelled = t.labels.select("doc_id").distinct().withColumn("covered", F.lit(True))
+    docs = t.documents.where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source").join(labelled, "doc_id", "left").select("doc_id", "source", F.coalesce("covered", F.lit(False)).alias("covered"))
+    quota = F.when(F.col("source") == "src1", 20).when(F.col("source") == "src2", 12).otherwise(8)
+    return S.pick(docs, ["source"], docs.select("source").distinct().withColumn("quota", quota), [F.desc("covered"), shuffle_key(13, F.col("doc_id")), F.col("doc_id")])

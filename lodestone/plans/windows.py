@@ -163,3 +163,27 @@ def overlap_divergence(t: Tables) -> DataFrame:
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
     sets = t.events.groupBy("user_id").agg(F.collect_set(F.when(early, F.col("event_type"))).alias("a"), F.collect_set(F.when(~early, F.col("event_type"))).alias("b"))
     return sets.select("user_id", T.overlap_divergence(F.col("a"), F.col("b")).alias("divergence"))
+
+
+@query(
+    """
+    WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, event_id FROM g WHERE gap IS NULL OR gap >= INTERVAL 6 HOUR"""
+)
+def throttled_heartbeats(t: Tables) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    return t.events.select("user_id", "event_id", gap.alias("gap")).where("gap is null or gap >= 21600000000").select("user_id", "event_id")
+
+
+@query(
+    """
+    WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM c)
+    SELECT user_id, min(ts) + INTERVAL 1 HOUR AS action_at, count(*) AS n FROM i WHERE event_type = 'view' GROUP BY user_id, island HAVING max(ts) - min(ts) >= INTERVAL 1 HOUR"""
+)
+def idle_actions(t: Tables) -> DataFrame:
+    """When an action falls due: an hour into every idle stretch of an hour or more."""
+    rows = islands.islands(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type")).where("event_type = 'view'")
+    spans = rows.groupBy("user_id", "island").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count(F.lit(1)).alias("n"))
+    due = F.expr("since + interval 1 hour")
+    return spans.where(F.col("until") >= due).select("user_id", due.alias("action_at"), "n")
