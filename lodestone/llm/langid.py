@@ -22,7 +22,7 @@ from .common import id_crc
 from .textarrays import Texts, U64, slices
 
 FOLDS, HELD_OUT = 4, 2
-DIMENSIONS, SAMPLE_ROWS, RIDGE, AMBIGUOUS_UNDER = 2048, 6_000, 0.05, 0.6
+DIMENSIONS, SAMPLE_ROWS, RIDGE, AMBIGUOUS_UNDER = 2048, 5_000, 0.05, 0.6
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -89,22 +89,28 @@ def train(x: np.ndarray, y: list[str]) -> Model:
     if len(languages) < 2:
         return Model(languages, code, None, None, None)
     target = code[np.searchsorted(languages, y)].astype(float)
-    mean, bias = x.mean(0), target.mean(0)
-    z = x - mean
-    weights = np.linalg.solve(z.T @ z + RIDGE * len(x) / 100 * np.eye(x.shape[1]), z.T @ (target - bias))
+    parts = [slice(i, i + 500) for i in range(0, len(x), 500)]  # in parts, so that the driver holds little more than the sample
+    mean, bias = x.mean(0, dtype=np.float64), target.mean(0)
+    gram, cross = np.zeros((x.shape[1],) * 2), np.zeros((x.shape[1], code.shape[1]))
+    for part in parts:
+        z = x[part] - mean
+        gram += z.T @ z
+        cross += z.T @ (target[part] - bias)
+    gram[np.diag_indices_from(gram)] += RIDGE * len(x) / 100
+    weights = np.linalg.solve(gram, cross)
     model = Model(languages, code, weights, bias - mean @ weights, np.ones(code.shape[1]))
-    wrong = ((x @ weights + model.bias) * target <= 0).mean(0)
+    wrong = sum((((x[part] @ weights + model.bias) * target[part]) <= 0).sum(0) for part in parts) / len(x)
     trust = np.log((1 - np.clip(wrong, 1e-3, 0.49)) / np.clip(wrong, 1e-3, 0.49))
     model.trust, model.sharpness = trust / trust.sum(), 4.0 * len(languages)
     return model
 
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in slices(batch.column("text"), 1 << 20):
-            x = ngrams(texts).astype(np.float32)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(texts.first, texts.n), flat], ["lang", "x"])
+            x = ngrams(texts).astype(np.float16)
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 2 * DIMENSIONS).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(texts.first, texts.n), packed], ["lang", "x"])
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -118,10 +124,10 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         known = known.where(F.pmod(order, F.lit(1 << 20)) < int(min(1 << 20, (1 << 20) * 1.3 * rows / share + 1)))
     sample = known.orderBy(F.pmod(order, F.lit(1 << 20)), "doc_id").limit(rows)
     x, y = [], []
-    for row in sample.mapInArrow(_sparse, "lang string, x array<float>").toLocalIterator():
-        x.append(np.asarray(row.x, dtype=np.float32))
+    for row in sample.mapInArrow(_packed, "lang string, x binary").toLocalIterator():
+        x.append(np.frombuffer(row.x, dtype=np.float16))
         y.append(row.lang)
-    return train(np.array(x, dtype=np.float64).reshape(len(y), DIMENSIONS), y)
+    return train(np.array(x, dtype=np.float32).reshape(len(y), DIMENSIONS), y)
 
 
 def _has_letter(texts: Texts) -> np.ndarray:
