@@ -129,11 +129,12 @@ def latency_percentiles(t: Tables) -> DataFrame:
 @query(
     """
     WITH s AS (SELECT value / 100.0 AS score, event_type = 'purchase' AS pos FROM events), g AS (SELECT i / 200.0 AS theta FROM range(201) r(i))
-    SELECT theta, (SELECT avg((score >= theta - 1e-12)::INT) FROM s WHERE pos) AS kept_rate, (SELECT avg((score < theta - 1e-12)::INT) FROM s WHERE NOT pos) AS refused_rate FROM g"""
+    SELECT round(theta, 6) AS theta, (SELECT round(avg((score >= theta - 1e-12)::INT), 6) FROM s WHERE pos) AS kept_rate, (SELECT round(avg((score < theta - 1e-12)::INT), 6) FROM s WHERE NOT pos) AS refused_rate FROM g"""
 )
 def theta_sweep(t: Tables) -> DataFrame:
     rows = t.events.select((F.col("value") / 100.0).alias("score"), (F.col("event_type") == "purchase").alias("pos"))
-    return S.threshold_sweep(rows, "score", "pos")
+    sweep = S.threshold_sweep(rows, "score", "pos")
+    return sweep.select(*[F.round(c, 6).alias(c) for c in sweep.columns])
 
 
 @query(

@@ -115,7 +115,7 @@ def twin_rows(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH a AS (SELECT doc_id, quality::DOUBLE AS base FROM labels), b AS (SELECT doc_id, CASE WHEN n_chars >= 400 THEN 1.0 ELSE 0.5 END AS score FROM documents WHERE lang = 'en')
+    WITH a AS (SELECT doc_id, quality::DOUBLE AS base FROM labels), b AS (SELECT doc_id, (CASE WHEN n_chars >= 400 THEN 1.0 ELSE 0.5 END)::DOUBLE AS score FROM documents WHERE lang = 'en')
     SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, base, score, CASE WHEN base IS NULL THEN 'added' WHEN score IS NULL THEN 'removed'
            WHEN score - base <= -0.5 THEN 'regressed' WHEN score - base > 0 THEN 'improved' ELSE 'same' END AS change
     FROM a FULL JOIN b ON a.doc_id = b.doc_id"""
