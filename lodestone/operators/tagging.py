@@ -7,19 +7,26 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
 
-def phrase_hits(text: Column, phrases: list[str]) -> Column:
-    """How many distinct phrases occur, case aside."""
-    pattern = "(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + ")"
-    return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern.lower()), 0)))
+
+def phrase_hits(lower_text: Column, phrases: list[str]) -> Column:
+    """How many distinct phrases occur in a lower-case text."""
+    pattern = "(?:" + "|".join(re.escape(p.lower()).replace(r"\ ", " ") for p in phrases) + ")"
+    return F.size(F.array_distinct(F.regexp_extract_all(lower_text, F.lit(pattern), 0)))
 
 
 def tag(df: DataFrame, text: str, rules: dict[str, list[str]]) -> DataFrame:
     """Adds ``topics`` (topic, score of all hit topics) and ``primary_topic``: best score, then shorter key, then key."""
-    scored = F.array(*[F.struct(F.lit(k).alias("topic"), phrase_hits(F.col(text), v).alias("score")) for k, v in sorted(rules.items())])
-    hit = F.filter(scored, lambda t: t["score"] > 0)
-    ranked = F.array_sort(F.transform(hit, lambda t: F.struct((-t["score"]).alias("s"), F.length(t["topic"]).alias("n"), t["topic"].alias("topic"))))
-    return df.withColumn("topics", hit).withColumn("primary_topic", F.get(ranked, F.lit(0))["topic"])
+
+    def scored(low: Column) -> Column:
+        return F.array(*[F.struct(phrase_hits(low, v).alias("score"), F.lit(-len(k)).alias("n"), F.lit(-at).alias("at"), F.lit(k).alias("topic")) for at, (k, v) in enumerate(sorted(rules.items()))])
+
+    hits = F.filter(let(F.lower(F.col(text)), scored), lambda t: t["score"] > 0)
+    both = let(hits, lambda h: F.struct(h.alias("topics"), F.array_max(h).alias("best")))
+    rows = df.withColumn("_tagged", both)
+    topics = F.transform("_tagged.topics", lambda t: F.struct(t["topic"].alias("topic"), t["score"].alias("score")))
+    return rows.withColumns({"topics": topics, "primary_topic": F.col("_tagged.best.topic")}).drop("_tagged")
 
 
 def route(text: Column, patterns: dict[str, list[str]]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import retrieval as R
+from lodestone.session import durable
 
 from .registry import Tables, query
 
@@ -25,15 +26,20 @@ BM25 = f"""
     bm25 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 10)"""
 
 
+def document_postings(t: Tables) -> DataFrame:
+    """Postings of all documents, written once: totals, frequencies and hits each read them."""
+    return durable(R.postings(t.documents, "doc_id", "text"))
+
+
 @query(f"WITH {_POSTS} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM df, size")
 def idf(t: Tables) -> DataFrame:
-    posts = R.postings(t.documents, "doc_id", "text")
+    posts = document_postings(t)
     rows = R.document_frequencies(posts).join(F.broadcast(R.corpus_size(posts, "doc_id")))
     return rows.select("term", "df", F.round(V.inverse_frequency(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
 def bm25_hits(t: Tables) -> DataFrame:
-    return R.bm25_search(R.postings(t.documents, "doc_id", "text"), "doc_id", t.benchmark, "item_id", "text", 10)
+    return R.bm25_search(document_postings(t), "doc_id", t.benchmark, "item_id", "text", 10)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM bm25")
@@ -88,7 +94,7 @@ def hard_negatives_band(t: Tables) -> DataFrame:
     SELECT item_id, doc_id, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f"""
 )
 def rrf_fusion(t: Tables) -> DataFrame:
-    posts = R.postings(t.documents, "doc_id", "text")
+    posts = document_postings(t)
     asked = R.postings(t.benchmark, "item_id", "text").select("item_id", "term")
     shared = posts.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     by_terms = R.top(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], 10)
@@ -136,7 +142,7 @@ def rerank_order(t: Tables) -> DataFrame:
     l AS (SELECT doc_id, sqrt(sum(x * x)) AS norm, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, n, round(norm, 5) AS norm FROM l"""
 )
 def tfidf_norms(t: Tables) -> DataFrame:
-    posts = R.postings(t.documents, "doc_id", "text")
+    posts = document_postings(t)
     rows = posts.join(R.document_frequencies(posts), "term").join(F.broadcast(R.corpus_size(posts, "doc_id")))
     x = F.col("tf") * F.log(F.col("n_docs") / F.col("df"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm"))
