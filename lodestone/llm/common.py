@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import ship, table
+from lodestone.session import durable, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,19 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 load = table
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: one computation, lineage cut, readable by every executor.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that names
-    none (a local test) gets a temporary one.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
