@@ -24,7 +24,7 @@ def _halves(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"""
-    WITH o AS (SELECT * FROM ({_OLD}) WHERE event_id % 1 = 0), lo AS (SELECT user_id, max(struct_pack(ts, event_id, state, value)) AS r FROM o GROUP BY user_id),
+    WITH o AS ({_OLD}), lo AS (SELECT user_id, max(struct_pack(ts, event_id, state, value)) AS r FROM o GROUP BY user_id),
     ln AS (SELECT user_id, max(struct_pack(ts, event_id, state, value)) AS r FROM ({_NEW}) GROUP BY user_id)
     SELECT coalesce(ln.user_id, lo.user_id) AS user_id, coalesce(ln.r, lo.r).state AS state, coalesce(ln.r, lo.r).value AS value, coalesce(ln.r, lo.r).event_id AS event_id
     FROM lo FULL JOIN ln ON lo.user_id = ln.user_id"""
