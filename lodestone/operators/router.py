@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_date
 
+# The words and forms that questions are recognised by.
 _CODE_WORD = r"(?i)\b(?:hsn|sac|chapter\s+heading)\s*(\d{2,8})\b"
 _RATE_WORDS = r"(?i)\b(?:rate|duty|bcd|igst|cgst|sgst|gst|comp(?:ensation)?\s*cess)\s+(?:on|of|for)\b"
 _NOTIFICATION = r"(?i)\b(?:notification|notif\.?|nt\.?)?\s*\b(\d{1,3})\s*/\s*(\d{4})\b\s*-?\s*(CT\(R\)|IT\(R\)|UT\(R\)|Cus|ADD)?"
