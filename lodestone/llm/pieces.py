@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LARGEST_MODEL, KEPT_PARTS, THREADS = 64 << 20, 400_000, 2
+LARGEST_MODEL, KEPT_PARTS, THREADS = 64 << 20, 200_000, 2
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -231,7 +231,7 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(raw: bytes) -> Codec:
     return Codec(raw)
 
@@ -257,12 +257,13 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         own = codec(model.value)
+        own._forget()  # what a former task of this worker has seen
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             i = 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size < 2_000_000):
+                while j < len(texts) and (j == i or size < 1_000_000):
                     size += len(texts[j])
                     j += 1
                 ids, bounds, parity = own.encode(texts[i:j])
@@ -271,6 +272,7 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), lists, pa.array(parity)], ["doc_id", "n_tokens", "token_ids", "parity"]
                 )
                 i = j
+        own._forget()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(apply, "doc_id long, n_tokens long, token_ids array<int>, parity boolean")

@@ -1,6 +1,6 @@
 """Array helpers over Arrow text batches: words, rolling hashes, content-defined anchors.
 
-Everything here works on one Arrow batch at a time, in slices of a few megabytes,
+Everything here works on one Arrow batch at a time, in slices of about a megabyte,
 and is called from inside ``mapInArrow`` tasks; nothing keeps state between batches.
 Hashes are 64-bit, independent of process and platform, and always computed
 over whole texts.
@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -45,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
+            size = (n + (1 << 18) - 1) >> 18 << 18
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, dtype=U64)
                 steps[0] = 1
