@@ -74,6 +74,11 @@ def byte_prefix(data: np.ndarray) -> Prefix:
     return Prefix(_BYTE_CODE[data], _BYTES)
 
 
+def second_prefix(data: np.ndarray) -> Prefix:
+    """As :func:`byte_prefix` with another base, for hashes that do not depend on its own."""
+    return Prefix(_BYTE_CODE[data], _WORDS)
+
+
 def word_prefix(codes: np.ndarray) -> Prefix:
     return Prefix(codes, _WORDS)
 

@@ -57,6 +57,37 @@ def test_suffixes_repeated_rows_and_empty(messy, empty):
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def hot_line(spark):
+    """A line of 150 bytes, and a passage of 260, between different texts of each document."""
+    draw = np.random.default_rng(9)
+    other = lambda n: bytes(draw.integers(97, 123, size=n).astype(np.uint8)).decode()
+    line, passage = other(150), other(260)
+    rows = [(k, other(220) + (line if k % 3 else passage) + other(220)) for k in range(120)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows
+
+
+def test_hot_anchors_are_split(hot_line):
+    blocks = suffixes.make_blocks(hot_line[0])
+    hot = suffixes.hot_anchors(blocks, hot=10)
+    per_anchor = {}
+    for r in blocks.collect():
+        cut = suffixes._Cut(suffixes.Block(r.payload), suffixes.LENGTH, suffixes.GRAM, hot)
+        for a, c in zip(cut.anchor.tolist(), cut.context.tolist(), strict=True):
+            per_anchor.setdefault(a, set()).add(c)
+    assert len(hot) and max(map(len, per_anchor.values())) <= 10 + blocks.count()
+    whole = suffixes._Cut(suffixes.Block(blocks.first().payload), suffixes.LENGTH, suffixes.GRAM)
+    assert np.unique(whole.anchor, return_counts=True)[1].max() > 10 + blocks.count()
+
+
+@pytest.mark.parametrize("hot", [2, 10])
+@pytest.mark.parametrize("source", ["hot", "messy"])
+def test_suffixes_of_hot_anchors_equal_brute_force(hot_line, messy, source, hot):
+    docs, rows = hot_line if source == "hot" else _distinct(messy)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(docs, hot=hot).collect()}
+    assert got == brute.suffixes(rows)
+
+
 def test_two_stage_order_is_the_sorted_order():
     draw = np.random.default_rng(3)
     length = 12
