@@ -23,6 +23,22 @@ def upper_median(values: Column) -> Column:
     return at_index(values, F.floor(F.count(values) / 2))
 
 
+def lint_counts(per: DataFrame) -> DataFrame:
+    """docs, thin (documents with fewer than half the upper median of n), empty_rate, of one row (n, empty) a document.
+
+    Documents are counted by n first, so only the distinct counts are windowed. No row without documents.
+    """
+    sizes = per.groupBy("n").agg(F.count(F.lit(1)).alias("_docs"), F.sum("empty").alias("_empty"))
+    from pyspark.sql import Window
+
+    every = Window.partitionBy(F.lit(1))
+    upto = every.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sizes.select("*", F.sum("_docs").over(upto).alias("_upto"), F.sum("_docs").over(every).alias("_all"))
+    rows = rows.withColumn("_median", F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("n"))).over(every))
+    thin = F.coalesce(F.sum(F.when(F.col("n") * 2 < F.col("_median"), F.col("_docs"))), F.lit(0))
+    return rows.groupBy("_median").agg(F.sum("_docs").alias("docs"), thin.alias("thin"), (F.sum("_empty") / F.sum(F.col("n") * F.col("_docs"))).alias("empty_rate")).drop("_median")
+
+
 def exclusive_percentile(values: Column, p: int) -> Column:
     """Exclusive quantile of n + 1 steps; the largest value when n is too small for it (under 100 / (100 - p))."""
     ordered = F.array_sort(F.collect_list(values))

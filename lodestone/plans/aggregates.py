@@ -191,8 +191,7 @@ def weighted_points(t: Tables) -> DataFrame:
 )
 def batch_lint(t: Tables) -> DataFrame:
     per = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_discount") == 0).alias("empty"))
-    thin = F.count_if(F.col("n") * 2 < 4)
-    sums = per.agg(F.count(F.lit(1)).alias("docs"), thin.alias("thin"), (F.sum("empty") / F.sum("n")).alias("empty_rate"))
+    sums = S.lint_counts(per)
     return sums.withColumn("severity", F.when(F.col("thin") > F.col("docs") * 0.2, "P0").when(F.col("thin") > F.col("docs") * 0.05, "P1").otherwise("P2"))
 
 

@@ -95,6 +95,17 @@ def test_quantile_fallbacks(spark, n):
     assert got.p99 == pytest.approx(exact[98] if n >= 100 else n - 1)
 
 
+@pytest.mark.parametrize("sizes, thin, severity", [([10, 10, 10, 4, 3], 2, "P0"), ([2, 2, 2, 1], 0, "P2"), ([1, 1, 6, 6], 2, "P0")])
+def test_lint_uses_the_median(spark, tmp_path, sizes, thin, severity):
+    from lodestone.plans import registry
+
+    rows = [(k, 0.0 if i == 0 else 0.1) for k, n in enumerate(sizes) for i in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["batch_lint"](spark, str(tmp_path)).first()
+    assert (got.docs, got.thin, got.severity) == (len(sizes), thin, severity)
+    assert got.empty_rate == pytest.approx(len(sizes) / sum(sizes))
+
+
 def test_text_source_bands(spark):
     got = one(spark, tagging.text_source(F.lit(50), F.lit(10)).alias("a"), tagging.text_source(F.lit(90_000), F.lit(10)).alias("b"), tagging.text_source(F.lit(600), F.lit(10)).alias("c"))
     assert tuple(got) == ("ocr", "born", "low_density")
