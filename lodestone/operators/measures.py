@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a global order that are looked up together.
+STRETCH = 4096
+
 
 def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, present, fill_rate: one pass over the rows, then one row a field."""
@@ -49,6 +52,37 @@ def exclusive_percentile(values: Column, p: int) -> Column:
     return F.when(n * (100 - p) < 100, F.max(values)).otherwise(a + (b - a) * (place - low))
 
 
+def group_quantiles(df: DataFrame, group: str, value: str, p: int) -> DataFrame:
+    """group, median, percentile, low, high: :func:`upper_median` and :func:`exclusive_percentile` of groups of any size.
+
+    Distinct values are counted, and running counts over their global order tell which
+    of them hold the wanted ranks; no group is gathered. Nulls are no values.
+    """
+    from lodestone.llm.sharding import running_totals
+
+    totals = df.groupBy(F.col(group).alias("_of")).agg(F.count(value).alias("_all"), F.min(value).alias("low"), F.max(value).alias("high"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_group"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counts, ["_group", "_value"], {"_start": "_n"})
+    starts = placed.groupBy(F.col("_group").alias("_first_of")).agg(F.min("_start").alias("_base"))
+    totals = totals.join(starts, F.col("_of").eqNullSafe(F.col("_first_of")), "left")
+    n = F.col("_all")
+    place = (n + 1) * p / 100.0
+    low = F.greatest(F.lit(1), F.floor(place))
+    ranks = {"_median": F.floor(n / 2), "_a": low - 1, "_b": F.least(low, n - 1)}
+    wanted = totals.where(n > 0).select("_of", F.inline(F.array(*[F.struct(F.lit(k).alias("_rank"), (F.col("_base") + r).cast("long").alias("_at")) for k, r in ranks.items()])))
+    # Values and wanted ranks meet by group and stretch of the order, so that a hot group is dealt to many tasks.
+    stretch = lambda at: F.floor(at / STRETCH)
+    wanted = wanted.withColumn("_here", stretch(F.col("_at")))
+    spread = placed.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_start")), stretch(F.col("_start") + F.col("_n") - 1))))
+    held = (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_start") + F.col("_n"))
+    hits = spread.join(wanted, (F.col("_stretch") == F.col("_here")) & F.col("_group").eqNullSafe(F.col("_of")) & held).drop("_of")
+    found = hits.groupBy("_group").agg(*[F.max(F.when(F.col("_rank") == k, F.col("_value"))).alias(k) for k in ranks])
+    whole = totals.join(found, F.col("_of").eqNullSafe(F.col("_group")), "left")
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - low)
+    percentile = F.when(n * (100 - p) < 100, F.col("high")).otherwise(between)
+    return whole.select(F.col("_of").alias(group), F.col("_median").alias("median"), percentile.alias("percentile"), "low", "high")
+
+
 def threshold_sweep(scores: DataFrame, score: str, positive: str, steps: int = 201) -> DataFrame:
     """theta, kept_rate (positives at or over it), refused_rate (others under it) on a grid of 0 to 1.
 

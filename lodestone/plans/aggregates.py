@@ -122,8 +122,8 @@ def quality_pivot(t: Tables) -> DataFrame:
            min(value) AS low, max(value) AS high FROM o GROUP BY user_id"""
 )
 def latency_percentiles(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.groupBy("user_id").agg(F.round(S.upper_median(v), 6).alias("p50"), F.round(S.exclusive_percentile(v, 95), 6).alias("p95"), F.min(v).alias("low"), F.max(v).alias("high"))
+    rows = S.group_quantiles(t.events, "user_id", "value", 95)
+    return rows.select("user_id", F.round("median", 6).alias("p50"), F.round("percentile", 6).alias("p95"), "low", "high")
 
 
 @query(

@@ -106,6 +106,25 @@ def test_lint_uses_the_median(spark, tmp_path, sizes, thin, severity):
     assert got.empty_rate == pytest.approx(len(sizes) / sum(sizes))
 
 
+@pytest.mark.parametrize("stretch", [16, 4096])
+def test_group_quantiles_of_a_hot_group(spark, monkeypatch, stretch):
+    monkeypatch.setattr(measures, "STRETCH", stretch)
+    rows = [(1, (k * 7919 % 3001) / 4) for k in range(3001)] + [(2, 5.0)] * 30 + [(3, v) for v in (1.0, None, 2.0)] + [(None, 7.0), (4, None)]
+    rows += [(5, float(k)) for k in range(19)] + [(6, float(k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    v = F.col("v")
+    plain = df.groupBy("g").agg(measures.upper_median(v).alias("m"), measures.exclusive_percentile(v, 95).alias("p"), F.min(v).alias("low"), F.max(v).alias("high"))
+    got = measures.group_quantiles(df, "g", "v", 95)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_latency_percentiles_gather_no_group(spark, sf_dir):
+    from lodestone.plans import registry
+
+    plan = registry.QUERIES["latency_percentiles"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_text_source_bands(spark):
     got = one(spark, tagging.text_source(F.lit(50), F.lit(10)).alias("a"), tagging.text_source(F.lit(90_000), F.lit(10)).alias("b"), tagging.text_source(F.lit(600), F.lit(10)).alias("c"))
     assert tuple(got) == ("ocr", "born", "low_density")
