@@ -39,6 +39,21 @@ def pick(df: DataFrame, group: list[str], quotas: DataFrame | int, order: list[C
     return rows.join(quotas.select(*group, F.col("quota").alias("_quota")), group).where(F.col("_n") <= F.col("_quota")).drop("_n", "_quota")
 
 
+def filled_pick(df: DataFrame, group: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:
+    """The first rows of each group, as many as its quota; what groups lack is filled up with the other rows in order.
+
+    All picks are among the first rows of the groups, as many as all quotas together, and
+    only these are ranked. Rows of other groups are not first picks but can fill up.
+    """
+    target = sum(quotas.values())
+    inner = Window.partitionBy(group).orderBy(*order)
+    rows = df.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= target)
+    quota = F.coalesce(*[F.when(F.col(group) == k, F.lit(v)) for k, v in quotas.items()], F.lit(0))
+    outer = Window.partitionBy(F.lit(1)).orderBy(F.desc("_first"), *order)
+    rows = rows.withColumn("_first", F.col("_n") <= quota).withColumn("_at", F.row_number().over(outer))
+    return rows.where(F.col("_at") <= target).drop("_n", "_first", "_at")
+
+
 def two_way_pick(df: DataFrame, group: str, kind: str, shares: dict[str, float], quotas: DataFrame, seed: int, key: str) -> DataFrame:
     """A group's quota split by kind; what a kind lacks is topped up with the group's other rows in hash order."""
     share = F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in shares.items()], F.lit(0.0))

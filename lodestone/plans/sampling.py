@@ -83,6 +83,19 @@ def size_band_sample(t: Tables) -> DataFrame:
     return S.pick(docs, ["size_band"], docs.select("size_band").distinct().withColumn("quota", quota), [shuffle_key(9, F.col("doc_id")), F.col("doc_id")])
 
 
+@query(
+    f"""
+    WITH b AS (SELECT doc_id, CASE WHEN n_chars < 800 THEN 's' WHEN n_chars < 3000 THEN 'm' ELSE 'l' END AS size_band, {_HASH.format(seed=9, key="doc_id")} AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY size_band ORDER BY h, doc_id) <= CASE size_band WHEN 's' THEN 50 WHEN 'm' THEN 35 ELSE 15 END AS first FROM b)
+    SELECT doc_id, size_band FROM f QUALIFY row_number() OVER (ORDER BY first DESC, h, doc_id) <= 100"""
+)
+def size_band_filled(t: Tables) -> DataFrame:
+    """As :func:`size_band_sample`, filled up to 100 rows when a band is short."""
+    band = F.when(F.col("n_chars") < 800, "s").when(F.col("n_chars") < 3000, "m").otherwise("l")
+    docs = t.documents.select("doc_id", band.alias("size_band")).join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    return S.filled_pick(docs, "size_band", {"s": 50, "m": 35, "l": 15}, [shuffle_key(9, F.col("doc_id")), F.col("doc_id")])
+
+
 @query(
     """
     WITH p AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations)

@@ -125,6 +125,17 @@ def test_latency_percentiles_gather_no_group(spark, sf_dir):
     assert "collect_list" not in plan
 
 
+def test_short_size_bands_are_filled(spark, tmp_path):
+    from lodestone.plans import registry
+
+    spark.createDataFrame([(k, 100 if k < 60 else 900 if k < 190 else 5000) for k in range(193)], "doc_id long, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bands = lambda name: [r.size_band for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    got = bands("size_band_filled")
+    assert len(got) == 100 and got.count("l") == 3 and got.count("s") >= 50 and got.count("m") >= 35
+    assert len(bands("size_band_sample")) == 88
+
+
 def test_text_source_bands(spark):
     got = one(spark, tagging.text_source(F.lit(50), F.lit(10)).alias("a"), tagging.text_source(F.lit(90_000), F.lit(10)).alias("b"), tagging.text_source(F.lit(600), F.lit(10)).alias("c"))
     assert tuple(got) == ("ocr", "born", "low_density")
