@@ -62,6 +62,23 @@ def best_per_passage(rows: DataFrame, source: str, text: str, score: str, head:
     return best.select(source, *[F.col(f"r.{c}").alias(c) for c in rows.columns if c != source])
 
 
+def near_ids(queries: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """query_id, item_id, d: for each query the ``most`` items before and after it in order of ids, so the nearest ones are among them.
+
+    Queries and items are numbered in one order by the items before them; a query meets
+    the items of the numbers around its own. Rows without an id are left out.
+    """
+    from lodestone.llm.sharding import running_totals
+
+    own = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("_id"), F.lit(1).alias("_item"))
+    asked = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").alias("_id"), F.lit(0).alias("_item"))
+    rows = running_totals(own.unionByName(asked).withColumn("_asked", 1 - F.col("_item")), ["_id", "_asked"], {"_before": "_item"})
+    around = F.explode(F.sequence(F.col("_before") - most, F.col("_before") + most - 1)).alias("_place")
+    places = rows.where("_asked = 1").select(F.col("_id").alias("query_id"), around)
+    numbered = rows.where("_item = 1").select(F.col("_id").alias("item_id"), F.col("_before").alias("_place"))
+    return places.join(numbered, "_place").select("query_id", "item_id", F.abs(F.col("query_id") - F.col("item_id")).alias("d"))
+
+
 def attach_negatives(pairs: DataFrame, negatives: DataFrame, query_id: str, most: int) -> DataFrame:
     """Each pair with its negatives in order of rank (an array, ``most`` at most); pairs without any keep an empty one."""
     few = negatives.where(F.col("rank") <= most)

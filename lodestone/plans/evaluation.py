@@ -97,10 +97,9 @@ def cut_and_anchors(t: Tables) -> DataFrame:
     SELECT p.query_id, coalesce(list(item_id ORDER BY rank) FILTER (rank <= 3), []) AS negatives FROM p LEFT JOIN r ON p.query_id = r.query_id GROUP BY p.query_id"""
 )
 def pairs_with_negatives(t: Tables) -> DataFrame:
-    queries = t.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id")).distinct()
-    others = t.embeddings.where("label = 2").select(F.col("vec_id").alias("item_id"), F.lit(3).alias("label"))
-    near = t.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id"), "label").join(others, "label").select("query_id", "item_id", F.abs(F.col("query_id") - F.col("item_id")).alias("d"))
-    return V.attach_negatives(queries, R.top(near, ["query_id"], [F.col("d"), F.col("item_id")], 3), "query_id", 3)
+    queries = t.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id"))
+    near = V.near_ids(queries, t.embeddings.where("label = 2").select(F.col("vec_id").alias("item_id")), 3)
+    return V.attach_negatives(queries.distinct(), R.top(near, ["query_id"], [F.col("d"), F.col("item_id")], 3), "query_id", 3)
 
 
 def _entities(t: Tables) -> DataFrame:

@@ -1,5 +1,6 @@
 """Evidence functions and evaluation operators on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import evidence as E
@@ -77,3 +78,28 @@ def test_failure_classes(spark):
     base = lambda acts, found, sections, got, score=0.9: V.failure_class(acts, found, sections, got, no, no, one, F.lit(True), F.lit(score))
     got = values(spark, base(array("a"), array("b"), array("1"), array("1")), base(array("a"), array("b"), array("1"), array("2")), base(array("a"), array("a"), array("1"), array("2")), base(array(), array(), array(), array(), 0.1))
     assert got == ("notation_mismatch", "wrong_domain", "right_act_wrong_section", "no_authoritative_chunk")
+
+
+@pytest.mark.parametrize("n_items", [0, 2, 60])
+def test_near_ids_hold_the_nearest(spark, n_items):
+    import random
+
+    draw = random.Random(n_items)
+    items = [draw.randrange(200) for _ in range(n_items)]
+    queries = [draw.randrange(-50, 250) for _ in range(40)] + [100] * 3
+    q = spark.createDataFrame([(x,) for x in queries], "query_id long").repartition(3)
+    i = spark.createDataFrame([(x,) for x in items], "item_id long").repartition(3)
+    rows = V.near_ids(q, i, 3).collect()
+    for x in set(queries):
+        got = sorted((r.d, r.item_id) for r in rows if r.query_id == x)
+        exact = sorted((abs(x - y), y) for y in items for _ in range(queries.count(x)))
+        assert got[:3] == exact[:3] and len(got) <= 6 * queries.count(x)
+
+
+def test_negatives_are_not_paired_by_label(spark, sf_dir):
+    import re
+
+    from lodestone.plans import registry
+
+    plan = registry.QUERIES["pairs_with_negatives"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"Join \w+, .*label", plan)
