@@ -103,11 +103,10 @@ def _search_parts(radius: int, k: int):
             for j in range(substring):
                 found &= differ[:, :, j] > near_enough
             found &= own[:, None] != ids[None]
-            rough = (vectors @ x.T) / norms
             for r in range(len(own)):
                 at = np.flatnonzero(found[r])
                 if len(at) > k:
-                    s = rough[r, at]
+                    s = (x[at] @ vectors[r]) / norms[at]  # only of the codes found
                     at = at[s >= np.partition(s, -k)[-k] - 1e-9 * max(1.0, abs(s).max())]
                 if len(at):
                     score = (vectors[r] * x[at]).sum(1) / (np.sqrt((vectors[r] * vectors[r]).sum()) * norms[at])

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import langid, mih, mixing, pieces, quality, sharding
@@ -197,3 +198,18 @@ def test_unigram_models_with_byte_fallback():
     assert isinstance(tokenizer, Tokenizer) and steps is None
     assert tokenizer.encode(" ab ba", add_special_tokens=False).ids == [2, 3, 5, 4]
     assert tokenizer.encode("A", add_special_tokens=False).ids == [1]
+
+
+def test_cosines_only_of_codes_within_the_radius():
+    """A far code's vector, whose product with any query is not a number, is not multiplied."""
+    near = [[1.0, 0.1 * j] for j in range(5)]
+    vectors = [*near, [float("inf"), float("-inf")], [1.0, 1.0]]
+    codes = [0] * 5 + [-1, 0]
+    n = len(codes)
+    batch = pa.RecordBatch.from_pydict({
+        "substring": pa.array([0] * n, pa.int32()), "page": pa.array([0] * n, pa.int32()), "part": pa.array([0] * n, pa.int32()), "role": pa.array([0] * (n - 1) + [1], pa.int32()),
+        "vec_id": pa.array(range(n), pa.int64()), "vector": pa.array(vectors, pa.list_(pa.float64())), "code": pa.array(codes, pa.int64()),
+    })
+    with np.errstate(invalid="raise"):
+        (out,) = mih._search_parts(4, 3)(iter([batch]))
+    assert out.column("vec_id").to_pylist() == [4, 3, 2]
