@@ -104,6 +104,30 @@ def threshold_sweep(scores: DataFrame, score: str, positive: str, steps: int = 2
     )
 
 
+def lowest_threshold(scores: DataFrame, score: str, positive: str, keep: float, refuse: float, steps: int = 200) -> DataFrame:
+    """theta, kept_rate, refused_rate of the lowest theta that meets both rates, rounded to 4; no row if none does.
+
+    The grid goes from the lowest to the highest score. Each score counts once, at the
+    last grid point at or under it.
+    """
+    from pyspark.sql import Window
+
+    rows = scores.select(F.col(score).cast("double").alias("_s"), F.col(positive).alias("_pos")).where(F.col("_s").isNotNull() & F.col("_pos").isNotNull())
+    ends = rows.agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    theta = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / steps
+    near = F.coalesce(F.floor((F.col("_s") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * steps), F.lit(steps))
+    rows = rows.join(F.broadcast(ends)).withColumn("_near", near)
+    cell = F.when(theta(F.col("_near") + 1) <= F.col("_s"), F.col("_near") + 1).when(theta(F.col("_near")) <= F.col("_s"), F.col("_near")).otherwise(F.col("_near") - 1)
+    bars = rows.groupBy(F.least(cell, F.lit(steps)).alias("_cell")).agg(F.count_if("_pos").alias("_p"), F.count_if(~F.col("_pos")).alias("_q"))
+    grid = scores.sparkSession.range(steps + 1).select(F.col("id").alias("_cell")).join(bars, "_cell", "left").join(F.broadcast(ends))
+    under = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = lambda c: F.coalesce(F.sum(c).over(under), F.lit(0)) / F.nullif(F.sum(c).over(everything), F.lit(0))
+    rates = grid.select(theta(F.col("_cell")).alias("theta"), (1 - part("_p")).alias("kept_rate"), part("_q").alias("refused_rate"))
+    met = rates.where((F.col("kept_rate") >= keep - 1e-12) & (F.col("refused_rate") >= refuse - 1e-12)).orderBy("theta").limit(1)
+    return met.select(*[F.round(c, 4).alias(c) for c in met.columns])
+
+
 def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts by row and column with totals and the row's share of all."""
     counts = df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values], F.count(F.lit(1)).alias("total"))

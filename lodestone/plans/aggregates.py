@@ -137,6 +137,18 @@ def theta_sweep(t: Tables) -> DataFrame:
     return sweep.select(*[F.round(c, 6).alias(c) for c in sweep.columns])
 
 
+@query(
+    """
+    WITH s AS (SELECT value - 40 AS score, event_type = 'purchase' AS pos FROM events), e AS (SELECT min(score) AS lo, max(score) AS hi FROM s), g AS (SELECT lo + (hi - lo) * i / 200 AS theta FROM e, range(201) r(i)),
+    w AS (SELECT theta, (SELECT avg((score >= theta)::INT) FROM s WHERE pos) AS kept, (SELECT avg((score < theta)::INT) FROM s WHERE NOT pos) AS refused FROM g)
+    SELECT round(theta, 4) AS theta, round(kept, 4) AS kept_rate, round(refused, 4) AS refused_rate FROM w WHERE kept >= 0.3 AND refused >= 0.5 ORDER BY w.theta LIMIT 1"""
+)
+def theta_lowest(t: Tables) -> DataFrame:
+    """The lowest theta that meets both rates, on a grid from the lowest to the highest score."""
+    rows = t.events.select((F.col("value") - 40).alias("score"), (F.col("event_type") == "purchase").alias("pos"))
+    return S.lowest_threshold(rows, "score", "pos", 0.3, 0.5)
+
+
 @query(
     """
     SELECT min(value) FILTER (event_type = 'purchase') AS gold_min, max(value) FILTER (event_type = 'error') AS adverse_max,

@@ -136,6 +136,15 @@ def test_short_size_bands_are_filled(spark, tmp_path):
     assert len(bands("size_band_sample")) == 88
 
 
+@pytest.mark.parametrize("good, bad", [([3.0, 5.5, 7.25], [-4.0, 0.5, 2.0]), ([12.0], [11.0, 11.5]), ([1.0, 2.0], [3.0, 4.0]), ([2.0], [2.0])])
+def test_lowest_threshold_on_scores_outside_0_to_1(spark, good, bad):
+    grid = [min(good + bad) + (max(good + bad) - min(good + bad)) * i / 200 for i in range(201)]
+    rates = [(x, sum(s >= x for s in good) / len(good), sum(s < x for s in bad) / len(bad)) for x in grid]
+    exact = [tuple(round(v, 4) for v in r) for r in rates if r[1] >= 0.95 and r[2] >= 0.9][:1]
+    rows = spark.createDataFrame([(s, True) for s in good] + [(s, False) for s in bad], "s double, p boolean")
+    assert [tuple(r) for r in measures.lowest_threshold(rows, "s", "p", 0.95, 0.9).collect()] == [pytest.approx(e, abs=1.1e-4) for e in exact]  # Spark rounds halves up
+
+
 def test_text_source_bands(spark):
     got = one(spark, tagging.text_source(F.lit(50), F.lit(10)).alias("a"), tagging.text_source(F.lit(90_000), F.lit(10)).alias("b"), tagging.text_source(F.lit(600), F.lit(10)).alias("c"))
     assert tuple(got) == ("ocr", "born", "low_density")
