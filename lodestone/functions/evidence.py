@@ -12,6 +12,18 @@ from pyspark.sql.types import StringType
 
 from lodestone.functions.text import folded
 from lodestone.operators.tagging import cascade
+from lodestone.session import ship
+
+# Words with which a piece of text cannot stand alone, and verbs that a cut leaves without a subject.
+ENGLISH_CONNECTORS = ("Provided", "Except", "However", "For the purposes of this", "Explanation", "Illustration", "Notwithstanding", "Subject to", "Where", "In case")
+HINDI_CONNECTORS = ("बशर्ते कि", "परंतु", "किंतु", "तथापि", "स्पष्टीकरण", "व्याख्या", "परिभाषा", "उदाहरणार्थ", "दृष्टांत", "अपवाद", "इसके बावजूद", "परंतुक")
+ORPHAN_VERBS = ("means", "includes", "applies", "refers", "denotes", "shall", "may", "must", "applies to", "refers to")
+BAD_CUT = "(?:" + "|".join((*ENGLISH_CONNECTORS, *HINDI_CONNECTORS)) + r")|(?:" + "|".join(ORPHAN_VERBS) + r")\b"
+# Words of a question that already names a statute, and limits of a file's status in bytes and characters.
+_STATUTE_WORDS = r"(?i)\b(section|rule|notification|circular|act)\b"
+_LEAST_BYTES, _LEAST_CHARS = 400, 50
+# Answers that must refuse, and difficulties whose answers must cite.
+REFUSALS, CITING = ("refuse", "refuse_direct_tax"), ("complex", "advanced")
 
 _CITED = r"(?i)\b(?:section|sec\.?|rule|article)\s*(\d+[A-Z]?)"
 
@@ -30,8 +42,15 @@ def needs_decomposition(text: Column, acts: list[str]) -> Column:
 
 
 def wants_passage(text: Column) -> Column:
-    """Whether a short question without statute words should be expanded by a hypothetical passage."""
-    return (F.length(text) < 180) & (query_tier(text) != "hard")
+    """Whether a question of under 180 characters without statute words should be expanded by a hypothetical passage."""
+    return (F.length(text) < 180) & ~text.rlike(_STATUTE_WORDS)
+
+
+def must_cite(question: Column, subcategory: Column, difficulty: Column, sections: Column) -> Column:
+    """Whether an answer has to cite: a hard question, one with expected sections, or one that says section or notification; never a refusal."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    wanted = F.coalesce(difficulty, F.lit("")).isin(*CITING) | (F.coalesce(F.size(sections), F.lit(0)) > 0) | low.contains("section") | low.contains("notification")
+    return wanted & ~F.coalesce(subcategory, F.lit("")).isin(*REFUSALS)
 
 
 def anchors(text: Column, words: list[str], most: int = 8) -> Column:
@@ -62,13 +81,13 @@ def file_status(content: Column, pages: Column, chars: Column) -> Column:
     """missing, corrupt, error_page, image_only or ok, from bytes, page count and text length of the first pages."""
     magic = F.substring(content.cast("string"), 1, 4) == "%PDF"
     return cascade(
-        (content.isNull(), "missing"), (~magic, "corrupt"), (F.octet_length(content) < 400, "error_page"), (F.coalesce(pages, F.lit(0)) == 0, "corrupt"), (chars < 50, "image_only"), otherwise="ok"
+        (content.isNull(), "missing"), (~magic, "corrupt"), (F.octet_length(content) < _LEAST_BYTES, "error_page"), (F.coalesce(pages, F.lit(0)) == 0, "corrupt"), (chars < _LEAST_CHARS, "image_only"), otherwise="ok"
     )
 
 
 def cut_badly(text: Column) -> Column:
-    """Whether a piece begins with a connector or an orphan verb (English and Hindi)."""
-    return text.rlike(r"(?i)^\s*(?:and|or|but|which|that|of|to|with|shall|is|are)\b") | text.rlike(r"^\s*(?:और|या|कि|है|के|को)(?:\s|$)")
+    """Whether a piece is blank or begins with a connector (English and Hindi) or an orphan verb."""
+    return text.rlike(r"^\s*(?:$|" + BAD_CUT + ")")
 
 
 def quotes(answer: Column) -> Column:
@@ -175,4 +194,5 @@ def _repaired(text: pd.Series) -> pd.Series:
 def tolerant_json(text: Column) -> Column:
     """The JSON of a text: Spark's parser first, the repairing one only for what it refuses."""
     strict = F.when(F.try_parse_json(text).isNotNull(), text)
+    ship()
     return F.coalesce(strict, _repaired(F.when(F.try_parse_json(text).isNull(), text)))

@@ -10,12 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that carry no meaning for ranking (fixed values).
+from lodestone.session import ship
+
+# The words that carry no meaning for ranking.
 STOP_WORDS = (
-    "a an the and or but if of to in on at by for with from as is are was were be been being have has had do does did "
-    "can could would should shall will may might must this that these those it its then than there here which who whom "
-    "whose what when where why how not no nor so such into over under out up down about"
+    "a an the of in on at by for to from with and or but not is are was were be been "
+    "being have has had do does did can could would should shall will may might must this that these "
+    "those it its as if then than there here which who whom whose what when where why how"
 ).split()
+# Forms of instruction tags and of dates in questions.
+_INSTRUCTION, _SYSTEM, _TAGS = r"(?s)\[INST\](.*?)\[/INST\](.*?)(?:\[INST\]|</s>|$)", r"(?s)<<SYS>>.*?<</SYS>>", r"</?s>|\[/?INST\]"
+_YMD, _DMY, _AS_OF = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b", r"\b(\d{1,2})[-/](\d{1,2})[-/](20\d{2})\b", r"\b(?:as\s+of|on)\s+(20\d{2})\b"
 TERM = "[a-z][a-z0-9_]+"
 
 
@@ -25,11 +30,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility form, a batch at a time."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form, a batch at a time."""
+    ship()
+    return _nfkc(text)
+
+
 def canonical(text: Column, compatibility: bool = False) -> Column:
     """Blanks (any Unicode ones) folded to a space, ends trimmed, lower case; optionally NFKC first."""
     text = nfkc(text) if compatibility else text
@@ -41,10 +51,10 @@ def content_hash(text: Column, compatibility: bool = False) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Quotes, dashes, soft hyphens, section and currency marks folded to plain ASCII, then canonical."""
-    plain = F.translate(text, "“”„‘’‚–—−­​", "\"\"\"'''---")
-    plain = F.regexp_replace(F.regexp_replace(plain, "§", " section "), "₹", " rs ")
-    return canonical(plain)
+    """Quotes, primes, dashes, soft hyphens, section and currency marks in one plain form, blanks before closing marks off, then canonical."""
+    plain = F.translate(text, "“”„\"‘’‚′″–—−\u200b\u2028\u2029\u00a0\u00ad", "'''''''''---    ")
+    plain = F.regexp_replace(F.regexp_replace(plain, "§", "section "), "₹|Rs\\.|INR", "rs.")
+    return F.trim(F.regexp_replace(canonical(plain), r"\s+([,;:.)\]])", "$1"))
 
 
 def ascii_ratio(text: Column) -> Column:
@@ -68,13 +78,13 @@ def char_grams(text: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
-def word_grams(text: Column, n: int) -> Column:
-    """Distinct word n-grams (joined by a space); empty for shorter texts."""
+def word_grams(text: Column, n: int, distinct: bool = True) -> Column:
+    """Distinct word n-grams, or all (joined by a space); empty for shorter texts."""
 
     def grams(parts: Column) -> Column:
         last = F.size(parts) - n + 1
         found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, n), " "))
-        return F.when(last >= 1, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+        return F.when(last >= 1, F.array_distinct(found) if distinct else found).otherwise(F.array().cast("array<string>"))
 
     return let(words(text), grams)
 
@@ -119,12 +129,16 @@ def breadcrumb(*parts: Column, mark: str = " > ") -> Column:
 
 def unwrap_instruction(text: Column) -> Column:
     """``[INST] q [/INST] a`` becomes ``Q: q`` and ``A: a``; stray tags go."""
-    pattern = r"(?s)\[INST\](.*?)\[/INST\](.*?)(?:\[INST\]|</s>|$)"
-    system = r"(?s)<<SYS>>.*?<</SYS>>"
-    q = F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), system, ""))
-    a = F.trim(F.regexp_extract(text, pattern, 2))
+    q = F.trim(F.regexp_replace(F.regexp_extract(text, _INSTRUCTION, 1), _SYSTEM, ""))
+    a = F.trim(F.regexp_extract(text, _INSTRUCTION, 2))
     both = F.when((q != "") & (a != ""), F.concat(F.lit("Q: "), q, F.lit("\nA: "), a)).otherwise(F.concat(q, a))
-    return F.when(text.rlike(pattern), both).otherwise(F.trim(F.regexp_replace(F.regexp_replace(text, system, ""), r"</?s>|\[/?INST\]", "")))
+    return F.when(text.rlike(_INSTRUCTION), both).otherwise(F.trim(F.regexp_replace(F.regexp_replace(text, _SYSTEM, ""), _TAGS, "")))
+
+
+def mended_scan(text: Column) -> Column:
+    """Scanning faults undone: "company" run into a letter stands for "con", "number" run into two for "non"."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\bcompany([a-z])", "con$1"), r"\bCompany([a-z])", "Con$1")
+    return F.regexp_replace(text, r"\bnumber([a-z]{2,})", "non$1")
 
 
 def fold_blanks(text: Column) -> Column:
@@ -134,14 +148,12 @@ def fold_blanks(text: Column) -> Column:
 
 def query_date(text: Column) -> Column:
     """ISO date of a question: y-m-d, d-m-y, or the year's last day for "as of 2023" and "on 2023"."""
-    ymd, dmy, year = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b", r"\b(\d{1,2})[-/](\d{1,2})[-/](20\d{2})\b", r"\b(?:as\s+of|on)\s+(20\d{2})\b"
-
     def dated(pattern: str, y: int, m: int, d: int) -> Column:
         part = lambda k: F.regexp_extract(text, pattern, k)
         return F.when(text.rlike(pattern), F.concat_ws("-", part(y), F.lpad(part(m), 2, "0"), F.lpad(part(d), 2, "0")))
 
     return F.coalesce(
-        dated(ymd, 1, 2, 3), dated(dmy, 3, 2, 1), F.when(text.rlike(year), F.concat(F.regexp_extract(text, year, 1), F.lit("-12-31")))
+        dated(_YMD, 1, 2, 3), dated(_DMY, 3, 2, 1), F.when(text.rlike(_AS_OF), F.concat(F.regexp_extract(text, _AS_OF, 1), F.lit("-12-31")))
     )
 
 
@@ -149,12 +161,16 @@ def path_year(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"(?:19|20)\d{2}", 0), F.lit("")).cast("int")
 
 
-def repeats_itself(text: Column, window: int = 30, step: int = 5, times: int = 4) -> Column:
-    """Whether one window of characters occurs ``times`` or more at places ``step`` apart."""
-    starts = F.sequence(F.lit(1), F.length(text) - window, F.lit(step))
-    pieces = F.array_sort(F.transform(starts, lambda i: F.substr(text, i, F.lit(window))))
+def repeats_itself(text: Column, window: int = 30, step: int = 5, times: int = 4, sample: int = 4000) -> Column:
+    """Whether one window of characters occurs ``times`` or more at places ``step`` apart in the middle ``sample`` characters."""
+    n = F.length(text)
+    middle = F.when(n > sample, F.substr(text, F.floor(n / 2).cast("int") - sample // 2 + 1, F.lit(sample))).otherwise(text)
+
+    def often(body: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - window, F.lit(1)), F.lit(step))
+        return let(F.array_sort(F.transform(starts, lambda i: F.substr(body, i, F.lit(window)))), equal_run) > 0
 
-    def equal_run(sorted_pieces: Column) -> Column:
-        return F.size(F.filter(sorted_pieces, lambda p, i: (i >= times - 1) & (p == F.get(sorted_pieces, i - (times - 1)))))
+    def equal_run(pieces: Column) -> Column:
+        return F.size(F.filter(pieces, lambda p, i: (i >= times - 1) & (p == F.get(pieces, i - (times - 1)))))
 
-    return F.when(F.length(text) >= window * times, let(pieces, equal_run) > 0).otherwise(F.lit(False))
+    return F.when(n >= window * times, let(middle, often)).otherwise(F.lit(False))

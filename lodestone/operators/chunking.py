@@ -15,12 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.evidence import BAD_CUT
+from lodestone.session import map_pandas
+
 Span = tuple[int, int, str, str]  # start, end, kind, section
 SENTENCE_END = re.compile(r"[.!?।](?=\s)")
 SECTION = re.compile(r"(?m)^[ \t]*((?:section|rule|article|chapter|part)\s+\w+|\d{1,3}[A-Z]?\.(?=\s+\S))", re.IGNORECASE)
 TABLE_LINE = re.compile(r"(?m)^[^\n|]*\|[^\n]*\|?[^\n]*$")
 WHOLE_UNIT = re.compile(r"^\s*(?:provided\s+(?:further\s+)?that|explanation\b|illustration\b)", re.IGNORECASE)
-BAD_START = re.compile(r"^\s*(?:and|or|but|which|that|of|to|with|shall|is|are)\b", re.IGNORECASE)
+BAD_START = re.compile(r"^\s*(?:" + BAD_CUT + ")")
 
 
 def best_break(text: str, low: int, high: int) -> int:
@@ -148,6 +151,7 @@ def hierarchy(text: str, words: int = 180, overlap: int = 30) -> Iterator[Span]:
 
 
 METHODS: dict[str, Callable[..., Iterator[Span]]] = {"windows": windows, "packed": packed, "sections": sections, "two_pass": two_pass, "hierarchy": hierarchy}
+SLICE_CHARS = 1_000_000  # of text whose pieces are held at once
 CHUNKS = "chunk_no int, char_start int, char_end int, kind string, section string, text string"
 
 
@@ -158,14 +162,18 @@ def chunk(df: DataFrame, id_column: str, text: str, method: str, **options) -> D
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [id_column, "chunk_no", "char_start", "char_end", "kind", "section", "text"]
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for key, value in zip(batch[id_column], batch[text], strict=True):
                 if value and value.strip():
                     rows += [(key, n, a, b, kind, label, value[a:b]) for n, (a, b, kind, label) in enumerate(split(value, **options))]
+                    size += len(value)
+                if size >= SLICE_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text).mapInPandas(apply, f"{id_column} {kind}, {CHUNKS}")
+    return map_pandas(df.select(id_column, text), apply, f"{id_column} {kind}, {CHUNKS}")
 
 
 def fixed(df: DataFrame, id_column: str, text: str, size: int) -> DataFrame:

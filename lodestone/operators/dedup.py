@@ -43,3 +43,21 @@ def twins(df: DataFrame, keys: list[Column], id_column: str, side: str) -> DataF
     rows = df.select(id_column, side, *[k.alias(n) for k, n in zip(keys, names, strict=True)])
     best = rows.groupBy(*names, side).agg(F.min(id_column).alias("twin_id")).withColumn(side, ~F.col(side))
     return rows.join(best, [*names, side], "left").select(id_column, side, "twin_id")
+
+
+def audit_rows(df: DataFrame, key: Column, id_column: str, source: str) -> DataFrame:
+    """(chunk_key, duplicate_of, linked): canonical rows with the sorted sources of their copies, and a row "source::id" for each copy."""
+    rows = canonical_rows(df, key, id_column)
+    copies = rows.where(~F.col("is_canonical"))
+    links = copies.groupBy(F.col("canonical_id").alias("_c")).agg(F.array_sort(F.collect_set(source)).alias("_linked"))
+    kind = links.schema["_linked"].dataType
+    kept = rows.where("is_canonical").join(links, F.col(id_column) == F.col("_c"), "left")
+    kept = kept.select(F.col(id_column).cast("string").alias("chunk_key"), F.lit(None).cast(df.schema[id_column].dataType).alias("duplicate_of"), F.coalesce("_linked", F.array().cast(kind)).alias("linked"))
+    return kept.unionByName(copies.select(F.concat_ws("::", source, F.col(id_column).cast("string")).alias("chunk_key"), F.col("canonical_id").alias("duplicate_of"), F.array().cast(kind).alias("linked")))
+
+
+def language_twins(df: DataFrame, keys: list[str], id_column: str, first: str, second: str) -> DataFrame:
+    """(id, twin_id): a row with both languages is its own twin; else the smallest id with equal keys that has the other language."""
+    best = df.groupBy(*keys).agg(F.min(F.when(F.col(first), F.col(id_column))).alias("_a"), F.min(F.when(F.col(second), F.col(id_column))).alias("_b"))
+    twin = F.when(F.col(first) & F.col(second), F.col(id_column)).when(F.col(first), F.col("_b")).otherwise(F.col("_a"))
+    return df.join(best, keys).select(id_column, twin.alias("twin_id"))

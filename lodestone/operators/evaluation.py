@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.evidence import same_provision
 from lodestone.functions.text import edit_similarity
+from lodestone.operators.ordering import running_totals
 from lodestone.operators.tagging import cascade
 
 
@@ -68,8 +69,6 @@ def near_ids(queries: DataFrame, items: DataFrame, most: int) -> DataFrame:
     Queries and items are numbered in one order by the items before them; a query meets
     the items of the numbers around its own. Rows without an id are left out.
     """
-    from lodestone.llm.sharding import running_totals
-
     own = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("_id"), F.lit(1).alias("_item"))
     asked = queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").alias("_id"), F.lit(0).alias("_item"))
     rows = running_totals(own.unionByName(asked).withColumn("_asked", 1 - F.col("_item")), ["_id", "_asked"], {"_before": "_item"})

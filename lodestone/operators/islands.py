@@ -31,6 +31,29 @@ def trailing(df: DataFrame, keys: list[str], seconds: Column, span: int, hit: Co
     return df.withColumn("recent", F.sum(hit.cast("int")).over(w))
 
 
+def trailing_stats(df: DataFrame, keys: list[str], seconds: Column, span: int, value: Column) -> DataFrame:
+    """Adds ``recent`` and ``recent_mean``: count and mean of the key's values in the trailing ``span`` seconds, this one included.
+
+    Time is cut in stretches of 16 spans; a row counts in its own stretch and, near the
+    end of it, in the next one, so a key with a third of all rows is dealt to many tasks.
+    """
+    width = 16 * span
+    rows = df.withColumn("_at", seconds).withColumn("_value", value.cast("double"))
+    own = F.floor(F.col("_at") / width)
+    late = F.col("_at") % width >= width - span
+    rows = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-(span - 1), 0)
+    rows = rows.withColumns({"recent": F.count(F.lit(1)).over(w), "recent_mean": F.avg("_value").over(w)})
+    return rows.where(F.col("_stretch") == F.col("_own")).drop("_at", "_value", "_own", "_stretch")
+
+
+def progress(df: DataFrame, keys: list[str], order: list[str], micros: Column) -> DataFrame:
+    """Adds ``at_us``, ``waited_us`` since the key's row before and ``done``, the rows so far."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("at_us", micros)
+    return rows.withColumns({"waited_us": F.col("at_us") - F.lag("at_us").over(w), "done": F.row_number().over(w)})
+
+
 def streak(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:
     """Adds ``streak``: consecutive hits up to this row, 0 on a miss."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.session import durable, map_arrow, shuffle_width
 
 
 def postings(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -16,52 +21,169 @@ def postings(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def corpus_size(posts: DataFrame, id_column: str) -> DataFrame:
+def measured(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a side whose rows were counted and are ``most`` at the highest; else leave the join to the optimiser."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def asked_postings(docs: DataFrame, id_column: str, text: str, asked: DataFrame) -> DataFrame:
+    """Postings of the terms in ``asked`` (term) alone; other terms are dropped before anything is shuffled."""
+    rows = docs.select(id_column, T.terms(F.col(text)).alias("_terms"))
+    rows = rows.select(id_column, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
+    wanted = rows.join(measured(asked.select("term").distinct()), "term", "left_semi")
+    return wanted.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def corpus_size(docs: DataFrame, text: str) -> DataFrame:
     """One row: n_docs and mean_length over documents with terms."""
-    per = posts.groupBy(id_column).agg(F.first("length").alias("length"))
-    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    lengths = docs.select(F.size(T.terms(F.col(text))).alias("length")).where("length > 0")
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_search(posts: DataFrame, id_column: str, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
+def bm25_search(posts: DataFrame, size: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int) -> DataFrame:
     """(query, id, score, rank): the k best documents of each query by summed BM25 weights.
 
-    Terms of the queries meet postings in an equi-join; corpus figures are one row.
-    Ties go to the smaller id.
+    ``posts`` holds the postings of the asked terms, ``size`` the corpus figures (one
+    row), ``asked`` the queries' own postings. Ties go to the smaller id.
     """
-    size = F.broadcast(corpus_size(posts, id_column))  # one row
-    asked = postings(queries, query_id, text).select(query_id, "term", F.col("tf").alias("query_tf"))
-    frequencies = document_frequencies(posts)
-    wanted = asked.join(frequencies, "term").join(size)
+    own = asked.select(query_id, "term", F.col("tf").alias("query_tf"))
+    wanted = own.join(document_frequencies(posts), "term").join(F.broadcast(size))  # one row
     idf = V.inverse_frequency(F.col("n_docs"), F.col("df"))
     hits = posts.join(wanted.select(query_id, "term", "query_tf", idf.alias("idf"), "mean_length"), "term")
     weight = V.bm25(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")) * F.col("idf") * F.col("query_tf")
     return top(hits.groupBy(query_id, id_column).agg(F.round(F.sum(weight), 6).alias("score")), [query_id], [F.desc("score"), F.col(id_column)], k)
 
 
+def pool_size(k: int, times: int, least: int = 0) -> int:
+    """How many candidates to fetch for a final ``k``: ``times`` as many, ``least`` at least."""
+    return max(k * times, least)
+
+
+def features(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, term) of every term and every pair of neighbouring terms of a text."""
+
+    def both(terms: Column) -> Column:
+        pairs = F.zip_with(F.slice(terms, 1, F.greatest(F.size(terms) - 1, F.lit(0))), F.slice(terms, 2, F.greatest(F.size(terms) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(terms, F.when(F.size(terms) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    return docs.select(id_column, F.explode(T.let(T.terms(F.col(text)), both)).alias("term"))
+
+
+def tfidf_search(docs: DataFrame, id_column: str, queries: DataFrame, query_id: str, text: str, k: int, most: int = 10_000) -> DataFrame:
+    """(query, id, score, rank): the k best cosines over 0 of TF-IDF vectors of terms and pairs of terms.
+
+    The ``most`` features with the highest counts in all documents take part (ties by
+    name); weights are tf * (ln((1 + n) / (1 + df)) + 1), vectors have length 1. The
+    features go to the documents as a side of bounded size.
+    """
+    posts = features(docs, id_column, text).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
+    posts = durable(posts)
+    chosen = posts.groupBy("term").agg(F.sum("tf").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("all"), "term").limit(most)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    chosen = durable(chosen.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weigh = lambda rows: rows.join(F.broadcast(chosen), "term").withColumn("w", F.col("tf") * F.col("idf"))  # noqa: E731  ``most`` rows at the highest
+    own = weigh(posts).select(id_column, "term", "w")
+    norms = own.groupBy(id_column).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = weigh(features(queries, query_id, text).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("tf"))).select(query_id, "term", F.col("w").alias("q"))
+    asked_norms = asked.groupBy(query_id).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    dots = own.join(measured(asked), "term").groupBy(query_id, id_column).agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    scored = dots.join(norms, id_column).join(asked_norms, query_id).select(query_id, id_column, F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
+    return top(scored.where("score > 0"), [query_id], [F.desc("score"), F.col(id_column)], k)
+
+
+def concordance(old: DataFrame, new: DataFrame, key: str, title: str) -> DataFrame:
+    """key, matched_key, exact, shared: for each old title the new one that is equal, else the best of those that share enough words.
+
+    Titles are letters and blanks in lower case; old ones of one word have no match.
+    Enough is half of the old title's distinct words of over three letters, two at
+    least; ties go to the smaller key. Equal titles collapse first, and titles meet on
+    the old title's rarest words only: one of these must be shared to share enough.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(title), "[^a-z ]+", ""))
+    words = F.filter(F.array_distinct(F.split("t", " ")), lambda w: F.length(w) > 3)
+    of = lambda rows: rows.select(key, plain.alias("t"))
+    olds = of(old).where(F.size(F.split("t", " ")) >= 2)
+    sought = olds.select("t").distinct().select("t", words.alias("w"))
+    news = of(new).groupBy("t").agg(F.min(key).alias("matched_key")).select(F.col("t").alias("u"), "matched_key", words.alias("v"))
+    equal = sought.join(news, F.col("t") == F.col("u")).select("t", "matched_key", F.lit(True).alias("exact"), F.lit(None).cast("int").alias("shared"))
+    need = F.greatest(F.lit(2), F.floor(F.size("w") / 2).cast("int"))
+    spread = news.select(F.explode("v").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    rare = sought.select("t", "w", need.alias("need"), F.explode("w").alias("word")).join(spread, "word", "left")
+    placed = rare.withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("f", F.lit(0)), "word"))).where(F.col("place") <= F.size("w") - F.col("need") + 1)
+    held = news.select("u", "matched_key", "v", F.explode("v").alias("word"))
+    shared = F.size(F.array_intersect("w", "v"))
+    close = placed.join(held, "word").select("t", "matched_key", "u", shared.alias("shared"), "need").where("shared >= need and t <> u").distinct()
+    best = close.groupBy("t").agg(F.max_by(F.struct("matched_key", "shared"), F.struct("shared", -F.col("matched_key"))).alias("r")).select("t", "r.matched_key", F.lit(False).alias("exact"), "r.shared")
+    either = equal.unionByName(best.join(equal.select("t"), "t", "left_anti"))
+    return olds.join(either, "t").select(key, "matched_key", "exact", "shared")
+
+
 def top(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """Adds ``rank`` and keeps the first k rows of each group."""
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, query_id: str, items: DataFrame, item_id: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """Exact cosine top-k of a stated query set against all items, in blocks.
-
-    Items are dealt to blocks by id and every query goes to every block (an equi-join
-    on the block number), so each task ranks its own items before the merge.
+ITEMS_A_BLOCK, QUERIES_AT_ONCE = 16_384, 256
+
+
+def _block_search(k: int):
+    """Ranks the queries of a block (role 1) against its items (role 0), which come first."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+    def ranked(items: list, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, x = (np.concatenate(c) for c in zip(*items, strict=True))
+        norms = np.sqrt((x * x).sum(1))
+        own, q = np.asarray(batch.column("id")), matrix(batch.column("v"))
+        for i in range(0, len(own), QUERIES_AT_ONCE):
+            part = q[i : i + QUERIES_AT_ONCE]
+            score = np.round(part @ x.T / (np.sqrt((part * part).sum(1))[:, None] * norms[None]), 9)
+            score[own[i : i + QUERIES_AT_ONCE, None] == ids[None]] = -2
+            edge = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -1.5)
+            row, at = np.nonzero((score >= edge[:, None]) & (score > -1.5))
+            yield pa.RecordBatch.from_arrays([pa.array(own[i + row]), pa.array(ids[at]), pa.array(score[row, at])], ["query_id", "item_id", "score"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items = None, []
+        for batch in batches:
+            block, role = np.asarray(batch.column("block")), np.asarray(batch.column("role"))
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if a == b:
+                    continue
+                if block[a] != at:
+                    at, items = block[a], []
+                piece = batch.slice(a, b - a)
+                if role[a] == 0:
+                    items.append((np.asarray(piece.column("id")), matrix(piece.column("v"))))
+                elif items:
+                    yield from ranked(items, piece)
+
+    return apply
+
+
+def nearest(queries: DataFrame, query_id: str, items: DataFrame, item_id: str, vector: str, k: int) -> DataFrame:
+    """Exact cosine top-k of a stated query set against all items, in blocks: query_id, item_id, score (9 digits), rank.
+
+    Items are dealt by a hash of their ids to blocks whose number grows with them;
+    every query goes to every block, which ranks it against its items by one matrix
+    product and passes on the k best. Vectors have one length; null and zero ones, and
+    such with null or non-finite components, take no part.
     """
-    own, block = V.doubles(F.col(vector)), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int")
-    q = queries.select(F.col(query_id).alias("query_id"), own.alias("q")).withColumn("q_norm", V.norm(F.col("q"))).where("q_norm > 0")
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = items.select(F.col(item_id).alias("item_id"), own.alias("d"), block.alias("block")).withColumn("d_norm", V.norm(F.col("d"))).where("d_norm > 0")
-    cosine = V.dot(F.col("q"), F.col("d")) / (F.col("q_norm") * F.col("d_norm"))
-    scored = q.join(d, "block").where("query_id <> item_id").select("query_id", "item_id", F.round(cosine, 9).alias("score"), "block")
-    inner = top(scored.where("score is not null"), ["query_id", "block"], [F.desc("score"), F.col("item_id")], k).drop("rank", "block")
-    return top(inner, ["query_id"], [F.desc("score"), F.col("item_id")], k)
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    of = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), V.doubles(F.col(vector)).alias("v")).where(usable)
+    blocks = max(1, -(-items.count() // ITEMS_A_BLOCK), min(shuffle_width(items.sparkSession), -(-items.count() // 1024)))
+    d = of(items, item_id).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
+    q = of(queries, query_id).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "v")
+    rows = d.unionByName(q).repartition(blocks, "block").sortWithinPartitions("block", "role")
+    found = map_arrow(rows, _block_search(k), "query_id long, item_id long, score double")
+    return top(found, ["query_id"], [F.desc("score"), F.col("item_id")], k)
 
 
 def fuse(*lists: DataFrame, query_id: str, item_id: str, constant: int = 60) -> DataFrame:
@@ -89,6 +211,12 @@ def blend(rerank: Column, base: Column, tier: Column, same_dataset: Column, forc
     return F.when(forced, F.greatest(score, F.lit(0.95))).otherwise(score)
 
 
+def act_boost(acts: Column, name: Column, boost: float = 1.5) -> Column:
+    """What a hit gains whose act's name contains one of the acts that the question names, case aside."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return F.when(F.coalesce(F.exists(acts, lambda a: low.contains(F.lower(a))), F.lit(False)), boost).otherwise(0.0)
+
+
 def by_rerank(rerank: Column, score: Column, key: str) -> list[Column]:
     """Order by the rerank score, rows without one last, then by the first score and the key."""
     return [F.coalesce(rerank, F.lit(-1e9)).desc(), score.desc(), F.col(key)]
@@ -118,6 +246,21 @@ def hard_negatives(hits: DataFrame, query_id: str, positive: Column, k: int, lea
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
+def negatives_in_group(rows: DataFrame, item_id: str, group: str, vector: str, asked: Column, low: float, high: float, k: int, parts: int = 64) -> DataFrame:
+    """query_id, item_id, score, rank: for each asked row the k best others of its group with a cosine in [low, high], ranks from 2 (1 is the positive).
+
+    A stated query set against its own group; items of a group are dealt to ``parts`` by
+    a hash of their ids and queries go to all parts, so a large group is no single task.
+    """
+    own = rows.select(F.col(item_id).alias("item_id"), F.col(group).alias("_g"), V.doubles(F.col(vector)).alias("_d"), F.pmod(F.xxhash64(item_id), F.lit(parts)).alias("_part"))
+    own = own.withColumn("_l", V.norm(F.col("_d")))
+    q = rows.where(asked).select(F.col(item_id).alias("query_id"), F.col(group).alias("_g"), V.doubles(F.col(vector)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+    q = q.withColumn("_m", V.norm(F.col("_q")))
+    score = F.round(V.dot(F.col("_q"), F.col("_d")) / F.nullif(F.col("_l") * F.col("_m"), F.lit(0.0)), 9)
+    scored = q.join(own, ["_g", "_part"]).where("query_id <> item_id").select("query_id", "item_id", score.alias("score")).where(F.col("score").between(low, high))
+    return top(scored, ["query_id"], [F.desc("score"), F.col("item_id")], k).withColumn("rank", F.col("rank") + 1)
+
+
 def late_interaction(pairs: DataFrame, query: str, document: str) -> DataFrame:
     """Adds ``max_sim`` of two arrays of token vectors."""
     return pairs.withColumn("max_sim", V.max_sim(F.col(query), F.col(document)))

@@ -40,6 +40,26 @@ def interval_join(probes: DataFrame, intervals: DataFrame, keys: list[str], time
     return p.join(v, condition).select("p.*", *[F.col(f"v.{c}") for c in intervals.columns if c not in keys])
 
 
+def version_join(probes: DataFrame, versions: DataFrame, keys: list[str], time: str, closed: bool = False) -> DataFrame:
+    """As :func:`interval_join` for versions that follow each other (:func:`to_intervals`): union, sort and last row instead of pairs.
+
+    At most one version of a key holds at a time, and it is the last one that begins
+    by then. With closed ends a version that ends at the very time holds too: these
+    meet their probes in an equi-join on key and end.
+    """
+    rest = [c for c in versions.columns if c not in keys]
+    carry = [*[c for c in rest if c not in ("valid_from", "valid_to")], "valid_from", "valid_to"]
+    found = as_of(probes, versions, keys, time, "valid_from", carry)
+    found = found.where(F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(time))))
+    if closed:
+        p, v = probes.alias("p"), versions.alias("v")
+        same = F.col(f"p.{time}") == F.col("v.valid_to")
+        for k in keys:
+            same = (F.col(f"p.{k}") == F.col(f"v.{k}")) & same
+        found = found.unionByName(p.join(v, same & (F.col("v.valid_from") <= F.col(f"p.{time}"))).select("p.*", *[F.col(f"v.{c}") for c in carry]))
+    return found.select(*probes.columns, *rest)
+
+
 def as_of(probes: DataFrame, history: DataFrame, keys: list[str], time: str, since: str, carry: list[str]) -> DataFrame:
     """For each probe the carried columns of the key's last history row at or before its time, null if none.
 
@@ -68,10 +88,10 @@ def gaps(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return df.select(*keys, so_far.alias("gap_start"), F.col(start).alias("gap_end")).where(F.col("gap_end") > F.col("gap_start"))
 
 
-def merged(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping and touching intervals of a key as one: keys, merged_start, merged_end, n_merged."""
+def merged(df: DataFrame, keys: list[str], start: str, end: str, *carry: str) -> DataFrame:
+    """Overlapping and touching intervals of a key as one: keys, merged_start, merged_end, n_merged, and the carried columns of the first one (by start, then end)."""
     order = Window.partitionBy(*keys).orderBy(start, end)
     so_far = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(so_far >= F.col(start), 0).otherwise(1)
     rows = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min(start).alias("merged_start"), F.max(end).alias("merged_end"), F.count(F.lit(1)).alias("n_merged")).drop("_island")
+    return rows.groupBy(*keys, "_island").agg(F.min(start).alias("merged_start"), F.max(end).alias("merged_end"), F.count(F.lit(1)).alias("n_merged"), *[F.min_by(c, F.struct(start, end, c)).alias(c) for c in carry]).drop("_island")

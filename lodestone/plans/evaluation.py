@@ -82,12 +82,12 @@ def url_parts(t: Tables) -> DataFrame:
 
 
 @query(
-    """
-    SELECT doc_id, regexp_matches(text, '(?i)^\\s*(and|or|but|which|that|of|to|with|shall|is|are)\\b') AS cut_badly, len(list_distinct(regexp_extract_all(lower(text), ' (the|and|of|der|und|les|que|los) ', 1))) AS anchors FROM documents"""
+    f"""
+    SELECT doc_id, regexp_matches(text, '^\\s*($|{E.BAD_CUT})') AS cut_badly, length(text) < 180 AND NOT regexp_matches(text, '(?i)\\b(section|rule|notification|circular|act)\\b') AS wants_passage, len(list_distinct(regexp_extract_all(lower(text), ' (the|and|of|der|und|les|que|los) ', 1))) AS anchors FROM documents"""
 )
 def cut_and_anchors(t: Tables) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit(" (the|and|of|der|und|les|que|los) "), 1)
-    return t.documents.select("doc_id", E.cut_badly(F.col("text")).alias("cut_badly"), F.size(F.array_distinct(found)).cast("long").alias("anchors"))
+    return t.documents.select("doc_id", E.cut_badly(F.col("text")).alias("cut_badly"), E.wants_passage(F.col("text")).alias("wants_passage"), F.size(F.array_distinct(found)).cast("long").alias("anchors"))
 
 
 @query(

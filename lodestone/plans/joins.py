@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dedup, temporal
+from lodestone.operators import retrieval as R
+from lodestone.operators.retrieval import measured
 
 from .registry import Tables, query
 
@@ -40,7 +42,7 @@ def _interval_sql(end: str) -> str:
 
 def _intervals(t: Tables, closed: bool) -> DataFrame:
     versions = temporal.to_intervals(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey")
-    found = temporal.interval_join(_probes(t), versions.select("o_custkey", "o_orderkey", "valid_from", "valid_to"), ["o_custkey"], "l_shipdate", closed)
+    found = temporal.version_join(_probes(t), versions.select("o_custkey", "o_orderkey", "valid_from", "valid_to"), ["o_custkey"], "l_shipdate", closed)
     return found.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
 
 
@@ -168,14 +170,14 @@ def uncovered_gaps(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e FROM orders),
+    WITH o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderstatus AS kind FROM orders),
     w AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o),
     i AS (SELECT *, sum(CASE WHEN p >= s THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
-    SELECT o_custkey, min(s) AS merged_start, max(e) AS merged_end, count(*) AS n_merged FROM i GROUP BY o_custkey, island"""
+    SELECT o_custkey, min(s) AS merged_start, max(e) AS merged_end, count(*) AS n_merged, min(struct_pack(s, e, kind)).kind AS kind FROM i GROUP BY o_custkey, island"""
 )
 def merged_spans(t: Tables) -> DataFrame:
-    spans = t.orders.select("o_custkey", F.col("o_orderdate").alias("s"), F.expr("o_orderdate + interval 60 days").alias("e"))
-    return temporal.merged(spans, ["o_custkey"], "s", "e")
+    spans = t.orders.select("o_custkey", F.col("o_orderdate").alias("s"), F.expr("o_orderdate + interval 60 days").alias("e"), F.col("o_orderstatus").alias("kind"))
+    return temporal.merged(spans, ["o_custkey"], "s", "e", "kind")
 
 
 _GRAMS = "unnest(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])) AS g"
@@ -190,25 +192,49 @@ _GRAMS = "unnest(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range
     FROM (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN dg USING (g) GROUP BY ALL) GROUP BY item_id"""
 )
 def contamination(t: Tables) -> DataFrame:
-    """For each benchmark item the document with most shared word 5-grams: grams meet in an equi-join, never item by item."""
+    """For each benchmark item the document with most shared word 5-grams: grams meet in an equi-join, never item by item.
+
+    Items have few grams; as long as a count says so, they go to the documents, whose own grams are not shuffled.
+    """
     b = t.benchmark.select("item_id", F.explode(T.word_grams(F.col("text"), 5)).alias("g"))
-    d = t.documents.select("doc_id", F.explode(T.word_grams(F.col("text"), 5)).alias("g"))
-    shared = b.join(d, "g").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    d = t.documents.select("doc_id", F.explode(T.word_grams(F.col("text"), 5, distinct=False)).alias("g"))
+    shared = d.join(measured(b), "g").groupBy("item_id", "doc_id").agg(F.countDistinct("g").alias("shared"))
     best = shared.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "shared"), F.struct("shared", -F.col("doc_id"))).alias("r"))
     return best.select("item_id", "r.doc_id", "r.shared")
 
 
+_TITLE = "regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z ]+', '', 'g')"
+
+
 @query(
-    """
-    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), v AS (SELECT * FROM w WHERE length(word) > 3),
-    t AS (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS word FROM part), u AS (SELECT * FROM t WHERE length(word) > 3)
-    SELECT v.p_partkey, u.p_name AS title, count(*) AS shared FROM v JOIN u USING (word) GROUP BY ALL HAVING count(*) >= 2"""
+    f"""
+    WITH i AS (SELECT p_partkey AS k, trim({_TITLE}) AS t FROM part), o AS (SELECT t, min(k) AS k FROM i WHERE k % 3 = 0 AND len(string_split(t, ' ')) >= 2 GROUP BY t), n AS (SELECT t, min(k) AS k FROM i WHERE k % 3 = 1 GROUP BY t),
+    w AS (SELECT o.t AS old_title, n.t AS new_title, n.k, len(list_filter(list_distinct(string_split(o.t, ' ')), lambda x: length(x) > 3)) AS size,
+          len(list_intersect(list_filter(list_distinct(string_split(o.t, ' ')), lambda x: length(x) > 3), list_filter(list_distinct(string_split(n.t, ' ')), lambda x: length(x) > 3))) AS shared FROM o, n),
+    f AS (SELECT old_title, new_title, k, shared, row_number() OVER (PARTITION BY old_title ORDER BY (new_title = old_title) DESC, shared DESC, k) AS r FROM w WHERE new_title = old_title OR shared >= greatest(2, size // 2))
+    SELECT i.k AS p_partkey, f.k AS matched_key, f.new_title = f.old_title AS exact, CASE WHEN f.new_title <> f.old_title THEN shared END AS shared FROM i JOIN f ON i.t = f.old_title AND r = 1 WHERE i.k % 3 = 0"""
 )
 def title_concordance(t: Tables) -> DataFrame:
-    word = F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")
-    own = t.part.select("p_partkey", word).where("length(word) > 3")
-    titles = t.part.select("p_name").distinct().select(F.col("p_name").alias("title"), word).where("length(word) > 3")
-    return own.join(titles, "word").groupBy("p_partkey", "title").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    title = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    rows = t.part.select(F.col("p_partkey").alias("k"), title.alias("title"))
+    found = R.concordance(rows.where("k % 3 = 0"), rows.where("k % 3 = 1"), "k", "title")
+    return found.select(F.col("k").alias("p_partkey"), "matched_key", "exact", "shared")
+
+
+@query(
+    """
+    WITH g AS (SELECT item_id, list_distinct([substr(lower(text), i::INT, 5) FOR i IN range(1, length(text) - 3)]) AS a FROM benchmark WHERE length(text) >= 5),
+    c AS (SELECT conv_id * 1000 + turn AS chunk_id, list_distinct([substr(lower(text), i::INT, 5) FOR i IN range(1, length(text) - 3)]) AS b FROM conversations WHERE length(text) >= 5),
+    s AS (SELECT item_id, chunk_id, len(list_intersect(a, b)) AS shared FROM g, c)
+    SELECT item_id, arg_max(chunk_id, (shared, -chunk_id)) AS chunk_id, max(shared) AS shared FROM s WHERE shared >= 40 GROUP BY item_id"""
+)
+def rationale_match(t: Tables) -> DataFrame:
+    """For each benchmark item the conversation turn with most shared distinct 5-grams of characters, 40 at least."""
+    grams = lambda key, rows: rows.select(key, F.explode(T.char_grams(F.lower("text"), 5)).alias("g"))
+    turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
+    shared = grams("chunk_id", turns).join(measured(grams("item_id", t.benchmark)), "g").groupBy("item_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 40")
+    best = shared.groupBy("item_id").agg(F.max_by(F.struct("chunk_id", "shared"), F.struct("shared", -F.col("chunk_id"))).alias("r"))
+    return best.select("item_id", "r.chunk_id", "r.shared")
 
 
 @query(

@@ -57,7 +57,7 @@ def upsert_keep_columns(t: Tables) -> DataFrame:
 def insert_or_ignore(t: Tables) -> DataFrame:
     old, new = _halves(t)
     kept = temporal.latest(old.where("value > 45").select("user_id", "event_id", "state", "value"), ["user_id"], "event_id")
-    return M.insert_ignore(kept, new.select("user_id", "event_id", "state", "value"), ["user_id"])
+    return M.insert_ignore(kept, new.select("user_id", "event_id", "state", "value"), ["user_id"], ["event_id"])
 
 
 @query(
@@ -74,7 +74,7 @@ def mark_errors(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY event_id DESC LIMIT 500")
 def retain_newest(t: Tables) -> DataFrame:
-    return M.keep_newest(t.events.select("event_id", "user_id", "event_type", "ts"), 500, F.desc("event_id"))
+    return M.newest_page(t.events.select("event_id", "user_id", "event_type", "ts"), 2000, F.desc("event_id"))
 
 
 @query(
@@ -90,14 +90,19 @@ def append_unseen(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT doc_id, text LIKE '%License%' OR length(text) < 100 AS skipped,
-           length(CASE WHEN text LIKE '%License%' OR length(text) < 100 THEN text ELSE text || chr(10) || '[ENRICHED]' || chr(10) || source || ' ' || lang END) AS embed_chars FROM documents"""
+    WITH q AS (SELECT conv_id AS doc_id, list(substr(text, 1, 80) ORDER BY turn) AS qs FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    r AS (SELECT d.doc_id, text, lang, source, CASE WHEN d.doc_id % 4 = 0 THEN text || ' [ENRICHED] ' WHEN d.doc_id % 4 = 1 THEN text END AS embed_text, qs FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+    f AS (SELECT *, coalesce(NOT contains(coalesce(embed_text, ''), '[ENRICHED]') AND length(text) >= 100 AND len(qs) > 0, false) AS fresh FROM r)
+    SELECT doc_id, CASE WHEN fresh THEN 0 ELSE 1 END AS upserted,
+           sha256(CASE WHEN fresh THEN lang || chr(10) || chr(10) || text || chr(10) || chr(10) || '[ENRICHED] User questions answered by this passage:' || chr(10) || array_to_string(list_transform(qs, lambda x: '- ' || x), chr(10)) ELSE embed_text END) AS embed_sha FROM f"""
 )
 def enrich_once(t: Tables) -> DataFrame:
-    text = F.col("text")
-    skipped = text.contains("License") | (F.length(text) < 100)
-    enriched = F.concat_ws("\n", text, F.lit("[ENRICHED]"), F.concat_ws(" ", "source", "lang"))
-    return t.documents.select("doc_id", skipped.alias("skipped"), F.length(F.when(skipped, text).otherwise(enriched)).cast("long").alias("embed_chars"))
+    """The questions of a conversation go behind the marker of the document of its number; a fourth of the documents carry the marker already."""
+    asked = t.conversations.where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 80).alias("q")))).alias("l"))
+    questions = asked.select("doc_id", F.transform("l", lambda x: x["q"]).alias("questions"))
+    embed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), F.lit(" [ENRICHED] "))).when(F.col("doc_id") % 4 == 1, F.col("text"))
+    rows = t.documents.select("doc_id", "text", F.col("lang").alias("parent"), embed.alias("embed_text"), F.lit(1).alias("upserted"))
+    return M.enrich_once(rows, questions, "doc_id").select("doc_id", "upserted", F.sha2(F.col("embed_text").cast("binary"), 256).alias("embed_sha"))
 
 
 @query(

@@ -34,12 +34,19 @@ def document_postings(t: Tables) -> DataFrame:
 @query(f"WITH {_POSTS} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM df, size")
 def idf(t: Tables) -> DataFrame:
     posts = document_postings(t)
-    rows = R.document_frequencies(posts).join(F.broadcast(R.corpus_size(posts, "doc_id")))
+    rows = R.document_frequencies(posts).join(F.broadcast(R.corpus_size(t.documents, "text")))
     return rows.select("term", "df", F.round(V.inverse_frequency(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
-def bm25_hits(t: Tables) -> DataFrame:
-    return R.bm25_search(document_postings(t), "doc_id", t.benchmark, "item_id", "text", 10)
+def _asked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's postings, and those of the documents for its terms, written once."""
+    asked = R.postings(t.benchmark, "item_id", "text")
+    return asked, durable(R.asked_postings(t.documents, "doc_id", "text", asked))
+
+
+def bm25_hits(t: Tables, k: int = 10) -> DataFrame:
+    asked, posts = _asked(t)
+    return R.bm25_search(posts, R.corpus_size(t.documents, "text"), "doc_id", asked, "item_id", k)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM bm25")
@@ -51,14 +58,16 @@ _KNN = """
     v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS l FROM v),
     s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, q.label AS query_label, d.label AS item_label, round(list_dot_product(q.e, d.e) / (q.l * d.l), 9) AS score
-          FROM n q JOIN n d ON q.vec_id <> d.vec_id WHERE q.label = 3),
+          FROM n q JOIN n d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
     knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 def _knn(t: Tables) -> DataFrame:
-    """The ten nearest of every vector with label 3: a stated query set against all vectors."""
-    found = R.nearest(t.embeddings.where("label = 3"), "vec_id", t.embeddings, "vec_id", "embedding", 10)
-    return found.join(t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("label").alias("item_label")), "item_id").withColumn("query_label", F.lit(3))
+    """The ten nearest of every vector whose id is divisible by 20: a stated query set against all vectors."""
+    found = R.nearest(t.embeddings.where("vec_id % 20 = 0"), "vec_id", t.embeddings, "vec_id", "embedding", 10)
+    labels = t.embeddings.select("vec_id", "label")
+    found = found.join(labels.select(F.col("vec_id").alias("item_id"), F.col("label").alias("item_label")), "item_id")
+    return found.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
 
 
 @query(f"WITH {_KNN} SELECT query_id, item_id, rank FROM knn")
@@ -81,9 +90,16 @@ def hard_negatives(t: Tables) -> DataFrame:
     return R.hard_negatives(_knn(t), "query_id", F.col("item_label") == F.col("query_label"), 5).select("query_id", "item_id", "rank")
 
 
-@query(f"WITH {_KNN} SELECT query_id, item_id FROM knn WHERE item_label <> query_label AND score BETWEEN 0.2 AND 0.85")
+@query(
+    """
+    WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM v),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round(list_dot_product(q.e, d.e) / (q.l * d.l), 9) AS score FROM n q JOIN n d ON q.vec_id <> d.vec_id AND q.label = d.label WHERE q.vec_id % 20 = 0),
+    b AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM s WHERE score BETWEEN 0.60 AND 0.85) SELECT query_id, item_id, r + 1 AS rank FROM b WHERE r <= 5"""
+)
 def hard_negatives_band(t: Tables) -> DataFrame:
-    return _knn(t).where("item_label <> query_label and score between 0.2 and 0.85").select("query_id", "item_id")
+    """Five negatives out of the query's own document (its label) with cosines of 0.60 to 0.85, by the vectors' first eight components."""
+    head = t.embeddings.select("vec_id", "label", F.slice("embedding", 1, 8).alias("e"))
+    return R.negatives_in_group(head, "vec_id", "label", "e", F.col("vec_id") % 20 == 0, 0.60, 0.85, 5).select("query_id", "item_id", "rank")
 
 
 @query(
@@ -94,11 +110,61 @@ def hard_negatives_band(t: Tables) -> DataFrame:
     SELECT item_id, doc_id, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f"""
 )
 def rrf_fusion(t: Tables) -> DataFrame:
-    posts = document_postings(t)
-    asked = R.postings(t.benchmark, "item_id", "text").select("item_id", "term")
-    shared = posts.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    by_terms = R.top(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], 10)
-    return R.fuse(bm25_hits(t), by_terms, query_id="item_id", item_id="doc_id").select("item_id", "doc_id", "lists", "rank")
+    return _fused(t, 10).select("item_id", "doc_id", "lists", "rank")
+
+
+def _fused(t: Tables, pool: int) -> DataFrame:
+    """Two channels of ``pool`` documents each, fused; postings are written once for both."""
+    asked, posts = _asked(t)
+    by_weight = R.bm25_search(posts, R.corpus_size(t.documents, "text"), "doc_id", asked, "item_id", pool)
+    shared = posts.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    by_terms = R.top(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], pool)
+    return R.fuse(by_weight, by_terms, query_id="item_id", item_id="doc_id")
+
+
+_WIDE = BM25.replace("QUALIFY rank <= 10", "QUALIFY rank <= {n}")
+
+
+@query(
+    f"""
+    WITH {_WIDE.format(n=20)}, lng AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM (
+        SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT item_id, term FROM qt) JOIN posts USING (term) GROUP BY ALL) QUALIFY rank <= 20),
+    f AS (SELECT item_id, doc_id, round(sum(1 / (60.0 + rank)), 9) AS score, count(*) AS lists FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM lng) GROUP BY ALL)
+    SELECT item_id, doc_id, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 5"""
+)
+def rrf_overfetch(t: Tables) -> DataFrame:
+    """Five documents an item, fused from channels that fetch four times as many."""
+    return _fused(t, R.pool_size(5, 4)).where("rank <= 5").select("item_id", "doc_id", "lists", "rank")
+
+
+@query(
+    f"""
+    WITH {_WIDE.format(n=24)}, r AS (SELECT b.item_id, b.doc_id, rank AS old_rank, round(b.score / 1000 + CASE WHEN (item_id % 2 = 0 AND (contains(source, '1') OR contains(source, 'src2'))) THEN 1.5 ELSE 0 END, 6) AS boosted FROM bm25 b JOIN documents USING (doc_id))
+    SELECT item_id, doc_id, old_rank, row_number() OVER (PARTITION BY item_id ORDER BY boosted DESC, old_rank) AS rank FROM r QUALIFY rank <= 8"""
+)
+def boosted_pool(t: Tables) -> DataFrame:
+    """Eight documents an item out of a pool of max(3k, 24), those of the named sources first; even items name SRC2 and 1."""
+    hits = bm25_hits(t, R.pool_size(8, 3, 24)).join(t.documents.select("doc_id", "source"), "doc_id")
+    acts = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("1"), F.lit("SRC2"))).otherwise(F.array().cast("array<string>"))
+    rows = hits.select("item_id", "doc_id", F.col("rank").alias("old_rank"), F.round(F.col("score") / 1000 + R.act_boost(acts, F.col("source")), 6).alias("boosted"))
+    return R.top(rows, ["item_id"], [F.desc("boosted"), F.col("old_rank")], 8).select("item_id", "doc_id", "old_rank", "rank")
+
+
+_FEATURES = "list_concat(ts, CASE WHEN len(ts) > 1 THEN list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]) ELSE [] END)"
+
+
+@query(
+    f"""
+    WITH dt AS (SELECT doc_id, {_TERMS} AS ts FROM documents), qt AS (SELECT item_id, {_TERMS} AS ts FROM benchmark),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_FEATURES}) AS term FROM dt) GROUP BY ALL), c AS (SELECT term, sum(tf) AS a, count(*) AS df FROM p GROUP BY term ORDER BY a DESC, term LIMIT 10000),
+    i AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM c, (SELECT count(*) AS n FROM documents)),
+    d AS (SELECT doc_id, term, tf * idf AS w FROM p JOIN i USING (term)), q AS (SELECT item_id, term, count(*) * any_value(idf) AS q FROM (SELECT item_id, unnest({_FEATURES}) AS term FROM qt) JOIN i USING (term) GROUP BY ALL),
+    dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(q * q)) AS m FROM q GROUP BY item_id),
+    s AS (SELECT item_id, doc_id, round(sum(w * q) / (any_value(n) * any_value(m)), 6) AS score FROM d JOIN q USING (term) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL)
+    SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
+)
+def tfidf_topk(t: Tables) -> DataFrame:
+    return R.tfidf_search(t.documents, "doc_id", t.benchmark, "item_id", "text", 5).select("item_id", "doc_id", "rank")
 
 
 @query(
@@ -143,6 +209,6 @@ def rerank_order(t: Tables) -> DataFrame:
 )
 def tfidf_norms(t: Tables) -> DataFrame:
     posts = document_postings(t)
-    rows = posts.join(R.document_frequencies(posts), "term").join(F.broadcast(R.corpus_size(posts, "doc_id")))
+    rows = posts.join(R.document_frequencies(posts), "term").join(F.broadcast(R.corpus_size(t.documents, "text")))
     x = F.col("tf") * F.log(F.col("n_docs") / F.col("df"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm"))

@@ -263,7 +263,13 @@ def turn_overlap(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(
+    """
+    WITH m AS (SELECT doc_id, length(text) AS n, CASE WHEN length(text) > 4000 THEN substr(text, (length(text) // 2 - 1999)::INT, 4000) ELSE text END AS body FROM documents),
+    p AS (SELECT doc_id, n, unnest(list_transform(range(1, greatest(length(body) - 30, 1) + 1, 5), lambda i: substr(body, i::INT, 30))) AS piece FROM m WHERE n >= 120),
+    c AS (SELECT doc_id, max(k) AS k FROM (SELECT doc_id, piece, count(*) AS k FROM p GROUP BY ALL) GROUP BY doc_id)
+    SELECT m.doc_id, coalesce(k >= 4, false) AS loops FROM m LEFT JOIN c ON m.doc_id = c.doc_id"""
+)
 def repetition_loops(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.repeats_itself(F.col("text")).alias("loops"))
 

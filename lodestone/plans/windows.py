@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import dedup, islands, temporal
+from lodestone.operators.ordering import positions
 
 from .registry import Tables, query
 
@@ -75,9 +76,15 @@ def keep_first_question(t: Tables) -> DataFrame:
     return dedup.keep_one(asked, ["question_hash"], [F.col("conv_id"), F.col("turn")])
 
 
-@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")
+@query(
+    """
+    WITH c AS (SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3)
+    SELECT doc_id, source FROM c ORDER BY n_chars DESC, doc_id LIMIT 10"""
+)
 def per_source_cap(t: Tables) -> DataFrame:
-    return islands.capped(t.documents.select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3).select("doc_id", "source")
+    """The ten longest documents, with three of a source at most."""
+    few = islands.capped(t.documents.select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3)
+    return few.orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "source")
 
 
 @query(
@@ -87,11 +94,11 @@ def per_source_cap(t: Tables) -> DataFrame:
     SELECT doc_id, old_rank, row_number() OVER (PARTITION BY source ORDER BY shifted, old_rank) AS new_rank FROM s"""
 )
 def rank_shift(t: Tables) -> DataFrame:
-    by_size = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    ranked = t.documents.select("doc_id", "source", "lang", F.row_number().over(by_size).alias("old_rank"))
+    docs = t.documents.select("doc_id", "source", "lang", (-F.col("n_chars")).alias("_less"))
+    ranked = positions(docs, "source", ["_less", "doc_id"], "old_rank")
     shifted = F.when(F.col("lang") == "en", F.floor(F.col("old_rank") / 3.5)).when(F.col("lang") == "fr", F.floor(F.col("old_rank") / 1.8)).otherwise(F.col("old_rank"))
-    again = Window.partitionBy("source").orderBy("shifted", "old_rank")
-    return ranked.withColumn("shifted", shifted).select("doc_id", "old_rank", F.row_number().over(again).alias("new_rank"))
+    again = positions(ranked.select("doc_id", "source", "old_rank", shifted.alias("shifted")), "source", ["shifted", "old_rank"], "new_rank")
+    return again.select("doc_id", "old_rank", "new_rank")
 
 
 @query(
@@ -101,14 +108,14 @@ def rank_shift(t: Tables) -> DataFrame:
     SELECT o.doc_id, line_no::BIGINT AS line_no, char_start, coalesce(lead(char_start) OVER (PARTITION BY o.doc_id ORDER BY line_no), length(text)) AS char_end FROM o JOIN documents d ON d.doc_id = o.doc_id"""
 )
 def line_boundaries(t: Tables) -> DataFrame:
-    # Offsets run over the lines inside each document's row, so nothing is shuffled.
-    lines = F.split("text", "\n")
-    sizes = F.transform(lines, lambda x: F.length(x) + 1)
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = t.documents.select("doc_id", F.length("text").alias("total"), F.size(lines).alias("n"), starts.alias("starts"))
-    rows = rows.select("doc_id", "total", "n", "starts", F.posexplode(F.slice("starts", 1, F.col("n"))).alias("at", "char_start"))
-    end = F.when(F.col("at") + 1 == F.col("n"), F.col("total")).otherwise(F.get("starts", F.col("at") + 1))
-    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.col("char_start").cast("long").alias("char_start"), end.cast("long").alias("char_end"))
+    # Only the lines' lengths are dealt; offsets are running sums, in time linear in the lines.
+    sizes = F.transform(F.split("text", "\n"), lambda x: F.length(x))
+    rows = t.documents.select("doc_id", F.posexplode(sizes).alias("at", "size"))
+    upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lead("at").over(Window.partitionBy("doc_id").orderBy("at")).isNull()
+    rows = rows.withColumn("char_start", F.coalesce(F.sum(F.col("size") + 1).over(upto), F.lit(0)))
+    end = F.col("char_start") + F.col("size") + F.when(last, 0).otherwise(1)
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "char_start", end.alias("char_end"))
 
 
 @query(
@@ -135,13 +142,18 @@ def conversation_turn_gaps(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS waited_us, row_number() OVER w AS done FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+    WITH g AS (SELECT user_id, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS waited_us, row_number() OVER w AS done, epoch_us(ts) - epoch_us(first_value(ts) OVER w) AS spent, count(*) OVER (PARTITION BY user_id) AS total
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, event_id, waited_us, done, CASE WHEN spent > 0 THEN round(done / (spent / 3600000000.0), 6) END AS per_hour,
+           CASE WHEN spent > 0 THEN round((total - done) / (done / (spent / 3600000000.0)), 6) END AS hours_left FROM g"""
 )
 def progress_rate(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    waited = at - F.lag(at).over(w)
-    return t.events.select("user_id", "event_id", waited.alias("waited_us"), F.row_number().over(w).alias("done"))
+    """Of each event of a user: the wait before it, how many are done, their rate and the time left at that rate."""
+    total = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("began"))
+    rows = islands.progress(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp"))).join(total, "user_id")
+    hours = (F.col("at_us") - F.col("began")) / 3_600_000_000.0
+    rate = F.when(hours > 0, F.col("done") / hours)
+    return rows.select("user_id", "event_id", "waited_us", "done", F.round(rate, 6).alias("per_hour"), F.round((F.col("total") - F.col("done")) / rate, 6).alias("hours_left"))
 
 
 @query(
@@ -187,3 +199,14 @@ def idle_actions(t: Tables) -> DataFrame:
     spans = rows.groupBy("user_id", "island").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count(F.lit(1)).alias("n"))
     due = F.expr("since + interval 1 hour")
     return spans.where(F.col("until") >= due).select("user_id", due.alias("action_at"), "n")
+
+
+@query(
+    """
+    SELECT event_type, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)"""
+)
+def trailing_requests(t: Tables) -> DataFrame:
+    """Of each request: how many of its kind came in the last 60 seconds and their mean latency."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = islands.trailing_stats(t.events.select("event_type", "event_id", "ts", "value"), ["event_type"], seconds, 60, F.col("value"))
+    return rows.select("event_type", "event_id", F.col("recent").alias("n"), F.round("recent_mean", 6).alias("mean_value"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once an application, so that Python tasks can import it."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Give executors this package, once an application, so that Python tasks can import it.
+
+    A Python function takes the files along that are known when it is built, so this
+    comes before each of them (:func:`map_arrow`, :func:`map_pandas`).
+    """
+    spark = spark or SparkSession.active()
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -38,20 +45,42 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with a function that needs this package at the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInPandas`` with a function that needs this package at the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: one computation, lineage cut, readable by every executor.
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``, or one set on the context.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that names
-    none (a local test) gets a temporary one.
+    Only a session on this machine alone (``local``) gets a temporary folder where none is set.
     """
-    spark = df.sparkSession
-    ship(spark)
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: one computation, lineage cut, readable by every executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

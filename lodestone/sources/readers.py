@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.session import map_pandas
+
 #: Schemas of the temporal reference tables.
 CODES = "code string, code_type string, level int, parent_code string, description string, chapter int"
 NOTIFICATIONS = "notif_id string, series string, number int, year int, issued_on date, effective_from date, superseded_by string, title string, source_doc_id string"
@@ -55,9 +57,19 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def discovered(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Lines of all matching files under a folder, with their path."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    return lines.select(F.col("_metadata.file_path").alias("path"), "value")
+    """Lines of all matching files under a folder, with their path and the file's number in order of paths."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = lines.select("path").distinct().withColumn("file_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path")))  # one row a file
+    return lines.join(files, "path").select("path", "file_no", "value")
+
+
+def tagged_union(**parts: DataFrame) -> DataFrame:
+    """Rows of several files or tables, each with the name of its part in ``tag``; columns that a part lacks are null."""
+    rows = None
+    for name, part in parts.items():
+        own = part.withColumn("tag", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return rows
 
 
 def id_list(df: DataFrame, column: str) -> DataFrame:
@@ -69,11 +81,10 @@ def pages_of(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """Pages of form-feed separated text with their offsets; an empty last page is dropped."""
     parts = F.split(text, "\f")
     parts = F.when(F.trim(F.element_at(parts, -1)) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    sizes = F.transform(parts, lambda p: F.length(p) + 1)
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return df.select(id_column, F.posexplode(F.arrays_zip(parts.alias("text"), F.slice(starts, F.lit(1), F.size(parts)).alias("char_start"))).alias("page", "p")).select(
-        id_column, (F.col("page") + 1).alias("page"), "p.char_start", "p.text"
-    )
+    rows = df.select(id_column, F.posexplode(parts).alias("page", "text"))
+    upto = Window.partitionBy(id_column).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)).cast("int")
+    return rows.select(id_column, (F.col("page") + 1).alias("page"), start.alias("char_start"), "text")
 
 
 def table_markdown(rows: Column) -> Column:
@@ -84,20 +95,22 @@ def table_markdown(rows: Column) -> Column:
 
 
 class _Text(HTMLParser):
-    """Visible text of a page, with line ends at block tags; the first main or article element counts if there is one."""
+    """Visible text of a page, with line ends at block tags; if there are main or article elements, only the text of the first one counts."""
 
     SKIPPED = {"script", "style", "noscript", "svg", "iframe"}
     BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "title", "nav"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.skip = self.inside = 0
+        self.skip = self.inside = self.seen = 0
         self.all: list[str] = []
         self.main: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in self.SKIPPED
-        self.inside += tag in ("main", "article")
+        if tag in ("main", "article"):
+            self.inside += 1
+            self.seen += self.inside == 1
         if tag in self.BLOCKS:
             self.handle_data("\n")
 
@@ -110,7 +123,7 @@ class _Text(HTMLParser):
     def handle_data(self, data):
         if not self.skip:
             self.all.append(data)
-            if self.inside:
+            if self.inside and self.seen == 1:
                 self.main.append(data)
 
 
@@ -133,7 +146,7 @@ def html_text(df: DataFrame, id_column: str, html: str) -> DataFrame:
             yield pd.DataFrame({id_column: batch[id_column], "text": batch[html].map(page_text)})
 
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, html).mapInPandas(apply, f"{id_column} {kind}, text string")
+    return map_pandas(df.select(id_column, html), apply, f"{id_column} {kind}, text string")
 
 
 def cached_text(docs: DataFrame, cache: DataFrame) -> DataFrame:

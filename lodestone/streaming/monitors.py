@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators.temporal import latest
+from lodestone.session import shared_folder, ship
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -43,6 +43,7 @@ def latched(events: DataFrame, size: int = 20, limit: float = 30.0) -> DataFrame
         state.update((values, seen, tripped))
         yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "rolling_mean": [sum(values) / len(values)], "tripped": [tripped]})
 
+    ship(events.sparkSession)
     return events.groupBy("user_id").applyInPandasWithState(
         step, "user_id long, seen long, rolling_mean double, tripped boolean", "values array<double>, seen long, tripped boolean", "update", GroupStateTimeout.NoTimeout
     )
@@ -61,8 +62,7 @@ def run(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int, str], None
 
     Output and state lie in the shared checkpoint folder; a local session without one uses a temporary folder.
     """
-    base = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     query.foreachBatch(lambda batch, number: sink(batch, number, f"{place}/out")).start().awaitTermination()
     return f"{place}/out"

@@ -20,11 +20,12 @@ def rates(spark):
     return spark.createDataFrame(rows, "code string, rate double, valid_from date, valid_to date")
 
 
+@pytest.mark.parametrize("join", [temporal.interval_join, temporal.version_join])
 @pytest.mark.parametrize(("day", "half_open", "closed"), [(D(2017, 6, 30), [], []), (D(2017, 7, 1), [1.0], [1.0]), (D(2017, 12, 31), [1.0], [1.0]), (D(2018, 1, 1), [2.0], [1.0, 2.0])])
-def test_intervals_half_open_and_closed(spark, day, half_open, closed):
+def test_intervals_half_open_and_closed(spark, join, day, half_open, closed):
     probe = spark.createDataFrame([("a", day)], "code string, day date")
     for flag, expected in ((False, half_open), (True, closed)):
-        got = temporal.interval_join(probe, rates(spark), ["code"], "day", flag)
+        got = join(probe, rates(spark), ["code"], "day", flag)
         assert sorted(r.rate for r in got.collect()) == expected
 
 
@@ -87,10 +88,10 @@ def test_quantile_fallbacks(spark, n):
     import statistics
 
     values = [float(v) for v in range(n)]
-    rows = spark.createDataFrame([(v,) for v in values], "v double")
-    got = rows.agg(measures.upper_median(F.col("v")).alias("m"), measures.exclusive_percentile(F.col("v"), 95).alias("p95"), measures.exclusive_percentile(F.col("v"), 99).alias("p99")).first()
+    rows = spark.createDataFrame([(1, v) for v in values], "g int, v double")
+    got = measures.group_quantiles(rows, "g", "v", [95, 99]).first()
     exact = statistics.quantiles(values, n=100)
-    assert got.m == sorted(values)[n // 2]
+    assert got.median == sorted(values)[n // 2]
     assert got.p95 == pytest.approx(exact[94] if n >= 20 else n - 1)
     assert got.p99 == pytest.approx(exact[98] if n >= 100 else n - 1)
 
@@ -112,10 +113,18 @@ def test_group_quantiles_of_a_hot_group(spark, monkeypatch, stretch):
     rows = [(1, (k * 7919 % 3001) / 4) for k in range(3001)] + [(2, 5.0)] * 30 + [(3, v) for v in (1.0, None, 2.0)] + [(None, 7.0), (4, None)]
     rows += [(5, float(k)) for k in range(19)] + [(6, float(k)) for k in range(20)]
     df = spark.createDataFrame(rows, "g int, v double").repartition(5)
-    v = F.col("v")
-    plain = df.groupBy("g").agg(measures.upper_median(v).alias("m"), measures.exclusive_percentile(v, 95).alias("p"), F.min(v).alias("low"), F.max(v).alias("high"))
-    got = measures.group_quantiles(df, "g", "v", 95)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    ordered = {}
+    for g, v in rows:
+        ordered.setdefault(g, []).extend([] if v is None else [v])
+    expected = []
+    for g, values in ordered.items():
+        values.sort()
+        n, place = len(values), (len(values) + 1) * 95 / 100
+        low = max(1, int(place))
+        p = None if not n else values[-1] if n * 5 < 100 else values[low - 1] + (values[min(low, n - 1)] - values[low - 1]) * (place - low)
+        expected.append((g, values[n // 2] if n else None, p, values[0] if n else None, values[-1] if n else None))
+    got = measures.group_quantiles(df, "g", "v", [95])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_latency_percentiles_gather_no_group(spark, sf_dir):
@@ -163,6 +172,28 @@ def test_upsert_keeps_unlisted_columns(spark):
     assert got == [("a", "first", 9), ("b", "second", 2), ("c", None, 3)]
 
 
+def test_upsert_of_repeated_and_null_keys(spark):
+    old = spark.createDataFrame([(None, "n", 1), ("a", "x", 1)], "k string, seen string, v int")
+    new = spark.createDataFrame([("a", 5, 2), ("a", None, 3), ("a", 4, 1), (None, 7, 1)], "k string, v int, at int")
+    got = sorted((tuple(r) for r in mutations.upsert(old, new, ["k"], ["v"], ["at"]).collect()), key=repr)
+    assert got == sorted([("a", "x", 5), (None, "n", 7)], key=repr)
+    replaced = mutations.replace_by_key(old.select("k", "v"), new, ["k"], ["at"])
+    assert sorted((tuple(r) for r in replaced.collect()), key=repr) == sorted([("a", None), (None, 7)], key=repr)
+    first = mutations.insert_ignore(old.select("k", "v"), spark.createDataFrame([("b", 9, 2), ("b", 10, 1), ("a", 3, 0)], "k string, v int, at int").select("k", "v"), ["k"], ["v"])
+    assert sorted((tuple(r) for r in first.collect()), key=repr) == sorted([("a", 1), ("b", 9), (None, 1)], key=repr)
+
+
+def test_enrichment_happens_once(spark):
+    rows = spark.createDataFrame([(1, "x" * 120, "H", None, 1), (2, "short", "H", None, 1), (3, "y" * 120, None, "has [ENRICHED] text", 1), (4, "z" * 120, None, None, 1)], "id int, text string, parent string, embed_text string, upserted int")
+    asked = spark.createDataFrame([(1, ["a?", "b?"]), (2, ["c?"]), (3, ["d?"])], "id int, questions array<string>")
+    once = mutations.enrich_once(rows, asked, "id")
+    got = {r.id: (r.upserted, r.embed_text) for r in once.collect()}
+    assert got[1] == (0, "H\n\n" + "x" * 120 + "\n\n[ENRICHED] User questions answered by this passage:\n- a?\n- b?")
+    assert got[2] == (1, None) and got[3] == (1, "has [ENRICHED] text") and got[4] == (1, None)
+    again = mutations.enrich_once(once.select(*rows.columns).withColumn("upserted", F.lit(1)), asked, "id")
+    assert {r.id: r.upserted for r in again.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_fusion_breaks_ties_by_id(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "q int, d int, rank int")
     b = spark.createDataFrame([(1, 20, 1), (1, 30, 2), (1, 10, 2)], "q int, d int, rank int")
@@ -187,6 +218,31 @@ def test_quotas_are_clamped(spark):
     assert sum(r.quota for r in picked) == 10 and {r.c: r.quota for r in picked}["big"] == 7
 
 
+def test_kth_smallest_and_positions(spark):
+    from lodestone.operators import ordering
+
+    values = sorted(f"{k * 2654435761 % 2**32:08x}" for k in range(500))
+    rows = spark.createDataFrame([(v,) for v in values], "h string").repartition(4)
+    assert [ordering.kth_smallest(rows, "h", k, 1) for k in (1, 250, 500, 501)] == [values[0], values[249], values[499], None]
+    table = spark.createDataFrame([(k % 3 or None, -k, k) for k in range(60)], "g int, o int, id int").repartition(5)
+    got = {r.id: r.n for r in ordering.positions(table, "g", ["o"], "n").collect()}
+    for g in (None, 1, 2):
+        ids = sorted((k for k in range(60) if (k % 3 or None) == g), reverse=True)
+        assert [got[k] for k in ids] == list(range(1, 21))
+
+
+def test_trailing_stats_equal_a_plain_window(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(draw.choice("ab"), draw.randrange(5000), float(k)) for k in range(400)]
+    got = islands.trailing_stats(spark.createDataFrame(rows, "k string, at int, v double"), ["k"], F.col("at"), 60, F.col("v")).collect()
+    assert len(got) == 400
+    for r in got:
+        near = [v for k, at, v in rows if k == r.k and r.at - 60 < at <= r.at]
+        assert r.recent == len(near) and r.recent_mean == pytest.approx(sum(near) / len(near))
+
+
 def test_split_keeps_keys_whole(spark):
     rows = spark.createDataFrame([(k % 40, k) for k in range(200)], "chunk int, n int")
     got = sampling.split_by_key(rows, "chunk", 0.05, 3).groupBy("chunk").agg(F.countDistinct("split").alias("s"), F.first("split").alias("x")).collect()
