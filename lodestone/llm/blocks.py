@@ -8,6 +8,11 @@ block sends, for each anchor and context it holds, one entry to the anchor's buc
 the bucket sees whether an anchor or a whole context occurs elsewhere and answers the
 blocks. Copies cost one entry a block, however many a block holds.
 
+An anchor with many different contexts (a line in a good part of all documents) would
+fill one bucket. Such hot anchors are counted first, and each of their windows becomes
+a context of its own under a second hash of the whole window: these keys spread over
+all buckets, and each has one distinct context, however many documents hold it.
+
 Rows between steps carry arrays as bytes: (block or bucket, kind, payload). Spark
 deals them by key, sorts them inside partitions and spills as it needs.
 """
@@ -23,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shuffle_width
+from .common import durable, map_arrow, shuffle_width
 from .textarrays import Texts, slices
 
 BLOCK_BYTES = 1 << 20
+#: Distinct contexts of an anchor above which it is split by windows, contexts that a counting task holds at once, and entries of a bucket.
+HOT, COUNTED_AT_ONCE, ENTRIES_A_BUCKET = 2048, 1 << 20, 400_000
 ROWS = "key long, kind int, payload binary"
 
 
@@ -77,7 +84,7 @@ def make_blocks(docs: DataFrame) -> DataFrame:
                 key += 1
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(plain.mapInArrow(build, ROWS))
+    return durable(map_arrow(plain, build, ROWS))
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
@@ -94,7 +101,7 @@ def per_row(df: DataFrame, work: Callable[[int, int, bytes], Iterator[tuple[int,
             if rows := list(work(key, kind, payload)):
                 yield row_batch(rows)
 
-    return df.mapInArrow(apply, ROWS)
+    return map_arrow(df, apply, ROWS)
 
 
 def per_key(df: DataFrame, work: Callable[[int, list[tuple[int, bytes]]], Iterator], schema: str = ROWS, form: Callable = row_batch) -> DataFrame:
@@ -113,7 +120,7 @@ def per_key(df: DataFrame, work: Callable[[int, list[tuple[int, bytes]]], Iterat
             yield form(rows)
 
     width = shuffle_width(df.sparkSession)
-    return df.repartition(width, "key").sortWithinPartitions("key", "kind").mapInArrow(apply, schema)
+    return map_arrow(df.repartition(width, "key").sortWithinPartitions("key", "kind"), apply, schema)
 
 
 def deal(values: np.ndarray, buckets: int) -> list[np.ndarray]:
@@ -139,6 +146,59 @@ def first_of(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else group
 
 
-def buckets_for(blocks: DataFrame) -> int:
-    """Buckets in proportion to the shuffle partitions, three each, so that a bucket stays a few megabytes."""
-    return 3 * shuffle_width(blocks.sparkSession)
+def hot_anchors(blocks: DataFrame, contexts: Callable[[bytes], tuple[np.ndarray, np.ndarray]], hot: int = HOT) -> tuple[np.ndarray, int]:
+    """Sorted anchors with more than ``hot`` distinct contexts, and the number of buckets for all entries.
+
+    ``contexts`` gives anchors and contexts of a block's distinct entries. Counts are
+    summed over groups of blocks. An anchor with a single context in a group is left out
+    there, so others have at most one context a group more than ``hot``; hot ones are at
+    most one for every ``hot`` contexts of all. Buckets hold ENTRIES_A_BUCKET entries on
+    average at most and are three for each shuffle partition at least.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def tell() -> pa.RecordBatch:
+            anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((context, anchor))
+            a, c = anchor[order], context[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
+            a, n = np.unique(a[new], return_counts=True)
+            several = n > 1
+            # The last row, without an anchor, counts the entries.
+            names = pa.array(np.append(a[several].view(np.int64), 0), mask=np.append(np.zeros(several.sum(), dtype=bool), True))
+            return pa.RecordBatch.from_arrays([names, pa.array(np.append(n[several], size))], ["anchor", "n"])
+
+        for _, _, payload in each_row(batches):
+            anchor, context = contexts(payload)
+            if len(anchor):
+                held.append((anchor, context))
+                size += len(anchor)
+            if size >= COUNTED_AT_ONCE:
+                yield tell()
+                held, size = [], 0
+        if held:
+            yield tell()
+
+    sums = map_arrow(blocks, count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = sums.where((F.col("n") > hot) | F.col("anchor").isNull()).collect()
+    entries = sum(r.n for r in rows if r.anchor is None)
+    anchors = np.sort(np.array([r.anchor for r in rows if r.anchor is not None], dtype=np.int64).view(np.uint64))
+    return anchors, max(3 * shuffle_width(blocks.sparkSession), -(-entries // ENTRIES_A_BUCKET))
+
+
+def split_hot(hot: np.ndarray, anchor: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, second: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+    """anchor, place, low, high with each window of a hot anchor as a context of its own, under a second hash of the whole window."""
+    if not len(hot) or not len(anchor):
+        return anchor, place, low, high
+    split = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    if not split.any():
+        return anchor, place, low, high
+    many = np.where(split, high - low + 1, 1)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    split, anchor, place, low, high = (np.repeat(x, many) for x in (split, anchor, place, low, high))
+    low = low + at
+    high = np.where(split, low, high)
+    anchor[split] = second(low[split])
+    return anchor, place, low, high

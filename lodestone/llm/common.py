@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import durable, table  # noqa: F401
+from lodestone.session import durable, map_arrow, shuffle_width, table  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -13,10 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 load = table
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
@@ -30,10 +26,25 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not in ``dropped`` (null counts as an id), all columns as they are."""
-    d, x = docs.alias("d"), dropped.select(F.col("doc_id").alias("gone")).alias("x")
-    return d.join(x, F.col("d.doc_id").eqNullSafe(F.col("x.gone")), "left_anti")
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, ``_mark_a`` and ``_mark_b``: rows with equal marks are repetitions of one row.
+
+    Columns of types that cannot be hashed (maps, variants) do not count.
+    """
+    names = [f"`{f.name}`" for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in names])
+    return [F.xxhash64(F.lit(1), *names, nulls).alias("_mark_a"), F.xxhash64(F.lit(2), nulls, *reversed(names)).alias("_mark_b")]
+
+
+def keep_marked(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose marks are in ``kept`` (_mark_a, _mark_b), one of each, all columns as they are."""
+    names = [fresh_name(docs, "_mark_a"), fresh_name(docs, "_mark_b")]
+    marked = docs.select("*", *[m.alias(n) for m, n in zip(row_marks(docs), names, strict=True)]).alias("d")
+    k = kept.alias("k")
+    found = marked.join(k, (F.col(f"d.{names[0]}") == F.col("k._mark_a")) & (F.col(f"d.{names[1]}") == F.col("k._mark_b")), "left_semi")
+    number = fresh_name(docs, "_number")
+    once = found.withColumn(number, F.row_number().over(Window.partitionBy(*names).orderBy(names[0])))
+    return once.where(F.col(number) <= 1).drop(number, *names)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

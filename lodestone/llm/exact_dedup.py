@@ -1,184 +1,215 @@
 """Exact dedup through a partitioned cuckoo-filter index of live digests.
 
 Texts are normalised by deleting ``[\\x20\\x09-\\x0D]`` and identified by SHA-256.
-Digests are hash-partitioned; each task holds the cuckoo filter of its partition
-and, beside it, the stored digests in buckets. A filter miss means a new digest; a
-filter hit is verified against the bucket's stored digests, so false positives only
-cost a comparison. A filter that overflows is rebuilt at twice the size from the
-stored digests. Groups are reduced inside each input task before the shuffle, so a
-hot text costs one row per task, however many copies it has.
+Digests are hash-partitioned, in partitions of a measured size; each task holds the
+cuckoo filter of its partition and, beside it, the stored digests as sorted arrays. A
+filter miss means a new digest; a filter hit is verified against the stored digests,
+so false positives only cost a comparison. A filter that overflows is rebuilt at twice
+the size from the stored digests. Rows are reduced inside each input task before the
+shuffle, so a hot text costs one row per task, however many copies it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, durable, whole_text
+from .common import durable, keep_marked, map_arrow, row_marks, shuffle_width, whole_text
+from .textarrays import U64, mix64
 
 BLANKS = " \t\n\x0b\x0c\r"
-LOCAL_GROUPS = 100_000
-_MASK = (1 << 64) - 1
+LOCAL_GROUPS, ROWS_A_PART = 100_000, 500_000
 
 
 class CuckooFilter:
-    """Sixteen-bit fingerprints, four to a bucket, two candidate buckets for each key."""
+    """Sixteen-bit fingerprints (0 is an empty slot), four to a bucket, two candidate buckets for each key; keys are arrays of digests."""
 
     SLOTS, KICKS = 4, 200
 
     def __init__(self, buckets: int = 64):
         self.buckets = 1 << max(1, (buckets - 1).bit_length())
-        self.table: list[list[int]] = [[] for _ in range(self.buckets)]
+        self.table = np.zeros((self.buckets, self.SLOTS), dtype=np.uint16)
 
-    def _places(self, key: bytes) -> tuple[int, int, int]:
-        mark = int.from_bytes(key[8:10], "little") or 1
-        first = int.from_bytes(key[:8], "little") & (self.buckets - 1)
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = keys.view(np.uint64).reshape(len(keys), 4)
+        mark = np.maximum(words[:, 1] & U64(0xFFFF), U64(1)).astype(np.uint16)
+        first = (words[:, 0] & U64(self.buckets - 1)).astype(np.int64)
         return mark, first, self._other(first, mark)
 
-    def _other(self, place: int, mark: int) -> int:
-        return (place ^ ((mark * 0x9E3779B97F4A7C15 & _MASK) >> 20)) & (self.buckets - 1)
-
-    def __contains__(self, key: bytes) -> bool:
-        mark, a, b = self._places(key)
-        return mark in self.table[a] or mark in self.table[b]
-
-    def insert(self, key: bytes) -> bool:
+    def _other(self, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return place ^ (mix64(mark.astype(U64)) & U64(self.buckets - 1)).astype(np.int64)
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        mark, a, b = self._places(keys)
+        return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
+
+    def _fill(self, mark: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Puts marks into free slots of their buckets; tells which found none."""
+        order = np.argsort(place, kind="stable")
+        sorted_place = place[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_place, sorted_place)
+        taken = self.table[sorted_place] != 0
+        fits = rank < self.SLOTS - taken.sum(1)
+        slot = np.argsort(taken, axis=1, kind="stable")[fits, rank[fits]]
+        self.table[sorted_place[fits], slot] = mark[order[fits]]
+        left = np.ones(len(mark), dtype=bool)
+        left[order[fits]] = False
+        return left
+
+    def insert(self, keys: np.ndarray) -> bool:
         """False if the filter is full; it must then be rebuilt larger."""
-        mark, a, b = self._places(key)
-        for place in (a, b):
-            if len(self.table[place]) < self.SLOTS:
-                self.table[place].append(mark)
-                return True
-        place = a
+        mark, a, b = self._places(keys)
+        left = self._fill(mark, a)
+        mark, a, b = mark[left], a[left], b[left]
+        left = self._fill(mark, b)
+        return all(self._kick(m, int(p)) for m, p in zip(mark[left], a[left], strict=True))
+
+    def _kick(self, mark: np.uint16, place: int) -> bool:
         for kick in range(self.KICKS):
-            slot = kick % self.SLOTS
-            mark, self.table[place][slot] = self.table[place][slot], mark
-            place = self._other(place, mark)
-            if len(self.table[place]) < self.SLOTS:
-                self.table[place].append(mark)
+            free = np.flatnonzero(self.table[place] == 0)
+            if len(free):
+                self.table[place, free[0]] = mark
                 return True
+            slot = kick % self.SLOTS
+            mark, self.table[place, slot] = self.table[place, slot], mark
+            place = int(self._other(np.array([place]), np.array([mark]))[0])
         return False
 
-    def delete(self, key: bytes) -> bool:
-        mark, a, b = self._places(key)
-        for place in (a, b):
-            if mark in self.table[place]:
-                self.table[place].remove(mark)
-                return True
-        return False
+    def delete(self, keys: np.ndarray) -> None:
+        """Takes one mark of each key out; only keys that were inserted may be deleted."""
+        mark, a, b = self._places(keys)
+        for m, x, y in zip(mark, a, b, strict=True):
+            place = x if (self.table[x] == m).any() else y
+            self.table[place, np.flatnonzero(self.table[place] == m)[0]] = 0
+
+
+def reduced(keys: np.ndarray, n: np.ndarray, doc: np.ndarray, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row for each key, keys ascending: of most code points, then the smallest doc_id (null last), and the sum of counts."""
+    order = np.lexsort((doc, ~known, -n, keys))
+    keys = keys[order]
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    best = order[head]
+    return keys[head], n[best], doc[best], known[best], np.add.reduceat(count[order], head) if len(head) else count
 
 
 class DigestIndex:
-    """A cuckoo filter before the stored digests, which lie in buckets by their first bytes.
+    """A cuckoo filter before the stored digests, which are sorted arrays with what is kept of each.
 
-    ``find`` answers from the filter and verifies a hit; ``insert`` and ``delete``
-    keep the filter and the store in step, and an overflow rebuilds the filter at
-    twice its size from the stored digests.
+    ``find`` answers from the filter and verifies hits; ``add`` and ``delete`` keep the
+    filter and the store in step, and an overflow rebuilds the filter at twice its size
+    from the stored digests.
     """
 
     def __init__(self, buckets: int = 64):
         self.filter = CuckooFilter(buckets)
-        self.store: dict[bytes, dict[bytes, list]] = {}
-        self.live = self.false_hits = self.rebuilt = 0
-
-    def find(self, key: bytes) -> list | None:
-        if key not in self.filter:
-            return None
-        entry = self.store.get(key[:4], {}).get(key)
-        self.false_hits += entry is None
-        return entry
-
-    def insert(self, key: bytes, entry: list) -> None:
-        self.store.setdefault(key[:4], {})[key] = entry
-        self.live += 1
-        if not self.filter.insert(key):
+        self.keys = np.zeros(0, dtype="S32")
+        self.n = self.doc = self.count = np.zeros(0, dtype=np.int64)
+        self.known = np.zeros(0, dtype=bool)
+        self.false_hits = self.rebuilt = 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys in the store, -1 if they are not live."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        hits = np.flatnonzero(self.filter.contains(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys[hits]), len(self.keys) - 1)
+        real = self.keys[at] == keys[hits] if len(self.keys) else np.zeros(len(hits), dtype=bool)
+        out[hits[real]] = at[real]
+        self.false_hits += int((~real).sum())
+        return out
+
+    def add(self, keys: np.ndarray, n: np.ndarray, doc: np.ndarray, known: np.ndarray, count: np.ndarray) -> None:
+        """Rows as :func:`reduced` makes them: new digests come in, live ones take the better row and the sum of counts."""
+        at = self.find(keys)
+        old, own = at[at >= 0], np.flatnonzero(at >= 0)
+        self.count[old] += count[own]
+        less = (n[own] == self.n[old]) & ((known[own] & ~self.known[old]) | ((known[own] == self.known[old]) & (doc[own] < self.doc[old])))
+        better = (n[own] > self.n[old]) | less
+        self.n[old[better]], self.doc[old[better]], self.known[old[better]] = n[own[better]], doc[own[better]], known[own[better]]
+        fresh = at < 0
+        place = np.searchsorted(self.keys, keys[fresh])
+        self.keys, self.known = np.insert(self.keys, place, keys[fresh]), np.insert(self.known, place, known[fresh])
+        self.n, self.doc, self.count = (np.insert(x, place, y[fresh]) for x, y in ((self.n, n), (self.doc, doc), (self.count, count)))
+        if len(self.keys) * 2 > self.filter.buckets * self.filter.SLOTS or not self.filter.insert(keys[fresh]):
             self._rebuild()
 
-    def delete(self, key: bytes) -> bool:
-        if self.find(key) is None:
-            return False
-        bucket = self.store[key[:4]]
-        del bucket[key]
-        if not bucket:
-            del self.store[key[:4]]
-        self.live -= 1
-        return self.filter.delete(key)
+    def delete(self, places: np.ndarray) -> None:
+        self.filter.delete(self.keys[places])
+        self.keys, self.known, self.n, self.doc, self.count = (np.delete(x, places) for x in (self.keys, self.known, self.n, self.doc, self.count))
 
     def _rebuild(self) -> None:
         size = self.filter.buckets
         while True:
             size, self.rebuilt = size * 2, self.rebuilt + 1
+            if len(self.keys) * 2 > size * CuckooFilter.SLOTS:
+                continue
             self.filter = CuckooFilter(size)
-            if all(self.filter.insert(k) for k, _ in self.items()):
+            if self.filter.insert(self.keys):
                 return
 
-    def items(self) -> Iterator[tuple[bytes, list]]:
-        for bucket in self.store.values():
-            yield from bucket.items()
 
-
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the normalised text, n_code_points of the original one (null text: empty)."""
+def digests(docs: DataFrame, *carry) -> DataFrame:
+    """doc_id, text_sha256 of the normalised text, n_code_points of the original one (null text: empty), and carried columns."""
     text = whole_text()
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256).alias("text_sha256"),
-        F.char_length(text).cast("long").alias("n_code_points"),
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256).alias("text_sha256"),
+        F.char_length(text).cast("long").alias("n_code_points"), *carry,
+    )
 
 
-def _better(n: int, doc: int | None, best: list) -> bool:
-    """More code points win, then the smaller doc_id; a null doc_id loses to any other."""
-    if n != best[0]:
-        return n > best[0]
-    return doc is not None and (best[1] is None or doc < best[1])
+_GROUPS = "digest binary, n_code_points long, keep_id long, group_size long"
 
 
-def _emit(groups: Iterable[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
-    rows = [(k.hex(), *v) for k, v in groups]
-    for i in range(0, len(rows), 10_000):
-        sha, n, doc, count = zip(*rows[i : i + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sha, pa.string()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(count, pa.int64())],
-            ["text_sha256", "n_code_points", "keep_id", "group_size"],
-        )
+def _key_array(column: pa.Array) -> np.ndarray:
+    """A column of 32-byte values without nulls as an array."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].copy().view("S32") if len(column) else np.zeros(0, dtype="S32")
 
 
-_GROUPS = "text_sha256 string, n_code_points long, keep_id long, group_size long"
+def _binary(keys: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((np.arange(len(keys) + 1) * 32).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
 
 
 def _reduce(batches: Iterator[pa.RecordBatch], flush_at: int | None) -> Iterator[pa.RecordBatch]:
     index = DigestIndex()
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(index), 10_000):
+            part = slice(i, i + 10_000)
+            columns = [_binary(index.keys[part]), pa.array(index.n[part]), pa.array(index.doc[part], mask=~index.known[part]), pa.array(index.count[part])]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "n_code_points", "keep_id", "group_size"])
+
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        for sha, n, doc, count in zip(*columns, strict=True):
-            key = bytes.fromhex(sha)
-            entry = index.find(key)
-            if entry is None:
-                index.insert(key, [n, doc, count])
-            else:
-                if _better(n, doc, entry):
-                    entry[0], entry[1] = n, doc
-                entry[2] += count
-        if flush_at and index.live >= flush_at:
-            yield from _emit(index.items())
+        doc = batch.column(2)
+        index.add(*reduced(_key_array(batch.column(0)), np.asarray(batch.column(1)), np.asarray(doc.fill_null(0)), np.asarray(doc.is_valid()), np.asarray(batch.column(3))))
+        if flush_at and len(index) >= flush_at:
+            yield from emit()
             index = DigestIndex()
-    yield from _emit(index.items())
+    yield from emit()
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    """Partitions for digests of so many rows: ROWS_A_PART each at most, and no fewer than the session's."""
+    return max(shuffle_width(df.sparkSession), -(-rows // ROWS_A_PART))
 
 
 def build_index(rows: DataFrame) -> DataFrame:
     """One row for each live digest: text_sha256, n_code_points, keep_id, group_size.
 
-    ``rows`` has the columns of :func:`digests`. Every task first reduces its own
-    rows (in runs of ``LOCAL_GROUPS`` digests), then the digests are dealt by hash
-    and each partition's index decides.
+    ``rows`` has the columns of :func:`digests` and should be durable, as it is counted.
+    Every task first reduces its own rows (in runs of ``LOCAL_GROUPS`` digests), then the
+    digests are dealt by hash and each partition's index decides.
     """
-    first = rows.select("text_sha256", "n_code_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    local = first.mapInArrow(lambda b: _reduce(b, LOCAL_GROUPS), _GROUPS)
-    return local.repartition("text_sha256").mapInArrow(lambda b: _reduce(b, None), _GROUPS)
+    first = rows.select(F.unhex("text_sha256").alias("digest"), "n_code_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    local = map_arrow(first, lambda b: _reduce(b, LOCAL_GROUPS), _GROUPS)
+    index = map_arrow(local.repartition(_parts(rows, rows.count()), "digest"), lambda b: _reduce(b, None), _GROUPS)
+    return index.select(F.lower(F.hex("digest")).alias("text_sha256"), "n_code_points", "keep_id", "group_size")
 
 
 def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -195,27 +226,24 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> Data
         .unionByName(added.groupBy("text_sha256").agg(count.alias("n")))
         .unionByName(removed.groupBy("text_sha256").agg((-count).alias("n")))
     )
+    changes = durable(changes.select(F.unhex("text_sha256").alias("digest"), "n"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, less = DigestIndex(), {}
+        own, less = DigestIndex(), []
         for batch in batches:
-            for sha, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = bytes.fromhex(sha)
-                if n < 0:
-                    less[key] = less.get(key, 0) + n
-                elif (entry := index.find(key)) is None:
-                    index.insert(key, [n])
-                else:
-                    entry[0] += n
-        for key, n in less.items():
-            if (entry := index.find(key)) is not None:
-                entry[0] += n
-                if entry[0] <= 0:
-                    index.delete(key)
-        rows = [(k.hex(), v[0]) for k, v in index.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["text_sha256", "live"])
-
-    return changes.repartition("text_sha256").mapInArrow(apply, "text_sha256 string, live long")
+            keys, n = _key_array(batch.column(0)), np.asarray(batch.column(1))
+            zero = np.zeros(len(keys), dtype=np.int64)
+            part = n > 0
+            own.add(*reduced(keys[part], zero[part], zero[part], zero[part] == 0, n[part]))
+            less.append((keys[~part], n[~part]))
+        for keys, n in less:
+            at = own.find(keys)
+            np.add.at(own.count, at[at >= 0], n[at >= 0])
+        own.delete(np.flatnonzero(own.count <= 0))
+        yield pa.RecordBatch.from_arrays([_binary(own.keys), pa.array(own.count)], ["digest", "live"])
+
+    kept = map_arrow(changes.repartition(_parts(changes, changes.count()), "digest"), apply, "digest binary, live long")
+    return kept.select(F.lower(F.hex("digest")).alias("text_sha256"), "live")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -234,5 +262,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without the copies that exact dedup drops, all columns unchanged."""
-    return drop_ids(docs, exact_dedup(docs).where(~F.col("kept")))
+    """One document of each group of equal texts, all columns unchanged.
+
+    It is the one that :func:`exact_dedup` keeps. Rows are told apart by all their
+    columns, not by doc_id: rows of one doc_id (or without any) and different texts all
+    stay, and of several rows with the text, doc_id and length that stays one does.
+    """
+    rows = durable(digests(docs, *row_marks(docs)))
+    index = build_index(rows).select("text_sha256", "keep_id", F.col("n_code_points").alias("most"))
+    best = rows.join(index, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("most")))
+    kept = best.groupBy("text_sha256").agg(F.min(F.struct("_mark_a", "_mark_b")).alias("_m")).select("_m.*")
+    return keep_marked(docs, kept)

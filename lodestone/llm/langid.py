@@ -15,10 +15,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, map_arrow, small_side
 from .textarrays import Texts, U64, slices
 
 FOLDS, HELD_OUT = 4, 2
@@ -114,17 +114,25 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their ids; whole texts."""
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of their ids; whole texts.
+
+    Half of the sample is dealt equally to the languages, half by their frequency, so
+    that rare languages are learned too. No labelled rows give a model without languages.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(id_crc(), F.lit(0)) % FOLDS != HELD_OUT))
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    share = known.select("doc_id").count()
-    if share > rows:
-        # Hash threshold first, so that few texts reach the sort for the exact bound.
-        known = known.where(F.pmod(order, F.lit(1 << 20)) < int(min(1 << 20, (1 << 20) * 1.3 * rows / share + 1)))
-    sample = known.orderBy(F.pmod(order, F.lit(1 << 20)), "doc_id").limit(rows)
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
+    total = sum(counts.values())
+    least = rows // (2 * max(1, len(counts)))
+    quotas = [(lang, min(n, max(1, least + (rows - least * len(counts)) * n // total)), n) for lang, n in counts.items()]
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 20))
+    # Hash thresholds first, so that few texts reach the ranking for the exact bounds; the side has a row a language.
+    limits = known.sparkSession.createDataFrame([(lang, q, int(min(1 << 20, (1 << 20) * (1.3 * q + 20) / n))) for lang, q, n in quotas], "lang string, quota int, under int")
+    near = known.join(small_side(limits, len(quotas)), "lang").withColumn("_place", place).where(F.col("_place") < F.col("under"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
+    sample = near.withColumn("_rank", rank).where((F.col("_rank") <= F.col("quota")) & (F.col("_rank") <= rows)).select("lang", "text")
     x, y = [], []
-    for row in sample.mapInArrow(_packed, "lang string, x binary").toLocalIterator():
+    for row in map_arrow(sample, _packed, "lang string, x binary").toLocalIterator():
         x.append(np.frombuffer(row.x, dtype=np.float16))
         y.append(row.lang)
     return train(np.array(x, dtype=np.float32).reshape(len(y), DIMENSIONS), y)
@@ -161,5 +169,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(apply, "doc_id long, lang_pred string, score double")
+    found = map_arrow(rows, apply, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (F.coalesce(id_crc(), F.lit(0)) % FOLDS == HELD_OUT).alias("held_out"), "lang_pred", "score", (F.col("score") < AMBIGUOUS_UNDER).alias("ambiguous"))

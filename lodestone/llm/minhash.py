@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, durable
+from .common import WORD, durable, keep_marked, map_arrow, row_marks
 from .components import components
 from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
-MEMBERS_A_TASK = 256
+MEMBERS_A_TASK, TOKENS_AT_ONCE = 256, 500_000
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +99,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("doc_id").slice(texts.first, texts.n), pa.array(np.diff(bounds)),
                     pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)), pa.array((mixed[bounds[1:]] - mixed[bounds[:-1]]).view(np.int64)), lists,
+                    batch.column("_mark_a").slice(texts.first, texts.n), batch.column("_mark_b").slice(texts.first, texts.n),
                 ],
-                ["doc_id", "n_shingles", "key_a", "key_b", "bands"],
+                ["doc_id", "n_shingles", "key_a", "key_b", "bands", "_mark_a", "_mark_b"],
             )
 
 
@@ -109,7 +110,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batch.column("text")):
             codes, bounds = shingle_sets(texts)
             sets = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(codes)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(texts.first, texts.n), sets], ["node", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(texts.first, texts.n), sets], ["node", "codes"])
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> bool:
@@ -121,17 +122,17 @@ def _close(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by hub and part, the hub's own set first; each member is compared as it passes."""
-    at, hub_codes = None, []
+    at, hub_codes = None, None
     for batch in batches:
         hub, part, role, node = (batch.column(k).to_pylist() for k in ("hub", "part", "role", "node"))
         codes, found = batch.column("codes"), []
         for i in range(batch.num_rows):
             own = np.frombuffer(codes[i].as_buffer(), dtype=U64)
             if (hub[i], part[i]) != at:
-                at, hub_codes = (hub[i], part[i]), []
+                at, hub_codes = (hub[i], part[i]), None
             if role[i] == 0:
-                hub_codes.append(own.copy())
-            elif any(_close(own, h) for h in hub_codes):
+                hub_codes = own.copy()
+            elif hub_codes is not None and _close(own, hub_codes):
                 found.append((node[i], hub[i]))
         if found:
             a, b = zip(*found, strict=True)
@@ -150,19 +151,22 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     heads = members.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"))
     rows = dealt.unionByName(heads).join(sets, "node")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
-    return rows.select("hub", "part", "role", "node", "codes").mapInArrow(_against_hub, "a long, b long")
+    return map_arrow(rows.select("hub", "part", "role", "node", "codes"), _against_hub, "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set, some hundred thousand at once."""
     for batch in batches:
-        node = np.asarray(batch.column("node"))
-        label = np.asarray(batch.column("label"))
-        for i, value in enumerate(batch.column("codes")):
-            codes = np.frombuffer(value.as_buffer(), dtype=np.int64)
-            n = len(codes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, node[i])), pa.array(np.full(n, label[i])), pa.array(np.full(n, n, dtype=np.int32)), pa.array(codes)], ["node", "label", "n", "code"]
-            )
+        node, label, column = np.asarray(batch.column("node")), np.asarray(batch.column("label")), batch.column("codes")
+        bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+        codes = np.frombuffer(column.buffers()[2], dtype=np.int64) if len(column) else np.zeros(0, dtype=np.int64)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + TOKENS_AT_ONCE, side="right")) - 1)
+            n = np.diff(bounds[i : j + 1])
+            columns = [np.repeat(node[i:j], n), np.repeat(label[i:j], n), np.repeat(n, n).astype(np.int32), codes[bounds[i] : bounds[j]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "label", "n", "code"])
+            i = j
 
 
 def rest_pairs(multi: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,8 +179,8 @@ def rest_pairs(multi: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     member = multi.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     nodes = member.join(mixed, "key", "left_semi").select("node", "label").distinct()
-    tokens = nodes.join(sets, "node").mapInArrow(_tokens, "node long, label long, n int, code long")
-    tokens = durable(tokens)
+    own = nodes.join(sets, "node").dropDuplicates(["node"])
+    tokens = durable(map_arrow(own, _tokens, "node long, label long, n int, code long"))
     spread = tokens.groupBy("code").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("x"), F.max("label").alias("y"))
     common = spread.where("f > 1").select("code", "f", (F.col("x") != F.col("y")).alias("mixed"))
     ranked = tokens.join(common, "code", "left").select("node", "label", "n", "code", F.coalesce("f", F.lit(1)).alias("f"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
@@ -195,36 +199,56 @@ def rest_pairs(multi: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     return left.join(right, may).select(F.col("r.node").alias("node"), F.col("l.node").alias("hub")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _near(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, the number of its component (null in none) and the marks of each row.
 
-    Null texts and texts without words have no shingles and link with nothing. A null
-    doc_id links with nothing and stays. Rows that repeat a doc_id count as one node
-    for links and are listed each. Other columns are ignored; an empty table gives an
-    empty result.
+    A node is a class of rows with one shingle set; its number stands for the class's
+    first row, which is known by its marks, since a doc_id may name several texts.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(plain.mapInArrow(_signed, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"))
+    marks = ["_mark_a", "_mark_b"]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_marks(docs))
+    signed = durable(map_arrow(plain, _signed, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, _mark_a long, _mark_b long"))
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["n_shingles", "key_a", "key_b"]
-    classes = usable.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    # Bands are those of the node's own row: a join on ids, not an aggregate that carries arrays.
-    heads = usable.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
-    banded = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    heads = usable.groupBy(*same).agg(F.min(F.struct("doc_id", *marks)).alias("_h"))
+    classes = durable(heads.select(*same, F.monotonically_increasing_id().alias("node"), F.col("_h.doc_id").alias("first_id"), "_h._mark_a", "_h._mark_b"))
+    # Bands and texts are those of the class's first row: a join on marks, not an aggregate that carries arrays.
+    banded = usable.join(classes.select("node", *marks), marks).select("node", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub")
     multi = durable(banded.join(hubs, "key").distinct())
-    sets = durable(plain.join(multi.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_set_rows, "node long, codes binary"))
+    wanted = classes.join(multi.select("node").distinct(), "node").select("node", *marks)
+    sets = durable(map_arrow(plain.join(wanted, marks).select("node", "text"), _set_rows, "node long, codes binary"))
     links = durable(confirm(multi.where("node != hub").select("node", "hub").distinct(), sets))
     labels = components(links)
     more = confirm(rest_pairs(multi, labels, sets), sets)
     labels = components(links.unionByName(more))
-    label_of = classes.join(labels, "node", "left").select(*same, F.coalesce("label", "node").alias("component"))
-    on = [F.col(f"s.{c}") == F.col(f"c.{c}") for c in same]
-    joined = signed.alias("s").join(label_of.alias("c"), on, "left")
+    linked = labels.join(classes.select("node", "first_id"), "node")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("component"))
+    of_node = linked.join(least, "label").select("node", "component", "label")
+    of_class = classes.join(of_node, "node", "left").select(*same, F.coalesce("component", "first_id").alias("component"), F.coalesce("label", "node").alias("_group"))
+    joined = signed.alias("s").join(of_class.alias("c"), [F.col(f"s.{c}") == F.col(f"c.{c}") for c in same], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("s.n_shingles") > 0), F.col("c.component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("s.n_shingles").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", F.col("s.n_shingles").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "c._group", *marks)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Null texts and texts without words have no shingles and link with nothing. A null
+    doc_id links with nothing and stays. Rows that repeat a doc_id are documents of
+    their own, each linked by its own text. Other columns are ignored; an empty table
+    gives an empty result.
+    """
+    return _near(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near duplicates, all columns unchanged."""
-    return drop_ids(docs, near_duplicates(docs).where(~F.col("kept")))
+    """The documents with one of each group of near duplicates, all columns unchanged.
+
+    It is the one whose doc_id names the group; of several rows of the group with that
+    doc_id one stays. Rows without words or without a doc_id are in no group and all stay.
+    """
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    near = _near(docs.where(~alone))
+    kept = near.where("kept").groupBy("_group").agg(F.min(F.struct("_mark_a", "_mark_b")).alias("_m")).select("_m.*")
+    return docs.where(alone).unionByName(keep_marked(docs.where(~alone), kept))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LARGEST_MODEL, KEPT_PARTS, THREADS = 64 << 20, 200_000, 2
@@ -171,7 +173,7 @@ class Codec:
         return b"".join(map(self.spelled.__getitem__, ids)) == text.encode()
 
     def _one(self, part: str) -> tuple[list[int], bool]:
-        """Ids of a part, and whether it spells back and (where the library applies) has the library's ids."""
+        """Ids of a part, and whether it spells back and (for models without a normaliser) has the library's ids."""
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         # A last single space alone would be the library's own prefix, so it is looked up.
         theirs = ids if not self.plain else [self.library.piece_to_id(MARK)] if part == " " else self.library.encode(part[1:])
@@ -224,7 +226,11 @@ class Codec:
         ids = self.ids[np.repeat(begins[at] - (ends - take), take) + np.arange(int(take.sum()))]
         edges = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         bad = np.concatenate(([0], np.cumsum(~self.good[at])))
-        return ids, np.concatenate(([0], ends)).astype(np.int64)[edges], bad[edges[1:]] == bad[edges[:-1]]
+        bounds, parity = np.concatenate(([0], ends)).astype(np.int64)[edges], bad[edges[1:]] == bad[edges[:-1]]
+        if not self.plain:  # a normaliser may work across parts, so whole texts are compared
+            theirs = self.library.encode(list(texts), num_threads=THREADS)
+            parity &= np.array([np.array_equal(ids[a:b], t) for a, b, t in zip(bounds[:-1], bounds[1:], theirs, strict=True)], dtype=bool)
+        return ids, bounds, parity
 
     def decode(self, ids: list[int]) -> str:
         text = self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -275,11 +281,11 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
         own._forget()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(apply, "doc_id long, n_tokens long, token_ids array<int>, parity boolean")
+    return map_arrow(plain, apply, "doc_id long, n_tokens long, token_ids array<int>, parity boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
-    """doc_id and text of rows (doc_id, token_ids); null ids give a null text."""
+    """doc_id and text of rows (doc_id, token_ids); null ids give a null text, no ids an empty one, no rows none."""
     model = encoded.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,4 +294,4 @@ def decode(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
             texts = [None if ids is None else own.decode(ids) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(apply, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "token_ids"), apply, "doc_id long, text string")

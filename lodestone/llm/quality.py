@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_crc
+from .common import durable, id_crc, map_arrow
 from .textarrays import Texts, byte_prefix, mix64, slices, U64
 
 FOLDS, THRESHOLD, SHRINKAGE, FLOOR = 5, 0.3, 0.15, 1e-3
@@ -88,7 +88,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, "doc_id long, x array<double>")
+    """doc_id and statistics of each document; an empty table has none."""
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _batches, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -142,14 +143,14 @@ def fit(rows: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Mod
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of rows (doc_id, x)."""
+    """doc_id and score of rows (doc_id, x); no rows give none."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("x").flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return rows.mapInArrow(apply, "doc_id long, score double")
+    return map_arrow(rows, apply, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,4 +180,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
     docs_columns = docs.columns
-    return docs.mapInArrow(passing, docs.schema)
+    return map_arrow(docs, passing, docs.schema)

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, buckets_for, deal, first_of, groups, make_blocks, pack, per_key, per_row, unpack
+from .blocks import HOT, Block, deal, first_of, hot_anchors, make_blocks, pack, per_key, per_row, split_hot, unpack
 from .common import durable
-from .textarrays import U64, anchors, byte_prefix, mix64, word_prefix
+from .textarrays import U64, anchors, byte_prefix, mix64, second_word_prefix, word_prefix
 
 WINDOW, GRAM = 20, 10
 _LAST = np.int64(2**63 - 1)
@@ -30,7 +30,7 @@ _LAST = np.int64(2**63 - 1)
 class _Parsed:
     """The words of a block, its windows' anchors, and its distinct entries (anchor, context) with their first places."""
 
-    def __init__(self, block: Block, window: int, gram: int):
+    def __init__(self, block: Block, window: int, gram: int, hot: np.ndarray = np.zeros(0, dtype=U64)):
         self.block, self.window = block, window
         self.starts, self.ends, self.docs = block.texts.words()
         self.order_id = np.where(block.known, block.ids, _LAST)
@@ -45,7 +45,8 @@ class _Parsed:
             grams = self.prefix.of(i, i + gram)
             valid = self.docs[: n - window + 1] == self.docs[window - 1 :]
             self.place, self.low, self.high = anchors(grams, valid, window - gram + 1)
-            anchor = grams[self.place]
+            found = grams[self.place], self.place, self.low, self.high
+            anchor, self.place, self.low, self.high = split_hot(hot, *found, lambda own: second_word_prefix(codes).of(own, own + window))
         else:
             anchor = np.zeros(0, dtype=U64)
         context = self.prefix.of(self.low, self.high + window) ^ mix64((self.place - self.low + 1).astype(U64))
@@ -109,7 +110,7 @@ def _answers(held: list[tuple[int, bytes]], sign: int, deals: list[np.ndarray])
     return tuple(np.concatenate(x) for x in ([d[p[0]] for d, p in got], [p[1] for _, p in got], [p[2] for _, p in got], [d[p[3]] for d, p in got]))
 
 
-def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, kept_text, spans of (start, length, source_doc, source_start) in words.
 
     Spans are the factors of at least ``window`` words that occur earlier; they may
@@ -118,13 +119,18 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     doc_id are documents of their own, in order of storage. Other columns are ignored.
     """
     blocks = make_blocks(docs)
-    n = buckets_for(blocks)
+
+    def contexts(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        p = _Parsed(Block(payload), window, gram)
+        return p.anchor, p.context
+
+    split, n = hot_anchors(blocks, contexts, hot)
 
     def parsed(held: list[tuple[int, bytes]]) -> _Parsed:
-        return _Parsed(Block(next(p for kind, p in held if kind == 0)), window, gram)
+        return _Parsed(Block(next(p for kind, p in held if kind == 0)), window, gram, split)
 
     def index(key: int, kind: int, payload: bytes) -> Iterator[tuple[int, int, bytes]]:
-        p = _Parsed(Block(payload), window, gram)
+        p = _Parsed(Block(payload), window, gram, split)
         doc, place = p.where(p.low[p.first])
         for bucket, own in enumerate(deal(p.anchor, n)):
             if len(own):
@@ -227,10 +233,10 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n_words.astype(np.int64)), text, spans], ["doc_id", "n_words", "kept_text", "spans"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, n_factors: what :func:`factors` leaves of each document."""
     kept = F.when(F.length("kept_text") == 0, 0).otherwise(F.length("kept_text") - F.length(F.translate("kept_text", " ", "")) + 1)
-    return factors(docs, window).select(
+    return factors(docs, window, hot=hot).select(
         "doc_id", "n_words", (F.col("n_words") - kept).cast("long").alias("n_removed"),
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_factors"),
     )

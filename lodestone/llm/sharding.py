@@ -1,73 +1,102 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
 Groups of equal texts stay together. In the order of their digests, the smallest
-feasible shard capacity is searched for: a capacity is feasible if greedy filling
-needs no more than the allowed shards, and the cuts of that filling are the result.
-Groups are not collected: a greedy step is the question "which group end is the last
-one at or under x", and one Spark job answers it for all capacities tried at once.
+feasible shard capacity is found by binary search: a capacity is feasible if greedy
+filling needs no more than the allowed shards, and the cuts of that filling are the
+result. Groups are not collected: the search runs on summaries of their ends, which
+Spark makes finer only where a cut can lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shuffle_width, whole_text
+from lodestone.operators.ordering import running_totals
 
-SHARDS, TRIED_AT_ONCE = 16, 127
+from .common import durable, whole_text
 
+SHARDS, CELLS = 16, 1 << 16
 
-def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Exclusive running sums over a global order: {new column: column}.
 
-    Rows are range-partitioned and checkpointed, so partition numbers stand; only one
-    row a partition is gathered, and windows stay inside partitions.
-    """
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(shuffle_width(spark), *order).withColumn("_part", F.spark_partition_id())
-    dealt = durable(dealt)
-    per = dealt.groupBy("_part").agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt.join(F.broadcast(offsets), "_part")  # one row for each shuffle partition
-    return rows.select(*df.columns, *[(F.col(f"_before_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).cast("long").alias(n) for n, c in sums.items()])
-
-
-def _last_ends(ends: DataFrame, limits: list[int], largest: int) -> list[int]:
-    """For each limit, the largest group end at or under it.
-
-    No group is larger than ``largest``, so that end lies less than ``largest`` below
-    its limit. Every end counts for the first limit at or over it; maxima of these
-    classes, run up over the limits, answer all of them.
-    """
-    steps = sorted(set(limits))
-    near = ends.where((F.col("end") > steps[0] - largest) & (F.col("end") <= steps[-1]))
-    passed = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x < F.col("end")))
-    tops = {r.k: r.e for r in near.groupBy(passed.alias("k")).agg(F.max("end").alias("e")).collect()}
-    best, at = {}, 0
-    for k, x in enumerate(steps):
-        best[x] = at = max(at, tops.get(k, 0))
-    return [best[x] for x in limits]
+def _regions(spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(from, to, first cell, width) of each span of group ends that is to be seen more closely, CELLS in all at most."""
+    width = max(1, -(-sum(b - a + 1 for a, b in spans) // (CELLS - len(spans))))
+    out, cell = [], 0
+    for a, b in spans:
+        out.append((a, b, cell, width))
+        cell += (b - a) // width + 1
+    return out
+
+
+def _summary(ends: DataFrame, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest group end of each filled cell of the spans, in order: one job, CELLS rows at most."""
+    cell = F.lit(None).cast("long")
+    for a, b, first, width in _regions(spans):
+        cell = F.when((F.col("end") >= a) & (F.col("end") <= b), F.floor((F.col("end") - a) / width) + first).otherwise(cell)
+    rows = ends.select("end", cell.alias("cell")).where("cell is not null").groupBy("cell").agg(F.min("end").alias("low"), F.max("end").alias("high")).toPandas()
+    return np.sort(rows["low"].to_numpy()), np.sort(rows["high"].to_numpy())
+
+
+class _Greedy:
+    """Greedy filling over summarised group ends, with the least and the most that each shard can reach."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, total: int, shards: int):
+        self.low, self.high, self.total, self.shards = low, high, total, shards
+
+    def sure(self, x: int) -> int:
+        """A group end at or under ``x`` that is known."""
+        k = int(np.searchsorted(self.high, x, side="right"))
+        own = int(self.low[k]) if k < len(self.low) and self.low[k] <= x else 0
+        return max(own, int(self.high[k - 1]) if k else 0)
+
+    def possible(self, x: int) -> int:
+        """No group end at or under ``x`` lies beyond this."""
+        k = int(np.searchsorted(self.low, x, side="right"))
+        return min(x, int(self.high[k - 1])) if k else 0
+
+    def ends(self, capacity: int, step) -> list[int]:
+        at, out = 0, []
+        for _ in range(self.shards):
+            at = self.total if at + capacity >= self.total else step(at + capacity)
+            out.append(at)
+        return out
+
+    def smallest(self, low: int, high: int, step) -> int:
+        """Binary search of the smallest capacity whose filling reaches the end; ``high`` is feasible."""
+        while low < high:
+            middle = (low + high) // 2
+            if self.ends(middle, step)[-1] == self.total:
+                high = middle
+            else:
+                low = middle + 1
+        return high
 
 
 def smallest_capacity(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity and the ends of the shards filled greedily with it."""
-    low, high, cuts = max(largest, -(-total // shards)), -(-total // shards) + largest, None
+    """The smallest feasible capacity and the ends of the shards filled greedily with it.
+
+    Binary search over capacities, each checked greedily, runs on a summary of the
+    group ends: the smallest and largest end of each of CELLS cells. It gives bounds of
+    the capacity and of every shard's end; only the spans between these bounds are
+    summarised again, in cells some hundred times narrower, until each bound is one
+    end. Rounds grow with the logarithm of the bytes (three at a gigabyte, five at 100 TB).
+    """
+    least, most = max(largest, -(-total // shards)), total
+    spans = [(1, total)]
     while True:
-        n = min(TRIED_AT_ONCE, high - low + 1)
-        tried = sorted({low + (high - low) * k // max(1, n - 1) for k in range(n)})
-        at, filled = [0] * len(tried), [[] for _ in tried]
-        for _ in range(shards):
-            limits = [min(a + c, total) for a, c in zip(at, tried, strict=True)]
-            at = [total if x == total else y for x, y in zip(limits, _last_ends(ends, limits, largest), strict=True)]
-            for own, a in zip(filled, at, strict=True):
-                own.append(a)
-        best = next(k for k, a in enumerate(at) if a == total)
-        cuts = filled[best]
-        if best == 0 or tried[best] - tried[best - 1] <= 1:
-            return tried[best], cuts
-        low, high = tried[best - 1] + 1, tried[best]
+        known = _Greedy(*_summary(ends, spans), total, shards)
+        most = known.smallest(least, most, known.sure)
+        least = known.smallest(least, most, known.possible)
+        low, high = known.ends(least, known.sure), known.ends(most, known.possible)
+        if least == most and low == high:
+            return most, low
+        spans = []
+        for a, b in zip(low, high, strict=True):
+            a = max(a, spans[-1][1] + 1) if spans else a
+            if a <= b:
+                spans.append((a, b))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

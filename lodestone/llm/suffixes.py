@@ -6,11 +6,6 @@ with the number of its copies; there the suffixes that begin windows are sorted.
 suffixes smaller than their successors are sorted directly; the others are induced
 from them by scans over the first-byte buckets. Common prefixes of neighbours in the
 array then show which windows occur twice, and the covered bytes go.
-
-An anchor with many different contexts (a line in a good part of all documents) would
-fill one bucket. Such hot anchors are counted first, and each of their windows becomes
-a context of its own under the hash of the whole window: these keys spread over all
-buckets, and each has one distinct context, however many documents hold it.
 """
 
 from __future__ import annotations
@@ -22,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, buckets_for, deal, each_row, first_of, make_blocks, pack, per_key, per_row, unpack
+from .blocks import HOT, Block, deal, first_of, hot_anchors, make_blocks, pack, per_key, per_row, split_hot, unpack
 from .common import durable
 from .textarrays import U64, anchors, byte_prefix, mix64, second_prefix
 
 LENGTH, GRAM = 200, 100
-#: Distinct contexts of an anchor above which it is split by windows, and contexts that a counting task holds at once.
-HOT, COUNTED_AT_ONCE = 2048, 1 << 20
 NO_ANCHORS = np.zeros(0, dtype=U64)
 
 
@@ -183,13 +176,7 @@ class _Cut:
             doc = np.repeat(np.arange(block.texts.n, dtype=np.int32), np.diff(bounds))
             place, self.low, self.high = anchors(grams, doc[: n - length + 1] == doc[length - 1 :], length - gram + 1)
             anchor = grams[place]
-            if len(hot) and (split := hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor).any():
-                many = np.where(split, self.high - self.low + 1, 1)
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                split, anchor, place, low = (np.repeat(x, many) for x in (split, anchor, place, self.low))
-                self.low, self.high = low + at, np.where(split, low + at, np.repeat(self.high, many))
-                own = self.low[split]
-                anchor[split] = second_prefix(data).of(own, own + length)
+            anchor, place, self.low, self.high = split_hot(hot, anchor, place, self.low, self.high, lambda own: second_prefix(data).of(own, own + length))
             context = prefix.of(self.low, self.high + length) ^ mix64((place - self.low + 1).astype(U64))
         order = np.lexsort((context, anchor))
         a, c = anchor[order], context[order]
@@ -202,39 +189,6 @@ class _Cut:
         self.anchor, self.context = a[head], c[head]
 
 
-def hot_anchors(blocks: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> np.ndarray:
-    """Sorted anchors with more than ``hot`` distinct contexts, at most one for every ``hot`` contexts of all.
-
-    Counts are summed over groups of blocks. An anchor with a single context in a group
-    is left out there, so others have at most one context a group more than ``hot``.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def tell() -> pa.RecordBatch:
-            anchor, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((context, anchor))
-            a, c = anchor[order], context[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-            a, n = np.unique(a[new], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[n > 1].view(np.int64)), pa.array(n[n > 1])], ["anchor", "n"])
-
-        for _, _, payload in each_row(batches):
-            c = _Cut(Block(payload), length, gram)
-            if len(c.anchor):
-                held.append((c.anchor, c.context))
-                size += len(c.anchor)
-            if size >= COUNTED_AT_ONCE:
-                yield tell()
-                held, size = [], 0
-        if held:
-            yield tell()
-
-    rows = blocks.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot).select("anchor").collect()
-    return np.sort(np.array([r.anchor for r in rows], dtype=np.int64).view(U64))
-
-
 def _compare(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
     """A bucket's answers to each block: entries that have copies, entries to send for sorting, and whether those have copies."""
     parts = [unpack(p) for _, p in held]
@@ -295,8 +249,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     of their own. Other columns are ignored; an empty table gives an empty result.
     """
     blocks = make_blocks(docs)
-    n = buckets_for(blocks)
-    split = hot_anchors(blocks, length, gram, hot)
+
+    def contexts(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        c = _Cut(Block(payload), length, gram)
+        return c.anchor, c.context
+
+    split, n = hot_anchors(blocks, contexts, hot)
 
     def cut(held: list[tuple[int, bytes]]) -> _Cut:
         return _Cut(Block(next(p for kind, p in held if kind == 0)), length, gram, split)

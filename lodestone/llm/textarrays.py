@@ -83,6 +83,11 @@ def word_prefix(codes: np.ndarray) -> Prefix:
     return Prefix(codes, _WORDS)
 
 
+def second_word_prefix(codes: np.ndarray) -> Prefix:
+    """As :func:`word_prefix` with another base, for hashes that do not depend on its own."""
+    return Prefix(codes, _BYTES)
+
+
 class Texts:
     """A slice of documents as one byte buffer; null texts are empty."""
 

@@ -45,7 +45,7 @@ def test_rlz_null_ids_and_repeated_rows(messy, empty):
 
 @pytest.mark.parametrize("source", ["messy", "table"])
 def test_suffixes_equal_brute_force(spark, messy, sf_dir, source):
-    docs = messy if source == "messy" else spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 6000")
+    docs = messy if source == "messy" else spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs, rows = _distinct(docs)
     expected = brute.suffixes(rows)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.suffix_dedup(docs).collect()}
@@ -69,7 +69,12 @@ def hot_line(spark):
 
 def test_hot_anchors_are_split(hot_line):
     blocks = suffixes.make_blocks(hot_line[0])
-    hot = suffixes.hot_anchors(blocks, hot=10)
+
+    def contexts(payload):
+        cut = suffixes._Cut(suffixes.Block(payload), suffixes.LENGTH, suffixes.GRAM)
+        return cut.anchor, cut.context
+
+    hot, _ = suffixes.hot_anchors(blocks, contexts, hot=10)
     per_anchor = {}
     for r in blocks.collect():
         cut = suffixes._Cut(suffixes.Block(r.payload), suffixes.LENGTH, suffixes.GRAM, hot)
@@ -88,6 +93,40 @@ def test_suffixes_of_hot_anchors_equal_brute_force(hot_line, messy, source, hot)
     assert got == brute.suffixes(rows)
 
 
+@pytest.fixture(scope="module")
+def hot_words(spark):
+    """Twelve words, and a passage of thirty, between different words of each document."""
+    draw = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 10**6, size=n))
+    line, passage = words(12), words(30)
+    rows = [(k, words(25) + " " + (line if k % 3 else passage) + " " + words(25)) for k in range(120)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows
+
+
+@pytest.mark.parametrize("hot", [2, 10])
+@pytest.mark.parametrize("source", ["hot", "messy"])
+def test_rlz_of_hot_anchors_equals_brute_force(hot_words, messy, source, hot):
+    docs, rows = hot_words if source == "hot" else _distinct(messy)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rlz.substring_dedup(docs, hot=hot).collect()}
+    assert got == brute.rlz(rows)
+
+
+def test_rlz_hot_anchors_are_split(hot_words):
+    blocks = rlz.make_blocks(hot_words[0])
+
+    def contexts(payload):
+        p = rlz._Parsed(rlz.Block(payload), rlz.WINDOW, rlz.GRAM)
+        return p.anchor, p.context
+
+    hot, buckets = rlz.hot_anchors(blocks, contexts, hot=10)
+    per_anchor = {}
+    for r in blocks.collect():
+        p = rlz._Parsed(rlz.Block(r.payload), rlz.WINDOW, rlz.GRAM, hot)
+        for a, c in zip(p.anchor.tolist(), p.context.tolist(), strict=True):
+            per_anchor.setdefault(a, set()).add(c)
+    assert len(hot) and max(map(len, per_anchor.values())) <= 10 + blocks.count() and buckets >= 3
+
+
 def test_two_stage_order_is_the_sorted_order():
     draw = np.random.default_rng(3)
     length = 12
@@ -133,7 +172,7 @@ def test_near_links_that_a_star_misses(spark):
     b = base[:330] + [f"a{k}" for k in range(35)] + [f"b{k}" for k in range(35)]
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([hub, a, b])], "doc_id long, text string")
     multi = spark.createDataFrame([(7, 0, 0), (7, 1, 0), (7, 2, 0)], "key long, node long, hub long")
-    sets = docs.mapInArrow(minhash._set_rows, "node long, codes binary")
+    sets = docs.withColumnRenamed("doc_id", "node").mapInArrow(minhash._set_rows, "node long, codes binary")
     none = spark.createDataFrame([], "node long, label long")
     pairs = minhash.rest_pairs(multi, none, sets)
     assert {(r.a, r.b) for r in minhash.confirm(pairs, sets).collect()} == {(2, 1)}
@@ -163,19 +202,59 @@ def test_exact_dedup_equals_plain_grouping(messy, empty):
     assert exact_dedup.keep_first(messy).columns == messy.columns
 
 
+def test_documents_under_one_id_or_none_are_not_lost(spark):
+    rows = [(1, "alpha beta"), (None, "alpha beta"), (None, "a unique text of its own"), (7, "alpha beta gamma"), (7, "second text under id seven"), (5, "alpha beta gamma")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    expected = [(1, "alpha beta"), (5, "alpha beta gamma"), (7, "second text under id seven"), (None, "a unique text of its own")]
+    assert sorted((tuple(r) for r in exact_dedup.keep_first(docs).collect()), key=key) == expected
+    expected = sorted([*expected, (None, "alpha beta")], key=key)
+    assert sorted((tuple(r) for r in minhash.keep_representatives(docs).collect()), key=key) == expected
+
+
+def _digests(values):
+    return np.sort(np.frombuffer(b"".join(hashlib.sha256(str(v).encode()).digest() for v in values), dtype="S32"))
+
+
 def test_cuckoo_index_inserts_deletes_and_grows():
-    index = exact_dedup.DigestIndex(buckets=2)
-    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(3000)]
-    for k, key in enumerate(keys):
-        assert index.find(key) is None
-        index.insert(key, [k])
-    assert index.rebuilt > 0 and index.live == 3000
-    assert all(index.find(key) == [k] for k, key in enumerate(keys))
-    for key in keys[::2]:
-        assert index.delete(key)
-    assert not index.delete(keys[0])
-    assert [index.find(k) is None for k in keys] == [k % 2 == 0 for k in range(3000)]
-    assert index.live == 1500
+    index, keys = exact_dedup.DigestIndex(buckets=2), _digests(range(3000))
+    zero = np.zeros(1000, dtype=np.int64)
+    for k in range(3):
+        part = np.sort(keys[k::3])
+        assert (index.find(part) == -1).all()
+        index.add(part, zero, zero, zero == 0, zero + k + 1)
+    assert index.rebuilt > 0 and len(index) == 3000
+    at = index.find(keys)
+    assert (at == np.arange(3000)).all() and index.filter.contains(keys).all() and (index.count == np.arange(3000) % 3 + 1).all()
+    assert (index.find(_digests(range(5000, 9000))) == -1).all()
+    index.delete(np.arange(0, 3000, 2))
+    assert [x == -1 for x in index.find(keys)] == [k % 2 == 0 for k in range(3000)]
+    assert len(index) == 1500 and (index.filter.table > 0).sum() == 1500
+
+
+def test_a_full_filter_says_so_and_kicks_keep_all_marks():
+    keys = _digests(range(40))
+    small = exact_dedup.CuckooFilter(4)
+    assert not small.insert(keys)
+    fits = exact_dedup.CuckooFilter(8)
+    assert fits.insert(keys[:24]) and fits.contains(keys[:24]).all() and (fits.table > 0).sum() == 24
+
+
+def test_buckets_catch_close_sets_of_all_sizes():
+    """Share of pairs of similarity 0.75 and more that meet in a bucket, nested and edited, down to sets of five."""
+    draw, met, tried = np.random.default_rng(6), 0, 0
+    for _ in range(3000):
+        n = int(draw.integers(5, 160))
+        a = draw.integers(0, 2**63, size=n, dtype=np.int64).astype(np.uint64)
+        cut = int(draw.integers(0, n // 4 + 1))
+        b = a[cut:] if draw.random() < 0.5 else np.concatenate((a[: n - cut // 2], draw.integers(0, 2**63, size=cut // 2, dtype=np.int64).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        tried += 1
+        keys = [minhash.band_keys(minhash.signatures(np.sort(s), np.array([0, len(s)])))[0] for s in (a, b)]
+        met += bool((keys[0] == keys[1]).any())
+    assert tried > 1500 and met / tried > 0.9999
 
 
 def test_index_updates_keep_counts(spark):

@@ -1,6 +1,7 @@
 """Neighbours, quality, languages: recall and held-out accuracy; sharding and mixing: plain versions; pieces: parity."""
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -39,16 +40,66 @@ def test_neighbours_of_odd_vectors(spark):
     assert mih.nearest(vectors.where("1 = 0")).count() == 0
 
 
-def test_pigeonhole_finds_every_code_within_the_radius(spark):
+def _coded(spark, x, codes):
+    rows = [(k, v.tolist(), *c) for k, (v, c) in enumerate(zip(x, codes.view(np.int64).tolist(), strict=True))]
+    return spark.createDataFrame(rows, mih._INDEX).repartition(3).checkpoint()
+
+
+@pytest.mark.parametrize("radius", [7, 20, 40])
+def test_pigeonhole_finds_every_code_within_the_radius(spark, radius):
+    """Both ways of probing give all codes within the radius, once each, and no other."""
     draw = np.random.default_rng(2)
-    codes = draw.integers(0, 2**63, size=300, dtype=np.int64)
-    near = np.array([c ^ sum(1 << int(b) for b in draw.choice(63, size=6, replace=False)) for c in codes[:40]])
-    rows = [(k, draw.normal(size=4).tolist(), int(c)) for k, c in enumerate(np.concatenate((codes, near)))]
-    table = spark.createDataFrame(rows, "vec_id long, vector array<double>, code long")
-    found = {(r.query_id, r.vec_id) for r in mih.search(table, table.where("vec_id < 40"), 7, k=1000).collect()}
-    all_codes = np.array([r[2] for r in rows]).view(np.uint64)
-    expected = {(q, int(v)) for q in range(40) for v in np.flatnonzero(np.bitwise_count(all_codes ^ all_codes[q]) <= 7) if v != q}
-    assert found == expected and len(expected) >= 40
+    codes = draw.integers(0, 2**63, size=(300, 4), dtype=np.int64).astype(np.uint64)
+    near = codes[:40].copy()
+    for row in near:
+        for b in draw.choice(256, size=int(draw.integers(1, 2 * radius)), replace=False):
+            row[b // 64] ^= np.uint64(1 << int(b % 64))
+    codes = np.concatenate((codes, near))
+    table = _coded(spark, draw.normal(size=(len(codes), 4)), codes)
+    apart = np.bitwise_count(codes[:40, None] ^ codes[None]).sum(2, dtype=int)
+    expected = sorted((q, int(v)) for q in range(40) for v in np.flatnonzero(apart[q] <= radius) if v != q)
+    for found in (mih.by_keys(table, table.where("vec_id < 40"), radius, 1000), mih.by_parts(table, table.where("vec_id < 40"), radius, 1000, 340)):
+        assert sorted((r.query_id, r.vec_id) for r in found.collect()) == expected and expected
+
+
+def test_clustered_vectors_are_found_by_listed_keys(spark, monkeypatch):
+    """On clustered vectors the index is probed by keys; under a quarter of the pairs is ranked, and recall holds."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(60, 32))
+    x = centres[draw.integers(0, 60, size=6000)] + 0.15 * draw.normal(size=(6000, 32))
+    coder = mih.learn(x)
+    codes = coder.codes(x)
+    apart = np.concatenate([np.bitwise_count(codes[q, None] ^ codes[None]).sum(2, dtype=int) for q in np.array_split(np.arange(0, 6000, 50), 8)])
+    assert (apart <= coder.radius).mean() < 0.25 and coder.reached <= mih.LISTED_SHARE
+    used = []
+    listed = mih.by_keys
+    monkeypatch.setattr(mih, "by_keys", lambda *a: used.append(1) or listed(*a))
+    monkeypatch.setattr(mih, "LISTED_LESS", 1 / 8)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = mih.nearest(vectors).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5]) & {r.vec_id for r in got if r.query_id == q})
+    assert used and hits / len(got) >= 0.9 and len(got) == 600
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    """Ties at the last rank go to the smallest ids, however many rows have one vector; rows of one vec_id are one."""
+    draw = np.random.default_rng(3)
+    other = draw.normal(size=(300, 8))
+    rows = [(k, [1.0] * 8) for k in range(400)] + [(1000 + k, v.tolist()) for k, v in enumerate(other)]
+    rows += [(0, [1.0] * 8)] * 4 + [(50, [2.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in mih.nearest(vectors).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert got[0] == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5} and got[100] == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4} and got[50] == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
+    index = mih.encode(mih.usable(vectors), mih.learn(other))
+    assert mih.entries_of(index, 5).where("vec_id < 1000").count() == 6
+    assert mih.search(index.where("1 = 0"), index, 30).count() == 0
 
 
 def test_quality_held_out(spark):
@@ -204,12 +255,81 @@ def test_cosines_only_of_codes_within_the_radius():
     """A far code's vector, whose product with any query is not a number, is not multiplied."""
     near = [[1.0, 0.1 * j] for j in range(5)]
     vectors = [*near, [float("inf"), float("-inf")], [1.0, 1.0]]
-    codes = [0] * 5 + [-1, 0]
-    n = len(codes)
+    n = len(vectors)
+    codes = {c: pa.array([0] * 5 + [-1, 0], pa.int64()) for c in mih.CODE}
     batch = pa.RecordBatch.from_pydict({
-        "substring": pa.array([0] * n, pa.int32()), "page": pa.array([0] * n, pa.int32()), "part": pa.array([0] * n, pa.int32()), "role": pa.array([0] * (n - 1) + [1], pa.int32()),
-        "vec_id": pa.array(range(n), pa.int64()), "vector": pa.array(vectors, pa.list_(pa.float64())), "code": pa.array(codes, pa.int64()),
+        "part": pa.array([0] * n, pa.int32()), "role": pa.array([0] * (n - 1) + [1], pa.int32()),
+        "vec_id": pa.array(range(n), pa.int64()), "vector": pa.array(vectors, pa.list_(pa.float64())), **codes,
     })
     with np.errstate(invalid="raise"):
-        (out,) = mih._search_parts(4, 3)(iter([batch]))
+        (out,) = mih._search_part(4, 3)(iter([batch]))
     assert out.column("vec_id").to_pylist() == [4, 3, 2]
+
+
+def test_quality_scores_equal_a_plain_version(spark, messy):
+    for docs, labels in ((messy, spark.createDataFrame([(d, d % 2, 0) for d in range(60)], "doc_id long, quality int, toxic int")), tuple(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        plain = brute.quality(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+        expected = sorted((d is None, d or 0, round(s, 7)) for (d, _), s in zip(rows, plain, strict=True))
+        got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 7)) for r in quality.classify(docs, labels).collect())
+        assert len(got) == len(expected) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, expected, strict=True))
+
+
+def test_languages_equal_a_plain_version(spark, messy):
+    for docs in (messy.where("doc_id is not null").dropDuplicates(["doc_id"]), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        model = langid.fit(docs)
+        texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+        for r in langid.identify(docs, model).collect():
+            label, score = brute.language(model, texts[r.doc_id])
+            assert r.lang_pred == label and abs(r.score - score) < 1e-6
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with one row in a thousand is in the sample, within its bound."""
+    rows = [(k, f"text number {k} of many", "common") for k in range(3000)] + [(5000 + k, f"zyx wvu qpo {k}", "rare") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=100)
+    assert model.languages == ["common", "rare"]
+
+
+def _field(number, value):
+    """A field of a protobuf message: a varint, a float or bytes."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model_file(pieces_, kind, fallback, dummy, fold):
+    """The file of a model: pieces (text, score, type), then the trainer's and the normaliser's settings."""
+    own = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, t)) for p, s, t in pieces_)
+    return own + _field(2, _field(3, kind) + _field(35, int(fallback))) + _field(3, _field(1, b"identity") + _field(3, int(dummy)) + _field(4, int(fold)) + _field(5, 1))
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize(("dummy", "fold"), [(True, False), (True, True), (False, False)])
+def test_unigram_models_have_the_library_s_ids(spark, fallback, dummy, fold):
+    """A unigram model made by rule (letters, and words by length) against the model's own library, over given and odd texts."""
+    from sentencepiece import SentencePieceProcessor
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    words = sorted({w for t in docs for w in t.split()[:40]})
+    letters = sorted({c for w in words for c in w} - {"x"}) + ["\n"]
+    made = [("<unk>", 0.0, pieces.UNKNOWN), ("<s>", 0.0, pieces.CONTROL), ("</s>", 0.0, pieces.CONTROL)]
+    made += [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)] if fallback else []
+    made += [("▁", -2.5, 1)] + [(c, -4.0 - k / 100, 1) for k, c in enumerate(letters)] + [("▁" + w, -6.0 - len(w) / 50 - k / 10_000, 1) for k, w in enumerate(words) if 1 < len(w) < 12]
+    raw = _model_file(made, pieces.UNIGRAM, fallback, dummy, fold)
+    library, own = SentencePieceProcessor(model_proto=raw), pieces.Codec(raw)
+    texts = [*docs, "", " ", "two  blanks", "  ends  ", "x xx 日本 y", "a\nb", "unknown x日x"]
+    ids, bounds, parity = own.encode(texts)
+    same = [ids[a:b].tolist() == library.encode(t) for a, b, t in zip(bounds[:-1], bounds[1:], texts, strict=True)]
+    # Parity tells exactly where the ids are the library's (and spell back), and they are for all given texts without unknown letters.
+    assert all(s or not p for s, p in zip(same, parity.tolist(), strict=True))
+    assert np.mean(same) >= 0.95 and (not fallback or np.mean(parity) >= 0.9)

@@ -1,10 +1,14 @@
 """The pipeline's stages and the registered queries of the corpus operators."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import queries
+from lodestone.llm import pieces, queries
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,11 +28,65 @@ def test_stages_keep_columns_and_reduce(spark):
     assert result.where("parity").count() == result.count() > 0
 
 
-def test_stages_take_messy_documents(spark, messy):
-    docs = messy
+@pytest.fixture(scope="module")
+def clashing_ids(spark, messy):
+    """The messy documents with ids that name several texts, several rows without an id, and wholly equal rows of both kinds."""
+    first = messy.where("doc_id = 20").first()
+    near = first.text + " one more word"
+    extra = [(1, "alpha beta"), (None, "alpha beta"), (None, "a unique text of its own"), (7, "alpha beta gamma"), (7, "second text under id seven"), (5, "alpha beta gamma"), (7, near), (21, near + " and another")]
+    extra += [(None, "twice without an id"), (None, "twice without an id"), (30, "twice with one"), (30, "twice with one"), (None, None), (None, None)]
+    rows = [(d, t, "en", "src1") + tuple(first)[4:] for d, t in extra]
+    return messy.unionByName(spark.createDataFrame(rows, messy.schema)).repartition(3).checkpoint()
+
+
+def _pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def test_quality_stage_equals_a_plain_version(spark, clashing_ids):
+    rows = _pairs(clashing_ids)
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    expected = Counter(r for r, score in zip(rows, brute.quality(rows, labels)) if score >= 0.3)
+    assert Counter(_pairs(corpus_pipeline.quality_stage(spark, clashing_ids, SF))) == expected and 0 < sum(expected.values())
+
+
+def test_exact_stage_equals_a_plain_version(spark, clashing_ids):
+    got = Counter((d, re.sub(r"[\x20\x09-\x0D]", "", t or "")) for d, t in _pairs(corpus_pipeline.exact_dedup_stage(spark, clashing_ids, SF)))
+    assert got == brute.exact_rows(_pairs(clashing_ids))
+
+
+def test_near_stage_equals_a_plain_version(spark, clashing_ids):
+    alone, groups = brute.near_rows(_pairs(clashing_ids))
+    got = Counter((d, frozenset(brute.shingles(t))) for d, t in _pairs(corpus_pipeline.near_dedup_stage(spark, clashing_ids, SF)))
+    for row, n in alone.items():
+        assert got.pop(row) == n
+    assert sum(got.values()) == len(groups)
+    for members in groups:
+        least = min(d for d, _ in members)
+        kept = [m for m in set(members) if m[0] == least and got[m]]
+        assert len(kept) == 1 and got[kept[0]] == 1
+
+
+def test_mixing_stage_equals_a_plain_version(spark, clashing_ids):
+    rows = [(r.doc_id, r.text, r.source) for r in clashing_ids.select("doc_id", "text", "source").collect()]
+    times, expected = brute.copies(rows), Counter()
+    for doc, text, source in rows:
+        expected[(doc, text)] += times[(source, doc)]
+    assert Counter(_pairs(corpus_pipeline.mixing_stage(spark, clashing_ids, SF))) == +expected
+
+
+def test_encoding_stage_equals_the_library(spark, clashing_ids):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    got = Counter((r.doc_id, tuple(r.token_ids)) for r in corpus_pipeline.encoding_stage(spark, clashing_ids, SF).collect())
+    assert got == Counter((d, tuple(library.encode(t or ""))) for d, t in _pairs(clashing_ids))
+
+
+def test_run_is_the_stages_in_order(spark, empty):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "source_mixing", "sentencepiece"]
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF).checkpoint()
-        assert docs.count() >= 0, name
+        assert stage(spark, empty, SF).count() == 0, name
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
