@@ -36,15 +36,22 @@ def row_marks(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), *names, nulls).alias("_mark_a"), F.xxhash64(F.lit(2), nulls, *reversed(names)).alias("_mark_b")]
 
 
-def keep_marked(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose marks are in ``kept`` (_mark_a, _mark_b), one of each, all columns as they are."""
+def keep_marked(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """One row of ``docs`` for each group, all columns as they are: the one with the least marks of the group's ``rows`` (group, _mark_a, _mark_b).
+
+    The kept marks are written, and how often each occurs; only if a kept row is wholly
+    repeated are the rows ranked to drop its repetitions.
+    """
+    times = rows.groupBy(group, "_mark_a", "_mark_b").agg(F.count(F.lit(1)).alias("_times"))
+    kept = durable(times.groupBy(group).agg(F.min(F.struct("_mark_a", "_mark_b", "_times")).alias("_m")).select("_m.*"))
     names = [fresh_name(docs, "_mark_a"), fresh_name(docs, "_mark_b")]
     marked = docs.select("*", *[m.alias(n) for m, n in zip(row_marks(docs), names, strict=True)]).alias("d")
-    k = kept.alias("k")
-    found = marked.join(k, (F.col(f"d.{names[0]}") == F.col("k._mark_a")) & (F.col(f"d.{names[1]}") == F.col("k._mark_b")), "left_semi")
-    number = fresh_name(docs, "_number")
-    once = found.withColumn(number, F.row_number().over(Window.partitionBy(*names).orderBy(names[0])))
-    return once.where(F.col(number) <= 1).drop(number, *names)
+    found = marked.join(kept.alias("k"), (F.col(f"d.{names[0]}") == F.col("k._mark_a")) & (F.col(f"d.{names[1]}") == F.col("k._mark_b")), "left_semi")
+    if kept.where("_times > 1").limit(1).count():
+        number = fresh_name(docs, "_number")
+        ranked = found.withColumn(number, F.row_number().over(Window.partitionBy(*names).orderBy(names[0])))
+        found = ranked.where(F.col(number) <= 1).drop(number)
+    return found.drop(*names)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

@@ -271,5 +271,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = durable(digests(docs, *row_marks(docs)))
     index = build_index(rows).select("text_sha256", "keep_id", F.col("n_code_points").alias("most"))
     best = rows.join(index, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code_points") == F.col("most")))
-    kept = best.groupBy("text_sha256").agg(F.min(F.struct("_mark_a", "_mark_b")).alias("_m")).select("_m.*")
-    return keep_marked(docs, kept)
+    return keep_marked(docs, best, "text_sha256")

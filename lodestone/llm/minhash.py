@@ -249,6 +249,5 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     doc_id one stays. Rows without words or without a doc_id are in no group and all stay.
     """
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    near = _near(docs.where(~alone))
-    kept = near.where("kept").groupBy("_group").agg(F.min(F.struct("_mark_a", "_mark_b")).alias("_m")).select("_m.*")
-    return docs.where(alone).unionByName(keep_marked(docs.where(~alone), kept))
+    near = _near(docs.where(~alone)).where("kept")
+    return docs.where(alone).unionByName(keep_marked(docs.where(~alone), near, "_group"))
