@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordering import running_totals
+
 from .common import WORD, durable, keep_marked, map_arrow, row_marks
 from .components import components
 from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
@@ -211,7 +213,9 @@ def _near(docs: DataFrame) -> DataFrame:
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["n_shingles", "key_a", "key_b"]
     heads = usable.groupBy(*same).agg(F.min(F.struct("doc_id", *marks)).alias("_h"))
-    classes = durable(heads.select(*same, F.monotonically_increasing_id().alias("node"), F.col("_h.doc_id").alias("first_id"), "_h._mark_a", "_h._mark_b"))
+    heads = heads.select(*same, F.col("_h.doc_id").alias("first_id"), "_h._mark_a", "_h._mark_b", F.lit(1).alias("_one"))
+    # Numbers follow the ids, so a bucket's hub is its first document: copies mostly come after what they are copied from.
+    classes = durable(running_totals(heads, ["first_id", *marks], {"node": "_one"}).drop("_one"))
     # Bands and texts are those of the class's first row: a join on marks, not an aggregate that carries arrays.
     banded = usable.join(classes.select("node", *marks), marks).select("node", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub")
