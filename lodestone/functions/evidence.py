@@ -59,6 +59,13 @@ def anchors(text: Column, words: list[str], most: int = 8) -> Column:
     return F.slice(F.array_distinct(found), 1, most)
 
 
+def triggered(text: Column, triggers: dict[str, list[str]]) -> Column:
+    """The topics one of whose trigger phrases a text contains, in the order given."""
+    low = F.lower(text)
+    hit = lambda phrases: F.coalesce(*[F.when(low.contains(p.lower()), F.lit(True)) for p in phrases])
+    return F.array_compact(F.array(*[F.when(hit(phrases), topic) for topic, phrases in triggers.items()]))
+
+
 def relevant(text: Column, title: Column, number: Column) -> Column:
     """At least half of the title's four longest words (five letters and more) and the number are in the text."""
     long_words = F.filter(F.array_distinct(F.split(F.lower(title), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= 5)
@@ -107,10 +114,10 @@ def sentences(text: Column) -> Column:
 
 
 def supported_sentences(answer: Column, context: Column) -> Column:
-    """The answer without sentences that cite a provision the context does not have."""
+    """The answer without sentences that cite provisions none of which the context has."""
     cited = lambda s: F.regexp_extract_all(s, F.lit(_CITED), 1)
     there = F.array_distinct(cited(context))
-    return F.array_join(F.filter(sentences(answer), lambda s: F.forall(cited(s), lambda c: F.array_contains(there, c))), " ")
+    return F.array_join(F.filter(sentences(answer), lambda s: (F.size(cited(s)) == 0) | F.arrays_overlap(cited(s), there)), " ")
 
 
 def warnings(answer: Column, context: Column) -> Column:

@@ -26,30 +26,36 @@ def measured(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Stands for a whole document among its postings; no term is empty.
+WHOLE = ""
+
+
 def asked_postings(docs: DataFrame, id_column: str, text: str, asked: DataFrame) -> DataFrame:
-    """Postings of the terms in ``asked`` (term) alone; other terms are dropped before anything is shuffled."""
+    """Postings of the terms in ``asked`` (term), and one of :data:`WHOLE` for each document; other terms are dropped before anything is shuffled."""
     rows = docs.select(id_column, T.terms(F.col(text)).alias("_terms"))
-    rows = rows.select(id_column, F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
-    wanted = rows.join(measured(asked.select("term").distinct()), "term", "left_semi")
-    return wanted.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    rows = rows.select(id_column, F.size("_terms").alias("length"), F.explode(F.concat("_terms", F.array(F.lit(WHOLE)))).alias("term"))
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(WHOLE).alias("term")))
+    kept = rows.join(measured(wanted), "term", "left_semi")
+    return kept.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def corpus_size(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n_docs and mean_length over documents with terms."""
-    lengths = docs.select(F.size(T.terms(F.col(text))).alias("length")).where("length > 0")
-    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+def corpus_size(posts: DataFrame, id_column: str) -> DataFrame:
+    """One row: n_docs and mean_length over documents with terms, from postings of all terms or with :data:`WHOLE`."""
+    per = posts.where("length > 0").groupBy(id_column).agg(F.first("length").alias("length"))
+    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return posts.where(F.col("term") != WHOLE).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_search(posts: DataFrame, size: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int) -> DataFrame:
+def bm25_search(posts: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int) -> DataFrame:
     """(query, id, score, rank): the k best documents of each query by summed BM25 weights.
 
-    ``posts`` holds the postings of the asked terms, ``size`` the corpus figures (one
-    row), ``asked`` the queries' own postings. Ties go to the smaller id.
+    ``posts`` is what :func:`asked_postings` gives, ``asked`` the queries' own postings.
+    Ties go to the smaller id.
     """
+    size = corpus_size(posts.where(F.col("term") == WHOLE), id_column)
     own = asked.select(query_id, "term", F.col("tf").alias("query_tf"))
     wanted = own.join(document_frequencies(posts), "term").join(F.broadcast(size))  # one row
     idf = V.inverse_frequency(F.col("n_docs"), F.col("df"))

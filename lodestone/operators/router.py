@@ -8,11 +8,12 @@ Not routed (null route) differs from routed without rows (``n_rows`` 0).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_date
 
+SHOWN = 50
 # The words and forms that questions are recognised by.
 _CODE_WORD = r"(?i)\b(?:hsn|sac|chapter\s+heading)\s*(\d{2,8})\b"
 _RATE_WORDS = r"(?i)\b(?:rate|duty|bcd|igst|cgst|sgst|gst|comp(?:ensation)?\s*cess)\s+(?:on|of|for)\b"
@@ -70,7 +71,7 @@ def _holds(day: Column) -> Column:
 
 
 def answer(questions: DataFrame, id_column: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """id, route, n_rows, rows (JSON, in order): what each question's route finds in rates, lists, exemptions and notifications."""
+    """id, route, n_rows (all of them), rows (JSON, the first SHOWN in order): what each question's route finds in rates, lists, exemptions and notifications."""
     asked = features(questions, text).select(id_column, "route", F.col("code").alias("q_code"), F.col("notif_id").alias("q_notif"), "serial", F.col("list_type").alias("q_list"), F.col("as_of").cast("date").alias("day"), "customs")
     rates, lists, exempt, notes = (tables[k] for k in ("rates", "lists", "exemptions", "notifications"))
 
@@ -90,6 +91,10 @@ def answer(questions: DataFrame, id_column: str, text: str, tables: dict[str, Da
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
-    per = every.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("source", "at", "row"))).alias("rows"))
-    limited = F.slice(F.coalesce("rows", F.array().cast(per.schema["rows"].dataType)), 1, 50)
-    return asked.join(per, id_column, "left").select(id_column, "route", F.when(F.col("route").isNotNull(), F.size(limited)).alias("n_rows"), F.when(F.col("route").isNotNull(), F.transform(limited, lambda r: r["row"])).alias("rows"))
+    counts = every.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy(id_column).orderBy("source", "at", "row")
+    few = every.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SHOWN)
+    per = few.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("source", "at", "row"))).alias("rows"))  # SHOWN at most
+    shown = F.transform(F.coalesce("rows", F.array().cast(per.schema["rows"].dataType)), lambda r: r["row"])
+    routed = F.col("route").isNotNull()
+    return asked.join(counts, id_column, "left").join(per, id_column, "left").select(id_column, "route", F.when(routed, F.coalesce("n", F.lit(0))).alias("n_rows"), F.when(routed, shown).alias("rows"))

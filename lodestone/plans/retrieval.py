@@ -34,7 +34,7 @@ def document_postings(t: Tables) -> DataFrame:
 @query(f"WITH {_POSTS} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM df, size")
 def idf(t: Tables) -> DataFrame:
     posts = document_postings(t)
-    rows = R.document_frequencies(posts).join(F.broadcast(R.corpus_size(t.documents, "text")))
+    rows = R.document_frequencies(posts).join(F.broadcast(R.corpus_size(posts, "doc_id")))
     return rows.select("term", "df", F.round(V.inverse_frequency(F.col("n_docs"), F.col("df")), 9).alias("idf"))
 
 
@@ -46,7 +46,7 @@ def _asked(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def bm25_hits(t: Tables, k: int = 10) -> DataFrame:
     asked, posts = _asked(t)
-    return R.bm25_search(posts, R.corpus_size(t.documents, "text"), "doc_id", asked, "item_id", k)
+    return R.bm25_search(posts, "doc_id", asked, "item_id", k)
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, rank FROM bm25")
@@ -116,7 +116,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
 def _fused(t: Tables, pool: int) -> DataFrame:
     """Two channels of ``pool`` documents each, fused; postings are written once for both."""
     asked, posts = _asked(t)
-    by_weight = R.bm25_search(posts, R.corpus_size(t.documents, "text"), "doc_id", asked, "item_id", pool)
+    by_weight = R.bm25_search(posts, "doc_id", asked, "item_id", pool)
     shared = posts.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     by_terms = R.top(shared, ["item_id"], [F.desc("shared"), F.col("doc_id")], pool)
     return R.fuse(by_weight, by_terms, query_id="item_id", item_id="doc_id")
@@ -209,6 +209,6 @@ def rerank_order(t: Tables) -> DataFrame:
 )
 def tfidf_norms(t: Tables) -> DataFrame:
     posts = document_postings(t)
-    rows = posts.join(R.document_frequencies(posts), "term").join(F.broadcast(R.corpus_size(t.documents, "text")))
+    rows = posts.join(R.document_frequencies(posts), "term").join(F.broadcast(R.corpus_size(posts, "doc_id")))
     x = F.col("tf") * F.log(F.col("n_docs") / F.col("df"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm"))
