@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -45,10 +48,25 @@ def ship(spark: SparkSession | None = None) -> None:
     _shipped.add(context.applicationId)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as workers are reused and wait between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with a function that needs this package at the executors."""
+    """``mapInArrow`` with a function that needs this package at the executors; a task gives its memory back when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(apply, schema)
 
 
 def map_pandas(df: DataFrame, function: Callable, schema) -> DataFrame:
