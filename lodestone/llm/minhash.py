@@ -26,7 +26,7 @@ from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
-MEMBERS_A_TASK, TOKENS_AT_ONCE = 256, 500_000
+MEMBERS_A_TASK, TOKENS_AT_ONCE, TEXT_AT_ONCE = 256, 500_000, 1 << 18
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), TEXT_AT_ONCE):
             codes, bounds = shingle_sets(texts)
             keys = band_keys(signatures(codes, bounds)).view(np.int64)
             filled = np.diff(bounds) > 0
@@ -109,7 +109,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), TEXT_AT_ONCE):
             codes, bounds = shingle_sets(texts)
             sets = pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(codes)])
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(texts.first, texts.n), sets], ["node", "codes"])

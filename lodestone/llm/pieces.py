@@ -28,7 +28,7 @@ from .common import map_arrow
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LARGEST_MODEL, KEPT_PARTS, THREADS = 64 << 20, 200_000, 2
+LARGEST_MODEL, KEPT_PARTS, THREADS = 64 << 20, 100_000, 2
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -263,7 +263,6 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         own = codec(model.value)
-        own._forget()  # what a former task of this worker has seen
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             i = 0
@@ -278,7 +277,7 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
                     [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), lists, pa.array(parity)], ["doc_id", "n_tokens", "token_ids", "parity"]
                 )
                 i = j
-        own._forget()
+        codec.cache_clear()  # the next task builds it again; until then the worker holds nothing
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(plain, apply, "doc_id long, n_tokens long, token_ids array<int>, parity boolean")

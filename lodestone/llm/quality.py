@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import durable, id_crc, map_arrow
 from .textarrays import Texts, byte_prefix, mix64, slices, U64
 
-FOLDS, THRESHOLD, SHRINKAGE, FLOOR = 5, 0.3, 0.15, 1e-3
+FOLDS, THRESHOLD, SHRINKAGE, FLOOR, TEXT_AT_ONCE = 5, 0.3, 0.15, 1e-3, 1 << 18
 
 # Byte classes: other, lower, upper, digit, blank, line end, sentence mark, exclamation, bar, symbol, quote or bracket, beyond ASCII.
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -81,7 +81,7 @@ def statistics(texts: Texts) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text")):
+        for texts in slices(batch.column("text"), TEXT_AT_ONCE):
             x = statistics(texts)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(texts.first, texts.n), flat], ["doc_id", "x"])
@@ -175,7 +175,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = docs_columns.index("text")
         for batch in batches:
-            kept = [model.score(statistics(t)) >= threshold for t in slices(batch.column(at))]
+            kept = [model.score(statistics(t)) >= threshold for t in slices(batch.column(at), TEXT_AT_ONCE)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
