@@ -19,9 +19,12 @@ from lodestone.functions.evidence import BAD_CUT
 from lodestone.session import map_pandas
 
 Span = tuple[int, int, str, str]  # start, end, kind, section
+BLANKS = " \t\n\r\f"
 SENTENCE_END = re.compile(r"[.!?।](?=\s)")
+SENTENCE_BLANKS = re.compile(rf"[.?!][{BLANKS}]+")
 SECTION = re.compile(r"(?m)^[ \t]*((?:section|rule|article|chapter|part)\s+\w+|\d{1,3}[A-Z]?\.(?=\s+\S))", re.IGNORECASE)
 TABLE_LINE = re.compile(r"(?m)^[^\n|]*\|[^\n]*\|?[^\n]*$")
+TABLE_MARK = re.compile(r"(?m)^[ \t]*(?:chapter|heading|sub-heading)[ \t]+\d+[^\n]*", re.IGNORECASE)
 WHOLE_UNIT = re.compile(r"^\s*(?:provided\s+(?:further\s+)?that|explanation\b|illustration\b)", re.IGNORECASE)
 BAD_START = re.compile(r"^\s*(?:" + BAD_CUT + ")")
 
@@ -59,6 +62,54 @@ def windows(text: str, target: int = 1800, cap: int = 2400, overlap: int = 270,
             at = blank + 1 if 0 <= blank < stop - 1 else at
 
 
+def stepped(text: str, stop_of: Callable[[int], int], overlap: int, floor: int) -> Iterator[Span]:
+    """Windows from each stop back by the overlap until a stop is the end; those under the floor without outer blanks are dropped."""
+    at, stop = 0, 0
+    while stop < len(text):
+        stop = stop_of(at)
+        if len(text[at:stop].strip(BLANKS)) >= floor:
+            yield at, stop, "prose", ""
+        at = max(stop - overlap, at + 1)
+
+
+def char_windows(text: str, target: int = 1800, cap: int = 2400, overlap: int = 270, floor: int = 60) -> Iterator[Span]:
+    """Windows of ``target`` characters that go on, below the cap, to the next paragraph end, else to the last sentence end."""
+
+    def stop_of(at: int) -> int:
+        least, most = at + target, min(at + cap, len(text))
+        if least >= len(text):
+            return len(text)
+        paragraph = text.find("\n\n", least, most)
+        return paragraph if paragraph >= 0 else max((m.end() for m in SENTENCE_BLANKS.finditer(text, least, most)), default=least)
+
+    return stepped(text, stop_of, overlap, floor)
+
+
+def half_windows(text: str, size: int = 500, overlap: int = 50, floor: int = 50) -> Iterator[Span]:
+    """Windows of ``size`` characters, cut after the last ". " if that lies beyond their half; a text of one window stays at any length."""
+
+    def stop_of(at: int) -> int:
+        if at + size >= len(text):
+            return len(text)
+        dot = text.rfind(". ", at, at + size)
+        return dot + 1 if dot - at > size // 2 else at + size
+
+    return stepped(text, stop_of, overlap, floor if len(text) > size else 1)
+
+
+def separator_windows(text: str, size: int = 500, overlap: int = 50, floor: int = 60, separators: tuple[str, ...] = (". ", "! ", "? ", "\n")) -> Iterator[Span]:
+    """Windows of ``size`` characters, cut behind the last occurrence, in their second half, of the first separator that is there."""
+
+    def stop_of(at: int) -> int:
+        end = at + size
+        if end >= len(text):
+            return len(text)
+        cuts = (text.rfind(s, at + size // 2, end) + len(s) for s in separators)
+        return next((c for c in cuts if c > at + size // 2), end)
+
+    return stepped(text, stop_of, overlap, floor)
+
+
 def paragraphs(text: str) -> list[tuple[int, int]]:
     edges = [0, *(m.end() for m in re.finditer(r"\n\s*\n", text)), len(text)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if text[a:b].strip()]
@@ -115,8 +166,27 @@ def table_regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b, n in runs if n >= 2]
 
 
+def table_parts(text: str, a: int, b: int, cap: int, ceiling: int) -> Iterator[Span]:
+    """A table whole up to the ceiling, else by its marked subtables, else by rows up to the cap.
+
+    Parts by rows carry, as their section, the table's first line and its last chapter
+    or heading line, as far as the part itself has none of them.
+    """
+    marks = list(TABLE_MARK.finditer(text, a, b))
+    edges = sorted({a, b, *(m.start() for m in marks)})
+    whole = b - a <= ceiling
+    if a < b and (whole or (len(marks) >= 2 and all(y - x <= ceiling for x, y in zip(edges, edges[1:])))):
+        yield from ((x, y, "table", "") for x, y in ([(a, b)] if whole else zip(edges, edges[1:])))
+        return
+    carried = [next((line.strip() for line in text[a:b].split("\n") if line.strip()), ""), marks[-1].group().strip() if marks else ""]
+    while a < b:
+        stop = b if b - a < cap else text.rfind("\n", a, a + cap) + 1 or text.find("\n", a, b) + 1 or b
+        yield a, stop, "table", "\n".join(line for line in carried if line and line not in text[a:stop])
+        a = stop
+
+
 def two_pass(text: str, target: int = 3500, cap: int = 5500, ceiling: int = 8000, floor: int = 500, overlap: int = 700) -> Iterator[Span]:
-    """Tables whole (by rows above the ceiling), then prose between them; provisos stay with what they qualify, short rests join."""
+    """Tables whole (by parts above the ceiling), then prose between them; provisos stay with what they qualify, short rests join."""
     out: list[Span] = []
     at = 0
     for a, b in [*table_regions(text), (len(text), len(text))]:
@@ -129,10 +199,7 @@ def two_pass(text: str, target: int = 3500, cap: int = 5500, ceiling: int = 8000
                 out[-1] = (out[-1][0], s[1], "prose", "")
             else:
                 out.append(s)
-        while b > a:
-            stop = b if b - a <= ceiling else (text.rfind("\n", a + 1, a + ceiling) + 1 or a + ceiling)
-            out.append((a, stop, "table", ""))
-            a = stop
+        out += table_parts(text, a, b, cap, ceiling)
         at = b
     yield from out
 
@@ -150,13 +217,16 @@ def hierarchy(text: str, words: int = 180, overlap: int = 30) -> Iterator[Span]:
             yield a + x, a + y, kind, trail
 
 
-METHODS: dict[str, Callable[..., Iterator[Span]]] = {"windows": windows, "packed": packed, "sections": sections, "two_pass": two_pass, "hierarchy": hierarchy}
+METHODS: dict[str, Callable[..., Iterator[Span]]] = {"char_windows": char_windows, "half_windows": half_windows, "separator_windows": separator_windows, "windows": windows, "packed": packed, "sections": sections, "two_pass": two_pass, "hierarchy": hierarchy}
 SLICE_CHARS = 1_000_000  # of text whose pieces are held at once
 CHUNKS = "chunk_no int, char_start int, char_end int, kind string, section string, text string"
 
 
 def chunk(df: DataFrame, id_column: str, text: str, method: str, **options) -> DataFrame:
-    """Pieces of each text: id, chunk_no, char_start, char_end, kind, section, text. Null and blank texts have none."""
+    """Pieces of each text: id, chunk_no, char_start, char_end, kind, section, text. Null and blank texts have none.
+
+    The text of a table's part begins with the lines it carries (its section), which its offsets do not count.
+    """
     split = METHODS[method]
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +235,7 @@ def chunk(df: DataFrame, id_column: str, text: str, method: str, **options) -> D
             rows, size = [], 0
             for key, value in zip(batch[id_column], batch[text], strict=True):
                 if value and value.strip():
-                    rows += [(key, n, a, b, kind, label, value[a:b]) for n, (a, b, kind, label) in enumerate(split(value, **options))]
+                    rows += [(key, n, a, b, kind, label, f"{label}\n{value[a:b]}" if label and kind == "table" else value[a:b]) for n, (a, b, kind, label) in enumerate(split(value, **options))]
                     size += len(value)
                 if size >= SLICE_CHARS:
                     yield pd.DataFrame(rows, columns=columns)

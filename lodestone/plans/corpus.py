@@ -12,9 +12,52 @@ from lodestone.streaming import monitors
 from .registry import Tables, query
 
 
-@query()
+def _stepped_sql(stop: str, overlap: int, floor: str) -> str:
+    """Windows as a recursion: ``stop`` gives a window's end of text t, length n and start a."""
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) <> ''),
+        s(doc_id, a, b) AS (
+            SELECT doc_id, a, {stop} FROM (SELECT *, 0::BIGINT AS a FROM d)
+            UNION ALL SELECT doc_id, a, {stop} FROM (SELECT d.*, greatest(s.b - {overlap}, s.a + 1) AS a FROM s JOIN d ON d.doc_id = s.doc_id WHERE s.b < d.n)),
+        p AS (SELECT s.*, n, substr(t, a + 1, b - a) AS piece FROM s JOIN d ON d.doc_id = s.doc_id)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::BIGINT AS chunk_no, a AS char_start, b AS char_end, sha256(piece) AS chunk_sha
+        FROM p WHERE length(trim(piece, ' ' || chr(9) || chr(10) || chr(12) || chr(13))) >= {floor}"""
+
+
+def _windows(t: Tables, method: str) -> DataFrame:
+    places = [F.col(c).cast("long").alias(c) for c in ("chunk_no", "char_start", "char_end")]
+    return chunking.chunk(t.documents, "doc_id", "text", method).select("doc_id", *places, F.sha2(F.col("text").cast("binary"), 256).alias("chunk_sha"))
+
+
+_NEXT = "substr(t, a + 1801, 600)"
+_LAST = "instr(reverse(substr(t, a + 251, 250)), '{}')"
+_SEPARATORS = " ".join(f"WHEN {_LAST.format(s)} > 0 THEN a + 501 - {_LAST.format(s)}" for s in (" .", " !", " ?", "\n"))
+
+
+@query(
+    _stepped_sql(
+        f"CASE WHEN a + 1800 >= n THEN n WHEN instr({_NEXT}, chr(10) || chr(10)) > 0 THEN a + 1799 + instr({_NEXT}, chr(10) || chr(10))"
+        f" ELSE a + 1800 + length(regexp_extract({_NEXT}, '^(?s:.*)[.?!][ \\t\\n\\r\\f]+')) END",
+        270, "60",
+    )
+)
 def chunk_char_window(t: Tables) -> DataFrame:
-    return chunking.chunk(t.documents, "doc_id", "text", "windows").select("doc_id", "chunk_no", "char_start", "char_end", F.sha2(F.col("text").cast("binary"), 256).alias("chunk_sha"))
+    return _windows(t, "char_windows")
+
+
+@query(
+    _stepped_sql(
+        "CASE WHEN a + 500 >= n THEN n WHEN instr(reverse(substr(t, a + 1, 500)), ' .') BETWEEN 1 AND 248 THEN a + 500 - instr(reverse(substr(t, a + 1, 500)), ' .') ELSE a + 500 END",
+        50, "CASE WHEN n > 500 THEN 50 ELSE 1 END",
+    )
+)
+def chunk_half_window(t: Tables) -> DataFrame:
+    return _windows(t, "half_windows")
+
+
+@query(_stepped_sql(f"CASE WHEN a + 500 >= n THEN n {_SEPARATORS} ELSE a + 500 END", 50, "60"))
+def chunk_separators(t: Tables) -> DataFrame:
+    return _windows(t, "separator_windows")
 
 
 @query()

@@ -84,7 +84,8 @@ def test_chunks_cover_the_text(spark, method):
     texts = [PROSE, LAW, PROSE[:3000] + "\n" + TABLE + "\n" + PROSE[:4000], "short text here", "", None, "   "]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {}
-    for r in chunking.chunk(rows, "id", "text", method).collect():
+    options = {"floor": 1} if method in ("char_windows", "half_windows", "separator_windows") else {}  # these drop what is under it
+    for r in chunking.chunk(rows, "id", "text", method, **options).collect():
         assert r.text == texts[r.id][r.char_start : r.char_end]
         got.setdefault(r.id, []).append((r.char_start, r.char_end))
     assert set(got) == {0, 1, 2, 3}
@@ -106,6 +107,35 @@ def test_tables_stay_whole_and_long_ones_split_by_rows():
     assert len(parts) > 1 and "".join(parts) == long and all(p.startswith("| row") for p in parts)
 
 
+def test_parts_of_a_table_carry_its_head(spark):
+    row = f"| a row | {'x' * 90} |"
+    long = "\n".join(["| goods | rate |", "Chapter 84 | machines", *[row] * 100])
+    parts = list(chunking.two_pass(long, cap=3000))
+    assert "".join(long[a:b] for a, b, _, _ in parts) == long and all(b - a <= 3000 for a, b, _, _ in parts)
+    assert [s for *_, s in parts] == [""] + ["| goods | rate |\nChapter 84 | machines"] * (len(parts) - 1)
+    got = chunking.chunk(spark.createDataFrame([(1, long)], "id int, text string"), "id", "text", "two_pass", cap=3000).orderBy("chunk_no").collect()
+    assert got[1].text == "| goods | rate |\nChapter 84 | machines\n" + long[got[1].char_start : got[1].char_end]
+    marked = "\n".join(f"Chapter {k} | part\n" + "\n".join([row] * 50) for k in (1, 2))
+    assert [marked[a:b][:9] for a, b, _, _ in chunking.two_pass(marked)] == ["Chapter 1", "Chapter 2"]
+    wide = "| a |\n| " + "y" * 9000 + " |\n| b |"
+    assert [b - a for a, b, _, _ in chunking.two_pass(wide)] == [6, 9005, 5]
+
+
+def test_windows_by_characters():
+    spans = lambda method, text, **o: [(a, b) for a, b, _, _ in chunking.METHODS[method](text, **o)]
+    text = "a" * 1850 + "\n\n" + "b" * 100 + "\n\n" + "c" * 2500
+    assert spans("char_windows", text)[0] == (0, 1850)  # the first paragraph end behind the target
+    assert spans("char_windows", "a" * 1850 + ". " + "b" * 100 + "!  " + "c" * 900)[0] == (0, 1955)  # the last sentence end
+    assert spans("char_windows", "a" * 1900)[:2] == [(0, 1800), (1530, 1900)]
+    assert spans("char_windows", "a" * 59) == [] and spans("char_windows", " " * 9 + "a" * 60) == [(0, 69)]
+    assert spans("half_windows", "a" * 300 + ". " + "b" * 400) == [(0, 301), (251, 702)]
+    assert spans("half_windows", "a" * 100 + ". " + "b" * 500) == [(0, 500), (450, 602)]
+    assert spans("half_windows", "tiny") == [(0, 4)]
+    assert spans("separator_windows", "a" * 300 + ". " + "b" * 100 + "\n" + "c" * 300)[0] == (0, 302)  # a dot goes before a later line end
+    assert spans("separator_windows", "a" * 200 + ". " + "b" * 100 + "\n" + "c" * 300)[0] == (0, 303)
+    assert spans("separator_windows", "tiny") == []
+
+
 def test_sections_keep_the_last_of_a_label():
     spans = list(chunking.sections(LAW))
     assert [s[3] for s in spans] == ["", "section 1", "section 2", "section 3"]
