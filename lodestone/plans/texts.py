@@ -132,10 +132,12 @@ def quality_flags(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(found, ",").alias("flags"))
 
 
-def _topic_sql() -> str:
+def _topic_sql(restricted: bool = False) -> str:
     # All phrases of a topic in one alternation, as the operator does; distinct matches count.
+    given = "CASE WHEN doc_id % 3 = 0 THEN 'lang' WHEN doc_id % 3 = 1 THEN 'stop' END" if restricted else "NULL"
     rows = " UNION ALL ".join(
-        f"SELECT doc_id, '{k}' AS topic, len(list_distinct(regexp_extract_all(lower(text), '(?:{'|'.join(v)})'))) AS score FROM documents" for k, v in TOPICS.items()
+        f"SELECT doc_id, '{k}' AS topic, len(list_distinct(regexp_extract_all(lower(text), '(?:{'|'.join(v)})'))) AS score FROM documents WHERE coalesce({given}, '{k.partition(':')[0]}') = '{k.partition(':')[0]}'"
+        for k, v in TOPICS.items()
     )
     return f"""
         WITH s AS ({rows}), h AS (SELECT * FROM s WHERE score > 0),
@@ -148,6 +150,46 @@ def topic_tag(t: Tables) -> DataFrame:
     return tagging.tag(t.documents, "text", TOPICS).select("doc_id", "primary_topic", F.size("topics").cast("long").alias("n_topics"))
 
 
+@query(_topic_sql(restricted=True))
+def topics_in_category(t: Tables) -> DataFrame:
+    """Topics of documents, two thirds of which have a category that the topics must have too."""
+    third = F.col("doc_id") % 3
+    docs = t.documents.select("doc_id", "text", F.when(third == 0, "lang").when(third == 1, "stop").alias("category"))
+    return tagging.tag(docs, "text", TOPICS, "category").select("doc_id", "primary_topic", F.size("topics").cast("long").alias("n_topics"))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, text, n_chars, CASE lang WHEN 'en' THEN 'license' WHEN 'fr' THEN 'LES' WHEN 'de' THEN 'und' END AS kw, len(string_split(text, chr(10))) AS pages FROM documents),
+    f AS (SELECT *, kw IS NOT NULL AND contains(lower(text), lower(kw)) AS in_body, kw IS NOT NULL AND contains(lower(substr(text, 1, 60)), lower(kw)) AS in_first FROM d)
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars / pages < 100 THEN 'SCANNED' END, CASE WHEN kw IS NOT NULL AND NOT in_body THEN 'KW-MISS(' || kw || ')' END, CASE WHEN in_body AND NOT in_first THEN 'KW-LATE' END,
+           CASE WHEN pages < 8 THEN 'STUB' END, CASE WHEN n_chars > 8000 THEN 'LARGE' END], lambda x: x IS NOT NULL), ',') AS flags FROM f"""
+)
+def audit_flags(t: Tables) -> DataFrame:
+    """Audit flags of documents: lines stand for pages, characters for kilobytes, and each language has an expected word."""
+    pages = F.size(F.split("text", "\n"))
+    keyword = F.when(F.col("lang") == "en", "license").when(F.col("lang") == "fr", "LES").when(F.col("lang") == "de", "und")
+    found = tagging.audit_flags(F.col("n_chars") / pages < 100, keyword, F.substring("text", 1, 60), F.col("text"), pages, F.col("n_chars"))
+    return t.documents.select("doc_id", F.array_join(found, ",").alias("flags"))
+
+
+@query(
+    r"""
+    WITH q AS (SELECT doc_id, text, len(regexp_extract_all(text, '[0-9]{3,}')) AS entities, source, regexp_matches(text, '(?i)\bhouse\b')::INT + regexp_matches(text, '(?i)\bwater\b')::INT + regexp_matches(text, '(?i)\bpeople\b')::INT AS places FROM documents WHERE lang = 'en'),
+    s AS (SELECT doc_id, CASE WHEN entities >= 4 THEN 3 WHEN entities >= 2 THEN 1 ELSE 0 END + least(places, 2) + regexp_matches(text, '(?i)\b(?:then|after)\b')::INT * 2 + (len(regexp_extract_all(text, '(?i)\b(?:is|are|was)\b')) >= 3)::INT
+          + (len(string_split_regex(trim(text), '\s+')) >= 40)::INT - (regexp_matches(text, '(?i)^(?:the|a|in)\b') AND entities <= 1 AND places = 0)::INT * 2 + CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN -1 ELSE 0 END AS score FROM q)
+    SELECT doc_id, score, CASE WHEN score <= 0 THEN 'LOW' WHEN score <= 3 THEN 'MEDIUM' ELSE 'HIGH' END AS complexity FROM s"""
+)
+def question_scores(t: Tables) -> DataFrame:
+    """Complexity of English texts (ASCII, as word bounds differ between engines beyond it) as if they were questions: long numbers stand for entities, common words for places."""
+    text = F.col("text")
+    difficulty = F.when(F.col("source") == "src1", "complex").when(F.col("source") == "src2", "basic").otherwise("")
+    entities = F.regexp_count(text, F.lit("[0-9]{3,}"))
+    score = tagging.question_score(text, entities, difficulty, ["house", "water", "people"], r"\b(?:is|are|was)\b", r"\b(?:then|after)\b", r"^(?:the|a|in)\b")
+    rows = t.documents.where("lang = 'en'").select("doc_id", score.alias("score"))
+    return rows.withColumn("complexity", tagging.complexity(F.col("score")))
+
+
 def _route_sql() -> str:
     score = {k: " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in v) for k, v in ROUTES.items()}
     rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS k, {s} AS s FROM documents" for k, s in score.items())
