@@ -1,65 +1,72 @@
-"""Windows over event streams: islands, latches, trailing ranges, streaks."""
+"""Windows over event streams: islands, latches, trailing ranges, streaks. None gathers a whole key (see :mod:`scans`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+from .scans import Segments
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:
     """Adds ``island``, a number that changes whenever the state does."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("_state", state)
-    changed = F.coalesce((~F.col("_state").eqNullSafe(F.lag("_state").over(w))).cast("int"), F.lit(1))
-    changed = F.when(F.row_number().over(w) == 1, 1).otherwise(changed)
-    df = df.withColumn("_changed", changed)
-    return df.withColumn("island", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed", "_state")
+    rows = Segments.of(df.withColumn("_state", F.struct(state.alias("s"))), keys, order).add(_before=scans.previous(F.col("_state")))
+    changed = F.when(F.col("_before").isNull(), 1).when(F.col("_state.s").eqNullSafe(F.col("_before.s")), 0).otherwise(1)
+    return rows.with_columns(_changed=changed).add(island=scans.total(F.col("_changed"))).result().drop("_changed", "_state", "_before")
 
 
 def rolling_latch(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, limit: float) -> DataFrame:
     """Adds ``rolling_mean`` of the last ``size`` values and ``tripped``: it was full and over the limit once, and stays so."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    last = w.rowsBetween(-(size - 1), 0)
-    df = df.withColumn("rolling_mean", F.avg(value).over(last)).withColumn("_full", F.count(value).over(last) == size)
-    df = df.withColumn("_over", (F.col("_full") & (F.col("rolling_mean") > limit)).cast("int"))
-    return df.withColumn("tripped", F.max("_over").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_full", "_over")
-
-
-def trailing(df: DataFrame, keys: list[str], seconds: Column, span: int, hit: Column) -> DataFrame:
-    """Adds ``recent``: how many hits of the key lie in the trailing ``span`` seconds, this row's included."""
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-span, 0)
-    return df.withColumn("recent", F.sum(hit.cast("int")).over(w))
+    rows = Segments.of(df, keys, order).frame(size, rolling_mean=lambda w: F.avg(value).over(w), _full=lambda w: F.count(value).over(w) == size)
+    rows = rows.with_columns(_over=(F.col("_full") & (F.col("rolling_mean") > limit)).cast("int")).add(_tripped=scans.highest(F.col("_over")))
+    return rows.with_columns(tripped=F.col("_tripped") == 1).result().drop("_full", "_over", "_tripped")
 
 
-def trailing_stats(df: DataFrame, keys: list[str], seconds: Column, span: int, value: Column) -> DataFrame:
-    """Adds ``recent`` and ``recent_mean``: count and mean of the key's values in the trailing ``span`` seconds, this one included.
+def _in_stretches(df: DataFrame, keys: list[str], seconds: Column, back: int, columns: dict) -> DataFrame:
+    """Adds columns over the key's rows of the last ``back`` seconds, this one's included: each a function of the window.
 
-    Time is cut in stretches of 16 spans; a row counts in its own stretch and, near the
+    Time is cut in stretches of 16 times that; a row counts in its own stretch and, near the
     end of it, in the next one, so a key with a third of all rows is dealt to many tasks.
     """
-    width = 16 * span
-    rows = df.withColumn("_at", seconds).withColumn("_value", value.cast("double"))
+    width = 16 * (back + 1)
+    rows = df.withColumn("_at", seconds)
     own = F.floor(F.col("_at") / width)
-    late = F.col("_at") % width >= width - span
+    late = F.pmod(F.col("_at"), F.lit(width)) >= width - back
     rows = rows.withColumn("_own", own).withColumn("_stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-(span - 1), 0)
-    rows = rows.withColumns({"recent": F.count(F.lit(1)).over(w), "recent_mean": F.avg("_value").over(w)})
-    return rows.where(F.col("_stretch") == F.col("_own")).drop("_at", "_value", "_own", "_stretch")
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(-back, 0)
+    rows = rows.withColumns({n: c(w) for n, c in columns.items()})
+    return rows.where(F.col("_stretch").eqNullSafe(F.col("_own"))).drop("_at", "_own", "_stretch")
+
+
+def trailing(df: DataFrame, keys: list[str], seconds: Column, span: int, hit: Column) -> DataFrame:
+    """Adds ``recent``: how many hits of the key lie in the trailing ``span`` seconds, this row's included."""
+    return _in_stretches(df, keys, seconds, span, {"recent": lambda w: F.sum(hit.cast("int")).over(w)})
+
+
+def trailing_stats(df: DataFrame, keys: list[str], seconds: Column, span: int, value: Column) -> DataFrame:
+    """Adds ``recent`` and ``recent_mean``: count and mean of the key's values in the trailing ``span`` seconds, this one included."""
+    rows = df.withColumn("_value", value.cast("double"))
+    return _in_stretches(rows, keys, seconds, span - 1, {"recent": lambda w: F.count(F.lit(1)).over(w), "recent_mean": lambda w: F.avg("_value").over(w)}).drop("_value")
 
 
 def progress(df: DataFrame, keys: list[str], order: list[str], micros: Column) -> DataFrame:
     """Adds ``at_us``, ``waited_us`` since the key's row before and ``done``, the rows so far."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("at_us", micros)
-    return rows.withColumns({"waited_us": F.col("at_us") - F.lag("at_us").over(w), "done": F.row_number().over(w)})
+    rows = Segments.of(df.withColumn("at_us", micros), keys, order).add(_before=scans.previous(F.col("at_us")), done=scans.row_number())
+    return rows.with_columns(waited_us=F.col("at_us") - F.col("_before")).result().drop("_before")
+
+
+def spaced(df: DataFrame, keys: list[str], order: list[str], micros: Column, least: int) -> DataFrame:
+    """Rows that come ``least`` microseconds after the key's row before at least, and first rows."""
+    rows = progress(df, keys, order, micros)
+    return rows.where(F.col("waited_us").isNull() | (F.col("waited_us") >= least)).drop("at_us", "waited_us", "done")
 
 
 def streak(df: DataFrame, keys: list[str], order: list[str], hit: Column) -> DataFrame:
-    """Adds ``streak``: consecutive hits up to this row, 0 on a miss."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("_miss", F.sum((~hit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "_miss").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("streak", F.sum(hit.cast("int")).over(inside)).drop("_miss")
+    """Adds ``streak``: consecutive hits up to this row, 0 on a miss; a hit that is null counts for nothing."""
+    rows = Segments.of(df.withColumn("_hit", hit), keys, order).add(_hits=scans.total(F.coalesce(F.col("_hit").cast("int"), F.lit(0))))
+    rows = rows.add(_at_miss=scans.last_known(F.when(~F.col("_hit"), F.col("_hits"))))
+    return rows.with_columns(streak=F.col("_hits") - F.coalesce("_at_miss", F.lit(0))).result().drop("_hit", "_hits", "_at_miss")
 
 
 def capped(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:

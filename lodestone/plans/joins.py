@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import dedup, temporal
+from lodestone.operators import dedup, scans, temporal
 from lodestone.operators import retrieval as R
 from lodestone.operators.retrieval import measured
+from lodestone.operators.scans import Segments
 
 from .registry import Tables, query
 
@@ -149,23 +150,47 @@ def variant_fixed(t: Tables) -> DataFrame:
 )
 def contained_ranges(t: Tables) -> DataFrame:
     # Distinct ranges inside another one of the same key, whatever the order of rows: by running maxima, without pairs.
-    from pyspark.sql import Window
-
     spans = t.orders.select("o_custkey", F.col("o_orderdate").alias("a"), F.expr("o_orderdate + make_dt_interval(10 + o_orderkey % 50)").alias("b")).distinct()
-    before = Window.partitionBy("o_custkey").orderBy("a", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = spans.withColumn("reach", F.max("b").over(before)).where(F.col("reach") >= F.col("b"))
+    # Of ranges that begin together the longest comes first.
+    spans = spans.withColumn("_less", -F.unix_micros(F.col("b").cast("timestamp")))
+    rows = Segments.of(spans, ["o_custkey"], ["a", "_less"]).add(_upto=scans.highest(F.col("b"))).add(reach=scans.previous(F.col("_upto"))).result()
+    inside = rows.where(F.col("reach") >= F.col("b"))
     return inside.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("contained"))
 
 
 @query(
     """
-    WITH o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e FROM orders),
-    w AS (SELECT o_custkey, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_start, s AS gap_end FROM o)
-    SELECT * FROM w WHERE gap_end > gap_start"""
+    WITH RECURSIVE o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    f AS (SELECT c_custkey, 0::BIGINT AS n, TIMESTAMP '1992-01-01' AS cur, NULL::TIMESTAMP AS gap_start, NULL::TIMESTAMP AS gap_end FROM customer
+          UNION ALL SELECT c_custkey, o.n, greatest(cur, e), CASE WHEN cur < s THEN cur END, CASE WHEN cur < s THEN s END FROM f JOIN o ON o_custkey = c_custkey AND o.n = f.n + 1),
+    l AS (SELECT c_custkey, max(cur) AS cur FROM f GROUP BY c_custkey)
+    SELECT c_custkey, gap_start, gap_end FROM f WHERE gap_start IS NOT NULL UNION ALL SELECT c_custkey, cur, TIMESTAMP '2010-01-01' FROM l WHERE cur < TIMESTAMP '2010-01-01'"""
 )
 def uncovered_gaps(t: Tables) -> DataFrame:
-    spans = t.orders.select("o_custkey", F.col("o_orderdate").alias("s"), F.expr("o_orderdate + interval 60 days").alias("e"))
-    return temporal.gaps(spans, ["o_custkey"], "s", "e")
+    """The parts of 18 years in which a customer has no order of the last 60 days; all of it for customers without orders."""
+    spans = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("s"), F.expr("o_orderdate + interval 60 days").alias("e"))
+    day = lambda d: F.lit(d).cast(t.orders.schema["o_orderdate"].dataType)
+    bounds = t.customer.select("c_custkey", day("1992-01-01").alias("low"), day("2010-01-01").alias("high"))
+    return temporal.gaps(spans, bounds, ["c_custkey"], "s", "e", "low", "high")
+
+
+@query(
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    o AS (SELECT doc_id, n, regexp_matches(line, '[0-9]') AS taken, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(line) + 1 AS size FROM l),
+    i AS (SELECT *, sum(taken::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM o),
+    g AS (SELECT doc_id, min(s) AS s, max(s + size) AS e, max(n) AS n FROM i WHERE NOT taken GROUP BY doc_id, island)
+    SELECT g.doc_id, s::BIGINT AS span_start, least(e, length(text))::BIGINT AS span_end FROM g JOIN documents d ON d.doc_id = g.doc_id WHERE s < length(text)"""
+)
+def remaining_spans(t: Tables) -> DataFrame:
+    """What of a text is left when the lines with a digit are taken out, as spans of characters."""
+    sizes = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) + 1).alias("size"), x.rlike("[0-9]").alias("taken")))
+    lines = t.documents.select("doc_id", F.posexplode(sizes).alias("at", "line")).select("doc_id", "at", "line.*")
+    ends = Segments.of(lines, ["doc_id"], ["at"]).add(e=scans.total(F.col("size"))).result().where("taken")
+    taken = ends.select("doc_id", (F.col("e") - F.col("size")).alias("s"), "e")
+    bounds = t.documents.select("doc_id", F.lit(0).cast("long").alias("low"), F.length("text").cast("long").alias("high"))
+    found = temporal.gaps(taken, bounds, ["doc_id"], "s", "e", "low", "high")
+    return found.select("doc_id", F.col("gap_start").alias("span_start"), F.col("gap_end").alias("span_end"))
 
 
 @query(

@@ -182,9 +182,8 @@ def overlap_divergence(t: Tables) -> DataFrame:
     WITH g AS (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, event_id FROM g WHERE gap IS NULL OR gap >= INTERVAL 6 HOUR"""
 )
 def throttled_heartbeats(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    return t.events.select("user_id", "event_id", gap.alias("gap")).where("gap is null or gap >= 21600000000").select("user_id", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return islands.spaced(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], micros, 21_600_000_000).select("user_id", "event_id")
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.operators import scans
+from lodestone.operators.scans import Segments
 from lodestone.session import map_pandas
 
 #: Schemas of the temporal reference tables.
@@ -168,8 +170,7 @@ def page_markers(df: DataFrame, id_column: str, text: str, marker: str = r"--- P
 def request_log(lines: DataFrame, line_no: str, value: str, server: list[str]) -> DataFrame:
     """Request records from a multi-line log: lines between "task N start" and "task N done" belong to task N of a server."""
     task = F.nullif(F.regexp_extract(value, r"task (\d+)", 1), F.lit("")).cast("long")
-    w = Window.partitionBy(*server).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("task", F.last(task, ignorenulls=True).over(w)).where("task is not null")
+    rows = Segments.of(lines, server, [line_no]).add(task=scans.last_known(task)).result().where("task is not null")
     tokens = F.nullif(F.regexp_extract(value, r"tokens[ =](\d+)", 1), F.lit("")).cast("long")
     took = F.nullif(F.regexp_extract(value, r"([\d.]+) ?ms", 1), F.lit("")).cast("double")
     return rows.groupBy(*server, "task").agg(F.min(line_no).alias("first_line"), F.max(tokens).alias("tokens"), F.max(took).alias("ms"), F.max(F.col(value).contains("done").cast("int")).alias("done"))

@@ -20,12 +20,11 @@ def rates(spark):
     return spark.createDataFrame(rows, "code string, rate double, valid_from date, valid_to date")
 
 
-@pytest.mark.parametrize("join", [temporal.interval_join, temporal.version_join])
 @pytest.mark.parametrize(("day", "half_open", "closed"), [(D(2017, 6, 30), [], []), (D(2017, 7, 1), [1.0], [1.0]), (D(2017, 12, 31), [1.0], [1.0]), (D(2018, 1, 1), [2.0], [1.0, 2.0])])
-def test_intervals_half_open_and_closed(spark, join, day, half_open, closed):
+def test_intervals_half_open_and_closed(spark, day, half_open, closed):
     probe = spark.createDataFrame([("a", day)], "code string, day date")
     for flag, expected in ((False, half_open), (True, closed)):
-        got = join(probe, rates(spark), ["code"], "day", flag)
+        got = temporal.version_join(probe, rates(spark), ["code"], "day", flag)
         assert sorted(r.rate for r in got.collect()) == expected
 
 
@@ -251,10 +250,20 @@ def test_split_keeps_keys_whole(spark):
 
 def test_gaps_and_merges(spark):
     rows = spark.createDataFrame([("d", 0, 10), ("d", 10, 20), ("d", 15, 18), ("d", 30, 40)], "k string, a int, b int")
-    assert [(r.gap_start, r.gap_end) for r in temporal.gaps(rows, ["k"], "a", "b").collect()] == [(20, 30)]
     assert sorted((r.merged_start, r.merged_end) for r in temporal.merged(rows, ["k"], "a", "b").collect()) == [(0, 20), (30, 40)]
 
 
+@pytest.mark.parametrize(
+    ("spans", "left"),
+    [([(5, 9)], [(0, 5), (9, 50)]), ([], [(0, 50)]), ([(0, 50)], []), ([(0, 10), (10, 20), (15, 18), (30, 40)], [(20, 30), (40, 50)]), ([(-5, 60)], []), ([(-5, 3), (48, 99)], [(3, 48)]), ([(0, 0), (50, 50)], [(0, 50)]), ([(60, 70)], [(0, 50)]), ([(-9, -5), (7, 7)], [(0, 7), (7, 50)])],
+)
+def test_gaps_within_bounds(spark, spans, left):
+    rows = spark.createDataFrame([("d", *s) for s in [*spans, *spans[:1]]], "k string, a int, b int")
+    bounds = spark.createDataFrame([("d", 0, 50), ("e", 3, 3)], "k string, low int, high int")
+    got = sorted((r.gap_start, r.gap_end) for r in temporal.gaps(rows, bounds, ["k"], "a", "b", "low", "high").collect())
+    assert got == left
+
+
 def test_routing_ties_give_null(spark):
     rules = {"x": ["apple", "pear"], "y": ["plum"]}
     got = one(spark, *[tagging.route(F.lit(t), rules).alias(f"c{k}") for k, t in enumerate(("an Apple and a pear", "apple plum", "nothing"))])
