@@ -134,6 +134,25 @@ def near_rows(rows):
     return kept, list(members.values())
 
 
+def mix_targets(rows):
+    """source -> (target, size, largest document) in words of rows (doc_id, text, source)."""
+    sizes, largest = Counter(), Counter()
+    for _, text, source in rows:
+        n = len(WORD.findall(text or ""))
+        sizes[source] += n
+        largest[source] = max(largest[source], n)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        target |= {s: 3.0 * sizes[s] if s in over else level * weight[s] for s in (over or free)}
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    return {s: (target[s], sizes[s], largest[s]) for s in order}
+
+
 def copies(rows):
     """(source, doc_id) -> times that the mix takes rows (doc_id, text, source); all rows of an id and source alike."""
     sizes = defaultdict(list)

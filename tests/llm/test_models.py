@@ -223,6 +223,37 @@ def test_mix_meets_targets(spark, messy, empty):
     assert mixed.count() == sum(r.copies for r in mixing.mix(messy).collect())
 
 
+@pytest.mark.parametrize(("repeated", "equal"), [(400, False), (990, True)])
+def test_mix_meets_targets_under_a_repeated_id(spark, repeated, equal):
+    """A source in which one id names many rows: different texts, or wholly equal rows."""
+    one = lambda k: "ten words " + " ".join(f"w{0 if equal else k}" for _ in range(8))
+    rows = [(7 if k < repeated else 1000 + k, one(k), "a") for k in range(1000)] + [(k, "one two three " * 3, "b") for k in range(2000, 3200)] + [(None, one(1), "a")] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(docs).collect()
+    for source, (target, size, largest) in brute.mix_targets(rows).items():
+        name = {"a": 10, "b": 9}[source]
+        own = [r for r in got if r.size == name]
+        assert sum(r.taken for r in own) == pytest.approx(target, abs=largest / 2 + 1e-6)
+        assert {r.source_size for r in own} == {size} and all(r.taken in (r.size * int(target // size), r.size * (int(target // size) + 1)) for r in own)
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.taken) for r in rows)
+    assert key(got) == key(mixing.mix(docs.repartition(3)).collect())
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in got)
+
+
+def test_larger_budgets_take_more(spark):
+    rows = [("0s", 7 if k < 60 else k, k % 5, 3) for k in range(100)]
+    sized = spark.createDataFrame(rows, "source_key string, hash long, mark long, size long")
+    reached = []
+    for budget in (0, 50, 120, 170, 290):
+        targets = spark.createDataFrame([("0s", 100_000, float(budget))], "source_key string, source_size long, target double")
+        limit = mixing.thresholds(sized, targets, 1).first()
+        reached.append((limit.threshold, limit.mark_threshold, limit.number))
+        taken = sum(h < limit.threshold or (h == limit.threshold and m < limit.mark_threshold) for _, h, m, _ in rows) + limit.number
+        assert abs(3 * taken - budget) <= 1.5
+    assert reached == sorted(reached)
+
+
 def test_pieces_keep_parity(spark, messy, empty):
     from sentencepiece import SentencePieceProcessor
 
