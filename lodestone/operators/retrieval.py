@@ -30,13 +30,24 @@ def measured(df: DataFrame, most: int = 100_000) -> DataFrame:
 WHOLE = ""
 
 
-def asked_postings(docs: DataFrame, id_column: str, text: str, asked: DataFrame) -> DataFrame:
-    """Postings of the terms in ``asked`` (term), and one of :data:`WHOLE` for each document; other terms are dropped before anything is shuffled."""
-    rows = docs.select(id_column, T.terms(F.col(text)).alias("_terms"))
-    rows = rows.select(id_column, F.size("_terms").alias("length"), F.explode(F.concat("_terms", F.array(F.lit(WHOLE)))).alias("term"))
-    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(WHOLE).alias("term")))
-    kept = rows.join(measured(wanted), "term", "left_semi")
-    return kept.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+#: So many asked terms go into the plan as a set; more are joined.
+TERMS_IN_PLAN = 10_000
+
+
+def asked_postings(docs: DataFrame, id_column: str, text: str, asked: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of the terms in ``asked`` (term), and one of :data:`WHOLE` for each document, with the columns to ``carry``.
+
+    Other terms are dropped inside a text's array, before they become rows, if the
+    asked ones were counted and are few; else before anything is shuffled.
+    """
+    rows = docs.select(id_column, *carry, T.terms(F.col(text)).alias("_terms"))
+    wanted = asked.select("term").distinct()
+    few = [r.term for r in wanted.limit(TERMS_IN_PLAN + 1).collect()]
+    posted = (lambda terms: F.filter(terms, lambda x: x.isin(*few))) if few and len(few) <= TERMS_IN_PLAN else (lambda terms: terms)
+    kept = rows.select(id_column, *carry, F.size("_terms").alias("length"), F.explode(F.concat(posted(F.col("_terms")), F.array(F.lit(WHOLE)))).alias("term"))
+    if len(few) > TERMS_IN_PLAN:
+        kept = kept.join(measured(wanted.unionByName(asked.sparkSession.range(1).select(F.lit(WHOLE).alias("term")))), "term", "left_semi")
+    return kept.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in carry])
 
 
 def corpus_size(posts: DataFrame, id_column: str) -> DataFrame:
@@ -49,19 +60,50 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.where(F.col("term") != WHOLE).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25_search(posts: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int) -> DataFrame:
-    """(query, id, score, rank): the k best documents of each query by summed BM25 weights.
-
-    ``posts`` is what :func:`asked_postings` gives, ``asked`` the queries' own postings.
-    Ties go to the smaller id.
-    """
+def bm25_scores(posts: DataFrame, id_column: str, asked: DataFrame, query_id: str, holds: Column | None = None) -> DataFrame:
+    """(query, id, score): summed BM25 weights of every document that shares a term with a query and passes ``holds``."""
     size = corpus_size(posts.where(F.col("term") == WHOLE), id_column)
-    own = asked.select(query_id, "term", F.col("tf").alias("query_tf"))
+    extra = [c for c in asked.columns if c not in (query_id, "term", "tf", "length")]
+    own = asked.select(query_id, *extra, "term", F.col("tf").alias("query_tf"))
     wanted = own.join(document_frequencies(posts), "term").join(F.broadcast(size))  # one row
     idf = V.inverse_frequency(F.col("n_docs"), F.col("df"))
-    hits = posts.join(wanted.select(query_id, "term", "query_tf", idf.alias("idf"), "mean_length"), "term")
+    hits = posts.join(wanted.select(query_id, *extra, "term", "query_tf", idf.alias("idf"), "mean_length"), "term")
+    hits = hits if holds is None else hits.where(holds)
     weight = V.bm25(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")) * F.col("idf") * F.col("query_tf")
-    return top(hits.groupBy(query_id, id_column).agg(F.round(F.sum(weight), 6).alias("score")), [query_id], [F.desc("score"), F.col(id_column)], k)
+    return hits.groupBy(query_id, id_column).agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def bm25_search(posts: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int, holds: Column | None = None) -> DataFrame:
+    """(query, id, score, rank): the k best documents of each query by summed BM25 weights.
+
+    ``posts`` is what :func:`asked_postings` gives, ``asked`` the queries' own postings.
+    ``holds`` is a condition on columns that either carries (a payload filter): postings
+    that fail it are dropped before documents are scored and ranked, so the k best are
+    the best of those that pass; frequencies are those of all documents. Ties go to the
+    smaller id.
+    """
+    return top(bm25_scores(posts, id_column, asked, query_id, holds), [query_id], [F.desc("score"), F.col(id_column)], k)
+
+
+def filtered_search(posts: DataFrame, id_column: str, asked: DataFrame, query_id: str, k: int, holds: Column) -> DataFrame:
+    """:func:`bm25_search` under a condition, and without it for the queries to which the condition leaves no hit; ``filtered`` says which it was."""
+    within = durable(bm25_search(posts, id_column, asked, query_id, k, holds))
+    without = asked.join(within.select(query_id).distinct(), query_id, "left_anti")
+    rest = bm25_search(posts, id_column, without, query_id, k)
+    return within.withColumn("filtered", F.lit(True)).unionByName(rest.withColumn("filtered", F.lit(False)))
+
+
+def in_force_search(docs: DataFrame, id_column: str, text: str, questions: DataFrame, query_id: str, day: str, rates: DataFrame, k: int, tie: list[str]) -> DataFrame:
+    """The k best (query, id) with a row of ``rates`` (id, valid_from, valid_to) that holds on the query's day, and that row's columns; rank.
+
+    Documents without a row in force that day are out before the k best are chosen.
+    """
+    asked = postings(questions, query_id, text)
+    posts = durable(asked_postings(docs, id_column, text, asked))
+    scored = bm25_scores(posts, id_column, asked, query_id).join(questions.select(query_id, day), query_id)
+    holds = (F.col("valid_from") <= F.col(day)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(day)))
+    dated = scored.join(rates, id_column).where(holds)
+    return top(dated, [query_id], [F.desc("score"), F.col(id_column), *[F.col(c) for c in tie]], k)
 
 
 def pool_size(k: int, times: int, least: int = 0) -> int:
@@ -138,19 +180,19 @@ ITEMS_A_BLOCK, QUERIES_AT_ONCE = 16_384, 256
 
 
 def _block_search(k: int):
-    """Ranks the queries of a block (role 1) against its items (role 0), which come first."""
+    """Ranks the queries of a block (role 1) against its items (role 0), which come first; a query's payload, if any, must be the item's."""
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
     def ranked(items: list, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, x = (np.concatenate(c) for c in zip(*items, strict=True))
+        ids, x, payload = (np.concatenate(c) for c in zip(*items, strict=True))
         norms = np.sqrt((x * x).sum(1))
-        own, q = np.asarray(batch.column("id")), matrix(batch.column("v"))
+        own, q, wanted = np.asarray(batch.column("id")), matrix(batch.column("v")), np.asarray(batch.column("payload"))
         for i in range(0, len(own), QUERIES_AT_ONCE):
             part = q[i : i + QUERIES_AT_ONCE]
             score = np.round(part @ x.T / (np.sqrt((part * part).sum(1))[:, None] * norms[None]), 9)
-            score[own[i : i + QUERIES_AT_ONCE, None] == ids[None]] = -2
+            score[(own[i : i + QUERIES_AT_ONCE, None] == ids[None]) | (wanted[i : i + QUERIES_AT_ONCE, None] != payload[None])] = -2
             edge = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -1.5)
             row, at = np.nonzero((score >= edge[:, None]) & (score > -1.5))
             yield pa.RecordBatch.from_arrays([pa.array(own[i + row]), pa.array(ids[at]), pa.array(score[row, at])], ["query_id", "item_id", "score"])
@@ -167,28 +209,38 @@ def _block_search(k: int):
                     at, items = block[a], []
                 piece = batch.slice(a, b - a)
                 if role[a] == 0:
-                    items.append((np.asarray(piece.column("id")), matrix(piece.column("v"))))
+                    items.append((np.asarray(piece.column("id")), matrix(piece.column("v")), np.asarray(piece.column("payload"))))
                 elif items:
                     yield from ranked(items, piece)
 
     return apply
 
 
-def nearest(queries: DataFrame, query_id: str, items: DataFrame, item_id: str, vector: str, k: int) -> DataFrame:
+def nearest(queries: DataFrame, query_id: str, items: DataFrame, item_id: str, vector: str, k: int, same: str | None = None) -> DataFrame:
     """Exact cosine top-k of a stated query set against all items, in blocks: query_id, item_id, score (9 digits), rank.
 
     Items are dealt by a hash of their ids to blocks whose number grows with them;
     every query goes to every block, which ranks it against its items by one matrix
-    product and passes on the k best. Vectors have one length; null and zero ones, and
-    such with null or non-finite components, take no part.
+    product and passes on the k best. With ``same`` only items whose value in that column
+    is the query's count, and are told apart before they are ranked. Null and zero
+    vectors, and such with null or non-finite components, take no part; the others must
+    have one length, which is checked first.
     """
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    of = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), V.doubles(F.col(vector)).alias("v")).where(usable)
-    blocks = max(1, -(-items.count() // ITEMS_A_BLOCK), min(shuffle_width(items.sparkSession), -(-items.count() // 1024)))
-    d = of(items, item_id).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
-    q = of(queries, query_id).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "v")
-    rows = d.unionByName(q).repartition(blocks, "block").sortWithinPartitions("block", "role")
-    found = map_arrow(rows, _block_search(k), "query_id long, item_id long, score double")
+    payload = F.lit(0).cast("long") if same is None else F.xxhash64(F.col(same).cast("string"))
+    of = lambda rows, key: rows.select(F.col(key).cast("long").alias("id"), payload.alias("payload"), V.doubles(F.col(vector)).alias("v"), *([F.col(same)] if same else [])).where(usable)
+    d, q = of(items, item_id), of(queries, query_id)
+    if same:
+        d, q = (rows.where(F.col(same).isNotNull()).drop(same) for rows in (d, q))
+    lengths = d.select(F.size("v").alias("n")).unionByName(q.select(F.size("v").alias("n"))).agg(F.min("n").alias("low"), F.max("n").alias("high")).first()
+    if lengths.low != lengths.high:
+        raise ValueError(f"vectors have {lengths.low} to {lengths.high} components; cosines need one length")
+    rows = items.count()
+    blocks = max(1, -(-rows // ITEMS_A_BLOCK), min(shuffle_width(items.sparkSession), -(-rows // 1024)))
+    d = d.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "payload", "v")
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "payload", "v")
+    dealt = d.unionByName(q).repartition(blocks, "block").sortWithinPartitions("block", "role")
+    found = map_arrow(dealt, _block_search(k), "query_id long, item_id long, score double")
     return top(found, ["query_id"], [F.desc("score"), F.col("item_id")], k)
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import evidence as E
+from lodestone.functions import text as T
 from lodestone.operators import evaluation as V
 from lodestone.operators import retrieval as R
+from lodestone.session import durable
 
 from .registry import Tables, query
-from .retrieval import BM25, bm25_hits
+from .retrieval import _POSTS, _TERMS, BM25, bm25_hits, scores_sql
 
 
 @query(
@@ -123,23 +125,77 @@ def entity_ranks(t: Tables) -> DataFrame:
     return _entities(t).join(ranks, ["item_id", "entity"], "left").select("item_id", "entity", F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"))
 
 
+#: Languages by words that only one of them has, and the same rule as SQL.
+LANGUAGE_WORDS = (("en", "(^|[ \n])the[ .,]"), ("es", "(^|[ \n])para[ .,]|ción"), ("de", "(^|[ \n])(und|der)[ .,]"), ("fr", "(^|[ \n])(les|une)[ .,]"))
+_DETECTED = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{w}') THEN '{lang}'" for lang, w in LANGUAGE_WORDS) + " END"
+
+
+def detected_language(text: Column) -> Column:
+    """A language by telling words, null if none occurs: then there is no filter."""
+    found = None
+    for lang, words in LANGUAGE_WORDS:
+        hit = F.lower(text).rlike(words)
+        found = F.when(hit, lang) if found is None else found.when(hit, lang)
+    return found
+
+
+_VARIANTS = f"""
+    {_POSTS}, qt AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    qi AS (SELECT item_id, term, count(*) AS qf FROM qt GROUP BY ALL), {scores_sql("s", "qi")},
+    al AS (SELECT item_id, {_DETECTED} AS asked FROM benchmark),
+    base AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50),
+    cover AS (SELECT item_id, doc_id, count(*) AS shared FROM qi JOIN posts USING (term) GROUP BY ALL),
+    wide AS (SELECT item_id, doc_id, place AS rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, rank) AS place FROM base JOIN cover USING (item_id, doc_id)) WHERE place <= 5),
+    within AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN al USING (item_id) JOIN documents USING (doc_id) WHERE asked IS NULL OR lang = asked QUALIFY rank <= 5),
+    filtered AS (SELECT * FROM within UNION ALL SELECT * FROM base WHERE rank <= 5 AND item_id NOT IN (SELECT item_id FROM within)),
+    more AS (SELECT item_id, unnest(ts[1:30]) AS term FROM base JOIN dt USING (doc_id) WHERE rank = 1), qr AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, term FROM qt UNION ALL SELECT item_id, term FROM more) GROUP BY ALL),
+    {scores_sql("sr", "qr")}, rewritten AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sr QUALIFY rank <= 5),
+    v AS (SELECT 'baseline' AS variant, * FROM base WHERE rank <= 5 UNION ALL SELECT 'wide', * FROM wide UNION ALL SELECT 'filtered', * FROM filtered UNION ALL SELECT 'rewritten', * FROM rewritten)"""
+
+
+def _variants(t: Tables) -> DataFrame:
+    """variant, item_id, doc_id, rank: five hits an item under four ways of retrieval.
+
+    ``wide`` takes a pool of 50 and orders it by how many of the item's terms a document
+    has; ``filtered`` searches documents of the item's language only, and all where that
+    leaves none; ``rewritten`` asks with the first 30 terms of the best document added.
+    """
+    items = t.benchmark.select("item_id", "text", detected_language(F.col("text")).alias("asked_lang"))
+    asked = durable(R.postings(items, "item_id", "text").join(items.select("item_id", "asked_lang"), "item_id"))
+    posts = durable(R.asked_postings(t.documents, "doc_id", "text", asked, ("lang",)))
+    pool = durable(R.bm25_search(posts, "doc_id", asked.drop("asked_lang"), "item_id", 50))
+    shared = posts.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    wide = R.top(pool.withColumnRenamed("rank", "pooled").join(shared, ["item_id", "doc_id"]), ["item_id"], [F.desc("shared"), F.col("pooled")], 5)
+    filtered = R.filtered_search(posts, "doc_id", asked, "item_id", 5, F.col("asked_lang").isNull() | (F.col("lang") == F.col("asked_lang")))
+    best = pool.where("rank = 1").select("item_id", "doc_id").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
+    added = best.select("item_id", F.array_join(F.slice(T.terms(F.col("body")), 1, 30), " ").alias("added"))
+    longer = items.join(added, "item_id", "left").select("item_id", F.concat_ws(" ", "text", "added").alias("text"))
+    asked_more = durable(R.postings(longer, "item_id", "text"))
+    posts_more = durable(R.asked_postings(t.documents, "doc_id", "text", asked_more))
+    rewritten = R.bm25_search(posts_more, "doc_id", asked_more, "item_id", 5)
+    named = lambda rows, name: rows.where("rank <= 5").select(F.lit(name).alias("variant"), "item_id", "doc_id", "rank")
+    return named(pool, "baseline").unionByName(named(wide, "wide")).unionByName(named(filtered, "filtered")).unionByName(named(rewritten, "rewritten"))
+
+
+@query(f"WITH {_VARIANTS} SELECT variant, item_id, doc_id, rank FROM v")
+def variant_hits(t: Tables) -> DataFrame:
+    return _variants(t)
+
+
 @query(
     f"""
-    WITH {BM25}, hits AS (SELECT b.item_id, b.rank, d.lang, contains(lower(d.text), lower(q.text)) AS hit FROM bm25 b JOIN documents d USING (doc_id) JOIN benchmark q USING (item_id)),
-    en AS (SELECT item_id FROM hits WHERE lang = 'en' GROUP BY item_id),
-    v AS (SELECT 'baseline' AS variant, * FROM hits WHERE rank <= 5 UNION ALL SELECT 'wide', * FROM hits UNION ALL SELECT 'filtered', * FROM hits WHERE lang = 'en' OR item_id NOT IN (SELECT item_id FROM en)),
-    p AS (SELECT variant, item_id, min(rank) AS best, min(CASE WHEN hit THEN rank END) AS first FROM v GROUP BY ALL)
-    SELECT variant, count(*) AS n, count(*) FILTER (first = best) AS hit_at_1, count(first) AS hit_at_k FROM p GROUP BY variant"""
+    WITH {_VARIANTS}, e AS (SELECT item_id, unnest(list_slice(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: struct_pack(n := -length(w), w := w))), 1, 3)).w AS entity FROM benchmark),
+    f AS (SELECT variant, v.item_id, min(rank) AS first FROM v JOIN e ON v.item_id = e.item_id JOIN documents d ON d.doc_id = v.doc_id WHERE contains(lower(d.text), entity) GROUP BY ALL),
+    a AS (SELECT DISTINCT variant, item_id FROM v)
+    SELECT variant, count(*) AS n, count(*) FILTER (first = 1) AS hit_at_1, count(first) AS hit_at_k FROM a LEFT JOIN f USING (variant, item_id) GROUP BY variant"""
 )
 def variant_sweep(t: Tables) -> DataFrame:
-    """Hits of items whose whole text a document contains, under three retrieval variants; the filter falls back where it leaves nothing."""
-    hits = bm25_hits(t).join(t.documents.select("doc_id", "lang", F.lower("text").alias("body")), "doc_id").join(t.benchmark.select("item_id", F.lower("text").alias("asked")), "item_id")
-    rows = hits.select("item_id", "rank", "lang", F.col("body").contains(F.col("asked")).alias("hit"))
-    per_item = rows.groupBy("item_id").agg(F.bool_or(F.col("lang") == "en").alias("some"))
-    filtered = rows.join(per_item, "item_id").where((F.col("lang") == "en") | ~F.col("some")).drop("some")
-    variants = [rows.where("rank <= 5").withColumn("variant", F.lit("baseline")), rows.withColumn("variant", F.lit("wide")), filtered.withColumn("variant", F.lit("filtered"))]
-    per = variants[0].unionByName(variants[1]).unionByName(variants[2]).groupBy("variant", "item_id").agg(F.min("rank").alias("best"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
-    return per.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("best")).alias("hit_at_1"), F.count("first").alias("hit_at_k"))
+    """For each way of retrieval the items with a hit (one that contains one of the item's entities) in first place and among five."""
+    hits = _variants(t)
+    bodies = hits.join(t.documents.select("doc_id", F.lower("text").alias("body")), "doc_id").join(_entities(t), "item_id").where(F.col("body").contains(F.col("entity")))
+    first = bodies.groupBy("variant", "item_id").agg(F.min("rank").alias("first"))
+    rows = hits.select("variant", "item_id").distinct().join(first, ["variant", "item_id"], "left")
+    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == 1).alias("hit_at_1"), F.count("first").alias("hit_at_k"))
 
 
 @query(

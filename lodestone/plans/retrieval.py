@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import retrieval as R
+from lodestone.operators import temporal
 from lodestone.session import durable
 
 from .registry import Tables, query
@@ -122,6 +123,89 @@ def _fused(t: Tables, pool: int) -> DataFrame:
     return R.fuse(by_weight, by_terms, query_id="item_id", item_id="doc_id")
 
 
+_SCORE = "round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / greatest(mean_length, 1))) * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * qf), 6)"
+
+
+def scores_sql(name: str, asked: str) -> str:
+    """BM25 scores of all documents for the postings (item_id, term, qf) of a common table expression."""
+    return f"{name} AS (SELECT item_id, doc_id, {_SCORE} AS score FROM {asked} JOIN df USING (term) JOIN posts USING (term), size GROUP BY item_id, doc_id)"
+
+
+_HYBRID = f"""
+    {_POSTS}, x AS (SELECT d.doc_id, d.lang, ts[1:12] AS ts, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM dt JOIN documents d USING (doc_id) JOIN embeddings v ON v.vec_id = d.doc_id),
+    n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM x), q AS (SELECT doc_id AS item_id, term, count(*) AS qf FROM (SELECT doc_id, unnest(ts) AS term FROM x WHERE doc_id % 20 = 0) GROUP BY ALL),
+    {scores_sql("h", "q")},
+    sparse AS (SELECT item_id, h.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, h.doc_id) AS rank FROM h JOIN n d ON d.doc_id = h.doc_id JOIN n i ON i.doc_id = item_id WHERE item_id <> h.doc_id AND d.lang = i.lang QUALIFY rank <= 50),
+    dense AS (SELECT i.doc_id AS item_id, d.doc_id, row_number() OVER (PARTITION BY i.doc_id ORDER BY round(list_dot_product(i.e, d.e) / (i.l * d.l), 9) DESC, d.doc_id) AS rank FROM n i JOIN n d ON i.doc_id <> d.doc_id AND i.lang = d.lang WHERE i.doc_id % 20 = 0 QUALIFY rank <= 50),
+    fused AS (SELECT item_id, doc_id, round(sum(1 / (60.0 + rank)), 9) AS score, count(*) AS lists FROM (SELECT * FROM sparse UNION ALL SELECT * FROM dense) GROUP BY ALL)"""
+
+
+def hybrid_hits(t: Tables, pool: int = 50) -> DataFrame:
+    """item_id, doc_id, score, lists, rank: a term channel and a vector channel of ``pool`` each, both filtered by the question's language before they rank, fused.
+
+    Questions are the documents with a vector whose id is divisible by 20: the first
+    twelve terms and the vector. Candidates are all documents with a vector.
+    """
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = durable(t.documents.select("doc_id", "lang", "text").join(vectors, "doc_id"))
+    own = F.array_join(F.slice(T.terms(F.col("text")), 1, 12), " ")
+    questions = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), F.col("lang").alias("asked_lang"), own.alias("text"), "embedding")
+    asked = R.postings(questions, "item_id", "text").join(questions.select("item_id", "asked_lang"), "item_id")
+    with_vector = docs.select("doc_id", F.lit(True).alias("has_vector"))
+    posts = durable(R.asked_postings(t.documents.join(with_vector, "doc_id", "left"), "doc_id", "text", asked, ("lang", "has_vector")))
+    holds = (F.col("lang") == F.col("asked_lang")) & F.col("has_vector") & (F.col("doc_id") != F.col("item_id"))
+    by_terms = R.bm25_search(posts, "doc_id", asked, "item_id", pool, holds)
+    found = R.nearest(questions.withColumnRenamed("asked_lang", "lang"), "item_id", docs, "doc_id", "embedding", pool, same="lang")
+    by_vectors = found.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), "rank")
+    return R.fuse(by_terms, by_vectors, query_id="item_id", item_id="doc_id")
+
+
+@query(f"WITH {_HYBRID} SELECT item_id, doc_id, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= 10")
+def hybrid_fusion(t: Tables) -> DataFrame:
+    return hybrid_hits(t).where("rank <= 10").select("item_id", "doc_id", "lists", "rank")
+
+
+@query(
+    f"""
+    WITH {_HYBRID}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= 20),
+    m AS (SELECT r.*, d.source, substr(d.text, 1, 40) AS head, i.source AS own_source, substr(i.text, 1, 40) AS own_head FROM r JOIN documents d ON d.doc_id = r.doc_id JOIN documents i ON i.doc_id = item_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM m WHERE source IS DISTINCT FROM own_source AND head IS DISTINCT FROM own_head)
+    SELECT item_id, doc_id, rank FROM o WHERE n <= 10"""
+)
+def mined_negatives(t: Tables) -> DataFrame:
+    """Ten of twenty hits a question that share neither chunk (the row), document (its source) nor section (its heading, the first 40 characters) with it."""
+    hits = hybrid_hits(t).where("rank <= 20")
+    of = lambda prefix, key: t.documents.select(F.col("doc_id").alias(key), F.col("source").alias(f"{prefix}source"), F.substring("text", 1, 40).alias(f"{prefix}head"))
+    rows = hits.join(of("", "doc_id"), "doc_id").join(of("own_", "item_id"), "item_id")
+    positive = F.col("source").eqNullSafe(F.col("own_source")) | F.col("head").eqNullSafe(F.col("own_head"))
+    return R.hard_negatives(rows, "item_id", positive, 10).select("item_id", "doc_id", "rank")
+
+
+_PARTS = "regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{2,}')"
+
+
+@query(
+    """
+    WITH p AS (SELECT p_partkey AS doc_id, TERMS AS ts FROM part), posts AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM p) GROUP BY doc_id, term),
+    size AS (SELECT count(*) AS n_docs, avg(length) AS mean_length FROM (SELECT doc_id, any_value(length) AS length FROM posts GROUP BY doc_id)), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+    a AS (SELECT o_orderkey AS item_id, o_orderdate AS day, ts FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN p ON doc_id = l_partkey WHERE o_orderkey % 20 = 0),
+    q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(ts) AS term FROM a) GROUP BY ALL), SCORES,
+    v AS (SELECT l_partkey AS doc_id, l_shipdate AS valid_from, lead(l_shipdate) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS valid_to, l_discount AS rate, l_orderkey, l_linenumber FROM lineitem),
+    c AS (SELECT a.item_id, h.doc_id, rate, score, l_orderkey, l_linenumber FROM h JOIN a USING (item_id) JOIN v ON v.doc_id = h.doc_id AND valid_from <= day AND (valid_to IS NULL OR valid_to > day))
+    SELECT item_id, doc_id, rate, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, l_orderkey, l_linenumber) AS rank FROM c QUALIFY rank <= 5""".replace("TERMS", _PARTS).replace("SCORES", scores_sql("h", "q"))
+)
+def dated_rates(t: Tables) -> DataFrame:
+    """The five best matches of an order's first part, each with the rate in force on the order's day; parts without one that day do not count."""
+    words = F.array_join(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{2,}"), F.lit(0)), " ")
+    parts = durable(t.part.select(F.col("p_partkey").alias("doc_id"), words.alias("text")))
+    first = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("doc_id"))
+    asked_rows = t.orders.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").alias("day")).join(first, "item_id").join(parts, "doc_id").select("item_id", "day", "text")
+    history = t.lineitem.select(F.col("l_partkey").alias("doc_id"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_discount").alias("rate"))
+    rates = temporal.to_intervals(history, ["doc_id"], "l_shipdate", "l_orderkey", "l_linenumber")
+    found = R.in_force_search(parts, "doc_id", "text", asked_rows, "item_id", "day", rates, 5, ["l_orderkey", "l_linenumber"])
+    return found.select("item_id", "doc_id", "rate", "rank")
+
+
 _WIDE = BM25.replace("QUALIFY rank <= 10", "QUALIFY rank <= {n}")
 
 

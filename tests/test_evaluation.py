@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import evidence as E
 from lodestone.operators import evaluation as V
+from lodestone.operators import retrieval as R
 
 
 def values(spark, *columns):
@@ -103,3 +104,46 @@ def test_negatives_are_not_paired_by_label(spark, sf_dir):
 
     plan = registry.QUERIES["pairs_with_negatives"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and not re.search(r"Join \w+, .*label", plan)
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark):
+    docs = [(1, "red fox runs", "en"), (2, "red fox", "fr"), (3, "red fox fox fox", "fr"), (4, "blue whale", "en"), (5, None, "en"), (6, "", None)]
+    return spark.createDataFrame(docs, "doc_id long, text string, lang string")
+
+
+def test_filters_hold_before_ranks(spark, small_corpus):
+    items = spark.createDataFrame([(0, "red fox", "en"), (1, "red fox", "de"), (2, "red fox", None), (3, "whale", "fr")], "item_id long, text string, asked_lang string")
+    asked = R.postings(items, "item_id", "text").join(items.select("item_id", "asked_lang"), "item_id")
+    posts = R.asked_postings(small_corpus, "doc_id", "text", asked, ("lang",))
+    holds = F.col("asked_lang").isNull() | (F.col("lang") == F.col("asked_lang"))
+    got = sorted((r.item_id, r.rank, r.doc_id, r.filtered) for r in R.filtered_search(posts, "doc_id", asked, "item_id", 1, holds).collect())
+    best = R.bm25_search(posts, "doc_id", asked.drop("asked_lang"), "item_id", 1).where("item_id = 0").first().doc_id
+    assert best != 1  # the filter brings in what a filter of the one best hit would lose
+    assert got == [(0, 1, 1, True), (1, 1, best, False), (2, 1, best, True), (3, 1, 4, False)]
+
+
+def test_asked_terms_in_the_plan_or_joined(spark, small_corpus, monkeypatch):
+    asked = spark.createDataFrame([("red",), ("whale",)], "term string")
+    rows = lambda: sorted(map(tuple, R.asked_postings(small_corpus, "doc_id", "text", asked, ("lang",)).collect()))
+    few = rows()
+    monkeypatch.setattr(R, "TERMS_IN_PLAN", 1)
+    assert rows() == few and (1, "red", 1, 3, "en") in few and all(r[1] in ("red", "whale", R.WHOLE) for r in few)
+
+
+def test_rates_in_force_only(spark):
+    docs = spark.createDataFrame([(1, "tea leaf"), (2, "tea"), (3, "tea leaf green")], "id long, text string")
+    rates = spark.createDataFrame([(1, 0, 10, 5.0), (1, 10, None, 6.0), (2, 0, 4, 1.0)], "id long, valid_from int, valid_to int, rate double")
+    asked = spark.createDataFrame([(7, "tea leaf green", 3), (8, "tea leaf green", 12), (9, "coffee", 3)], "q long, text string, day int")
+    got = sorted((r.q, r.rank, r.id, r.rate) for r in R.in_force_search(docs, "id", "text", asked, "q", "day", rates, 5, ["rate"]).collect())
+    assert got == [(7, 1, 1, 5.0), (7, 2, 2, 1.0), (8, 1, 1, 6.0)]
+
+
+def test_neighbours_of_one_payload_and_length(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [0.5, 0.5], "a"), (4, [0.0, 1.0], None), (5, None, "a"), (6, [0.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, kind string")
+    found = lambda same: [(r.query_id, r.item_id) for r in R.nearest(df.where("id in (1, 4)"), "id", df, "id", "v", 1, same).orderBy("query_id").collect()]
+    assert found(None) == [(1, 2), (4, 3)] and found("kind") == [(1, 3)]
+    odd = df.unionByName(spark.createDataFrame([(9, [1.0], "a")], df.schema))
+    with pytest.raises(ValueError, match="1 to 2 components"):
+        R.nearest(odd.where("id = 1"), "id", odd, "id", "v", 1)
