@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_arrow
+from .common import durable, map_arrow, shuffle_width
 
 LEAST_LENGTH, LEAST_COUNT, FORM_TIMES, DELETE_EVERY = 7, 2, 10, 31
 HALF = LEAST_LENGTH // 2
@@ -304,7 +304,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def neighbours(words: DataFrame, limit: int = WORDS_A_SHARD) -> DataFrame:
     """word, n_near, best_n, best: for each word (word, n; distinct) with a near one, how many are near, and the most frequent of them (ties: the least word)."""
-    dealt = _dealt(words, limit).repartition("shard", "part").sortWithinPartitions("shard", "part", F.desc("own"))
+    # One shard or more a task, whatever Spark would join: the work is in the search, not in the bytes.
+    dealt = _dealt(words, limit)
+    dealt = dealt.repartition(shuffle_width(words.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", F.desc("own"))
     found = map_arrow(dealt, _search, "word string, n_near long, best_n long, best string")
     lead = F.struct((-F.col("best_n")).alias("m"), "best")
     per = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(lead).alias("b"))
