@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import measures as S
+from lodestone.operators import open_schema
 
 from .registry import Tables, query
 
@@ -103,6 +104,44 @@ def field_fill_rates(t: Tables) -> DataFrame:
     return S.fill_rates(t.documents, _FIELDS)
 
 
+_MIXED = """
+    WITH r AS (SELECT count(*) AS n FROM (SELECT 1 FROM events UNION ALL SELECT 1 FROM labels UNION ALL SELECT 1 FROM conversations UNION ALL SELECT 1 FROM documents)),
+    f AS (SELECT 'k' AS field, 'BIGINT' AS types, count(props->>'k') AS present FROM events
+          UNION ALL SELECT 'doc_id', 'BIGINT,STRING', (SELECT count(doc_id) FROM labels) + (SELECT count(*) FILTER (trim(doc_id::VARCHAR) <> '') FROM documents) UNION ALL SELECT 'quality', 'BIGINT', count(quality) FROM labels
+          UNION ALL SELECT 'conv.id', 'BIGINT', count(conv_id) FROM conversations UNION ALL SELECT 'conv.turn', 'BIGINT', count(turn) FROM conversations
+          UNION ALL SELECT 'conv.tags[]', 'STRING', count(*) FILTER (trim(role) <> '' OR substr(text, 1, 1) <> ' ') FROM conversations
+          UNION ALL SELECT 'meta[].lang', 'STRING', count(*) FILTER (trim(lang) <> '') FROM documents UNION ALL SELECT 'meta[].long', 'BOOLEAN', count(n_chars > 500) FROM documents)
+    """
+
+
+def _mixed_rows(t: Tables) -> DataFrame:
+    """JSON texts of four schemas, some nested, one field with two types."""
+    labels = t.labels.select(F.to_json(F.struct("doc_id", "quality")).alias("j"))
+    turns = t.conversations.select(F.to_json(F.struct(F.struct(F.col("conv_id").alias("id"), "turn", F.array("role", F.substring("text", 1, 1)).alias("tags")).alias("conv"))).alias("j"))
+    docs = t.documents.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.array(F.struct("lang", (F.col("n_chars") > 500).alias("long"))).alias("meta"))).alias("j"))
+    return t.events.select(F.col("props").alias("j")).unionByName(labels).unionByName(turns).unionByName(docs)
+
+
+@query(_MIXED + "SELECT field, types, present, present / n AS fill_rate FROM f, r")
+def open_fill_rates(t: Tables) -> DataFrame:
+    """Type and fill rate of every field that occurs in rows of mixed schemas; no column is named."""
+    return open_schema.field_rates(_mixed_rows(t), "j")
+
+
+@query(
+    """
+    SELECT conv_id * 100 + turn AS row_id, CASE WHEN turn % 3 = 0 AND trim(substr(text, 1, 30)) <> '' THEN substr(text, 1, 30) WHEN turn % 3 = 1 THEN 'a.turn: ' || turn || '; ' || 'b[]: ' || role ELSE 'turn: ' || turn END AS text FROM conversations"""
+)
+def open_row_texts(t: Tables) -> DataFrame:
+    """Texts of rows whose schema goes by the turn: a preferred field, else all that they hold."""
+    third = F.col("turn") % 3
+    body = F.to_json(F.struct(F.substring("text", 1, 30).alias("answer"), F.lit("x").alias("z")))
+    nested = F.to_json(F.struct(F.struct("turn").alias("a"), F.array("role").alias("b")))
+    row = F.when(third == 0, body).when(third == 1, nested).otherwise(F.to_json(F.struct("turn")))
+    rows = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"), row.alias("j"))
+    return open_schema.texts_of_rows(rows, "row_id", "j", ["text", "answer"])
+
+
 @query(
     """
     SELECT source, count(*) FILTER (band = 'low') AS low, count(*) FILTER (band = 'mid') AS mid, count(*) FILTER (band = 'high') AS high, count(*) AS total, count(*) / sum(count(*)) OVER () AS share

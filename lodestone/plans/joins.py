@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import dedup, scans, temporal
 from lodestone.operators import retrieval as R
+from lodestone.operators.phrases import gram_hits
 from lodestone.operators.retrieval import measured
 from lodestone.operators.scans import Segments
 
@@ -219,11 +220,13 @@ _GRAMS = "unnest(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range
 def contamination(t: Tables) -> DataFrame:
     """For each benchmark item the document with most shared word 5-grams: grams meet in an equi-join, never item by item.
 
-    Items have few grams; as long as a count says so, they go to the documents, whose own grams are not shuffled.
+    Items have few grams; as long as a count says so, hashes of a document's grams are
+    tested inside its array and only those that an item has become rows.
     """
-    b = t.benchmark.select("item_id", F.explode(T.word_grams(F.col("text"), 5)).alias("g"))
-    d = t.documents.select("doc_id", F.explode(T.word_grams(F.col("text"), 5, distinct=False)).alias("g"))
-    shared = d.join(measured(b), "g").groupBy("item_id", "doc_id").agg(F.countDistinct("g").alias("shared"))
+    b = t.benchmark.select("item_id", F.explode(T.word_grams(F.col("text"), 5)).alias("gram"))
+    words = t.documents.select("doc_id", T.words(F.col("text")).alias("_words"))
+    d = gram_hits(words, ["doc_id"], "_words", b.select("gram").distinct(), 5).select("doc_id", "gram")
+    shared = d.join(measured(b), "gram").groupBy("item_id", "doc_id").agg(F.countDistinct("gram").alias("shared"))
     best = shared.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "shared"), F.struct("shared", -F.col("doc_id"))).alias("r"))
     return best.select("item_id", "r.doc_id", "r.shared")
 

@@ -51,6 +51,12 @@ def json_lines(spark: SparkSession, path: str, schema: str, drop_bad: bool = Tru
     return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
+def json_with_defaults(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
+    """JSON lines of a schema without bad lines; columns that are absent or null in a line get their default."""
+    rows = json_lines(spark, path, schema)
+    return rows.select(*[F.coalesce(F.col(f.name), F.lit(defaults[f.name]).cast(f.dataType)).alias(f.name) if f.name in defaults else F.col(f.name) for f in rows.schema])
+
+
 def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines or one JSON array, by the first character."""
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
