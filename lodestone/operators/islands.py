@@ -23,6 +23,33 @@ def rolling_latch(df: DataFrame, keys: list[str], order: list[str], value: str,
     return rows.with_columns(tripped=F.col("_tripped") == 1).result().drop("_full", "_over", "_tripped")
 
 
+def controlled_latch(df: DataFrame, keys: list[str], order: list[str], value: str, control: str, micros: Column, size: int, limit: float) -> DataFrame:
+    """Adds ``rolling_mean``, ``tripped``, ``reason`` ("mean" or "manual") and ``since_us`` after each row of values and controls.
+
+    ``control`` is "kill", "resume" or null for a value. A full window's mean over the
+    limit trips the switch, a kill too and takes its reason over; a resume clears the
+    switch and the window. The batch twin of :func:`lodestone.streaming.monitors.latched`.
+    """
+    rows = df.withColumns({"_us": micros, "_resumed": F.coalesce((F.col(control) == "resume").cast("int"), F.lit(0))})
+    rows = Segments.of(rows, keys, order).add(_epoch=scans.total(F.col("_resumed"))).result()
+    inner = [*keys, "_epoch"]
+    values = Segments.of(rows.where(F.col(control).isNull()), inner, order).frame(size, _mean=lambda w: F.avg(value).over(w), _n=lambda w: F.count(F.lit(1)).over(w)).result()
+    others = rows.where(F.col(control).isNotNull()).withColumns({"_mean": F.lit(None).cast("double"), "_n": F.lit(None).cast("long")})
+    over = (F.col("_n") == size) & (F.col("_mean") > limit)
+    both = Segments.of(values.unionByName(others), inner, order).add(
+        _first=scans.highest(F.when(over, -F.col("_us"))), _killed=scans.last_known(F.when(F.col(control) == "kill", F.col("_us"))), rolling_mean=scans.last_known(F.col("_mean"))
+    )
+    since, reason = F.coalesce("_killed", -F.col("_first")), F.when(F.col("_killed").isNotNull(), "manual").when(F.col("_first").isNotNull(), "mean")
+    return both.with_columns(tripped=since.isNotNull(), reason=reason, since_us=since).result().drop("_us", "_resumed", "_epoch", "_mean", "_n", "_first", "_killed")
+
+
+def silences(df: DataFrame, keys: list[str], order: list[str], millis: Column, span_ms: int, upto_ms: Column) -> DataFrame:
+    """keys, idle_since_ms, action_at_ms: after each row that no other follows within the span, if the end of the span is no later than the next row or ``upto_ms``."""
+    rows = Segments.of(df.withColumn("_ms", millis), keys, order).add(_next=scans.following(F.col("_ms"))).result()
+    due = F.col("_ms") + span_ms
+    return rows.where(due <= F.coalesce("_next", upto_ms)).select(*keys, F.col("_ms").alias("idle_since_ms"), due.alias("action_at_ms"))
+
+
 def _in_stretches(df: DataFrame, keys: list[str], seconds: Column, back: int, columns: dict) -> DataFrame:
     """Adds columns over the key's rows of the last ``back`` seconds, this one's included: each a function of the window.
 

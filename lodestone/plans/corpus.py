@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking
+from lodestone.operators import chunking, islands
 from lodestone.sources import readers
 from lodestone.streaming import monitors
 
@@ -99,11 +99,60 @@ def stream_telemetry(t: Tables) -> DataFrame:
     SELECT user_id, count(*) AS seen, round(arg_max(m, (ts, event_id)), 6) AS rolling_mean, bool_or(n = 20 AND m > 30) AS tripped FROM r GROUP BY user_id"""
 )
 def stream_latch(t: Tables) -> DataFrame:
-    rows = monitors.run_once(monitors.latched(monitors.event_stream(t.spark, t.sf_dir)), "update")
+    rows = monitors.run_once(monitors.latched(monitors.controlled(monitors.event_stream(t.spark, t.sf_dir))), "update")
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("seen", "rolling_mean", "tripped"), "seen").alias("r"))
     return last.select("user_id", "r.seen", F.round("r.rolling_mean", 6).alias("rolling_mean"), "r.tripped")
 
 
+_CONTROLS = """
+    WITH e AS (SELECT *, epoch_us(ts) AS us, CASE WHEN event_type = 'error' AND value > 120 THEN 'kill' WHEN event_type = 'signup' AND value > 60 THEN 'resume' END AS control FROM events),
+    p AS (SELECT *, count(*) FILTER (control = 'resume') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM e),
+    v AS (SELECT event_id, avg(value) OVER w AS m, count(*) OVER w AS n FROM p WHERE control IS NULL WINDOW w AS (PARTITION BY user_id, epoch ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    r AS (SELECT p.*, m, min(CASE WHEN n = 20 AND m > 60 THEN us END) OVER w AS first, max(CASE WHEN control = 'kill' THEN us END) OVER w AS killed, last_value(m IGNORE NULLS) OVER w AS mean,
+          count(*) FILTER (control IS NULL) OVER (PARTITION BY user_id ORDER BY ts, p.event_id ROWS UNBOUNDED PRECEDING) AS seen
+          FROM p LEFT JOIN v ON v.event_id = p.event_id WINDOW w AS (PARTITION BY user_id, epoch ORDER BY ts, p.event_id ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT user_id, event_id, ts, seen, round(mean, 6) AS rolling_mean, coalesce(killed, first) IS NOT NULL AS tripped, CASE WHEN killed IS NOT NULL THEN 'manual' WHEN first IS NOT NULL THEN 'mean' END AS reason, coalesce(killed, first) AS since_us FROM r)"""
+
+
+def _controls(rows: DataFrame) -> DataFrame:
+    """Large errors kill, large sign-ups resume; all other events are values."""
+    return monitors.controlled(rows, (F.col("event_type") == "error") & (F.col("value") > 120), (F.col("event_type") == "signup") & (F.col("value") > 60))
+
+
+@query(_CONTROLS + " SELECT user_id, event_id, rolling_mean, tripped, reason, since_us FROM s")
+def latch_with_controls(t: Tables) -> DataFrame:
+    rows = islands.controlled_latch(_controls(t.events), ["user_id"], ["ts", "event_id"], "value", "control", F.unix_micros(F.col("ts").cast("timestamp")), 20, 60.0)
+    return rows.select("user_id", "event_id", F.round("rolling_mean", 6).alias("rolling_mean"), "tripped", "reason", "since_us")
+
+
+@query(_CONTROLS + " SELECT user_id, max(seen) AS seen, arg_max(struct_pack(x := rolling_mean), (ts, event_id)).x AS rolling_mean, arg_max(tripped, (ts, event_id)) AS tripped, arg_max(struct_pack(x := reason), (ts, event_id)).x AS reason, arg_max(struct_pack(x := since_us), (ts, event_id)).x AS since_us FROM s GROUP BY user_id")
+def stream_latch_controls(t: Tables) -> DataFrame:
+    """The switch of each user after a stream of values, kills and resumes."""
+    rows = monitors.run_once(monitors.latched(_controls(monitors.event_stream(t.spark, t.sf_dir)), 20, 60.0), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("seen", "rolling_mean", "tripped", "reason", "since_us"), "_batch").alias("r"))
+    return last.select("user_id", "r.seen", F.round("r.rolling_mean", 6).alias("rolling_mean"), "r.tripped", "r.reason", "r.since_us")
+
+
+_IDLE_SQL = """
+    WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(epoch_ms(ts)) OVER () - 3600000 AS upto FROM events)
+    SELECT user_id, ms AS idle_since_ms, ms + 21600000 AS action_at_ms FROM e WHERE ms + 21600000 <= coalesce(next, upto)"""
+
+
+@query(_IDLE_SQL)
+def idle_timeouts(t: Tables) -> DataFrame:
+    """Actions after six silent hours of a user, as far as the events show them (an hour back from the last)."""
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    upto = t.events.agg((F.max(millis) - 3_600_000).alias("upto"))
+    rows = t.events.select("user_id", "ts", "event_id").join(F.broadcast(upto))  # one row
+    return islands.silences(rows, ["user_id"], ["ts", "event_id"], millis, 21_600_000, F.col("upto")).select("user_id", "idle_since_ms", "action_at_ms")
+
+
+@query(_IDLE_SQL)
+def stream_idle_timers(t: Tables) -> DataFrame:
+    """The same from a stream with a timer a user."""
+    return monitors.run_once(monitors.idle_actions(monitors.event_stream(t.spark, t.sf_dir), 360), "append").select("user_id", "idle_since_ms", "action_at_ms")
+
+
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def stream_latest_state(t: Tables) -> DataFrame:
     newest = -1
