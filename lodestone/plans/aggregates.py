@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import heavy, open_schema
 from lodestone.operators import measures as S
-from lodestone.operators import open_schema
 
 from .registry import Tables, query
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 @query(
     """
@@ -81,6 +83,22 @@ def facet_counts(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_type").alias("facet")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands")).orderBy(F.desc("n"), "facet").limit(50)
 
 
+_WORDS = "SELECT doc_id, lang, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents"
+
+
+@query(f"SELECT word AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS rank FROM ({_WORDS}) GROUP BY word QUALIFY rank <= 200")
+def frequent_words(t: Tables) -> DataFrame:
+    """The 200 most frequent words of all texts, without a count of each word."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    return heavy.top_values(words, "word", 200)
+
+
+@query(f"SELECT lang, word AS value, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rank FROM ({_WORDS}) GROUP BY lang, word QUALIFY rank <= 50")
+def frequent_words_by_language(t: Tables) -> DataFrame:
+    words = t.documents.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    return heavy.top_values(words, "word", 50, "lang")
+
+
 @query(
     """
     WITH d AS (SELECT *, CASE WHEN length(text) BETWEEN 100 AND 5000 THEN md5(substr(lower(trim(text)), 1, 200)) END AS p FROM documents)

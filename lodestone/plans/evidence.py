@@ -263,6 +263,17 @@ def marked_pages(t: Tables) -> DataFrame:
     return readers.page_markers(joined, "conv_id", "body").select("conv_id", F.col("page").cast("long").alias("page"), F.length("text").cast("long").alias("chars"))
 
 
+@query(
+    """
+    WITH m AS (SELECT doc_id, text AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM m),
+    o AS (SELECT doc_id, n, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM l)
+    SELECT doc_id, list_concat([0], coalesce(list(pos ORDER BY n) FILTER (WHERE starts_with(line, 'The ')), [])) AS page_offsets FROM o GROUP BY doc_id"""
+)
+def page_offsets_of_marks(t: Tables) -> DataFrame:
+    """Pages of documents that begin at lines with a mark, by their offsets."""
+    return t.documents.where("text is not null").select("doc_id", readers.marker_offsets(F.col("text"), "The ").alias("page_offsets"))
+
+
 @query("SELECT DISTINCT unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, 'x' || o_custkey % 50]) AS id FROM orders")
 def listed_ids(t: Tables) -> DataFrame:
     cells = t.orders.select(_s(F.col("o_orderkey"), ", ", F.col("o_custkey"), "\nx", F.col("o_custkey") % 50, ",,").alias("ids"))

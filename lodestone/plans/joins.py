@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.arrays import sums_before
 from lodestone.operators import dedup, scans, temporal
 from lodestone.operators import retrieval as R
 from lodestone.operators.phrases import gram_hits
@@ -185,10 +186,10 @@ def uncovered_gaps(t: Tables) -> DataFrame:
 )
 def remaining_spans(t: Tables) -> DataFrame:
     """What of a text is left when the lines with a digit are taken out, as spans of characters."""
-    sizes = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(x) + 1).alias("size"), x.rlike("[0-9]").alias("taken")))
-    lines = t.documents.select("doc_id", F.posexplode(sizes).alias("at", "line")).select("doc_id", "at", "line.*")
-    ends = Segments.of(lines, ["doc_id"], ["at"]).add(e=scans.total(F.col("size"))).result().where("taken")
-    taken = ends.select("doc_id", (F.col("e") - F.col("size")).alias("s"), "e")
+    # Offsets of lines are sums inside a document's array; only the taken spans are dealt.
+    lines = F.split("text", "\n")
+    spans = lambda x: F.zip_with(sums_before(F.transform(x, lambda s: F.length(s) + 1)), x, lambda at, s: F.when(s.rlike("[0-9]"), F.struct(at.alias("s"), (at + F.length(s) + 1).alias("e"))))
+    taken = t.documents.select("doc_id", F.explode(F.array_compact(T.let(lines, spans))).alias("x")).select("doc_id", "x.*")
     bounds = t.documents.select("doc_id", F.lit(0).cast("long").alias("low"), F.length("text").cast("long").alias("high"))
     found = temporal.gaps(taken, bounds, ["doc_id"], "s", "e", "low", "high")
     return found.select("doc_id", F.col("gap_start").alias("span_start"), F.col("gap_end").alias("span_end"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.arrays import sums_before
 from lodestone.operators import dedup, islands, temporal
 from lodestone.operators.ordering import positions
 
@@ -108,14 +109,13 @@ def rank_shift(t: Tables) -> DataFrame:
     SELECT o.doc_id, line_no::BIGINT AS line_no, char_start, coalesce(lead(char_start) OVER (PARTITION BY o.doc_id ORDER BY line_no), length(text)) AS char_end FROM o JOIN documents d ON d.doc_id = o.doc_id"""
 )
 def line_boundaries(t: Tables) -> DataFrame:
-    # Only the lines' lengths are dealt; offsets are running sums, in time linear in the lines.
+    # Offsets are sums inside a document's array of line lengths; nothing is shuffled.
     sizes = F.transform(F.split("text", "\n"), lambda x: F.length(x))
-    rows = t.documents.select("doc_id", F.posexplode(sizes).alias("at", "size"))
-    upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lead("at").over(Window.partitionBy("doc_id").orderBy("at")).isNull()
-    rows = rows.withColumn("char_start", F.coalesce(F.sum(F.col("size") + 1).over(upto), F.lit(0)))
-    end = F.col("char_start") + F.col("size") + F.when(last, 0).otherwise(1)
-    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "char_start", end.alias("char_end"))
+    starts = lambda s: sums_before(F.transform(s, lambda n: n + 1))
+    lines = T.let(sizes, lambda s: F.zip_with(starts(s), s, lambda at, n: F.struct(at.alias("char_start"), n.alias("size"))))
+    rows = t.documents.select("doc_id", F.length("text").alias("all"), F.posexplode(lines).alias("at", "line"))
+    end = F.least(F.col("line.char_start") + F.col("line.size") + 1, F.col("all").cast("long"))
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line.char_start", end.alias("char_end"))
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.functions import text as T
+from lodestone.functions.arrays import sums_before
 from lodestone.operators import scans
 from lodestone.operators.scans import Segments
 from lodestone.session import map_pandas
@@ -89,10 +91,49 @@ def pages_of(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """Pages of form-feed separated text with their offsets; an empty last page is dropped."""
     parts = F.split(text, "\f")
     parts = F.when(F.trim(F.element_at(parts, -1)) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    rows = df.select(id_column, F.posexplode(parts).alias("page", "text"))
-    upto = Window.partitionBy(id_column).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(upto), F.lit(0)).cast("int")
-    return rows.select(id_column, (F.col("page") + 1).alias("page"), start.alias("char_start"), "text")
+    # Offsets are sums inside the row's own array, so no text is shuffled.
+    sizes = lambda p: sums_before(F.transform(p, lambda x: F.length(x) + 1))
+    pages = T.let(parts, lambda p: F.arrays_zip(p.alias("text"), sizes(p).alias("at")))
+    rows = df.select(id_column, F.posexplode(pages).alias("page", "p"))
+    return rows.select(id_column, (F.col("page") + 1).alias("page"), F.col("p.at").cast("int").alias("char_start"), F.col("p.text").alias("text"))
+
+
+def marker_offsets(text: Column, marker: str = "--- PAGE ") -> Column:
+    """Offsets of pages in a text with marker lines: 0, and where each line begins that starts with the marker."""
+
+    def of(lines: Column) -> Column:
+        at = F.zip_with(sums_before(F.transform(lines, lambda x: F.length(x) + 1)), lines, lambda o, x: F.when(x.startswith(marker), o))
+        return F.concat(F.array(F.lit(0).cast("long")), F.array_compact(at))
+
+    return T.let(F.split(text, "\n"), of)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of all files under a folder, by Spark's own listing; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+
+
+def page_files(spark: SparkSession, root: str) -> DataFrame:
+    """path and text of the files under a folder, each whole (form-feed separated or with marker lines)."""
+    rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def text_sources(docs: DataFrame, paths: list[str], there: DataFrame, cache: DataFrame, least: int = 500) -> DataFrame:
+    """Where each document's text comes from: doc_id, path, text, page_offsets, reason.
+
+    ``docs`` has doc_id and columns of paths in order of preference; the first one that
+    ``there`` (path) lists counts. Without one, an entry of ``cache`` (doc_id, text) of
+    more than ``least`` bytes is the text itself, with its page offsets; else the reason
+    is "missing". Listed paths meet the documents in equi-joins, a row a path.
+    """
+    asked = docs.select("doc_id", F.posexplode(F.array(*paths)).alias("at", "path")).where("path is not null")
+    held = asked.join(there.select("path").distinct(), "path", "left_semi")
+    first = held.groupBy("doc_id").agg(F.min_by("path", "at").alias("path"))
+    kept = cache.where(F.octet_length("text") > least).groupBy("doc_id").agg(F.min("text").alias("_text"))
+    rows = docs.select("doc_id").join(first, "doc_id", "left").join(kept, "doc_id", "left")
+    text = F.when(F.col("path").isNull(), F.col("_text"))
+    return rows.select("doc_id", "path", text.alias("text"), marker_offsets(text).alias("page_offsets"), F.when(F.col("path").isNull() & F.col("_text").isNull(), "missing").alias("reason"))
 
 
 def table_markdown(rows: Column) -> Column:
