@@ -217,7 +217,8 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> Data
 
     ``index`` has text_sha256 and live (or group_size); ``added`` and ``removed`` have
     text_sha256. A digest leaves the index when its last row is removed; removing
-    an unknown digest changes nothing.
+    an unknown digest changes nothing, as do rows without a digest. Repeated rows count
+    each; without changes the index comes back, and an empty one takes what is added.
     """
     live = "live" if "live" in index.columns else "group_size"
     count = F.count(F.lit(1))
@@ -226,7 +227,7 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> Data
         .unionByName(added.groupBy("text_sha256").agg(count.alias("n")))
         .unionByName(removed.groupBy("text_sha256").agg((-count).alias("n")))
     )
-    changes = durable(changes.select(F.unhex("text_sha256").alias("digest"), "n"))
+    changes = durable(changes.where("text_sha256 is not null").select(F.unhex("text_sha256").alias("digest"), "n"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, less = DigestIndex(), []
@@ -267,6 +268,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     It is the one that :func:`exact_dedup` keeps. Rows are told apart by all their
     columns, not by doc_id: rows of one doc_id (or without any) and different texts all
     stay, and of several rows with the text, doc_id and length that stays one does.
+    Null texts count as empty; an empty table gives an empty result.
     """
     rows = durable(digests(docs, *row_marks(docs)))
     index = build_index(rows).select("text_sha256", "keep_id", F.col("n_code_points").alias("most"))

@@ -23,6 +23,8 @@ from .textarrays import Texts, U64, slices
 
 FOLDS, HELD_OUT = 4, 2
 DIMENSIONS, SAMPLE_ROWS, RIDGE, AMBIGUOUS_UNDER = 2048, 5_000, 0.05, 0.6
+#: Vectors of so many documents are held at once (8 MB).
+ROWS_AT_ONCE = 512
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -107,7 +109,7 @@ def train(x: np.ndarray, y: list[str]) -> Model:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in slices(batch.column("text"), 1 << 20):
+        for texts in slices(batch.column("text"), 1 << 20, ROWS_AT_ONCE):
             x = ngrams(texts).astype(np.float16)
             packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 2 * DIMENSIONS).astype(np.int32)), pa.py_buffer(x)])
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(texts.first, texts.n), packed], ["lang", "x"])
@@ -152,13 +154,14 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``und`` with score 0 for null or empty texts and texts without a letter, and for
     all documents if no language could be learned. Rows that repeat a doc_id are
-    judged each on its own text; other columns are ignored.
+    judged each on its own text. Of equally near codewords the language first in order
+    wins. An empty table gives an empty result; other columns are ignored.
     """
     learned = fit(docs) if model is None else model
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text"), 1 << 20):
+            for texts in slices(batch.column("text"), 1 << 20, ROWS_AT_ONCE):
                 usable = _has_letter(texts) & bool(learned.languages)
                 best, share = learned.predict(ngrams(texts))
                 names = np.array([*learned.languages, "und"], dtype=object)

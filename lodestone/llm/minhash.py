@@ -27,6 +27,8 @@ from .textarrays import Texts, U64, byte_prefix, mix64, slices, word_prefix
 SHINGLE, BINS, ROWS = 5, 128, 4
 NUMERATOR, DENOMINATOR = 75, 100
 MEMBERS_A_TASK, TOKENS_AT_ONCE, TEXT_AT_ONCE = 256, 500_000, 1 << 18
+#: Set sizes of one band differ by this factor at most.
+BAND = 1.05
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +177,11 @@ def rest_pairs(multi: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     """Pairs (node, hub) that may still join components: members of buckets with several components, by shared rare shingles.
 
     Shingles are ordered by frequency among these members. A close pair shares one in
-    the first quarter of both, at places that leave enough to share; sizes and
-    components are compared inside the join, so only such pairs come out of it.
+    the first quarter of both, at places that leave enough to share. Each place is held
+    against the sizes that a partner can have, a band of sizes at a time, before anything
+    meets: a shingle that stands too far back for partners of a band is not sent to it,
+    so the common text of a family of letters pairs none of them. Sides meet on shingle
+    and both bands; exact sizes, places and components are compared inside the join.
     """
     member = multi.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
@@ -190,15 +195,21 @@ def rest_pairs(multi: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
     placed = ranked.withColumn("place", F.row_number().over(by_node) - 1)
     short = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
     prefix = placed.where(F.col("mixed") & (F.col("place") < short)).select("node", "label", "n", "code", "place")
-    left, right = prefix.alias("l"), prefix.alias("r")
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
+    least, most = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR), F.floor(F.col("n") * DENOMINATOR / NUMERATOR)
+    sent = prefix.select("*", band(F.col("n")).alias("own"), F.explode(F.sequence(band(least), band(most))).alias("other"))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(BAND), F.col("other"))) - 1)  # no partner of the band is smaller
+    sent = sent.where((F.col("n") - F.col("place")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + smallest) * NUMERATOR)
+    left, right = sent.where("own <= other").alias("l"), sent.where("own >= other").alias("r")
     total = F.col("l.n") + F.col("r.n")
     left_over = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
     may = (
-        (F.col("l.code") == F.col("r.code")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
+        (F.col("l.code") == F.col("r.code")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
+        & ((F.col("l.own") < F.col("r.own")) | (F.col("l.node") < F.col("r.node"))) & (F.col("l.label") != F.col("r.label"))
         & (F.least("l.n", "r.n") * DENOMINATOR >= F.greatest("l.n", "r.n") * NUMERATOR)
         & (left_over * (NUMERATOR + DENOMINATOR) >= total * NUMERATOR)
     )
-    return left.join(right, may).select(F.col("r.node").alias("node"), F.col("l.node").alias("hub")).distinct()
+    return left.join(right, may).select(F.greatest("l.node", "r.node").alias("node"), F.least("l.node", "r.node").alias("hub")).distinct()
 
 
 def _near(docs: DataFrame) -> DataFrame:
@@ -251,6 +262,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     It is the one whose doc_id names the group; of several rows of the group with that
     doc_id one stays. Rows without words or without a doc_id are in no group and all stay.
+    An empty table gives an empty result.
     """
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     near = _near(docs.where(~alone)).where("kept")

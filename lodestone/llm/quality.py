@@ -169,7 +169,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not rejected, all columns unchanged; texts pass through the scoring tasks without a shuffle."""
+    """The documents that are not rejected, all columns unchanged; texts pass through the scoring tasks without a shuffle.
+
+    Null and empty texts are scored as such, rows that repeat or have no doc_id each on
+    their own text. An empty table gives an empty result; without labels of both kinds
+    all are scored alike.
+    """
     model = fit(features(docs), labels)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

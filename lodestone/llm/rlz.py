@@ -116,7 +116,8 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     Spans are the factors of at least ``window`` words that occur earlier; they may
     overlap where the parse changes reference. Null and empty texts have no words and
     an empty kept text. A null doc_id comes after all others; rows that repeat a
-    doc_id are documents of their own, in order of storage. Other columns are ignored.
+    doc_id are documents of their own, in order of storage. An empty table gives an
+    empty result; other columns are ignored.
     """
     blocks = make_blocks(docs)
 

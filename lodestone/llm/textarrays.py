@@ -117,8 +117,8 @@ class Texts:
         return Texts(_LOWER[self.data], self.bounds, self.first)
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Whole documents of a string column in slices of about ``limit`` bytes (one long document may exceed it)."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[Texts]:
+    """Whole documents of a string column in slices of about ``limit`` bytes (one long document may exceed it) and ``rows`` documents at most."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary()) if column.type not in (pa.large_binary(),) else column
@@ -133,7 +133,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
     i = 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + rows if rows else n)
         yield Texts(data[offsets[i] : offsets[j]], (offsets[i : j + 1] - offsets[i]).astype(np.int64), i)
         i = j
 

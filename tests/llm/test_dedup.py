@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, minhash, rlz, suffixes
 from tests.llm import brute
@@ -178,6 +179,25 @@ def test_near_links_that_a_star_misses(spark):
     assert {(r.a, r.b) for r in minhash.confirm(pairs, sets).collect()} == {(2, 1)}
 
 
+def test_a_family_of_letters_pairs_only_what_is_close(spark):
+    """Letters with four fifths of their text in common share buckets but no link; a few are close in pairs."""
+    common = [f"c{k}" for k in range(160)]
+    letter = lambda k: common + [f"u{k}_{i}" for i in range(40)]
+    rows = [(k, " ".join(letter(k))) for k in range(300)]
+    rows += [(1000 + k, " ".join(letter(k)[:-2] + ["other", "end"])) for k in range(0, 300, 50)]
+    rows += [(2000 + n, " ".join(letter(7)[: 200 - n])) for n in (10, 30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()} == brute.near(rows)
+    multi = docs.select(F.lit(7).cast("long").alias("key"), F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("hub"))
+    sets = docs.withColumnRenamed("doc_id", "node").mapInArrow(minhash._set_rows, "node long, codes binary")
+    none = spark.createDataFrame([], "node long, label long")
+    pairs = {(r.hub, r.node) for r in minhash.rest_pairs(multi, none, sets).collect()}
+    linked = {(r.a, r.b) for r in minhash.confirm(minhash.rest_pairs(multi, none, sets), sets).collect()}
+    sets = {k: brute.shingles(t) for k, t in rows}
+    close = {(b, a) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked == close and len(pairs) < 20 * len(close)
+
+
 def test_near_null_ids_empty_and_columns(messy, empty):
     rows = minhash.near_duplicates(messy).collect()
     assert len(rows) == messy.count()
@@ -263,3 +283,8 @@ def test_index_updates_keep_counts(spark):
     index = spark.createDataFrame([(sha[0], 2), (sha[1], 1)], "text_sha256 string, group_size long")
     after = exact_dedup.update_index(index, of([(sha[2],), (sha[2],), (sha[0],)]), of([(sha[1],), (sha[0],)]))
     assert {r.text_sha256: r.live for r in after.collect()} == {sha[0]: 2, sha[2]: 2}
+    none = of([(None,), (None,)])
+    assert {r.text_sha256: r.live for r in exact_dedup.update_index(index, none, none).collect()} == {sha[0]: 2, sha[1]: 1}
+    fresh = exact_dedup.update_index(index.where("group_size > 9"), of([(sha[2],), (sha[2],), (None,)]), of([(sha[1],)]))
+    assert {r.text_sha256: r.live for r in fresh.collect()} == {sha[2]: 2}
+    assert exact_dedup.update_index(index.where("group_size > 9"), none, none).count() == 0
