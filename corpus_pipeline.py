@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents. Every stage works on all that
-its predecessor kept; all but the last return the columns of ``documents``.
+its predecessor kept; all but the last return the columns of ``documents``. In each,
+null and empty texts, repeated rows, rows without a doc_id and extra columns are
+allowed, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,27 +16,27 @@ from lodestone.llm.common import durable, load
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it is fitted on the stage's own documents with labels."""
+    """Documents that the quality classifier rejects go; it is fitted on the stage's own documents with labels. Null texts are scored as empty ones."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (blanks aside) one document stays."""
+    """Of equal texts (blanks aside) one document stays: the longest, then the least doc_id. Null and blank texts are equal."""
     return exact_dedup.keep_first(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays."""
+    """Of each group of near duplicates one document stays: the least doc_id. Documents without words or doc_id are in no group."""
     return minhash.keep_representatives(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target says, up to three times."""
+    """Documents as often as their source's target says, up to three times. Rows of one id, and equal rows, are decided one by one."""
     return mixing.take(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids and parity of every document of the mix."""
+    """doc_id, n_tokens, token_ids and parity of every document of the mix; no tokens of null and empty texts."""
     return pieces.encode(docs)
 
 
