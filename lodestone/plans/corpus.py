@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking, islands
+from lodestone.operators import chunking, islands, packing
 from lodestone.sources import readers
 from lodestone.streaming import monitors
 
@@ -80,6 +80,59 @@ def chunk_hierarchy(t: Tables) -> DataFrame:
     return chunking.chunk(t.documents, "doc_id", "text", "hierarchy").select("doc_id", "chunk_no", "char_start", "char_end", "section")
 
 
+_HEADS = "The |Est |Und |Las |In |An "
+
+
+@query(
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^([ \t]*(?:HEADS))', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
+    f(doc_id, i, buf, done) AS (SELECT doc_id, 0::BIGINT, '', NULL::VARCHAR FROM d
+        UNION ALL SELECT f.doc_id, i + 1, CASE WHEN i = len(ps) THEN '' WHEN length(buf) + length(ps[i + 1]) + 2 <= 1400 AND buf <> '' THEN buf || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END,
+                         CASE WHEN buf <> '' AND (i = len(ps) OR length(buf) + length(ps[i + 1]) + 2 > 1400) THEN buf END FROM f JOIN d ON d.doc_id = f.doc_id WHERE i <= len(ps)),
+    c AS (SELECT doc_id, i, done FROM f WHERE done IS NOT NULL), l AS (SELECT doc_id, i, string_split_regex(done, '\n\n+') AS qs FROM c WHERE length(done) > 2200),
+    g(doc_id, i, j, buf, done) AS (SELECT doc_id, i, 0::BIGINT, '', NULL::VARCHAR[] FROM l
+        UNION ALL SELECT g.doc_id, g.i, j + 1,
+            CASE WHEN j = len(qs) THEN '' WHEN length(buf) + length(qs[j + 1]) + 2 <= 1400 THEN CASE WHEN buf = '' THEN qs[j + 1] ELSE regexp_replace(buf || chr(10) || chr(10) || qs[j + 1], '^\s+|\s+$', '', 'g') END
+                 ELSE substr(qs[j + 1], greatest(ceil(length(qs[j + 1]) / 2200)::BIGINT - 1, 0) * 2200 + 1, 2200) END,
+            CASE WHEN j = len(qs) OR length(buf) + length(qs[j + 1]) + 2 > 1400 THEN list_concat(CASE WHEN buf <> '' THEN [buf] ELSE [] END,
+                 CASE WHEN j < len(qs) THEN list_transform(range(0, greatest(ceil(length(qs[j + 1]) / 2200)::BIGINT - 1, 0)), lambda k: substr(qs[j + 1], k * 2200 + 1, 2200)) ELSE [] END) END
+            FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i WHERE j <= len(qs)),
+    o AS (SELECT doc_id, i, 0::BIGINT AS j, 0::BIGINT AS k, done AS chunk FROM c WHERE length(done) <= 2200 UNION ALL SELECT doc_id, i, j, unnest(range(0, len(done))), unnest(done) FROM g WHERE len(done) > 0)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1 AS chunk_no, length(chunk) AS chars, sha256(chunk) AS chunk_sha FROM o WHERE length(chunk) >= 120""".replace("HEADS", _HEADS)
+)
+def packed_sections(t: Tables) -> DataFrame:
+    """Documents cut at lines that begin a section, packed to 1,400 characters and cut at 2,200."""
+    chunks = packing.section_chunks(F.col("text"), _HEADS)
+    rows = t.documents.where("text is not null").select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("chars"), F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk_sha"))
+
+
+_CHAPTER, _SECTION, _ANCHOR = "^The ([a-z]+)", "^(?:In|Est|Und|Las) ([a-z]+)", "([a-z]+)[?!]"
+
+
+@query(
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
+    p AS (SELECT doc_id, i, p, len(ps) AS m, CASE WHEN regexp_matches(p, 'CHAPTER') THEN regexp_extract(p, 'CHAPTER', 1) END AS c, CASE WHEN regexp_matches(p, 'SECTION') THEN regexp_extract(p, 'SECTION', 1) END AS s,
+          CASE WHEN regexp_matches(p, 'ANCHOR') THEN regexp_extract(p, 'ANCHOR', 1) END AS x, len(regexp_extract_all(p, '\S+')) AS w FROM (SELECT doc_id, ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM d)),
+    f(doc_id, i, buf, n, chapter, section, anchor, outs) AS (
+        SELECT doc_id, 0::BIGINT, '', 0::BIGINT, '', '', '', NULL::STRUCT(t VARCHAR, c VARCHAR, s VARCHAR, x VARCHAR)[] FROM d
+        UNION ALL SELECT doc_id, i, CASE WHEN nn >= 180 THEN array_to_string(list_slice(regexp_extract_all(buf, '\S+'), -30, -1), ' ') ELSE buf END, CASE WHEN nn >= 180 THEN least(len(regexp_extract_all(buf, '\S+')), 30) ELSE nn END, chapter, section, anchor,
+            list_concat(early, CASE WHEN nn >= 180 OR (i = m AND nn > 20) THEN [{'t': buf, 'c': chapter, 's': section, 'x': anchor}] ELSE [] END, CASE WHEN nn >= 180 AND i = m AND least(len(regexp_extract_all(buf, '\S+')), 30) > 20 THEN [{'t': array_to_string(list_slice(regexp_extract_all(buf, '\S+'), -30, -1), ' '), 'c': chapter, 's': section, 'x': anchor}] ELSE [] END)
+        FROM (SELECT f.doc_id, p.i, p.m, CASE WHEN turn THEN array_to_string(list_slice(ws, -30, -1), ' ') || CASE WHEN len(ws) > 0 THEN ' ' ELSE '' END || p.p WHEN f.n > 0 THEN f.buf || ' ' || p.p ELSE p.p END AS buf, CASE WHEN turn THEN least(len(ws), 30) ELSE f.n END + p.w AS nn,
+                     coalesce(p.c, f.chapter) AS chapter, coalesce(p.s, f.section) AS section, coalesce(p.x, f.anchor) AS anchor, CASE WHEN turn THEN [{'t': f.buf, 'c': f.chapter, 's': f.section, 'x': f.anchor}] ELSE [] END AS early
+              FROM (SELECT f.*, regexp_extract_all(buf, '\S+') AS ws FROM f) f JOIN (SELECT *, c IS NOT NULL OR s IS NOT NULL AS head FROM p) p ON p.doc_id = f.doc_id AND p.i = f.i + 1, LATERAL (SELECT p.head AND f.n > 60 AS turn))),
+    o AS (SELECT doc_id, i, unnest(range(0, len(outs))) AS k, unnest(outs) AS r FROM f WHERE len(outs) > 0)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS chunk_no, r.c AS chapter, r.s AS section, r.x AS anchor, sha256(r.t) AS chunk_sha FROM o""".replace("CHAPTER", _CHAPTER).replace("SECTION", _SECTION).replace("ANCHOR", _ANCHOR)
+)
+def heading_state_chunks(t: Tables) -> DataFrame:
+    """Chunks of some 180 words with the chapter, section and anchor that are current at their end."""
+    paragraphs = F.filter(F.transform(F.split("text", "\n"), packing.stripped), lambda p: p != "")
+    chunks = packing.hierarchy_chunks(paragraphs, _CHAPTER, _SECTION, _ANCHOR)
+    rows = t.documents.where("text is not null").select("doc_id", F.posexplode(chunks).alias("chunk_no", "c"))
+    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "c.chapter", "c.section", "c.anchor", F.sha2(F.col("c.text").cast("binary"), 256).alias("chunk_sha"))
+
+
 @query()
 def html_text(t: Tables) -> DataFrame:
     return readers.html_text(t.pages, "page_id", "html").select("page_id", F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
