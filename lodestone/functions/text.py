@@ -61,6 +61,11 @@ def ascii_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / F.greatest(F.length(text), F.lit(1))
 
 
+def ascii_only(text: Column) -> Column:
+    """Every character beyond ASCII as a question mark: for patterns whose classes and bounds differ beyond it."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
+
+
 def terms(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Lower-case terms of two or more characters without stop words, in order."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)

@@ -80,14 +80,14 @@ _ANCHORS = ["the", "and", "der", "und", "les", "que", "los", "para", "of", "in",
 
 @query(
     f"""
-    WITH f AS (SELECT doc_id, text, regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ({'|'.join(_ANCHORS)}) ', 1) AS w FROM documents WHERE lang = 'en')
+    WITH f AS (SELECT doc_id, text, regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', ' ({'|'.join(_ANCHORS)}) ', 1) AS w FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM documents))
     SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:8], ' ') AS anchors,
            array_to_string(list_filter([CASE WHEN contains(lower(text), 'the') THEN 'art' END, CASE WHEN contains(lower(text), 'ing ') OR contains(lower(text), 'ion') THEN 'form' END], lambda x: x IS NOT NULL), ',') AS topics FROM f"""
 )
 def anchors_and_triggers(t: Tables) -> DataFrame:
-    """First keyword anchors of English documents, letters only, and the topics whose triggers they hold."""
+    """First keyword anchors of documents, ASCII letters only, and the topics whose triggers they hold."""
+    docs = t.documents.select("doc_id", T.ascii_only(F.col("text")).alias("text"))
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z]+", "  "), F.lit(" "))
-    docs = t.documents.where("lang = 'en'")
     return docs.select("doc_id", F.array_join(E.anchors(plain, _ANCHORS), " ").alias("anchors"), F.array_join(E.triggered(F.col("text"), {"art": ["the"], "form": ["ing ", "ion"]}), ",").alias("topics"))
 
 
@@ -218,13 +218,15 @@ def late_scores(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH c AS (SELECT conv_id, turn, trim(translate(substr(text, 1, 50), chr(10), ' ')) AS a, trim(translate(substr(text, 60, 50), chr(10), ' ')) AS b FROM conversations)
+    WITH c AS (SELECT conv_id, turn, trim(translate(substr(text, 1, length(text) // 2), chr(10), ' ')) AS a, trim(translate(substr(text, length(text) // 2 + 1), chr(10), ' ')) AS b FROM conversations)
     SELECT conv_id, turn, sha256(CASE WHEN turn % 2 = 0 THEN CASE WHEN a <> '' AND b <> '' THEN 'Q: ' || a || chr(10) || 'A: ' || b ELSE a || b END ELSE a END) AS text_sha FROM c"""
 )
 def unwrapped_turns(t: Tables) -> DataFrame:
     """Instruction tags put around turns and taken off again."""
-    plain = lambda a: F.translate(F.substring("text", a, 50), "\n", " ")
-    wrapped = F.when(F.col("turn") % 2 == 0, _s("<s>[INST] <<SYS>>be kind<</SYS>> ", plain(1), " [/INST] ", plain(60), " </s>")).otherwise(_s("<s> ", plain(1), " </s>"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    line = lambda part: F.translate(part, "\n", " ")
+    first, second = line(F.substring(F.col("text"), F.lit(1), half)), line(F.substring(F.col("text"), half + 1, F.length("text")))
+    wrapped = F.when(F.col("turn") % 2 == 0, _s("<s>[INST] <<SYS>>be kind<</SYS>> ", first, " [/INST] ", second, " </s>")).otherwise(_s("<s> ", first, " </s>"))
     return t.conversations.select("conv_id", "turn", _sha(T.unwrap_instruction(wrapped)).alias("text_sha"))
 
 

@@ -107,10 +107,10 @@ def must_cite(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, ' th', ' companyth', 'g') ELSE regexp_replace(text, ' th', ' numberth', 'g') END AS bad FROM documents WHERE lang = 'en')
+    WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, ' th', ' companyth', 'g') ELSE regexp_replace(text, ' th', ' numberth', 'g') END AS bad FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM documents))
     SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(bad, '\\bcompany([a-z])', 'con\\1', 'g'), '\\bCompany([a-z])', 'Con\\1', 'g'), '\\bnumber([a-z]{2,})', 'non\\1', 'g')) AS mended_sha FROM c"""
 )
 def mended_scans(t: Tables) -> DataFrame:
-    """English documents with scanning faults put in and taken out again (ASCII texts, as word bounds differ between engines beyond it)."""
+    """Documents with scanning faults put in and taken out again (what is not ASCII as question marks, as word bounds differ between engines beyond it)."""
     text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", " th", " companyth")).otherwise(F.regexp_replace("text", " th", " numberth"))
-    return t.documents.where("lang = 'en'").select("doc_id", F.sha2(T.mended_scan(text).cast("binary"), 256).alias("mended_sha"))
+    return t.documents.withColumn("text", T.ascii_only(F.col("text"))).select("doc_id", F.sha2(T.mended_scan(text).cast("binary"), 256).alias("mended_sha"))

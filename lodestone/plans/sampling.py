@@ -125,16 +125,16 @@ def prefix_mix(t: Tables) -> DataFrame:
     WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT *, least(20, n) AS base, n - least(20, n) AS rest FROM c),
     a AS (SELECT *, base + coalesce(least(round_even(greatest(380 - sum(base) OVER (), 0) * rest / nullif(sum(rest) OVER (), 0), 0)::BIGINT, rest), 0) AS quota FROM b),
     q AS (SELECT source, CASE WHEN source = 'src0' THEN greatest(0, least(n, quota + 380 - sum(quota) OVER ())) ELSE quota END AS quota FROM a),
-    d AS (SELECT doc_id, d.source, quota, lower(trim(substr(text, 1, 60))) AS k, {_HASH.format(seed=17, key="doc_id")} AS h, row_number() OVER (PARTITION BY d.source ORDER BY (l.doc_id IS NULL), {_HASH.format(seed=17, key="d.doc_id")}, d.doc_id) AS n
+    d AS (SELECT doc_id, d.source, quota, sha256(lower(trim(text))) AS k, {_HASH.format(seed=17, key="doc_id")} AS h, row_number() OVER (PARTITION BY d.source ORDER BY (l.doc_id IS NULL), {_HASH.format(seed=17, key="d.doc_id")}, d.doc_id) AS n
           FROM documents d JOIN q ON d.source = q.source LEFT JOIN labels l USING (doc_id)),
     o AS (SELECT *, row_number() OVER (ORDER BY n > quota, CASE WHEN n <= quota THEN source END, CASE WHEN n <= quota THEN n END, h, doc_id) AS place, n <= quota AS first FROM d),
     u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) AS r FROM o), t AS (SELECT * FROM u WHERE r = 1 ORDER BY place LIMIT 380)
     SELECT doc_id, source FROM t WHERE first OR (SELECT count(*) FROM t WHERE first) < 350"""
 )
 def floored_sample(t: Tables) -> DataFrame:
-    """380 documents: 20 of each source and the rest in proportion, labelled ones first, one for each beginning of a text, filled up."""
+    """380 documents: 20 of each source and the rest in proportion, labelled ones first, one for each text (case and outer blanks aside), filled up."""
     labelled = t.labels.select("doc_id").distinct().withColumn("covered", F.lit(True))
-    docs = t.documents.select("doc_id", "source", F.substring("text", 1, 60).alias("head")).join(labelled, "doc_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    docs = t.documents.select("doc_id", "source", F.sha2(F.lower(F.trim("text")).cast("binary"), 256).alias("head")).join(labelled, "doc_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     quotas = S.floored_quotas(docs, "source", 380, 20, "src0")
     order = [F.desc("covered"), shuffle_key(17, F.col("doc_id")), F.col("doc_id")]
     return S.distinct_pick(docs, "source", quotas, order, F.col("head"), 380, 350, 17, "doc_id").select("doc_id", "source")

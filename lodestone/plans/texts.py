@@ -175,18 +175,18 @@ def audit_flags(t: Tables) -> DataFrame:
 
 @query(
     r"""
-    WITH q AS (SELECT doc_id, text, len(regexp_extract_all(text, '[0-9]{3,}')) AS entities, source, regexp_matches(text, '(?i)\bhouse\b')::INT + regexp_matches(text, '(?i)\bwater\b')::INT + regexp_matches(text, '(?i)\bpeople\b')::INT AS places FROM documents WHERE lang = 'en'),
+    WITH q AS (SELECT doc_id, text, len(regexp_extract_all(text, '[0-9]{3,}')) AS entities, source, regexp_matches(text, '(?i)\bhouse\b')::INT + regexp_matches(text, '(?i)\bwater\b')::INT + regexp_matches(text, '(?i)\bpeople\b')::INT AS places FROM (SELECT doc_id, source, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM documents)),
     s AS (SELECT doc_id, CASE WHEN entities >= 4 THEN 3 WHEN entities >= 2 THEN 1 ELSE 0 END + least(places, 2) + regexp_matches(text, '(?i)\b(?:then|after)\b')::INT * 2 + (len(regexp_extract_all(text, '(?i)\b(?:is|are|was)\b')) >= 3)::INT
           + (len(string_split_regex(trim(text), '\s+')) >= 40)::INT - (regexp_matches(text, '(?i)^(?:the|a|in)\b') AND entities <= 1 AND places = 0)::INT * 2 + CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN -1 ELSE 0 END AS score FROM q)
     SELECT doc_id, score, CASE WHEN score <= 0 THEN 'LOW' WHEN score <= 3 THEN 'MEDIUM' ELSE 'HIGH' END AS complexity FROM s"""
 )
 def question_scores(t: Tables) -> DataFrame:
-    """Complexity of English texts (ASCII, as word bounds differ between engines beyond it) as if they were questions: long numbers stand for entities, common words for places."""
+    """Complexity of texts (what is not ASCII as question marks, as word bounds differ between engines beyond it) as if they were questions: long numbers stand for entities, common words for places."""
     text = F.col("text")
     difficulty = F.when(F.col("source") == "src1", "complex").when(F.col("source") == "src2", "basic").otherwise("")
     entities = F.regexp_count(text, F.lit("[0-9]{3,}"))
     score = tagging.question_score(text, entities, difficulty, ["house", "water", "people"], r"\b(?:is|are|was)\b", r"\b(?:then|after)\b", r"^(?:the|a|in)\b")
-    rows = t.documents.where("lang = 'en'").select("doc_id", score.alias("score"))
+    rows = t.documents.withColumn("text", T.ascii_only(F.col("text"))).select("doc_id", score.alias("score"))
     return rows.withColumn("complexity", tagging.complexity(F.col("score")))
 
 
