@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.evidence import same_provision
-from lodestone.functions.text import edit_similarity
+from lodestone.functions.text import edit_similarity, let
 from lodestone.operators.ordering import running_totals
 from lodestone.operators.tagging import cascade
 
@@ -26,6 +26,26 @@ def matches(hits: DataFrame, gold: DataFrame, query_id: str, strict: bool = Fals
     return rows.withColumn("hit", hit).drop("gold_doc", "gold_section", "gold_linked")
 
 
+def expectation_hits(hits: DataFrame, gold: DataFrame, query_id: str, least: int = 20) -> DataFrame:
+    """Adds ``hit``: whether a ranked hit (doc_id, linked, section, text) meets any expectation of its item (docs, sections, expected_text).
+
+    It does if it, or a document linked to it, is an expected one; if its section is an
+    expected one, or a parent or child of it ("1" is not "12"); or if its text holds the
+    expected one of more than ``least`` characters, case aside. Items without expectations
+    have no hits; items meet hits in an equi-join.
+    """
+    rows = hits.join(gold.select(query_id, "docs", "sections", "expected_text"), query_id, "left")
+    some = F.array().cast("array<string>")
+    same_section = F.exists(F.coalesce("sections", some), lambda s: F.coalesce(same_provision(F.col("section"), s), F.lit(False)))
+    wanted = F.lower(F.trim("expected_text"))
+    same_text = (F.length(wanted) > least) & F.contains(F.lower("text"), wanted)
+    parts = [F.array_contains("docs", F.col("doc_id")), F.arrays_overlap("docs", "linked"), same_section, same_text]
+    hit = F.coalesce(parts[0], F.lit(False))
+    for p in parts[1:]:
+        hit = hit | F.coalesce(p, F.lit(False))
+    return rows.withColumn("hit", hit).drop("docs", "sections", "expected_text")
+
+
 def recall_gate(hits: DataFrame, query_id: str, least: float, errors: Column | None = None, most_errors: int = 0) -> DataFrame:
     """One row: n, hits, recall, errors, passed (recall reached and errors within the budget)."""
     per = hits.groupBy(query_id).agg(F.bool_or("hit").alias("hit"), F.bool_or(F.lit(False) if errors is None else errors).alias("error"))
@@ -94,3 +114,29 @@ def failure_class(expected_acts: Column, found_acts: Column, expected_sections:
         (F.arrays_overlap(expected_acts, found_acts) & (F.size(expected_sections) > 0), "right_act_wrong_section"), (best_score < 0.35, "no_authoritative_chunk"),
         otherwise="right_act_wrong_section",
     )
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
+def found_in(expected: Column, answer: Column) -> Column:
+    """The expected texts that an answer contains, case and runs of blanks aside; an empty one is in every answer, null arrays have none."""
+    return let(_plain(answer), lambda a: F.filter(F.coalesce(expected, F.array().cast("array<string>")), lambda e: F.contains(a, _plain(e))))
+
+
+def answer_points(answer: Column, expected: list[Column], forbidden: Column, verbatim_required: Column, verified_quotes: Column) -> Column:
+    """points, most, forbidden_hits and verbatim_pass of an answer.
+
+    A point for each expected text that it contains, one off for each forbidden one, and
+    one for the gate: where a verbatim citation is required, one verified quote at least.
+    """
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    some = F.array().cast("array<string>")
+    every = [F.coalesce(e, some) for e in expected]
+    hits = sum((F.size(found_in(e, answer)) for e in every), F.lit(0))
+    bad = F.size(found_in(forbidden, answer))
+    required = F.coalesce(verbatim_required, F.lit(False))
+    passed = ~required | (size(F.coalesce(verified_quotes, some)) >= 1)
+    gate = (required & passed).cast("int")
+    return F.struct((hits - bad + gate).alias("points"), (sum((F.size(e) for e in every), F.lit(0)) + required.cast("int")).alias("most"), bad.alias("forbidden_hits"), passed.alias("verbatim_pass"))

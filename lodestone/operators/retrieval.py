@@ -304,12 +304,16 @@ def hard_negatives(hits: DataFrame, query_id: str, positive: Column, k: int, lea
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def negatives_in_group(rows: DataFrame, item_id: str, group: str, vector: str, asked: Column, low: float, high: float, k: int, parts: int = 64) -> DataFrame:
+def negatives_in_group(rows: DataFrame, item_id: str, group: str, vector: str, asked: Column, low: float, high: float, k: int, parts: int | None = None) -> DataFrame:
     """query_id, item_id, score, rank: for each asked row the k best others of its group with a cosine in [low, high], ranks from 2 (1 is the positive).
 
     A stated query set against its own group; items of a group are dealt to ``parts`` by
     a hash of their ids and queries go to all parts, so a large group is no single task.
+    Without ``parts`` their number grows with the rows.
     """
+    if parts is None:
+        n = rows.count()
+        parts = max(1, -(-n // ITEMS_A_BLOCK), min(shuffle_width(rows.sparkSession), -(-n // 1024)))
     own = rows.select(F.col(item_id).alias("item_id"), F.col(group).alias("_g"), V.doubles(F.col(vector)).alias("_d"), F.pmod(F.xxhash64(item_id), F.lit(parts)).alias("_part"))
     own = own.withColumn("_l", V.norm(F.col("_d")))
     q = rows.where(asked).select(F.col(item_id).alias("query_id"), F.col(group).alias("_g"), V.doubles(F.col(vector)).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))

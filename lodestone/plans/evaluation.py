@@ -9,6 +9,7 @@ from lodestone.functions import evidence as E
 from lodestone.functions import text as T
 from lodestone.operators import evaluation as V
 from lodestone.operators import retrieval as R
+from lodestone.operators.phrases import gram_hits
 from lodestone.session import durable
 
 from .registry import Tables, query
@@ -207,3 +208,52 @@ def category_hit_rates(t: Tables) -> DataFrame:
     rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     old, new = F.avg((F.col("quality") == 1).cast("int")), F.avg(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(old, 6).alias("hit_old"), F.round(new, 6).alias("hit_new"), F.round(new - old, 6).alias("delta"))
+
+
+_PLAIN = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+_IN = "len(list_filter({}, lambda e: contains(a, trim(regexp_replace(lower(e), '\\s+', ' ', 'g')))))"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT u.conv_id, u.turn, x.text AS raw, {_PLAIN.format("x.text")} AS a, regexp_extract_all(u.text, '[A-Za-z]{{3,}}') AS ws FROM conversations u JOIN conversations x ON x.conv_id = u.conv_id AND x.turn = u.turn + 1 WHERE u.role = 'user' AND x.role = 'assistant'),
+    e AS (SELECT *, ws[1:3] AS secs, CASE WHEN len(ws) >= 5 THEN [ws[4] || '   ' || ws[5]] ELSE [] END AS rules, ws[6:9] AS kws, ws[10:11] AS bad, len(ws) % 2 = 0 AS need, len(list_filter(ws, lambda w: length(w) > 8 AND contains(raw, w))) AS quotes FROM p),
+    s AS (SELECT *, {_IN.format("secs")} + {_IN.format("rules")} + {_IN.format("kws")} - {_IN.format("bad")} + (need AND quotes > 0)::INT AS points, len(secs) + len(rules) + len(kws) + need::INT AS most, {_IN.format("bad")} AS forbidden_hits, NOT need OR quotes > 0 AS verbatim_pass FROM e)
+    SELECT conv_id, turn, points, most, forbidden_hits, verbatim_pass, CASE WHEN most > 0 THEN round(points / most * 100, 6) END AS percent FROM s"""
+)
+def answer_scores(t: Tables) -> DataFrame:
+    """Answers by what they contain of what their question names, less what they must not say, with the gate of a verbatim quote."""
+    asked = t.conversations.where("role = 'user'").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("ws"))
+    given = t.conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows, ws = asked.join(given, ["conv_id", "turn"]), F.col("ws")
+    pair = F.when(F.size(ws) >= 5, F.array(F.concat(F.get(ws, F.lit(3)), F.lit("   "), F.get(ws, F.lit(4))))).otherwise(F.array().cast("array<string>"))
+    quotes = F.filter(ws, lambda w: (F.length(w) > 8) & F.contains(F.col("answer"), w))
+    found = V.answer_points(F.col("answer"), [F.slice(ws, 1, 3), pair, F.slice(ws, 6, 4)], F.slice(ws, 10, 2), F.size(ws) % 2 == 0, quotes)
+    scored = rows.select("conv_id", "turn", found.alias("p")).select("conv_id", "turn", "p.*")
+    return scored.withColumn("percent", F.when(F.col("most") > 0, F.round(F.col("points") / F.col("most") * 100, 6)))
+
+
+@query(
+    f"""
+    WITH {BM25}, canon AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first, source, text FROM documents),
+    holds AS (SELECT item_id, min(doc_id) AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+    g AS (SELECT b.item_id, b.text, gold, c.first AS gold_first, c.source AS section FROM benchmark b LEFT JOIN holds h USING (item_id) LEFT JOIN canon c ON c.doc_id = gold)
+    SELECT b.item_id, b.doc_id, rank, coalesce(c.first = gold_first, false) OR coalesce(c.source = section, false) OR (length(trim(g.text)) > 20 AND coalesce(contains(lower(c.text), lower(trim(g.text))), false)) AS hit
+    FROM bm25 b JOIN canon c ON c.doc_id = b.doc_id JOIN g ON g.item_id = b.item_id"""
+)
+def expected_hits(t: Tables) -> DataFrame:
+    """Ten hits an item against what is expected: the first document that holds the item, its copies, its source, or the item's text."""
+    same = t.documents.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    first = same.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    canon = same.join(first, "sha").select("doc_id", F.col("source").alias("section"), "text", F.array("first").alias("linked"))
+    # Documents that hold an item share the gram in its middle; only these are searched for the whole text.
+    items = t.benchmark.select("item_id", "text")
+    grams = items.select("item_id", "text", F.explode(T.let(T.word_grams(F.col("text"), 5), lambda g: F.when(F.size(g) > 0, F.slice(g, F.ceil(F.size(g) / 2).cast("int"), F.lit(1))))).alias("gram"))
+    words = t.documents.select("doc_id", T.words(F.col("text")).alias("_words"))
+    found = gram_hits(words, ["doc_id"], "_words", grams.select("gram").distinct(), 5).select("doc_id", "gram").distinct()
+    held = found.join(grams, "gram").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", F.col("text")))
+    gold = held.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")).join(canon.select("doc_id", "linked", "section"), "doc_id")
+    known = gold.select("item_id", F.col("linked").alias("docs"), F.array("section").alias("sections"))
+    asked = items.join(known, "item_id", "left").select("item_id", "docs", "sections", F.col("text").alias("expected_text"))
+    hits = bm25_hits(t).select("item_id", "doc_id", "rank").join(canon, "doc_id")
+    return V.expectation_hits(hits, asked, "item_id").select("item_id", "doc_id", "rank", "hit")

@@ -147,3 +147,13 @@ def test_neighbours_of_one_payload_and_length(spark):
     odd = df.unionByName(spark.createDataFrame([(9, [1.0], "a")], df.schema))
     with pytest.raises(ValueError, match="1 to 2 components"):
         R.nearest(odd.where("id = 1"), "id", odd, "id", "v", 1)
+
+
+def test_points_with_arrays_and_the_verbatim_gate(spark):
+    rows = [
+        ("Section 16(2)  applies;\n credit allowed", ["section 16(2) applies", "Rule 36"], ["CREDIT"], ["refund"], True, ["q"]), ("no", ["x"], [], ["no"], True, []), (None, ["x", ""], None, None, False, None), ("any", None, None, None, None, None), ("", [], [], [], True, None),
+    ]
+    df = spark.createDataFrame(rows, "a string, secs array<string>, kws array<string>, bad array<string>, need boolean, quotes array<string>")
+    points = V.answer_points(F.col("a"), [F.col("secs"), F.col("kws")], F.col("bad"), F.col("need"), F.col("quotes"))
+    got = [tuple(r.p) for r in df.select(points.alias("p")).collect()]
+    assert got == [(3, 4, 0, True), (-1, 2, 1, False), (1, 2, 0, True), (0, 0, 0, True), (0, 1, 0, False)]
