@@ -13,6 +13,7 @@ CASES = {
     "html_text": "from lodestone.sources import readers; assert readers.html_text(docs, \"doc_id\", \"text\").where(F.length(\"text\") > 0).count() == 6",
     "tolerant_json": "from lodestone.functions import evidence; docs.select(evidence.tolerant_json(F.col(\"text\")).alias(\"j\")).collect()",
     "nfkc": "from lodestone.functions import text; docs.select(text.canonical(F.col(\"text\"), compatibility=True).alias(\"c\")).collect()",
+    "stream": "from lodestone.streaming import monitors; e = docs.select(F.col(\"doc_id\").alias(\"event_id\"), F.timestamp_seconds(\"doc_id\").alias(\"ts\"), (F.col(\"doc_id\") % 2).alias(\"user_id\"), F.lit(50.0).alias(\"value\")); e.write.parquet(\"events\"); s = spark.readStream.schema(e.schema).parquet(\"events\"); assert monitors.run_once(monitors.latched(monitors.controlled(s), 2), \"update\").where(\"tripped\").count() == 2",
     "nearest": "from lodestone.operators import retrieval; v = docs.select(\"doc_id\", F.array(F.col(\"doc_id\") + 1.0, F.lit(2.0)).alias(\"v\")); assert retrieval.nearest(v, \"doc_id\", v, \"doc_id\", \"v\", 2).count() == 12",
 }
 
