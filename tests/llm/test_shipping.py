@@ -16,6 +16,9 @@ CASES = {
     "near": "from lodestone.llm import minhash; assert minhash.keep_representatives(docs).count() == 6",
     "exact": "from lodestone.llm import exact_dedup; assert exact_dedup.keep_first(docs).count() == 6",
     "quality": "from lodestone.llm import quality; assert quality.features(docs).count() == 6",
+    "links": "from lodestone.llm import rabitq; assert rabitq.near_duplicates(docs.select(F.col(\"doc_id\").alias(\"vec_id\"), F.lit(1).alias(\"label\"), F.array(F.col(\"doc_id\") + 1.0, F.lit(2.0)).alias(\"embedding\"))).count() == 6",
+    "whiten": "from lodestone.llm import whitening; assert whitening.whiten(docs.select(F.col(\"doc_id\").alias(\"vec_id\"), F.array(F.col(\"doc_id\") + 1.0, F.lit(2.0)).alias(\"embedding\"))).count() == 12",
+    "spelling": "from lodestone.llm import variants; assert variants.spelling_variants(docs.select(\"doc_id\", F.lit(\"spelling spellings\").alias(\"text\"))).count() >= 1",
     "search": "from lodestone.llm import mih; assert mih.nearest(docs.select(F.col(\"doc_id\").alias(\"vec_id\"), F.array(F.col(\"doc_id\") + 1.0, F.lit(2.0)).alias(\"embedding\"))).count() == 5",
 }
 
