@@ -187,13 +187,14 @@ def stream_latch_controls(t: Tables) -> DataFrame:
 
 
 _IDLE_SQL = """
-    WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(epoch_ms(ts)) OVER () - 3600000 AS upto FROM events)
+    WITH t AS (SELECT user_id, event_id, ts, floor(epoch_us(ts) / 1000)::BIGINT AS ms FROM events),
+    e AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ms) OVER () - 3600000 AS upto FROM t)
     SELECT user_id, ms AS idle_since_ms, ms + 21600000 AS action_at_ms FROM e WHERE ms + 21600000 <= coalesce(next, upto)"""
 
 
 @query(_IDLE_SQL)
 def idle_timeouts(t: Tables) -> DataFrame:
-    """Actions after six silent hours of a user, as far as the events show them (an hour back from the last)."""
+    """Actions after six silent hours of a user, as far as the events show them (an hour back from the last). Moments are whole milliseconds, those begun: what timers and watermarks count."""
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     upto = t.events.agg((F.max(millis) - 3_600_000).alias("upto"))
     rows = t.events.select("user_id", "ts", "event_id").join(F.broadcast(upto))  # one row

@@ -49,3 +49,14 @@ def test_citations_start_a_word_in_both_engines(spark, both):
     rows = spark.createDataFrame([(k, 0, "judge", text) for k, text in enumerate(texts)], "conv_id long, turn int, role string, text string")
     found, expected = both("answer_profile", conversations=rows)
     assert found == expected and [r[2] for r in found] == [True, False, True, False, True, False]
+
+
+def test_idle_moments_are_begun_milliseconds(spark, both):
+    start, hour = datetime.datetime(2024, 1, 1), datetime.timedelta(hours=1)
+    micro = datetime.timedelta(microseconds=1)
+    rows = [(1, start + 600 * micro, 7), (2, start + 6 * hour + 400 * micro, 7), (3, start + 6 * hour + 999_999 * micro, 8), (4, start + 13 * hour + 500 * micro, 8), (5, start + 40 * hour, 9)]
+    events = spark.createDataFrame([(e, ts, u, "click", 1.0, "{}") for e, ts, u in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    found, expected = both("idle_timeouts", events=events)
+    assert found == expected
+    base = 1_704_067_200_000
+    assert (7, base, base + 21_600_000) in found and (8, base + 21_600_999, base + 43_200_999) in found
