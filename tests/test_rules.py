@@ -60,3 +60,12 @@ def test_idle_moments_are_begun_milliseconds(spark, both):
     assert found == expected
     base = 1_704_067_200_000
     assert (7, base, base + 21_600_000) in found and (8, base + 21_600_999, base + 43_200_999) in found
+
+
+def test_idle_timers_of_a_stream_count_begun_milliseconds(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 5003000777) AS ts, i % 5 AS user_id, 'click' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(200) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("stream_idle_timers", "idle_timeouts"):
+        found = registry.QUERIES[name](spark, str(tmp_path)).select("user_id", "idle_since_ms", "action_at_ms").collect()
+        assert sorted(map(tuple, found)) == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall()) and len(found) > 100
