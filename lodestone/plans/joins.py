@@ -197,9 +197,9 @@ def remaining_spans(t: Tables) -> DataFrame:
 
 @query(
     """
-    WITH o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderstatus AS kind FROM orders),
-    w AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o),
-    i AS (SELECT *, sum(CASE WHEN p >= s THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
+    WITH o AS (SELECT o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderstatus AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderstatus) AS n FROM orders),
+    w AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o),
+    i AS (SELECT *, sum(CASE WHEN p >= s THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY n ROWS UNBOUNDED PRECEDING) AS island FROM w)
     SELECT o_custkey, min(s) AS merged_start, max(e) AS merged_end, count(*) AS n_merged, min(struct_pack(s, e, kind)).kind AS kind FROM i GROUP BY o_custkey, island"""
 )
 def merged_spans(t: Tables) -> DataFrame:

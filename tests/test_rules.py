@@ -69,3 +69,12 @@ def test_idle_timers_of_a_stream_count_begun_milliseconds(spark, tmp_path):
     for name in ("stream_idle_timers", "idle_timeouts"):
         found = registry.QUERIES[name](spark, str(tmp_path)).select("user_id", "idle_since_ms", "action_at_ms").collect()
         assert sorted(map(tuple, found)) == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall()) and len(found) > 100
+
+
+def test_equal_spans_are_merged_whatever_their_order(spark, both):
+    # Equal (start, end) under several states, first of their run or inside one.
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") * 7919 % 4000).cast("int"))
+    rows = spark.range(60_000).select((F.col("id") % 600).alias("o_custkey"), F.col("id").alias("o_orderkey"), day.cast("timestamp_ntz").alias("o_orderdate"), F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"))
+    rows = rows.unionByName(rows.withColumn("o_orderstatus", F.lit("A")).withColumn("o_orderkey", F.col("o_orderkey") + 60_000)).orderBy(F.xxhash64("o_orderkey"))
+    found, expected = both("merged_spans", orders=rows)
+    assert found == expected
