@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +83,18 @@ def two_way_pick(df: DataFrame, group: str, kind: str, shares: dict[str, float],
     return rows.withColumn("_at", F.row_number().over(outer)).where(F.col("_at") <= F.col("_quota")).drop("_quota", "_key", "_first", "_at", "_n")
 
 
+def share_of(count: int, share: float) -> int:
+    """The nearest whole number to a share of a count, halves up, in decimals (0.05 of 1,010 is 51); one at least."""
+    return max(1, int((count * Decimal(str(share))).quantize(Decimal(1), ROUND_HALF_UP)))
+
+
 def split_by_key(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Adds ``split``: the first share of distinct keys (at least one) in hash order is ``val``, so no key is on both sides.
+    """Adds ``split``: the first share of distinct keys (to the nearest whole number, halves up; at least one) in hash order is ``val``, so no key is on both sides.
 
     The cut is a threshold on the hash, found by histograms of its digits over the distinct keys.
     """
     keys = durable(df.select(key).distinct().select(shuffle_key(seed, F.col(key)).alias("_h")))
-    cut = kth_smallest(keys, "_h", max(1, int(keys.count() * share)))
+    cut = kth_smallest(keys, "_h", share_of(keys.count(), share))
     return df.withColumn("split", F.when(shuffle_key(seed, F.col(key)) <= F.lit(cut), "val").otherwise("train"))
 
 

@@ -78,3 +78,14 @@ def test_equal_spans_are_merged_whatever_their_order(spark, both):
     rows = rows.unionByName(rows.withColumn("o_orderstatus", F.lit("A")).withColumn("o_orderkey", F.col("o_orderkey") + 60_000)).orderBy(F.xxhash64("o_orderkey"))
     found, expected = both("merged_spans", orders=rows)
     assert found == expected
+
+
+@pytest.mark.parametrize(("keys", "held"), [(1, 1), (10, 1), (30, 2), (31, 2), (50, 3), (1_010, 51), (1_012, 51)])
+def test_shares_of_keys_are_rounded(keys, held):
+    assert sampling.share_of(keys, 0.05) == held
+
+
+def test_split_of_thirty_keys(spark, both):
+    rows = spark.range(60).select((F.col("id") % 30).alias("conv_id"), F.floor(F.col("id") / 30).cast("int").alias("turn"))
+    found, expected = both("train_val_split", conversations=rows)
+    assert found == expected and sum(r[2] == "val" for r in found) == 4
