@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import durable, map_arrow
+
+from .phrase_scan import PhraseTable, scanner
+
 TOKEN = "[a-z0-9\\u00df-\\u00ff]+"
 #: So many phrases go into the plan as a set of hashes; more are joined.
 PHRASES_IN_PLAN, LONGEST = 10_000, 12
+#: So many pairs of a topic and a phrase go to the tasks as a trie; more are joined.
+PHRASES_IN_TASK = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,17 +45,25 @@ def gram_hits(texts: DataFrame, own: list[str], token_column: str, grams: DataFr
     return rows.join(F.broadcast(grams) if len(hashes) <= most else grams, "gram", "left_semi").select(*own, "at", "gram")
 
 
+def phrase_table(phrases: DataFrame) -> DataFrame:
+    """topic, gram, place: phrases as tokens joined by a blank, each once a topic, at its first place."""
+    return phrases.select("topic", "place", F.array_join(tokens(F.col("phrase")), " ").alias("gram")).where("gram <> ''").groupBy("topic", "gram").agg(F.min("place").alias("place"))
+
+
+def _too_long(n: int) -> None:
+    if n > LONGEST:
+        raise ValueError(f"a phrase has {n} tokens; at most {LONGEST} are looked up")
+
+
 def phrase_hits(docs: DataFrame, id_column: str, text: str, phrases: DataFrame) -> DataFrame:
     """id, topic, phrase, at, n, place: every occurrence of a phrase of ``phrases`` (topic, phrase, place) as whole tokens.
 
     Phrases are compared by their tokens; those of more than LONGEST tokens, or of none,
     are an error or are left out. Lengths that occur are a few numbers.
     """
-    table = phrases.select("topic", "place", F.array_join(tokens(F.col("phrase")), " ").alias("gram")).where("gram <> ''").groupBy("topic", "gram").agg(F.min("place").alias("place"))
-    table = table.withColumn("n", F.size(F.split("gram", " ")))
+    table = phrase_table(phrases).withColumn("n", F.size(F.split("gram", " ")))
     lengths = sorted(r.n for r in table.select("n").distinct().collect())
-    if lengths and lengths[-1] > LONGEST:
-        raise ValueError(f"a phrase has {lengths[-1]} tokens; at most {LONGEST} are looked up")
+    _too_long(lengths[-1] if lengths else 0)
     texts = docs.select(F.col(id_column).alias("_id"), tokens(F.col(text)).alias("_tokens"))
     found = None
     for n in lengths:
@@ -72,13 +86,46 @@ def apart(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), empty, step, lambda acc: acc["taken"])
 
 
+def _scanned(docs: DataFrame, id_column: str, text: str, phrases: DataFrame, category: str | None, best: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """What tasks find in whole documents without a shuffle, and the documents that are left for a join.
+
+    The table is counted first. Rows that share an id are one document to :func:`topics`
+    and are left, as are all if the table is too large for a task.
+    """
+    few = phrase_table(phrases).where("topic IS NOT NULL").limit(PHRASES_IN_TASK + 1).collect()
+    if not few or len(few) > PHRASES_IN_TASK:
+        return None, docs
+    _too_long(max(r.gram.count(" ") + 1 for r in few))
+    held = docs.sparkSession.sparkContext.broadcast(PhraseTable.of([(r.topic, r.gram, r.place) for r in few]))
+    repeated = durable(docs.groupBy(F.col(id_column).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again"))
+    once, left = docs, None
+    if repeated.limit(1).count():
+        same = F.col(id_column).eqNullSafe(F.col("_again"))
+        once, left = docs.join(repeated, same, "left_anti"), docs.join(repeated, same, "left_semi")
+    given = F.lit(None).cast("string") if category is None else F.col(category).cast("string")
+    rows = once.select(F.col(id_column).alias("_id"), F.array_join(tokens(F.col(text)), " ").alias("_words"), given.alias("_given"))
+    columns = "primary_topic string, n_topics long, scores long" if best else "topic string, score long"
+    found = map_arrow(rows, scanner(held, category is not None, best), f"_id {rows.schema['_id'].dataType.simpleString()}, {columns}")
+    return found.withColumnRenamed("_id", id_column), left
+
+
 def topics(docs: DataFrame, id_column: str, text: str, phrases: DataFrame, category: str | None = None) -> DataFrame:
     """id, topic, score: for each document the topics with a phrase in it, and how many distinct phrases.
 
     Occurrences of one topic do not overlap (:func:`apart`). With a ``category`` column
     only topics "category:..." count in documents that have one. Documents without a
-    topic, null and empty texts give no row.
+    topic, null and empty texts give no row. A counted table goes to the tasks, which
+    read each document once and pass on its scores alone, not its hits.
     """
+    found, left = _scanned(docs, id_column, text, phrases, category, False)
+    if left is None:
+        return found
+    rest = _joined_topics(left, id_column, text, phrases, category)
+    return rest if found is None else found.unionByName(rest)
+
+
+def _joined_topics(docs: DataFrame, id_column: str, text: str, phrases: DataFrame, category: str | None) -> DataFrame:
+    """:func:`topics` by joins, for tables of any size."""
     hits = phrase_hits(docs, id_column, text, phrases)
     if category is not None:
         given = docs.select(F.col(id_column), F.col(category).cast("string").alias("_given"))
@@ -92,3 +139,13 @@ def primary(scored: DataFrame, id_column: str) -> DataFrame:
     """id, primary_topic, n_topics: the topic of the best score (ties: the shorter name, then the name) of each document."""
     best = F.min_by("topic", F.struct(-F.col("score"), F.length("topic"), "topic"))
     return scored.groupBy(id_column).agg(best.alias("primary_topic"), F.count(F.lit(1)).alias("n_topics"))
+
+
+def summaries(docs: DataFrame, id_column: str, text: str, phrases: DataFrame) -> DataFrame:
+    """id, primary_topic, n_topics, scores: :func:`primary` of :func:`topics` and the sum of scores, one row a document with a topic."""
+    found, left = _scanned(docs, id_column, text, phrases, None, True)
+    if left is None:
+        return found
+    scored = _joined_topics(left, id_column, text, phrases, None)
+    rest = primary(scored, id_column).join(scored.groupBy(F.col(id_column).alias("_same")).agg(F.sum("score").alias("scores")), F.col(id_column).eqNullSafe(F.col("_same"))).drop("_same")
+    return rest if found is None else found.unionByName(rest)

@@ -91,3 +91,21 @@ def test_phrases_that_are_too_long(spark):
     with pytest.raises(ValueError, match="14 tokens"):
         phrases.topics(docs, "doc_id", "text", table)
     assert phrases.topics(docs, "doc_id", "text", table.where("place > 0")).count() == 0
+
+
+def test_scores_of_topics_in_tasks_and_by_joins(spark, monkeypatch):
+    """The scan inside a task agrees with the joins on overlapping phrases, repeated ids, categories, and slices of any size; and it deals no hits."""
+    texts = [" ".join("abcde"[(k * k + j * j * (k % 7 + 1) + j // 3) % 5] for j in range(k * 3)) for k in range(40)] + ["", None, "ab, A b! a"]
+    docs = spark.createDataFrame([(k if k < 36 else 36, text, (None, "x", "y", "z")[k % 4]) for k, text in enumerate(texts)], "doc_id long, text string, kind string")
+    rules = [(f"{'xy'[k % 2]}:{k % 6}", " ".join("abcde"[(k * 3 + j * k) % 5] for j in range(k % 4 + 1)), k * 5 % 7) for k in range(60)]
+    table = spark.createDataFrame(rules, "topic string, phrase string, place int")
+    results = []
+    for most, pairs in ((200_000, 1 << 20), (200_000, 5), (0, 1 << 20)):
+        monkeypatch.setattr(phrases, "PHRASES_IN_TASK", most)
+        monkeypatch.setattr("lodestone.operators.phrase_scan.PAIRS_AT_ONCE", pairs)
+        found = [phrases.topics(docs, "doc_id", "text", table), phrases.topics(docs.where("doc_id < 36"), "doc_id", "text", table, "kind"), phrases.summaries(docs, "doc_id", "text", table)]
+        results.append([sorted(map(str, f.select(sorted(f.columns)).collect())) for f in found])
+    assert results[0] == results[1] == results[2] and all(len(r) > 30 for r in results[0])
+    monkeypatch.setattr(phrases, "PHRASES_IN_TASK", 200_000)
+    plan = phrases.summaries(docs.where("doc_id < 36"), "doc_id", "text", table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
