@@ -82,8 +82,7 @@ def _phrase_table(t: Tables) -> DataFrame:
 )
 def phrase_topics(t: Tables) -> DataFrame:
     """Topics of documents by a table of phrases: the best one, how many there are, and the sum of their scores."""
-    scored = P.topics(t.documents, "doc_id", "text", _phrase_table(t))
-    return P.primary(scored, "doc_id").join(scored.groupBy("doc_id").agg(F.sum("score").alias("scores")), "doc_id")
+    return P.summaries(t.documents, "doc_id", "text", _phrase_table(t))
 
 
 @query(_PHRASES.replace("GIVEN", "(lang IS NULL OR split_part(topic, ':', 1) = lang)") + " SELECT doc_id, topic, score FROM t")
