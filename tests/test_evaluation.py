@@ -157,3 +157,24 @@ def test_points_with_arrays_and_the_verbatim_gate(spark):
     points = V.answer_points(F.col("a"), [F.col("secs"), F.col("kws")], F.col("bad"), F.col("need"), F.col("quotes"))
     got = [tuple(r.p) for r in df.select(points.alias("p")).collect()]
     assert got == [(3, 4, 0, True), (-1, 2, 1, False), (1, 2, 0, True), (0, 0, 0, True), (0, 1, 0, False)]
+
+
+def test_rates_in_force_behind_many_that_are_not(spark, monkeypatch):
+    """Copies of a text are scored once, and a query reads on until it has its k or all documents, whatever it reads at first."""
+    docs = spark.createDataFrame([(k, ("tea leaf", "tea", "leaf green", "tea leaf")[k % 4]) for k in range(60)], "id long, text string")
+    rates = spark.createDataFrame([(k, 10 * (k % 5), None if k % 2 else 10 * (k % 5) + 3, float(k)) for k in range(60)], "id long, valid_from int, valid_to int, rate double")
+    asked = spark.createDataFrame([(1, "tea leaf", 1), (2, "tea leaf", 45), (2, "green", 45), (3, "leaf", 0), (4, "tea", -1), (5, None, 3), (6, "tea tea", 22)], "q long, text string, day int")
+    terms, scored = [], R.bm25_scores
+
+    def noted(posts, *rest, **more):
+        terms.append(posts.select(posts.columns[0]).distinct().count())
+        return scored(posts, *rest, **more)
+
+    monkeypatch.setattr(R, "bm25_scores", noted)
+    run = lambda reach: sorted(tuple(r) for r in R.in_force_search(docs, "id", "text", asked, "q", "day", rates, 3, ["rate"], reach).select("q", "rank", "id", "score", "rate").collect())
+    own = R.postings(asked, "q", "text")
+    scores = scored(R.asked_postings(docs, "id", "text", own), "id", own, "q").join(asked.select("q", "day"), "q").join(rates, "id")
+    in_force = scores.where("valid_from <= day and (valid_to is null or valid_to > day)")
+    plain = sorted(tuple(r) for r in R.top(in_force, ["q"], [F.desc("score"), F.col("id"), F.col("rate")], 3).select("q", "rank", "id", "score", "rate").collect())
+    assert run(1) == run(None) == run(100) == plain and len(plain) == 12
+    assert terms == [3, 3, 3]
