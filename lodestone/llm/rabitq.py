@@ -14,10 +14,12 @@ Equal vectors are one class, so copies cost nothing further on. Heavy groups of
 copies are found on a bounded sample; a group lies within half the threshold's angle of
 its pivot, so all of its members are linked without comparing any two. Against other
 vectors the angle to the pivot settles most groups as a whole (triangle inequality).
-The rest meets by label: small labels whole, in blocks, which loses no link; labels of
-more than WHOLE_LABEL classes by sign keys of several random projections, whose number
-follows the label's size, so that a pair just at the threshold is missed with a
-probability of MISSED at most and closer pairs much more rarely.
+The rest meets by label, whole, in blocks, whatever the label's size: no link is lost,
+a task holds two blocks, and the cost is quadratic in the classes of a label. Only a
+caller that asks for it (``by_keys``) has labels of more than WHOLE_LABEL classes meet by
+sign keys of several random projections, whose number follows the label's size, so that a
+pair just at the threshold is missed with a probability of MISSED at most and closer
+pairs much more rarely.
 """
 
 from __future__ import annotations
@@ -397,7 +399,7 @@ def _meetings_of_groups(coded: DataFrame, open_: DataFrame, groups: list[Pivot])
     return both.select(F.concat_ws("|", F.lit("g"), "cell", "block", "part", F.lit(0)).alias("meet"), "role", *_SENT)
 
 
-def linked(classes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+def linked(classes: DataFrame, least: float = LEAST, by_keys: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of classes (node, label, width, weight, vector): node and links (rows of other classes linked with it; some nodes several times, to be added), and edges (a, b)."""
     wide = acos(least)
     half = wide / 2
@@ -409,7 +411,7 @@ def linked(classes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFra
         p.weight, p.members, p.least_node, p.radius = r.w, r.m, r.n, r.r
     plans = {}
     sizes = placed.where("cell < 0").groupBy("label", "width").agg(F.count(F.lit(1)).alias("rows"))
-    for r in sizes.select(F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / KEY_BUCKET))).alias("b")).distinct().collect():
+    for r in sizes.select(F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / KEY_BUCKET))).alias("b")).distinct().collect() if by_keys else ():
         plans[int(r.b)] = key_plan(KEY_BUCKET << int(r.b), least)
     step = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / KEY_BUCKET))).cast("int")
     of = lambda k: F.get(F.array(*[F.lit(plans.get(b, (0, 1))[k]) for b in range(max(plans, default=0) + 1)]), step)
@@ -437,7 +439,7 @@ def linked(classes: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFra
     return union(counts), union(edges)
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST, vector: str = "embedding", by_keys: bool = False) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and their cosine is ``least`` or more. Null
@@ -445,14 +447,15 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, vector: str = "emb
     without a vec_id link with nothing and stay; vectors of different lengths do not link.
     Rows that repeat, or share a vec_id, are vectors of their own: a repeated row is
     linked with its copies. Equal ids in a component are all kept. An empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. With ``by_keys`` large labels may miss
+    links (see the head of this module); without, results do not depend on any size.
     """
     rows = durable(usable(vectors, vector))
     per = rows.groupBy(*SAME).agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
     numbered = durable(running_totals(per.withColumn("_one", F.lit(1)), ["first_id", "label", "hash_a", "hash_b"], {"node": "_one"}).drop("_one"))
     one = rows.dropDuplicates(SAME).select(*SAME, "vector")
     classes = durable(numbered.join(one, SAME).select("node", "label", "width", "weight", "vector"))
-    counts, edges = linked(classes, least)
+    counts, edges = linked(classes, least, by_keys)
     labels = components(edges)
     least_id = labels.join(numbered.select("node", "first_id"), "node")
     names = least_id.groupBy("label").agg(F.min("first_id").alias("component"))

@@ -93,6 +93,15 @@ def test_links_by_keys_and_small_blocks(vectors, monkeypatch):
     assert 0.999 * there <= found <= there and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_no_link_is_lost_in_large_labels(vectors, monkeypatch):
+    """With limits this low a plan by size would have missed most pairs near the threshold."""
+    for name, value in (("WHOLE_LABEL", 4), ("KEY_BUCKET", 1), ("BLOCK", 24), ("MISSED", 0.9)):
+        monkeypatch.setattr(rabitq, name, value)
+    want = sorted(plain_links(vectors[1]), key=repr)
+    assert as_rows(rabitq.near_duplicates(vectors[0])) == want
+    assert as_rows(rabitq.near_duplicates(vectors[0], by_keys=True)) != want
+
+
 def test_links_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
