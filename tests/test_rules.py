@@ -89,3 +89,13 @@ def test_split_of_thirty_keys(spark, both):
     rows = spark.range(60).select((F.col("id") % 30).alias("conv_id"), F.floor(F.col("id") / 30).cast("int").alias("turn"))
     found, expected = both("train_val_split", conversations=rows)
     assert found == expected and sum(r[2] == "val" for r in found) == 4
+
+
+def test_idle_timers_of_a_table_of_many_files_in_no_order(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 5003000777) AS ts, i % 5 AS user_id, 'click' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(200) t(i)")
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(20):
+        con.execute(f"COPY (SELECT * FROM events WHERE (event_id * 7) % 20 = {k}) TO '{tmp_path}/events.parquet/part-{k}.parquet' (FORMAT parquet)")
+    found = registry.QUERIES["stream_idle_timers"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(registry.ORACLE_SQL["stream_idle_timers"]).fetchall()) and len(found) > 100
