@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import durable
+
 from .components import components
 from .phrases import phrase_hits
+from .retrieval import measured
 
 _NOTICE, _RULE, _SECTION = r"(\d{1,3})\s*/\s*(\d{2,4})", r"(?i)\brule\s+(\d+[a-z]*(?:\s*\([^)]+\))*)", r"(?i)(?:\bsection|\bsec\.?|^)\s*(\d{1,3}[a-z]?(?:\s*\([^)]+\))*)"
 
@@ -42,6 +45,24 @@ def named_classes(rows: DataFrame, id_column: str, text: str, classes: DataFrame
     return phrase_hits(rows, id_column, text, table).select(id_column, F.col("topic").alias("class")).distinct()
 
 
+def _code_pairs(g: DataFrame, h: DataFrame, item: str, strict: bool) -> DataFrame:
+    """Pairs of rows of ``g`` (item, kind, gold_ref, code, up and more) and ``h`` (item, kind, ref, code, up and more) with matching codes; one may come more than once."""
+    more = [[c for c in rows.columns if c not in (item, "kind", "code", "up")] for rows in (g, h)]
+    if strict:
+        keys = [item, "kind", "code"]
+        down = g.select(*keys, *more[0]).join(h.select(item, "kind", *more[1], F.explode("up").alias("code")), keys)
+        up = g.select(item, "kind", *more[0], F.explode("up").alias("code")).join(h.select(*keys, *more[1]), keys)
+        return down.drop("kind", "code").unionByName(up.drop("kind", "code"))
+    # The keys of a code: its first part, and its first two; a code of one part meets the first parts of all, deeper ones meet on two.
+    deep = F.size("up") > 1
+    key = lambda side, level, when: (g, h)[side].where(when).select(item, "kind", *more[side], F.get("up", F.lit(level)).alias("key"))
+    join = lambda a, b: a.join(b, [item, "kind", "key"]).drop("kind", "key")
+    flat = join(key(0, 0, ~deep), key(1, 0, F.lit(True)))
+    outer = join(key(0, 0, deep), key(1, 0, ~deep))
+    inner = join(key(0, 1, deep), key(1, 1, deep))
+    return flat.unionByName(outer).unionByName(inner)
+
+
 def code_matches(gold: DataFrame, hits: DataFrame, item: str, strict: bool = False) -> DataFrame:
     """Pairs of ``gold`` and ``hits`` (both: item, kind, code, ref) with matching codes, as (item, gold_ref, ref).
 
@@ -51,31 +72,33 @@ def code_matches(gold: DataFrame, hits: DataFrame, item: str, strict: bool = Fal
     equi-join on item, kind and code.
     """
     own = lambda rows, name: rows.where(F.col("code").isNotNull()).select(item, "kind", F.col("ref").alias(name), "code", ancestors(F.col("code")).alias("up"))
-    g, h = own(gold, "gold_ref"), own(hits, "ref")
-    if strict:
-        down = g.select(item, "kind", "gold_ref", "code").join(h.select(item, "kind", "ref", F.explode("up").alias("code")), [item, "kind", "code"])
-        up = g.select(item, "kind", "gold_ref", F.explode("up").alias("code")).join(h.select(item, "kind", "ref", "code"), [item, "kind", "code"])
-        return down.select(item, "gold_ref", "ref").unionByName(up.select(item, "gold_ref", "ref")).distinct()
-    # The keys of a code: its first part, and its first two; a code of one part meets the first parts of all, deeper ones meet on two.
-    deep = F.size("up") > 1
-    key = lambda rows, name, level, when: rows.where(when).select(item, "kind", name, F.get("up", F.lit(level)).alias("key"))
-    join = lambda a, b: a.join(b, [item, "kind", "key"]).select(item, "gold_ref", "ref")
-    everything = F.lit(True)
-    flat = join(key(g, "gold_ref", 0, ~deep), key(h, "ref", 0, everything))
-    outer = join(key(g, "gold_ref", 0, deep), key(h, "ref", 0, ~deep))
-    inner = join(key(g, "gold_ref", 1, deep), key(h, "ref", 1, deep))
-    return flat.unionByName(outer).unionByName(inner).distinct()
+    return _code_pairs(own(gold, "gold_ref"), own(hits, "ref"), item, strict).select(item, "gold_ref", "ref").distinct()
+
+
+def read_texts(texts: DataFrame, text: str, classes: DataFrame) -> DataFrame:
+    """text, kind, code, up (the code and its parents), classes of each distinct text that names a provision.
+
+    Written once, step by step: in one expression each use of a form would search the text
+    anew, and the condition on codes would be tried on all rows before they are made distinct.
+    """
+    texts = durable(texts.select(text).distinct())
+    forms = texts.select(text, parsed(F.col(text)).alias("p"))
+    forms = durable(forms.where(F.col("p.code").isNotNull()).select(text, "p.kind", "p.code"))
+    there = named_classes(forms, text, text, classes).groupBy(text).agg(F.collect_set("class").alias("classes"))
+    found = forms.select(text, "kind", "code", ancestors(F.col("code")).alias("up")).join(there, text, "left")
+    return durable(found.withColumn("classes", F.coalesce("classes", F.array().cast("array<string>"))))
 
 
 def reference_matches(gold: DataFrame, hits: DataFrame, item: str, text: str, classes: DataFrame, strict: bool = False) -> DataFrame:
     """item, gold_ref, ref: hits that name the provision of a gold reference of their item, under a name of the same class if the gold text has one.
 
-    ``gold`` and ``hits`` have item, ref (distinct) and a text; ``classes`` is :func:`alias_classes`.
+    ``gold`` and ``hits`` have item, ref (distinct) and a text; ``classes`` is
+    :func:`alias_classes`. Texts repeat, so each distinct one is read once, and rows take
+    along what was read; sides then meet in equi-joins on item, kind and code alone.
     """
-    read = lambda rows: rows.select(item, "ref", text, parsed(F.col(text)).alias("p")).select(item, "ref", text, "p.*")
-    g, h = read(gold), read(hits)
-    pairs = code_matches(g, h, item, strict)
-    wanted, there = named_classes(g, "ref", text, classes), named_classes(h, "ref", text, classes)
-    named = pairs.join(wanted.select(F.col("ref").alias("gold_ref"), "class"), "gold_ref", "left")
-    kept = named.join(there.select("ref", F.col("class").alias("_class"), F.lit(True).alias("_same")), (named["ref"] == there["ref"]) & (F.col("class") == F.col("_class")), "left").select(named["*"], "_same")
-    return kept.where(F.col("class").isNull() | F.col("_same")).select(item, "gold_ref", "ref").distinct()
+    rows = [side.select(item, "ref", text).where(F.col(text).isNotNull()) for side in (gold, hits)]
+    known = read_texts(rows[0].select(text).unionByName(rows[1].select(text)), text, classes)
+    g, h = (side.join(measured(known), text).drop(text) for side in rows)
+    g, h = g.withColumnsRenamed({"ref": "gold_ref", "classes": "wanted"}), h.withColumnRenamed("classes", "there")
+    pairs = _code_pairs(durable(g), durable(h), item, strict)
+    return pairs.where((F.size("wanted") == 0) | F.arrays_overlap("wanted", "there")).select(item, "gold_ref", "ref").distinct()

@@ -109,3 +109,14 @@ def test_scores_of_topics_in_tasks_and_by_joins(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PHRASES_IN_TASK", 200_000)
     plan = phrases.summaries(docs.where("doc_id < 36"), "doc_id", "text", table)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_text_is_read_once_however_many_rows_hold_it(spark, monkeypatch):
+    read, durable = [], references.durable
+    monkeypatch.setattr(references, "durable", lambda df: (lambda kept: (read.append((kept.columns, kept.count())), kept)[1])(durable(df)))
+    classes = spark.createDataFrame([("cgst", "cgst"), ("igst", "igst")], "name string, class string")
+    gold = spark.range(300).select(F.col("id").alias("item"), F.concat(F.lit("g"), "id").alias("ref"), F.when(F.col("id") % 2 == 0, "section 16(2) cgst").otherwise("section 16").alias("text"))
+    hits = spark.range(300).select(F.col("id").alias("item"), F.concat(F.lit("h"), "id").alias("ref"), F.when(F.col("id") % 3 == 0, "sec. 16 igst").otherwise("sec. 16(2)(a) cgst").alias("text"))
+    got = sorted(r.item for r in references.reference_matches(gold, hits, "item", "text", classes, True).collect())
+    assert got == [k for k in range(300) if k % 2 or k % 3]
+    assert [n for columns, n in read if "up" in columns and "text" in columns] == [4]
