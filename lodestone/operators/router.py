@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_date
+from lodestone.operators.retrieval import measured
+from lodestone.session import durable
 
 SHOWN = 50
 # The words and forms that questions are recognised by.
@@ -71,13 +73,21 @@ def _holds(day: Column) -> Column:
 
 
 def answer(questions: DataFrame, id_column: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """id, route, n_rows (all of them), rows (JSON, the first SHOWN in order): what each question's route finds in rates, lists, exemptions and notifications."""
-    asked = features(questions, text).select(id_column, "route", F.col("code").alias("q_code"), F.col("notif_id").alias("q_notif"), "serial", F.col("list_type").alias("q_list"), F.col("as_of").cast("date").alias("day"), "customs")
+    """id, route, n_rows (all of them), rows (JSON, the first SHOWN in order): what each question's route finds in rates, lists, exemptions and notifications.
+
+    Questions of equal features find the same rows: each distinct set of features is
+    looked up once, and questions take their answer by it.
+    """
+    each = features(questions, text).select(id_column, "route", F.col("code").alias("q_code"), F.col("notif_id").alias("q_notif"), "serial", F.col("list_type").alias("q_list"), F.col("as_of").cast("date").alias("day"), "customs")
+    kinds = [c for c in each.columns if c != id_column]
+    # As JSON a set of features is one value to group and join by, nulls left out.
+    each = durable(each.select(id_column, *kinds, F.to_json(F.struct(*kinds)).alias("_asked")))
+    asked = durable(each.select("_asked", *kinds).distinct())
     rates, lists, exempt, notes = (tables[k] for k in ("rates", "lists", "exemptions", "notifications"))
 
     def rows(of: DataFrame, source: str, order: Column) -> DataFrame:
         columns = [c for c in of.columns if c not in asked.columns]
-        return of.select(id_column, F.lit(source).alias("source"), order.cast("string").alias("at"), F.to_json(F.struct(*columns)).alias("row"))
+        return of.select("_asked", F.lit(source).alias("source"), order.cast("string").alias("at"), F.to_json(F.struct(*columns)).alias("row"))
 
     by_serial = asked.where("route = 'serial'")
     found = [
@@ -91,10 +101,11 @@ def answer(questions: DataFrame, id_column: str, text: str, tables: dict[str, Da
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
-    counts = every.groupBy(id_column).agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy(id_column).orderBy("source", "at", "row")
+    counts = every.groupBy("_asked").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("_asked").orderBy("source", "at", "row")
     few = every.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SHOWN)
-    per = few.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("source", "at", "row"))).alias("rows"))  # SHOWN at most
+    per = few.groupBy("_asked").agg(F.array_sort(F.collect_list(F.struct("source", "at", "row"))).alias("rows"))  # SHOWN at most
     shown = F.transform(F.coalesce("rows", F.array().cast(per.schema["rows"].dataType)), lambda r: r["row"])
+    found = asked.select("_asked").join(counts, "_asked", "left").join(per, "_asked", "left").select("_asked", F.coalesce("n", F.lit(0)).alias("n"), shown.alias("rows"))
     routed = F.col("route").isNotNull()
-    return asked.join(counts, id_column, "left").join(per, id_column, "left").select(id_column, "route", F.when(routed, F.coalesce("n", F.lit(0))).alias("n_rows"), F.when(routed, shown).alias("rows"))
+    return each.select(id_column, "route", "_asked").join(measured(found), "_asked").select(id_column, "route", F.when(routed, F.col("n")).alias("n_rows"), F.when(routed, F.col("rows")).alias("rows"))

@@ -187,3 +187,12 @@ def test_newest_rows_merge_over_batches(spark, tmp_path):
     for version, batch in enumerate((a, b)):
         monitors.merge_latest(batch, str(tmp_path), ["k"], ["n"], version)
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/1").collect()) == [(1, 2, "z"), (2, 1, "y")]
+
+
+def test_questions_of_equal_features_are_looked_up_once(spark, monkeypatch):
+    looked_up, durable = [], router.durable
+    monkeypatch.setattr(router, "durable", lambda df: (lambda kept: (looked_up.append((kept.columns, kept.count())), kept)[1])(durable(df)))
+    asked = F.element_at(F.array(F.lit("rate of tax on HSN 8703"), F.lit("customs duty on 8703"), F.lit("How do I file an appeal?")), (F.col("id") % 3 + 1).cast("int"))
+    got = {r.id: (r.route, r.n_rows) for r in router.answer(spark.range(300).select("id", asked.alias("q")), "id", "q", lookup_tables(spark)).collect()}
+    assert got == {k: [("rate", 1), ("rate", 2), (None, None)][k % 3] for k in range(300)}
+    assert [n for columns, n in looked_up if "id" not in columns] == [3]
