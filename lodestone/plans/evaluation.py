@@ -175,17 +175,17 @@ def _variants(t: Tables) -> DataFrame:
     """
     items = t.benchmark.select("item_id", "text", detected_language(F.col("text")).alias("asked_lang"))
     asked = durable(R.postings(items, "item_id", "text").join(items.select("item_id", "asked_lang"), "item_id"))
-    posts = durable(R.asked_postings(t.documents, "doc_id", "text", asked, ("lang",)))
-    pool = durable(R.bm25_search(posts, "doc_id", asked.drop("asked_lang"), "item_id", 50))
-    shared = posts.join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    wide = R.top(pool.withColumnRenamed("rank", "pooled").join(shared, ["item_id", "doc_id"]), ["item_id"], [F.desc("shared"), F.col("pooled")], 5)
-    filtered = R.filtered_search(posts, "doc_id", asked, "item_id", 5, F.col("asked_lang").isNull() | (F.col("lang") == F.col("asked_lang")))
+    asked_terms = asked.drop("asked_lang")
+    weighed = lambda asked, k, *given: durable(R.term_channels(t.documents, "doc_id", "text", asked, "item_id", k, *given).where("channel = 'score'").drop("channel"))
+    pool = weighed(asked_terms, 50)
+    wide = R.top(pool.withColumnRenamed("rank", "pooled"), ["item_id"], [F.desc("shared"), F.col("pooled")], 5)
+    within = weighed(asked, 5, F.col("lang"), F.coalesce("asked_lang", F.lit("")))
+    filtered = within.unionByName(pool.where("rank <= 5").join(within.select("item_id").distinct(), "item_id", "left_anti"))
     best = pool.where("rank = 1").select("item_id", "doc_id").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
     added = best.select("item_id", F.array_join(F.slice(T.terms(F.col("body")), 1, 30), " ").alias("added"))
     longer = items.join(added, "item_id", "left").select("item_id", F.concat_ws(" ", "text", "added").alias("text"))
     asked_more = durable(R.postings(longer, "item_id", "text"))
-    posts_more = durable(R.asked_postings(t.documents, "doc_id", "text", asked_more))
-    rewritten = R.bm25_search(posts_more, "doc_id", asked_more, "item_id", 5)
+    rewritten = weighed(asked_more, 5)
     named = lambda rows, name: rows.where("rank <= 5").select(F.lit(name).alias("variant"), "item_id", "doc_id", "rank")
     return named(pool, "baseline").unionByName(named(wide, "wide")).unionByName(named(filtered, "filtered")).unionByName(named(rewritten, "rewritten"))
 

@@ -178,3 +178,15 @@ def test_rates_in_force_behind_many_that_are_not(spark, monkeypatch):
     plain = sorted(tuple(r) for r in R.top(in_force, ["q"], [F.desc("score"), F.col("id"), F.col("rate")], 3).select("q", "rank", "id", "score", "rate").collect())
     assert run(1) == run(None) == run(100) == plain and len(plain) == 12
     assert terms == [3, 3, 3]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_channels_in_tasks_and_by_joins_are_those_of_plain_scores(spark, small_corpus, monkeypatch, most):
+    monkeypatch.setattr(R, "ASKED_IN_TASK", most)
+    monkeypatch.setattr(R, "CELLS_AT_ONCE", 8)
+    asked = R.postings(small_corpus.where("doc_id % 2 = 0").select("doc_id", "text"), "doc_id", "text").withColumnRenamed("doc_id", "item_id")
+    posts = R.asked_postings(small_corpus, "doc_id", "text", asked)
+    every = sorted((r.item_id, -r.score, r.doc_id) for r in R.bm25_scores(posts, "doc_id", asked, "item_id", F.col("item_id") != F.col("doc_id")).collect())
+    got = R.term_channels(small_corpus, "doc_id", "text", asked, "item_id", 2, apart=True).where("channel = 'score'").collect()
+    plain = [(q, d, s) for n, (q, s, d) in enumerate(every) if sum(e[0] == q for e in every[:n]) < 2]
+    assert sorted((r.item_id, r.doc_id, -r.score) for r in got) == sorted(plain) and plain
