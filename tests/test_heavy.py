@@ -58,3 +58,12 @@ def test_text_sources_prefer_files_that_exist(spark):
     cache = spark.createDataFrame([(3, long), (4, "short"), (1, long)], "doc_id long, text string")
     got = {r.doc_id: (r.path, r.text, r.page_offsets, r.reason) for r in readers.text_sources(docs, ["en", "hi"], there, cache).collect()}
     assert got == {1: ("/en/1", None, None, None), 2: ("/hi/2", None, None, None), 3: (None, long, [0, 6], None), 4: (None, None, None, "missing"), 5: (None, None, None, "missing")}
+
+
+def test_counted_values_are_those_of_sketches_and_are_not_written(spark, monkeypatch):
+    rows = spark.createDataFrame([(None if n % 7 == 0 else "ab"[n % 2], None if n % 11 == 0 else f"w{n % 5}") for n in range(300)], "g string, v string")
+    for group in (None, "g"):
+        plain = sorted(map(repr, heavy.top_values(rows, "v", 3, group).collect()))
+        with monkeypatch.context() as closed:
+            closed.setattr(heavy, "durable", None)
+            assert sorted(map(repr, heavy.counted_values(rows, "v", 3, group).collect())) == plain
