@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,7 +14,7 @@ from lodestone.functions import text as T
 from lodestone.functions.arrays import sums_before
 from lodestone.operators import scans
 from lodestone.operators.scans import Segments
-from lodestone.session import map_pandas
+from lodestone.session import map_arrow
 
 #: Schemas of the temporal reference tables.
 CODES = "code string, code_type string, level int, parent_code string, description string, chapter int"
@@ -187,15 +187,21 @@ def page_text(html: str | None) -> str | None:
     return "\n".join(x for x in lines if x)
 
 
+PAGES_AT_ONCE = 64
+
+
 def html_text(df: DataFrame, id_column: str, html: str) -> DataFrame:
-    """id and text of HTML pages, a batch at a time."""
+    """id and text of HTML pages, a few pages at a time, so that a task holds few of them as objects."""
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({id_column: batch[id_column], "text": batch[html].map(page_text)})
+            for at in range(0, len(batch), PAGES_AT_ONCE):
+                piece = batch.slice(at, PAGES_AT_ONCE)
+                texts = [page_text(page) for page in piece.column(html).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(id_column), pa.array(texts, pa.string())], [id_column, "text"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_pandas(df.select(id_column, html), apply, f"{id_column} {kind}, text string")
+    return map_arrow(df.select(id_column, html), apply, f"{id_column} {kind}, text string")
 
 
 def cached_text(docs: DataFrame, cache: DataFrame) -> DataFrame:

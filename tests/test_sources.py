@@ -196,3 +196,17 @@ def test_questions_of_equal_features_are_looked_up_once(spark, monkeypatch):
     got = {r.id: (r.route, r.n_rows) for r in router.answer(spark.range(300).select("id", asked.alias("q")), "id", "q", lookup_tables(spark)).collect()}
     assert got == {k: [("rate", 1), ("rate", 2), (None, None)][k % 3] for k in range(300)}
     assert [n for columns, n in looked_up if "id" not in columns] == [3]
+
+
+def test_few_pages_are_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.sources import readers
+
+    pages = [None if k % 50 == 0 else f"<p>page {k}</p><script>x</script>" for k in range(200)]
+    made = []
+    monkeypatch.setattr(readers, "map_arrow", lambda df, function, schema: made.append(function))
+    readers.html_text(spark.createDataFrame([(1, "")], "page_id long, html string"), "page_id", "html")
+    out = list(made[0](iter([pa.RecordBatch.from_pydict({"page_id": list(range(200)), "html": pages})])))
+    assert max(map(len, out)) <= 64 and sum(map(len, out)) == 200
+    assert [t for b in out for t in b.column("text").to_pylist()] == [readers.page_text(p) for p in pages]
