@@ -190,3 +190,22 @@ def test_channels_in_tasks_and_by_joins_are_those_of_plain_scores(spark, small_c
     got = R.term_channels(small_corpus, "doc_id", "text", asked, "item_id", 2, apart=True).where("channel = 'score'").collect()
     plain = [(q, d, s) for n, (q, s, d) in enumerate(every) if sum(e[0] == q for e in every[:n]) < 2]
     assert sorted((r.item_id, r.doc_id, -r.score) for r in got) == sorted(plain) and plain
+
+
+@pytest.mark.parametrize(("words", "within"), [(200_000, True), (3, False)])
+def test_features_in_tasks_and_by_joins_are_those_of_all_features(spark, monkeypatch, words, within):
+    """Features cut off among ties, pairs next to rare words and copies: documents' features are no rows unless words do not fit a task."""
+    texts = ["red fish swims", "red fish red fish", "blue whale swims far", "ab zeta ab c1", "red", "the of", "", None, "fish swims red whale", "ab c1 ab c1 ab zeta", "red fish swims"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red fish swims far"), (1, "ab c1"), (2, "blue whale"), (3, "nothing known"), (4, None)], "item_id long, text string")
+    wanted = {m: sorted(map(tuple, R._joined_tfidf(docs, "doc_id", asked, "item_id", "text", 3, m).collect())) for m in (5, 1000)}
+    listed, features = [], R.features
+    monkeypatch.setattr(R, "FREQUENT_IN_TASK", words)
+    monkeypatch.setattr(R, "features", lambda df, *rest: listed.append(df) or features(df, *rest))
+    for most, rows in wanted.items():
+        assert sorted(map(tuple, R.tfidf_search(docs, "doc_id", asked, "item_id", "text", 3, most).collect())) == rows and rows
+    assert bool(listed) != within
+    if not within:
+        return
+    twice = docs.unionByName(docs.where("doc_id = 1"))
+    assert sorted(map(tuple, R.tfidf_search(twice, "doc_id", asked, "item_id", "text", 3).collect())) == sorted(map(tuple, R._joined_tfidf(twice, "doc_id", asked, "item_id", "text", 3, 10_000).collect()))
