@@ -1,6 +1,7 @@
 """Small hand-made cases of the operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +301,26 @@ def test_dates_and_loops(spark):
     assert [r.x for r in rows.select(T.repeats_itself(F.col("t")).alias("x")).collect()] == [True, False, False]
 
 
+def test_repeated_windows_are_those_of_a_plain_count(spark):
+    """No array of windows is made and sorted in the plan; characters of any width count as one."""
+    draw = random.Random(4)
+    unit = "".join(draw.choice("aé😀 \n") for _ in range(30))
+    noise = lambda n: "".join(draw.choice("abcdé😀 ") for _ in range(n))
+    texts = [None, "", "x" * 119, "x" * 120, unit * 3 + noise(40), unit * 4, unit * 4 + noise(30), noise(5000), noise(3000) + unit * 40 + noise(3000), unit * 40 + noise(8000), unit + noise(5) + unit + noise(35) + unit + noise(10) + unit + noise(50)]
+
+    def plain(text):
+        if text is None or len(text) < 120:
+            return False
+        body = text if len(text) <= 4000 else text[len(text) // 2 - 2000 :][:4000]
+        pieces = [body[i : i + 30] for i in range(0, max(len(body) - 30, 1), 5)]
+        return any(pieces.count(p) >= 4 for p in pieces)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.repeats_itself(F.col("t")).alias("x"))
+    wanted = [plain(t) for t in texts]
+    assert [r.x for r in sorted(rows.collect())] == wanted and sum(wanted) == 4
+    assert "array_sort" not in rows._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_instruction_unwrapping(spark):
     texts = ["<s>[INST] <<SYS>>be kind<</SYS>> What? [/INST] That. </s>", "plain </s>"]
     assert tuple(one(spark, *[T.unwrap_instruction(F.lit(t)).alias(f"c{k}") for k, t in enumerate(texts)])) == ("Q: What?\nA: That.", "plain")
