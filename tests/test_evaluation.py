@@ -1,5 +1,8 @@
 """Evidence functions and evaluation operators on hand-made rows."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +212,28 @@ def test_features_in_tasks_and_by_joins_are_those_of_all_features(spark, monkeyp
         return
     twice = docs.unionByName(docs.where("doc_id = 1"))
     assert sorted(map(tuple, R.tfidf_search(twice, "doc_id", asked, "item_id", "text", 3).collect())) == sorted(map(tuple, R._joined_tfidf(twice, "doc_id", asked, "item_id", "text", 3, 10_000).collect()))
+
+
+@pytest.mark.parametrize(("known", "shared"), [(100_000, False), (2, False), (100_000, True)])
+def test_norms_of_documents_are_those_of_all_their_postings(spark, monkeypatch, known, shared):
+    """Postings are rows only where documents share an id; terms that tasks do not know meet their frequencies in a join."""
+    texts = ["red fish swims", "red fish red fish", "blue whale swims far", "red", "the of", "", None, "fish fish swims red whale", "rare one two rare"]
+    rows = [(k if k else None, t) for k, t in enumerate(texts)] + ([(1, "red sails"), (None, "blue")] if shared else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {}
+    for key, text in rows:
+        of[key] = of.get(key, []) + [w for w in (text or "").split() if w not in ("the", "of")]
+    of = {key: Counter(terms) for key, terms in of.items() if terms}
+    df = Counter(term for terms in of.values() for term in terms)
+    wanted = {key: (len(terms), pytest.approx(math.sqrt(sum((tf * math.log(len(of) / df[w])) ** 2 for w, tf in terms.items())))) for key, terms in of.items()}
+    posted, postings = [], R.postings
+    monkeypatch.setattr(R, "KNOWN_IN_TASK", known)
+    monkeypatch.setattr(R, "postings", lambda *args: posted.append(args) or postings(*args))
+    assert {r.doc_id: (r.n, r.norm) for r in R.tfidf_norms(docs, "doc_id", "text").collect()} == wanted
+    assert {r.term: r.df for r in R.term_frequencies(docs, "doc_id", "text").collect()} == df | {R.WHOLE: len(of)}
+    assert bool(posted) == shared
+
+
+def test_norms_of_no_terms(spark):
+    docs = spark.createDataFrame([(1, "the"), (2, None)], "doc_id long, text string")
+    assert R.tfidf_norms(docs, "doc_id", "text").count() == 0
