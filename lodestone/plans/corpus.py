@@ -67,17 +67,17 @@ def chunk_words(t: Tables) -> DataFrame:
 
 @query()
 def chunk_sections(t: Tables) -> DataFrame:
-    return chunking.chunk(t.documents, "doc_id", "text", "sections").select("doc_id", "chunk_no", "char_start", "char_end", "section")
+    return chunking.chunk(t.documents, "doc_id", "text", "sections", texts=False).select("doc_id", "chunk_no", "char_start", "char_end", "section")
 
 
 @query()
 def chunk_two_pass(t: Tables) -> DataFrame:
-    return chunking.chunk(t.documents, "doc_id", "text", "two_pass").select("doc_id", "chunk_no", "char_start", "char_end", "kind")
+    return chunking.chunk(t.documents, "doc_id", "text", "two_pass", texts=False).select("doc_id", "chunk_no", "char_start", "char_end", "kind")
 
 
 @query()
 def chunk_hierarchy(t: Tables) -> DataFrame:
-    return chunking.chunk(t.documents, "doc_id", "text", "hierarchy").select("doc_id", "chunk_no", "char_start", "char_end", "section")
+    return chunking.chunk(t.documents, "doc_id", "text", "hierarchy", texts=False).select("doc_id", "chunk_no", "char_start", "char_end", "section")
 
 
 _HEADS = "The |Est |Und |Las |In |An "

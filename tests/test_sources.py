@@ -98,6 +98,20 @@ def test_chunks_cover_the_text(spark, method):
         assert not texts[k][covered:].strip()
 
 
+@pytest.mark.parametrize("at_once", [1, 9_000, 10**6])
+def test_pieces_leave_a_batch_in_slices(spark, monkeypatch, at_once):
+    """Texts are read one at a time out of Arrow batches; pieces are the same however many leave together, with their texts or without."""
+    monkeypatch.setattr(chunking, "SLICE_CHARS", at_once)
+    texts = [None, PROSE, "  ", LAW, PROSE[:3000] + "\n" + TABLE + "\n" + PROSE[:4000], "", "short", None]
+    rows = spark.createDataFrame([(f"d{k}" if k else None, t) for k, t in enumerate(texts)], "id string, text string").coalesce(1)
+    wanted = [(f"d{k}", n, *span) for k, t in enumerate(texts) if t and t.strip() for n, span in enumerate(chunking.two_pass(t))]
+    bare = chunking.chunk(rows, "id", "text", "two_pass", texts=False)
+    assert bare.columns == ["id", "chunk_no", "char_start", "char_end", "kind", "section"] and [tuple(r) for r in bare.collect()] == wanted
+    whole = chunking.chunk(rows, "id", "text", "two_pass")
+    assert [tuple(r) for r in whole.collect()] == [(*w, texts[int(w[0][1:])][w[2] : w[3]]) for w in wanted]
+    assert "MapInArrow" in whole._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tables_stay_whole_and_long_ones_split_by_rows():
     text = PROSE[:2000] + "\n" + TABLE + "\n" + PROSE[:2000]
     tables = [text[a:b] for a, b, kind, _ in chunking.two_pass(text) if kind == "table"]
