@@ -9,7 +9,7 @@ from lodestone.functions import evidence as E
 from lodestone.functions import text as T
 from lodestone.operators import evaluation as V
 from lodestone.operators import retrieval as R
-from lodestone.operators.phrases import gram_hits
+from lodestone.operators.containment import first_holders
 from lodestone.session import durable
 
 from .registry import Tables, query
@@ -258,13 +258,8 @@ def expected_hits(t: Tables) -> DataFrame:
     same = t.documents.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
     first = same.groupBy("sha").agg(F.min("doc_id").alias("first"))
     canon = same.join(first, "sha").select("doc_id", F.col("source").alias("section"), "text", F.array("first").alias("linked"))
-    # Documents that hold an item share the gram in its middle; only these are searched for the whole text.
     items = t.benchmark.select("item_id", "text")
-    grams = items.select("item_id", "text", F.explode(T.let(T.word_grams(F.col("text"), 5), lambda g: F.when(F.size(g) > 0, F.slice(g, F.ceil(F.size(g) / 2).cast("int"), F.lit(1))))).alias("gram"))
-    words = t.documents.select("doc_id", T.words(F.col("text")).alias("_words"))
-    found = gram_hits(words, ["doc_id"], "_words", grams.select("gram").distinct(), 5).select("doc_id", "gram").distinct()
-    held = found.join(grams, "gram").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", F.col("text")))
-    gold = held.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")).join(canon.select("doc_id", "linked", "section"), "doc_id")
+    gold = first_holders(t.documents, "doc_id", "text", items, "item_id", "text").join(canon.select("doc_id", "linked", "section"), "doc_id")
     known = gold.select("item_id", F.col("linked").alias("docs"), F.array("section").alias("sections"))
     asked = items.join(known, "item_id", "left").select("item_id", "docs", "sections", F.col("text").alias("expected_text"))
     hits = bm25_hits(t).select("item_id", "doc_id", "rank").join(canon, "doc_id")
